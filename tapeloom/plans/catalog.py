@@ -1,2 +1,236 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""One query per operator, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import CENTRAL, EASTERN, EngineConfig, FeatureWindows, LabelPolicy
+from ..functions import ticks
+from ..functions.calendar import day_bounds, session_of, to_local, with_session
+from ..operators import bars, dataset, diff, features, levels, ordering, outcomes, touches, zones
+from ..sources import market
+from ..sources.tape import tape_book, tape_dirty, tape_events
+from . import sql as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+N = 7
+T, B, L, Z, H = S.TAPE, S.BARS, S.LEVELS, S.zones(), S.touches()
+TO_TOUCH = (T, B, L, Z, H)
+
+
+def query(name: str, sql: str | None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _chain(s: SparkSession, d: str) -> tuple[DataFrame, dataset.Chain]:
+    t = tape_events(s, d)
+    return t, dataset.chain(t, N)
+
+
+def _bars(s: SparkSession, d: str, n=N) -> DataFrame:
+    return bars.tick_bars(tape_events(s, d), n, EASTERN)
+
+
+def _flat(z: DataFrame) -> DataFrame:
+    return z.withColumn("names", F.array_join("names", ","))
+
+
+def _quotes(s: SparkSession, d: str) -> DataFrame:
+    return market.normalize_quotes(tape_book(s, d)).drop("bid_size", "ask_size")
+
+
+# Sources and normalising
+query("src_trades_scan", S.with_(T, then="SELECT ts_event, sequence, price_ticks, size, side FROM tape"))(lambda s, d: market.normalize_trades(tape_events(s, d).drop("price_ticks"))[0])
+_EVENTS = "ev AS (SELECT ts_event, sequence, 'trade' AS kind, price_ticks, size, side, NULL::BIGINT AS bid_ticks, NULL::BIGINT AS ask_ticks FROM book WHERE action = 'T' UNION ALL SELECT ts_event, sequence, 'quote', NULL, NULL, NULL, bid_ticks, ask_ticks FROM quotes)"
+query("src_events_merged", S.with_(T, _EVENTS, then="SELECT ts_event, sequence, kind, price_ticks, bid_ticks, row_number() OVER (ORDER BY ts_event, sequence, CASE WHEN kind = 'quote' THEN 0 WHEN side = 'B' THEN price_ticks ELSE -price_ticks END, coalesce(size, 0))::BIGINT AS rank FROM ev"))(lambda s, d: ordering.merged(market.book_events(tape_book(s, d).drop("price_ticks"))).select("ts_event", "sequence", "kind", "price_ticks", "bid_ticks", F.col("rank").cast("long").alias("rank")))
+query("src_book_fanout", S.with_(T, _EVENTS, then="SELECT * FROM ev"))(lambda s, d: market.book_events(tape_book(s, d).drop("price_ticks")))
+query("src_time_range", S.with_(T, then="SELECT ts_event, sequence, price_ticks FROM tape WHERE ts_event >= TIMESTAMP '2024-01-10 00:00:00' AND ts_event < TIMESTAMP '2024-01-12 00:00:00'"))(lambda s, d: tape_events(s, d).where("ts_event >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND ts_event < TIMESTAMP_NTZ '2024-01-12 00:00:00'").select("ts_event", "sequence", "price_ticks"))
+query("src_outright_only", S.with_(T, then="SELECT sequence, symbol FROM book WHERE symbol NOT LIKE '%-%'"))(lambda s, d: market.outright(tape_book(s, d)).select("sequence", "symbol"))
+_VOLUME = "fm AS (SELECT instrument_id, sum(greatest(coalesce(nullif(size, 0), 1), 1))::BIGINT AS volume FROM book WHERE symbol NOT LIKE '%-%' GROUP BY 1 ORDER BY volume DESC, instrument_id LIMIT 1)"
+query("src_front_month_volume", S.with_(T, _VOLUME, then="SELECT instrument_id, volume FROM fm"))(lambda s, d: market.front_month_by_volume(tape_book(s, d)))
+query("src_front_month_rows", S.with_(T, then="SELECT symbol, count(*) AS n FROM book WHERE symbol NOT LIKE '%-%' GROUP BY 1 ORDER BY n DESC, symbol LIMIT 1"))(lambda s, d: market.front_month_by_rows(tape_book(s, d)))
+query("join_semi_front_month", S.with_(T, _VOLUME, then="SELECT sequence, b.instrument_id, size FROM book b SEMI JOIN fm USING (instrument_id)"))(lambda s, d: market.only_front_month(market.outright(tape_book(s, d))).select("sequence", "instrument_id", "size"))
+_WINDOW = "TIMESTAMP{0} '2024-01-09 23:00:00' AND ts_event < TIMESTAMP{0} '2024-01-10 23:00:00'"
+query("src_day_window_trades", S.with_(T, then=f"SELECT sequence, ts_event, price_ticks FROM book WHERE symbol = 'AAF4' AND upper(action) = 'T' AND ts_event >= {_WINDOW.format('')}"))(lambda s, d: tape_book(s, d).where(f"symbol = 'AAF4' AND upper(action) = 'T' AND price > 0 AND ts_event >= {_WINDOW.format('_NTZ')}").select("sequence", "ts_event", "price_ticks"))
+query("src_book_mid", S.with_(T, then="SELECT ts_event, sequence, (bid_px_00 + ask_px_00) / 2 AS mid, round_even((bid_px_00 + ask_px_00) / 2 / 0.125, 0)::BIGINT AS price_ticks FROM book WHERE bid_px_00 > 0 AND ask_px_00 > 0"))(lambda s, d: market.book_mid(tape_book(s, d)).select("ts_event", "sequence", "mid", "price_ticks"))
+_DIRTY = "dirty AS (SELECT ts_event, sequence, CASE WHEN sequence % 103 = 0 THEN NULL WHEN sequence % 97 = 0 THEN price + 0.10 ELSE price END AS price, CASE WHEN sequence % 101 = 0 THEN 0 ELSE size END AS size, side FROM signed)"
+_GRID = "price IS NOT NULL AND price::VARCHAR::DECIMAL(38,18) % 0.25 = 0"
+query("norm_trades", S.with_(T, _DIRTY, then=f"SELECT ts_event, sequence, (price / 0.25)::BIGINT AS price_ticks, size, side FROM dirty WHERE {_GRID} AND size > 0"))(lambda s, d: market.normalize_trades(tape_dirty(s, d))[0])
+query("norm_quotes", S.with_(T, then="SELECT ts_event, sequence, bid_ticks, ask_ticks FROM quotes"))(_quotes)
+query("norm_ts_kinds", S.with_(T, then="SELECT sequence, ts_event AS from_nanos, ts_event AS from_text, NULL::TIMESTAMP AS from_naive_text FROM tape"))(
+    lambda s, d: tape_events(s, d).select("sequence", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts_event) * 1000 + 999").alias("ns"), F.date_format("ts_event", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t")).select("sequence", ticks.from_nanos(F.col("ns")).alias("from_nanos"), ticks.from_iso(F.concat("t", F.lit("+00:00"))).alias("from_text"), ticks.from_iso(F.col("t")).alias("from_naive_text"))
+)
+query("norm_price_grid", S.with_(T, _DIRTY, then=f"SELECT sequence, CASE WHEN {_GRID} THEN (price / 0.25)::BIGINT END AS price_ticks FROM dirty"))(lambda s, d: tape_dirty(s, d).select("sequence", ticks.exact_ticks(F.col("price")).alias("price_ticks")))
+query("norm_price_rint", S.with_(T, then="SELECT sequence, round_even((price + 0.125) / 0.25, 0)::BIGINT AS price_ticks FROM signed"))(lambda s, d: tape_events(s, d).select("sequence", ticks.nearest_ticks(F.col("price") + 0.125).alias("price_ticks")))
+query("norm_provider_messages", S.with_(T, then="SELECT ts_event, price_ticks, size, side FROM tape"))(
+    lambda s, d: market.provider_trades(tape_events(s, d).select(F.to_json(F.struct(F.concat(F.date_format("ts_event", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("ts_event"), F.when(F.col("sequence") % 2 == 0, F.col("price_ticks")).alias("price_ticks"), F.col("price").alias("px"), F.col("size").alias("qty"), F.lower("side").alias("side"))).alias("message")))
+)
+_TEXTS = "CASE sequence % 4 WHEN 0 THEN 'cannot open /data/feeds/' || sequence || '.parquet, retry' WHEN 1 THEN 'token = abc' || sequence || '; next' WHEN 2 THEN 'C:\\feeds\\day' || sequence || ' missing' ELSE 'row ' || sequence || ' has no password' END"
+query("dq_redact_text", S.with_(T, then=f"SELECT sequence, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '[A-Za-z]:\\\\[^\\s,;]+', '<path>', 'g'), '/(?:[^\\s,;]+/)+[^\\s,;]+', '<path>', 'g'), '(?i)(secret|token|password|api[_-]?key)\\s*[:=]\\s*[^\\s,;]+', '<redacted>', 'g'), '(?i)secret|token|password|api[_-]?key', '<redacted>', 'g') AS message FROM (SELECT sequence, {_TEXTS} AS m FROM tape)"))(lambda s, d: tape_events(s, d).select("sequence", ticks.redact(F.expr(_TEXTS.replace("\\", "\\\\"))).alias("message")))
+query("dq_warning_counts", S.with_(T, _DIRTY, then=f"SELECT CASE WHEN NOT ({_GRID}) THEN 'invalid_price' ELSE 'invalid_record' END AS code, 'warning' AS severity, count(*) AS n FROM dirty WHERE NOT ({_GRID}) OR size <= 0 GROUP BY 1"))(lambda s, d: market.normalize_trades(tape_dirty(s, d))[1].groupBy("code", "severity").agg(F.count("*").alias("n")))
+
+# Order
+query("ord_side_signed", S.with_(T, then="SELECT sequence, side_signed FROM signed"))(lambda s, d: tape_events(s, d).select("sequence", ticks.side_signed(F.col("price_ticks"), F.col("side")).alias("side_signed")))
+_RANK = "row_number() OVER (ORDER BY ts_event, sequence, side_signed, size)::BIGINT"
+query("ord_canonical_rank", S.with_(T, then=f"SELECT sequence, {_RANK} AS rank FROM signed"))(lambda s, d: ordering.canonical_rank(tape_events(s, d)).select("sequence", F.col("rank").cast("long").alias("rank")))
+query("ord_sorted_tape", S.with_(T, then=f"SELECT ts_event, sequence, price_ticks, size, side, {_RANK} AS rank FROM signed"))(lambda s, d: ordering.canonical_rank(tape_events(s, d)).select("ts_event", "sequence", "price_ticks", "size", "side", F.col("rank").cast("long").alias("rank")))
+# Arrival swaps neighbours, so some rows come late.
+_ARRIVAL = "arr AS (SELECT *, sequence + CASE WHEN sequence % 13 = 0 THEN 5 ELSE 0 END AS arrival FROM signed), arr2 AS (SELECT ts_event, sequence, price_ticks, side, row_number() OVER (ORDER BY arrival, sequence) - 1 AS arrival FROM arr)"
+
+
+def _arrivals(s: SparkSession, d: str) -> DataFrame:
+    late = tape_events(s, d).withColumn("arrival", F.col("sequence") + F.when(F.col("sequence") % 13 == 0, 5).otherwise(0))
+    return ordering.rank_in_order(late, [F.col("arrival"), F.col("sequence")], F.floor(F.col("arrival") / 4096), "rank").withColumn("arrival", F.col("rank") - 1).drop("rank")
+
+
+query("ord_ts_regressions", S.with_(T, _ARRIVAL, then="SELECT sequence, ts_event, was AS accepted_ts FROM (SELECT *, max(ts_event) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM arr2) WHERE ts_event < was"))(lambda s, d: ordering.regressions(_arrivals(s, d), "arrival", 4096).select("sequence", "ts_event", "accepted_ts"))
+query("ord_inversion_count", S.with_(T, _ARRIVAL, then="SELECT coalesce(sum((ts_event < was)::BIGINT), 0)::BIGINT AS inversions, count(*) AS n_rows FROM (SELECT *, lag(ts_event) OVER (ORDER BY arrival) AS was FROM arr2)"))(lambda s, d: ordering.inversions(_arrivals(s, d), "arrival", 4096))
+query("ord_sweep_breakdown", S.with_(T, "st AS (SELECT date_trunc('hour', ts_event) AS h, sequence, price_ticks, side, price_ticks - lag(price_ticks) OVER (PARTITION BY date_trunc('hour', ts_event) ORDER BY sequence) AS dd FROM tape), g AS (SELECT h, count(DISTINCT price_ticks) AS n_prices, count(DISTINCT side) AS n_sides, min(dd) AS lo, max(dd) AS hi FROM st GROUP BY 1)", then="SELECT CASE WHEN lo >= 0 THEN 'ascending' WHEN hi <= 0 THEN 'descending' ELSE 'non_monotone' END AS shape, n_sides > 1 AS mixed_side, count(*) AS n FROM g WHERE n_prices > 1 GROUP BY 1, 2"))(lambda s, d: ordering.sweeps(tape_events(s, d).withColumn("h", F.date_trunc("hour", "ts_event")), ["h"], "sequence").groupBy("shape", "mixed_side").agg(F.count("*").alias("n")))
+query("lim_first_n_events", S.with_(T, then="SELECT ts_event, sequence, price_ticks FROM signed ORDER BY ts_event, sequence, side_signed, size LIMIT 100"))(lambda s, d: tape_events(s, d).orderBy(*ordering.canonical_key()).limit(100).select("ts_event", "sequence", "price_ticks"))
+query("topk_recent_bars", S.with_(T, B, then="SELECT bar_id, recency FROM (SELECT bar_id, row_number() OVER (ORDER BY trading_day DESC, bar_index DESC)::INTEGER AS recency FROM bars WHERE is_complete) WHERE recency <= 500"))(lambda s, d: bars.recent_bars(_bars(s, d), 500).select("bar_id", "recency"))
+
+# Calendar
+query("cal_local_ts", S.with_(T, then="SELECT sequence, local_ts FROM num"))(lambda s, d: with_session(tape_events(s, d), EASTERN).select("sequence", "local_ts"))
+query("cal_trading_day", S.with_(T, then="SELECT sequence, trading_day FROM num"))(lambda s, d: with_session(tape_events(s, d), EASTERN).select("sequence", "trading_day"))
+query("cal_classify_session", S.with_(T, then=f"SELECT sequence, session AS et_session, {S.session(S.local('ts_event', S.CT), 'CT')} AS ct_session FROM num"))(lambda s, d: tape_events(s, d).select("sequence", session_of(to_local(F.col("ts_event"), EASTERN), EASTERN).alias("et_session"), session_of(to_local(F.col("ts_event"), CENTRAL), CENTRAL).alias("ct_session")))
+query("cal_closed_window_drop", S.with_(T, then=f"SELECT sequence, {S.day(S.local('ts_event', S.CT))} AS trading_day FROM tape WHERE {S.session(S.local('ts_event', S.CT), 'CT')} <> 'closed'"))(lambda s, d: with_session(tape_events(s, d), CENTRAL).where("trading_day is not null").select("sequence", "trading_day"))
+query("cal_day_bounds", S.with_(T, then=f"SELECT DISTINCT trading_day, {S.utc(chr(40) + 'trading_day - 1 + TIME ' + chr(39) + '18:00:00' + chr(39) + chr(41))} AS start_ts, {S.utc(chr(40) + 'trading_day + TIME ' + chr(39) + '18:00:00' + chr(39) + chr(41))} AS end_ts FROM num"))(lambda s, d: with_session(tape_events(s, d), EASTERN).select("trading_day").distinct().select("trading_day", *[c.alias(n) for c, n in zip(day_bounds(F.col("trading_day"), EASTERN), ("start_ts", "end_ts"), strict=True)]))
+query("cal_session_summary", S.with_(T, then="SELECT trading_day, session, count(*) AS n, sum(size)::BIGINT AS volume, max(price_ticks) AS high_ticks, min(price_ticks) AS low_ticks FROM num GROUP BY 1, 2"))(lambda s, d: with_session(tape_events(s, d), EASTERN).groupBy("trading_day", "session").agg(F.count("*").alias("n"), F.sum("size").alias("volume"), F.max("price_ticks").alias("high_ticks"), F.min("price_ticks").alias("low_ticks")))
+query("cal_missing_days", S.with_(T, then="SELECT x::DATE AS trading_day FROM range(TIMESTAMP '2023-12-25', TIMESTAMP '2024-02-11', INTERVAL 1 DAY) t(x) ANTI JOIN num ON num.trading_day = x::DATE"))(lambda s, d: diff.missing_days(with_session(tape_events(s, d), EASTERN), "2023-12-25", "2024-02-10"))
+
+# Bars
+for _n in (1, 7, 147):
+    query(f"bars_tick_{_n}", S.with_(T, S.bars(_n), then=f"SELECT {S.BAR_COLUMNS} FROM bars"))(lambda s, d, n=_n: _bars(s, d, n))
+query("bars_multi_timeframe", S.with_(T, S.bars(7, "b1"), S.bars(21, "b2"), S.bars(147, "b3"), then=" UNION ALL ".join(f"SELECT {S.BAR_COLUMNS} FROM b{i}" for i in (1, 2, 3))))(lambda s, d: _bars(s, d, (147, 7, 21, 7)))
+query("bars_partials_only", S.with_(T, B, then="SELECT bar_id, trade_count, close_reason FROM bars WHERE is_partial"))(lambda s, d: _bars(s, d).where("is_partial").select("bar_id", "trade_count", "close_reason"))
+query("bars_current_snapshot", S.with_(T, B, then="SELECT bar_id, trade_count, NULL::VARCHAR AS close_reason FROM bars WHERE NOT is_complete AND trading_day = (SELECT max(trading_day) FROM bars)"))(lambda s, d: bars.current_bars(_bars(s, d)).select("bar_id", "trade_count", "close_reason"))
+_CONT = "crn AS (SELECT *, row_number() OVER (ORDER BY ts_event, sequence, side_signed, size) - 1 AS g FROM signed), cont AS (SELECT g // 7 AS bar_index, min(ts_event) AS open_ts, max(ts_event) AS close_ts, min_by(price_ticks, g) AS open_ticks, max(price_ticks) AS high_ticks, min(price_ticks) AS low_ticks, max_by(price_ticks, g) AS close_ticks, sum(size)::BIGINT AS volume, count(*)::BIGINT AS trade_count FROM crn GROUP BY 1 HAVING count(*) = 7)"
+query("bars_continuous", S.with_(T, _CONT, then="SELECT * FROM cont"))(lambda s, d: bars.continuous_bars(tape_events(s, d), N))
+query("bars_book_mid", S.with_(T, f"mid AS (SELECT ts_event, sequence, round_even((bid_px_00 + ask_px_00) / 2 / 0.125, 0)::BIGINT AS price_ticks, size, side FROM book), midn AS (SELECT *, {S.day(S.local('ts_event'))} AS trading_day, row_number() OVER (PARTITION BY {S.day(S.local('ts_event'))} ORDER BY ts_event, sequence, CASE WHEN side = 'B' THEN price_ticks ELSE -price_ticks END, size) - 1 AS rn FROM mid)", S.bars(7, source="midn"), then="SELECT bar_id, open_ticks, high_ticks, low_ticks, close_ticks, volume FROM bars"))(lambda s, d: bars.tick_bars(market.book_mid(tape_book(s, d)), N, EASTERN).select("bar_id", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume"))
+query("bars_points", S.with_(T, B, then="SELECT bar_id, open_ticks * 0.25::DOUBLE AS open, high_ticks * 0.25::DOUBLE AS high, low_ticks * 0.25::DOUBLE AS low, close_ticks * 0.25::DOUBLE AS close FROM bars"))(lambda s, d: bars.in_points(_bars(s, d)))
+_BY_PRICE = "byp AS (SELECT *, row_number() OVER (PARTITION BY trading_day ORDER BY date_trunc('hour', ts_event), price_ticks, sequence) - 1 AS rp FROM num)"
+query("bars_price_asc_order", S.with_(T, _BY_PRICE, S.bars(7, source="byp", rn="rp"), then="SELECT bar_id, open_ticks, high_ticks, low_ticks, close_ticks FROM bars"))(lambda s, d: bars.tick_bars(tape_events(s, d), N, EASTERN, [F.date_trunc("hour", "ts_event"), F.col("price_ticks"), F.col("sequence")]).select("bar_id", "open_ticks", "high_ticks", "low_ticks", "close_ticks"))
+query("bars_first_of_day_recompute", S.with_(T, then="SELECT trading_day, min_by(price_ticks, rn) AS open_ticks, max(price_ticks) AS high_ticks, min(price_ticks) AS low_ticks, max_by(price_ticks, rn) AS close_ticks, count(*) AS trade_count FROM num WHERE rn < 7 GROUP BY 1"))(lambda s, d: _bars(s, d).where("bar_index = 0").select("trading_day", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "trade_count"))
+query("runtime_snapshot", S.with_(T, B, then="SELECT (SELECT count(*) FROM bars WHERE is_complete) AS complete_bars, (SELECT count(*) FROM bars WHERE NOT is_complete AND trading_day = (SELECT max(trading_day) FROM bars)) AS forming_bars, (SELECT max(trading_day) FROM bars) AS trading_day, (SELECT max_by(bid_ticks, (ts_event, sequence)) FROM quotes) AS bid_ticks, (SELECT max_by(ask_ticks, (ts_event, sequence)) FROM quotes) AS ask_ticks"))(
+    lambda s, d: _bars(s, d).withColumn("_last", F.lit(1)).groupBy("_last").agg(F.count(F.when(F.col("is_complete"), 1)).alias("complete_bars"), F.max("trading_day").alias("trading_day"), F.max(F.struct("trading_day", "bar_index", (~F.col("is_complete")).cast("long").alias("open"))).alias("m")).join(_quotes(s, d).groupBy(F.lit(1).alias("_last")).agg(F.max(F.struct("ts_event", "sequence", "bid_ticks", "ask_ticks")).alias("q")), "_last").select("complete_bars", F.col("m.open").alias("forming_bars"), "trading_day", F.col("q.bid_ticks").alias("bid_ticks"), F.col("q.ask_ticks").alias("ask_ticks"))
+)
+query("sink_bars_json", None)(lambda s, d: _bars(s, d).select("bar_id", F.to_json(F.struct("trading_day", "bar_index", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume", "close_reason")).alias("json")))
+
+# Levels and zones
+query("lvl_full_day_hl", S.with_(T, B, L, then="SELECT * FROM days"))(lambda s, d: levels.full_day(_bars(s, d)))
+query("lvl_pdh_pdl", S.with_(T, B, L, then="SELECT * FROM prior"))(lambda s, d: levels.prior_day(levels.full_day(_bars(s, d))))
+query("lvl_session_hl", S.with_(T, B, L, then="SELECT * FROM sess"))(lambda s, d: levels.session_extremes(_bars(s, d), EASTERN))
+query("lvl_session_hl_trades", S.with_(T, then="SELECT trading_day, session, max(price_ticks) AS high_ticks, min(price_ticks) AS low_ticks FROM num GROUP BY 1, 2"))(lambda s, d: levels.session_extremes_of_trades(tape_events(s, d), EASTERN))
+query("lvl_level_set", S.with_(T, B, L, then="SELECT * FROM levels"))(lambda s, d: levels.level_set(_bars(s, d), EASTERN))
+_ZONES = "SELECT trading_day, zone_id, representative_price, array_to_string(names, ',') AS names, side, available_from, n_levels FROM zones"
+query("zone_build", S.with_(T, B, L, Z, then=_ZONES))(lambda s, d: _flat(_chain(s, d)[1].zones))
+query("zone_build_wide", S.with_(T, B, L, S.zones(12.0), then=_ZONES))(lambda s, d: _flat(zones.merge_levels(_chain(s, d)[1].levels, 12.0)))
+
+# Touches
+query("touch_all_intersections", S.with_(*TO_TOUCH, then="SELECT trading_day, zone_id, bar_index FROM hits"))(lambda s, d: (lambda c: touches.intersections(c.bars, c.zones).select("trading_day", "zone_id", "bar_index"))(_chain(s, d)[1]))
+query("touch_first", S.with_(*TO_TOUCH, then="SELECT * FROM touches"))(lambda s, d: _chain(s, d)[1].touches)
+query("touch_first_ungated", S.with_(T, B, L, Z, S.touches(False), then="SELECT * FROM touches"))(lambda s, d: (lambda c: touches.first_touches(c.bars, c.zones, gated=False))(_chain(s, d)[1]))
+query("touch_ny_eligible", S.with_(*TO_TOUCH, then=f"SELECT trading_day, zone_id, bar_ts FROM touches WHERE {S.session(S.local('bar_ts'))} = 'ny'"))(lambda s, d: touches.in_session(_chain(s, d)[1].touches, EASTERN).select("trading_day", "zone_id", "bar_ts"))
+query("join_anti_untouched_zones", S.with_(*TO_TOUCH, then="SELECT trading_day, zone_id, side FROM zones ANTI JOIN touches USING (trading_day, zone_id)"))(lambda s, d: (lambda c: touches.untouched(c.zones, c.touches).select("trading_day", "zone_id", "side"))(_chain(s, d)[1]))
+
+# Features
+W = FeatureWindows()
+_FEATS = {"feat_time_beyond": "int_time_beyond_level", "feat_time_within": "int_time_within_2pts", "feat_absorption": "int_absorption_ratio", "feat_large_vol_pct": "app_large_trade_vol_pct", "feat_avg_size": "app_avg_trade_size", "feat_max_spread": "app_max_spread"}
+
+
+def _features(s: SparkSession, d: str) -> DataFrame:
+    t, c = _chain(s, d)
+    return features.touch_features(c.touches, t, _quotes(s, d), W)
+
+
+def _feature(name: str, column: str):
+    part = {"feat_time_beyond": features.dwell, "feat_time_within": features.dwell, "feat_absorption": features.absorption, "feat_large_vol_pct": features.approach, "feat_avg_size": features.approach, "feat_max_spread": features.spread}[name]
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        t, c = _chain(s, d)
+        return part(c.touches, _quotes(s, d) if name == "feat_max_spread" else t, W).select("trading_day", "zone_id", column)
+
+    source = {"feat_time_beyond": "f_inter", "feat_time_within": "f_inter", "feat_absorption": "f_inter", "feat_large_vol_pct": "f_appr", "feat_avg_size": "f_appr", "feat_max_spread": "f_spread"}[name]
+    expr = "CASE WHEN at_level + past > 0 THEN round(at_level / (at_level + past), 6) ELSE 0.0 END::DOUBLE AS int_absorption_ratio" if name == "feat_absorption" else column
+    query(name, S.with_(*TO_TOUCH, S.FEATURES, then=f"SELECT trading_day, zone_id, {expr} FROM {source}"))(run)
+
+
+for _name, _column in _FEATS.items():
+    _feature(_name, _column)
+query("feat_vector", S.with_(*TO_TOUCH, S.FEATURES, then="SELECT * FROM feats"))(_features)
+
+# Outcomes
+P = LabelPolicy()
+_GRIDS = "SELECT a.range * 2.5 AS mfe, b.range * 5.0 AS mae FROM range(10) a, range(10) b"
+query("out_classify_kernel", f"SELECT mfe::DOUBLE AS mfe, mae::DOUBLE AS mae, {S.ladder('mfe', 'mae')} AS label, {S.ladder('mfe', 'mae', forced=True)} AS label_forced FROM ({_GRIDS})")(lambda s, d: s.range(100).select((F.expr("id div 10") * 2.5).alias("mfe"), (F.expr("id % 10") * 5.0).alias("mae")).select("mfe", "mae", outcomes.ladder(F.col("mfe"), F.col("mae"), P).alias("label"), outcomes.ladder(F.col("mfe"), F.col("mae"), LabelPolicy(forced=True)).alias("label_forced")))
+
+
+def _level_entries(c: dataset.Chain) -> DataFrame:
+    from ..functions.calendar import instant_on
+
+    return c.touches.select("trading_day", "zone_id", "direction", F.col("representative_price").alias("entry_price"), F.col("bar_ts").alias("after_ts"), instant_on(F.col("trading_day"), P.cutoff, EASTERN).alias("before_ts"))
+
+
+_LEVEL_ENTRIES = "le AS (SELECT trading_day, zone_id, direction, representative_price AS entry_price, bar_ts AS after_ts, " + S.utc("(trading_day + TIME '17:00:00')") + " AS before_ts FROM touches)"
+query("out_resolve_level_entry", S.with_(*TO_TOUCH, _LEVEL_ENTRIES, S.resolve("le"), then="SELECT * FROM resolved"))(lambda s, d: (lambda c: outcomes.resolve(_level_entries(c), c.bars, P, "after_ts", "before_ts"))(_chain(s, d)[1]))
+query("out_resolve_forced", S.with_(*TO_TOUCH, _LEVEL_ENTRIES, S.resolve("le", trap=2.0, forced=True), then="SELECT * FROM resolved"))(lambda s, d: (lambda c: outcomes.resolve(_level_entries(c), c.bars, LabelPolicy(trap_min=2.0, forced=True), "after_ts", "before_ts"))(_chain(s, d)[1]))
+
+
+def _honest(s: SparkSession, d: str) -> DataFrame:
+    t, c = _chain(s, d)
+    return outcomes.decision_outcomes(c.touches, c.bars, t, P, EASTERN)
+
+
+query("out_honest", S.with_(*TO_TOUCH, S.DECISIONS, then="SELECT * FROM honest"))(_honest)
+query("out_drop_counts", S.with_(*TO_TOUCH, S.DECISIONS, then="SELECT coalesce(drop_reason, 'kept') AS reason, count(*) AS n FROM honest GROUP BY 1"))(lambda s, d: _honest(s, d).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n")))
+query("out_class_balance", S.with_(*TO_TOUCH, S.DECISIONS, then="SELECT label, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 4) AS pct FROM honest WHERE label IS NOT NULL GROUP BY 1"))(lambda s, d: dataset.class_balance(_honest(s, d)))
+_ROWS = "SELECT t.trading_day, t.zone_id, bar_ts, representative_price, direction, level_type, entry_price, label, label_encoded, max_mfe, max_mae, bars_to_resolution, int_time_beyond_level, int_time_within_2pts, int_absorption_ratio, app_large_trade_vol_pct, app_avg_trade_size, app_max_spread FROM touches t JOIN honest USING (trading_day, zone_id) JOIN feats USING (trading_day, zone_id) WHERE drop_reason IS NULL AND label_encoded IS NOT NULL"
+query("dataset_training", S.with_(*TO_TOUCH, S.DECISIONS, S.FEATURES, then=_ROWS))(lambda s, d: dataset.training_rows(tape_events(s, d), _quotes(s, d), N))
+# A confidence made up from the row stands for a model's; the gate itself is what is shown.
+query("gate_eligible", S.with_(*TO_TOUCH, S.DECISIONS, then=f"SELECT trading_day, zone_id, confidence FROM (SELECT h.trading_day, zone_id, label, {S.session(S.local('bar_ts'))} AS session, (60 + (bar_index * 7) % 40) / 100.0::DOUBLE AS confidence FROM honest h JOIN touches USING (trading_day, zone_id)) WHERE label = 'tradeable_reversal' AND session = 'ny' AND confidence >= 0.70"))(
+    lambda s, d: (lambda c: dataset.gate(outcomes.decision_outcomes(c[1].touches, c[1].bars, c[0], P, EASTERN).join(c[1].touches.select("trading_day", "zone_id", "bar_index", "bar_ts"), ["trading_day", "zone_id"]).select("trading_day", "zone_id", "label", session_of(to_local(F.col("bar_ts"), EASTERN), EASTERN).alias("session"), ((60 + (F.col("bar_index") * 7) % 40) / 100.0).alias("confidence")), EngineConfig()).select("trading_day", "zone_id", "confidence"))(_chain(s, d))
+)
+
+# Joins
+query("asof_trade_price", S.with_(*TO_TOUCH, "ap AS (SELECT t.trading_day, zone_id, max_by(price_ticks, (x.ts_event, x.sequence)) * 0.25::DOUBLE AS entry_price FROM touches t JOIN signed x ON x.ts_event <= bar_ts AND x.ts_event >= bar_ts - INTERVAL 30 MINUTE GROUP BY 1, 2)", then="SELECT * FROM ap"))(lambda s, d: (lambda c: outcomes.asof_price(c[1].touches, c[0], "bar_ts", 30))(_chain(s, d)))
+query("join_asof_entry_price", S.with_(*TO_TOUCH, S.DECISIONS, then="SELECT * FROM fills"))(lambda s, d: _honest(s, d).where("entry_price is not null").select("trading_day", "zone_id", "entry_price"))
+query("join_touch_trades_window", S.with_(*TO_TOUCH, then="SELECT t.trading_day, zone_id, x.sequence, x.price_ticks FROM touches t JOIN signed x ON x.ts_event >= bar_ts - INTERVAL 90 MINUTE AND x.ts_event < bar_ts + INTERVAL 5 MINUTE"))(lambda s, d: (lambda c: features.window_join(c[1].touches, c[0], 90, 5).select("trading_day", "zone_id", "sequence", "price_ticks"))(_chain(s, d)))
+query("join_forward_bars", S.with_(*TO_TOUCH, S.DECISIONS, then="SELECT e.trading_day, zone_id, bar_index FROM early e JOIN bars b ON b.trading_day = e.trading_day AND close_ts > decision_ts AND close_ts < cutoff_ts"))(
+    lambda s, d: (lambda c: (lambda e: e.join(c.bars.select("trading_day", "bar_index", "close_ts"), "trading_day").where((F.col("close_ts") > F.col("after_ts") + F.expr("INTERVAL 5 MINUTE")) & (F.col("close_ts") < F.col("before_ts"))).select("trading_day", "zone_id", "bar_index"))(_level_entries(c)))(_chain(s, d)[1])
+)
+
+# Sets and differences
+_DAY = "ts_event >= TIMESTAMP{1} '2024-01-{0} 00:00:00' AND ts_event < TIMESTAMP{1} '2024-01-{0} 23:59:59'"
+query("set_union_days", S.with_(T, then=f"SELECT sequence, price_ticks FROM tape WHERE {_DAY.format('09', '')} UNION ALL SELECT sequence, price_ticks FROM tape WHERE {_DAY.format('10', '')}"))(lambda s, d: (lambda t: t.where(_DAY.format("09", "_NTZ")).unionByName(t.where(_DAY.format("10", "_NTZ")), allowMissingColumns=True).select("sequence", "price_ticks"))(tape_events(s, d)))
+_UNGATED = S.touches(False, "ungated", "hits2")
+query("set_touch_intersect", S.with_(*TO_TOUCH, _UNGATED, then="SELECT trading_day, zone_id, bar_index FROM touches INTERSECT SELECT trading_day, zone_id, bar_index FROM ungated"))(lambda s, d: (lambda c: c.touches.select("trading_day", "zone_id", "bar_index").intersect(touches.first_touches(c.bars, c.zones, gated=False).select("trading_day", "zone_id", "bar_index")))(_chain(s, d)[1]))
+query("set_touch_except", S.with_(*TO_TOUCH, _UNGATED, then="SELECT trading_day, zone_id, bar_index FROM ungated EXCEPT ALL SELECT trading_day, zone_id, bar_index FROM touches"))(lambda s, d: (lambda c: touches.first_touches(c.bars, c.zones, gated=False).select("trading_day", "zone_id", "bar_index").exceptAll(c.touches.select("trading_day", "zone_id", "bar_index")))(_chain(s, d)[1]))
+_BARS2 = S.bars(7, "bars2", "byp", "rp")
+
+
+def _two_orders(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = tape_events(s, d)
+    return bars.tick_bars(t, N, EASTERN), bars.tick_bars(t, N, EASTERN, [F.date_trunc("hour", "ts_event"), F.col("price_ticks"), F.col("sequence")])
+
+
+_FIELDS = ("open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume")
+_DIFFS = "nullif(concat_ws(',', " + ", ".join(f"CASE WHEN a.{f} IS DISTINCT FROM b.{f} THEN '{f}' END" for f in _FIELDS) + "), '')"
+query("diff_bars", S.with_(T, B, _BY_PRICE, _BARS2, then=f"SELECT coalesce(a.trading_day, b.trading_day) AS trading_day, coalesce(a.bar_index, b.bar_index) AS bar_index, CASE WHEN b.bar_id IS NULL THEN 'left_only' WHEN a.bar_id IS NULL THEN 'right_only' WHEN {_DIFFS} IS NOT NULL THEN 'differs' ELSE 'same' END AS status, CASE WHEN a.bar_id IS NOT NULL AND b.bar_id IS NOT NULL THEN {_DIFFS} END AS fields FROM bars a FULL JOIN bars2 b ON a.trading_day = b.trading_day AND a.bar_index = b.bar_index"))(lambda s, d: diff.diff_by_key(*_two_orders(s, d), ["trading_day", "bar_index"], list(_FIELDS)))
+query("diff_touches", S.with_(*TO_TOUCH, _UNGATED, then="SELECT coalesce(a.trading_day, b.trading_day) AS trading_day, coalesce(a.zone_id, b.zone_id) AS zone_id, CASE WHEN b.zone_id IS NULL THEN 'left_only' WHEN a.zone_id IS NULL THEN 'right_only' WHEN a.bar_index <> b.bar_index THEN 'differs' ELSE 'same' END AS status, CASE WHEN a.bar_index <> b.bar_index THEN 'bar_index' END AS fields FROM touches a FULL JOIN ungated b ON a.trading_day = b.trading_day AND a.zone_id = b.zone_id"))(lambda s, d: (lambda c: diff.diff_by_key(c.touches, touches.first_touches(c.bars, c.zones, gated=False), ["trading_day", "zone_id"], ["bar_index"]))(_chain(s, d)[1]))
+query("agg_divergence_percentiles", S.with_(T, B, _BY_PRICE, _BARS2, "dv AS (SELECT abs(a.open_ticks - b.open_ticks) AS v FROM bars a JOIN bars2 b USING (trading_day, bar_index))", then="SELECT count(v) AS n, round(avg(v), 6) AS mean, quantile_cont(v, 0.5)::DOUBLE AS median, quantile_cont(v, 0.95)::DOUBLE AS p95, max(v) AS max FROM dv"))(
+    lambda s, d: (lambda a, b: diff.divergence(a.join(b.select("trading_day", "bar_index", F.col("open_ticks").alias("o2")), ["trading_day", "bar_index"]).withColumn("v", F.abs(F.col("open_ticks") - F.col("o2"))), "v"))(*_two_orders(s, d))
+)
+query("diff_even_sample", S.with_(*TO_TOUCH, "sm AS (SELECT trading_day, zone_id, row_number() OVER (ORDER BY trading_day, zone_id) - 1 AS r, count(*) OVER () AS n FROM touches)", then="SELECT trading_day, zone_id FROM sm WHERE n <= 20 OR r = 0 OR (r * 20) // n <> ((r - 1) * 20) // n"))(lambda s, d: diff.even_sample(_chain(s, d)[1].touches.select("trading_day", "zone_id"), ["trading_day", "zone_id"], 20))
+query("diff_bars_continuous", S.with_(T, B, _CONT, "p AS (SELECT open_ts, close_ts, volume FROM bars WHERE is_complete)", then="SELECT (SELECT count(*) FROM p) AS n_days, (SELECT count(*) FROM cont) AS n_continuous, (SELECT count(*) FROM p JOIN cont USING (open_ts, close_ts, volume)) AS n_same"))(
+    lambda s, d: (lambda p, c: p.agg(F.count("*").alias("n_days")).join(c.agg(F.count("*").alias("n_continuous")), F.lit(True)).join(p.join(c, ["open_ts", "close_ts", "volume"]).agg(F.count("*").alias("n_same")), F.lit(True)))(_bars(s, d).where("is_complete").select("open_ts", "close_ts", "volume"), bars.continuous_bars(tape_events(s, d), N).select("open_ts", "close_ts", "volume"))
+)
