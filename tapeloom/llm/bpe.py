@@ -22,22 +22,44 @@ an empty result; columns beside the id and the text are not read.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import re
 import tempfile
-import unicodedata
+import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.normalizers import NFC
+
+from .runtime import spread, stage, unstage
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+# Code points that are letters or numbers since later Unicode versions than the tokenizer's; to it they are neither.
+_LATER = (
+    "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 "
+    "10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 "
+    "16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 "
+    "1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed "
+    "1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f "
+)
+# Capitals of later versions than Python's own, with their small letters; the two runs are capitals at a fixed distance.
+_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_LATER_CLASS = "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in _LATER.split())
+_NEWER = re.compile("[" + _LATER_CLASS + "".join(map(chr, _SMALL)) + "]")
+#: Below it every text is in its composed form.
+_COMPOSABLE = re.compile("[\u0300-\U0010ffff]")
+_SPLIT_NEWER = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER_CLASS}]]+|[\p{{N}}--[{_LATER_CLASS}]]|[[^\p{{White_Space}}\p{{L}}\p{{N}}]||[{_LATER_CLASS}]]+")
 _SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -51,10 +73,11 @@ def _byte_symbols() -> list[str]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    ids: dict[str, int]
     tokens: list[str]
-    ranks: dict[tuple[str, str], int]
-    suffix: str
+    first: list[int]  # the symbol of each byte
+    last: list[int]  # and at the end of a word
+    ranks: dict[int, int]  # of a pair of ids, the left one times 2^20
+    made: list[int]  # what each merge makes
     added: dict[str, int]
 
     @classmethod
@@ -72,61 +95,68 @@ class Vocabulary:
         tokens = [""] * size
         for token, i in [*m["vocab"].items(), *added.items()]:
             tokens[i] = token
-        return cls(m["vocab"], tokens, {pair: i for i, pair in enumerate(merges)}, m["end_of_word_suffix"] or "", added)
+        ids, suffix = m["vocab"], m["end_of_word_suffix"] or ""
+        symbols = _byte_symbols()
+        return cls(tokens, [ids[c] for c in symbols], [ids[c + suffix] for c in symbols], {ids[a] << 20 | ids[b]: i for i, (a, b) in enumerate(merges)}, [ids[a + b] for a, b in merges], added)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word by exact merging: of all neighbours the pair of least rank first, leftmost on ties."""
-        parts = [_SYMBOLS[b] for b in word]
-        parts[-1] += self.suffix
+        if not word:
+            return []
+        parts = [self.first[b] for b in word]
+        parts[-1] = self.last[word[-1]]
         if len(parts) > 200:
             return self._merge_long(parts)
         rank = self.ranks.get
-        while len(parts) > 1:
-            best, at = None, -1
-            for i, pair in enumerate(zip(parts, parts[1:])):
-                r = rank(pair)
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts if p in self.ids]
-
-    def _merge_long(self, parts: list[str]) -> list[int]:
+        ranks = [rank(a << 20 | b, _NEVER) for a, b in zip(parts, parts[1:])]
+        while ranks and (r := min(ranks)) != _NEVER:
+            i = ranks.index(r)
+            parts[i] = m = self.made[r]
+            del parts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] << 20 | m, _NEVER)
+            if i < len(ranks):
+                ranks[i] = rank(m << 20 | parts[i + 1], _NEVER)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
         """The same with a heap, for words of very many bytes."""
-        import heapq
-
-        after = list(range(1, len(parts))) + [-1]
+        after = [*range(1, len(parts)), -1]
         before = [-1, *range(len(parts) - 1)]
-        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := self.ranks.get((a, b))) is not None]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := self.ranks.get(a << 20 | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j < 0 or parts[j] != b:
                 continue
-            parts[i], parts[j], after[i] = a + b, "", after[j]
+            parts[i], parts[j], after[i] = self.made[r], -1, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := self.ranks.get((parts[x], parts[y]))) is not None:
+                if x >= 0 and y >= 0 and (r := self.ranks.get(parts[x] << 20 | parts[y])) is not None:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
-        return [self.ids[p] for p in parts if p and p in self.ids]
+        return [p for p in parts if p >= 0]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as a file without a decoder asks for."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_SYMBOLS = _byte_symbols()
+_NEVER = 1 << 40
 
 
 def split_words(text: str) -> list[str]:
     """The words of a piece of text without added tokens, normalised."""
     if text.isascii():
         return _SPLIT_ASCII.findall(text.lower())
+    split = _SPLIT
+    if _COMPOSABLE.search(text):
+        text = NFC().normalize_str(text)  # the library's own, as its character data is not Python's
+        if _NEWER.search(text):
+            text, split = text.translate(_SMALL), _SPLIT_NEWER
     # Lower case by character: no special form of sigma at the end of a word.
-    return _SPLIT.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+    return split.findall(text.replace("Σ", "σ").lower())
 
 
 class Lexicon:
@@ -263,11 +293,11 @@ def mapped(block: bytes) -> Lexicon:
 
 @dataclass(frozen=True)
 class BpeConfig:
-    lexicon: int = 65_536  # words
+    lexicon: int = 262_144  # words
     word_bytes: int = 64  # of a word in the lexicon, at most
-    counted: int = 200_000  # distinct words that a task counts at a time
-    told: int = 32_768  # words that a task tells
-    cached: int = 150_000  # words whose ids a worker keeps
+    counted: int = 400_000  # distinct words that a task counts at a time
+    told: int = 131_072  # words that a task tells
+    cached: int = 350_000  # words whose ids a worker keeps
 
 
 def count_words(docs: DataFrame, text_col: str, cfg: BpeConfig) -> DataFrame:
@@ -283,12 +313,23 @@ def count_words(docs: DataFrame, text_col: str, cfg: BpeConfig) -> DataFrame:
         top = [(w, n) for w, n in seen.most_common(cfg.told) if len(w.encode("utf-8", "replace")) <= cfg.word_bytes]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(docs.select(F.col(text_col).cast("string"))).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def compile_lexicon(docs: DataFrame, text_col: str, vocabulary: Vocabulary, cfg: BpeConfig) -> bytes:
-    top = count_words(docs, text_col, cfg).orderBy(F.desc("n"), "word").limit(cfg.lexicon).select("word").toPandas()
-    return Lexicon.compile({b: vocabulary.merge(b) for b in (w.encode("utf-8") for w in top["word"])})
+    """The automaton of the words that are more frequent than some count, which leaves at most cfg.lexicon of them."""
+    counts = stage(count_words(docs, text_col, cfg), "words")
+    step = F.floor(F.log2("n") * 16)  # the number of steps is bounded, whatever the corpus
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for r in sizes:
+        total += r["words"]
+        if total > cfg.lexicon:
+            break
+        least = r["step"]
+    top = [] if least is None else [r[0] for r in counts.where(step >= least).select("word").collect()]
+    unstage(docs.sparkSession, counts)
+    return Lexicon.compile({b: vocabulary.merge(b) for b in (w.encode("utf-8") for w in top)})
 
 
 class Encoder:
@@ -296,21 +337,23 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, cached: int):
         self.vocabulary, self.lexicon, self.cached = vocabulary, lexicon, cached
-        self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, str] = {}
+        self.known: dict[str, tuple[bytes, str]] = {}  # of a word: ids as bytes, and what they decode to
         self.special = re.compile("(" + "|".join(re.escape(a) for a in sorted(vocabulary.added, key=len, reverse=True)) + ")") if vocabulary.added else None
 
-    def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > self.cached:
-            self.ids.clear()
-            self.decoded.clear()
-            new = list(words)
-        raw = [w.encode("utf-8", "replace") for w in new]
-        for word, b, number in zip(new, raw, self.lexicon.numbers(raw).tolist(), strict=True):
-            ids = self.lexicon.output(number) if number >= 0 else np.array(self.vocabulary.merge(b), "<u4")
-            self.ids[word] = ids.tobytes()
-            self.decoded[word] = self.vocabulary.decode(ids.tolist())
+    def _learn(self, words: set[str]) -> dict[str, tuple[bytes, str]]:
+        """What these words, all new, become. A full cache lets its older half go first."""
+        if len(self.known) + len(words) > self.cached:
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+        raw = [w.encode("utf-8", "replace") for w in words]
+        new = {}
+        for word, b, number in zip(words, raw, self.lexicon.numbers(raw).tolist(), strict=True):
+            if word in self.vocabulary.added:  # no word can equal one
+                ids = [self.vocabulary.added[word]]
+            else:
+                ids = self.lexicon.output(number).tolist() if number >= 0 else self.vocabulary.merge(b)
+            new[word] = array("I", ids).tobytes(), self.vocabulary.decode(ids)
+        self.known |= new
+        return new
 
     def pieces(self, text: str) -> list[str]:
         """Words and added tokens; an added token comes as itself, and no word can equal one."""
@@ -325,13 +368,20 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers, and what they decode to."""
         for at in range(0, len(texts), 32):
             group = [self.pieces(t) for t in texts[at : at + 32]]
-            self._learn(set().union(*group) - self.vocabulary.added.keys())
-            if self.special is not None and any("<|" in t for t in texts[at : at + 32]):
-                for a, i in self.vocabulary.added.items():
-                    self.ids[a], self.decoded[a] = i.to_bytes(4, "little"), self.vocabulary.tokens[i]
+            flat = list(chain.from_iterable(group))
+            found = list(map(self.known.get, flat))
+            if None in found:
+                new = self._learn({w for w, f in zip(flat, found, strict=True) if f is None})
+                found = [new[w] if f is None else f for w, f in zip(flat, found, strict=True)]
+            end = 0
             for words in group:
-                # A word without any known symbol has no ids, and no place in the decoded text.
-                yield b"".join(map(self.ids.__getitem__, words)), " ".join(d for d in map(self.decoded.__getitem__, words) if d)
+                start, end = end, end + len(words)
+                own = found[start:end]
+                yield b"".join([i for i, _ in own]), " ".join([d for _, d in own])
+
+
+#: The encoder that this worker used last, by the run that it belongs to; its cache serves the next task too.
+_WARM: dict[str, Encoder] = {}
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", cfg: BpeConfig = BpeConfig(), digests: bool = False) -> DataFrame:
@@ -339,11 +389,14 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     vocabulary = Vocabulary.read(tokenizer_path)
-    shared = spark.sparkContext.broadcast((vocabulary, compile_lexicon(docs, text_col, vocabulary, cfg)))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, vocabulary, compile_lexicon(docs, text_col, vocabulary, cfg)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, block = shared.value
-        encoder = Encoder(words, mapped(block), cfg.cached)
+        run_id, words, block = shared.value
+        if run_id not in _WARM:
+            _WARM.clear()
+            _WARM[run_id] = Encoder(words, mapped(block), cfg.cached)
+        encoder = _WARM[run_id]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -355,4 +408,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([d for _, d in found], pa.string())], names=["id", "ids", "decoded"])
 
     out = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f"id {kind}, ids array<int>, decoded string"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, out).withColumnRenamed("id", id_col)

@@ -60,6 +60,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_strings(column) -> list[str]:
-    """A string column of a record batch as Python strings, null as the empty text."""
-    return ["" if t is None else t for t in column.to_pylist()]
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as the session has cores, for work that costs far more than a shuffle of a small input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
