@@ -27,7 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .runtime import spread
 from .words import grams, hash_words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -108,7 +110,7 @@ def corpus_counts(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> tup
         k = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(found[k], total))], names=["k", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    rows = spread(docs.select(F.col(text_col).cast("string"))).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(vocabulary), np.int64)
     known = rows[rows["k"] >= 0]
     counts[known["k"]] = known["n"]
@@ -177,62 +179,71 @@ def _windows(words: np.ndarray, block: Block, hits: list[tuple[int, int, int]],
     return out
 
 
+def seed_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, cfg: DecontamConfig) -> list[Block]:
+    """The benchmark, which is the stated query set, in blocks, with seeds that are rare by the words of docs."""
+    rows = benchmark.select(item_col, F.col(text_col).cast("string")).collect()
+    items = [(r[0], w) for r, w in zip(rows, _word_lists([r[1] or "" for r in rows]), strict=True)]
+    vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *(w for _, w in items)]))
+    counts, total = corpus_counts(docs, text_col, vocabulary) if len(vocabulary) else (np.zeros(0), 0)
+    return plan_blocks(items, {int(h): c / max(total, 1) for h, c in zip(vocabulary, counts, strict=True)}, cfg)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
     """(id, item, score, n_windows): for each text and item aligned with at least cfg.threshold its best score."""
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    rows = benchmark.select(item_col, F.col(text_col).cast("string")).collect()  # the stated query set
-    items = [(r[0], w) for r, w in zip(rows, _word_lists([r[1] or "" for r in rows]), strict=True)]
-    vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *(w for _, w in items)]))
-    counts, total = corpus_counts(docs, text_col, vocabulary) if len(vocabulary) else (np.zeros(0), 0)
-    share = {int(h): (c / max(total, 1)) for h, c in zip(vocabulary, counts, strict=True)}
+    blocks = seed_blocks(docs, benchmark, text_col, item_col, cfg)
     schema = f"id {kind}, item {item_kind}, score double, n_windows long"
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     found = spark.createDataFrame([], schema)
-    for block in plan_blocks(items, share, cfg):
-        found = found.union(_search(docs, id_col, text_col, block, cfg, schema))
-    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "n_windows")
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)
 
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kept = search_batch(batch.column(1).to_pylist(), shared.value, cfg)
+                items = pa.array([shared.value.ids[i] for _, i, _, _ in kept], item_type)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, *_ in kept], pa.int64())), items, pa.array([s for _, _, s, _ in kept], pa.float64()), pa.array([n for *_, n in kept], pa.int64())], names=["id", "item", "score", "n_windows"])
 
-def _search(docs: DataFrame, id_col: str, text_col: str, block: Block, cfg: DecontamConfig, schema: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+        found = found.union(rows.mapInArrow(run, schema))
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "n_windows")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b: Block = shared.value
-        for batch in batches:
-            ids, pending, items, windows = [], [], [], []
-
-            def settle() -> pa.RecordBatch:
-                scores = align(items, windows)
-                best: dict[tuple[int, int], tuple[float, int]] = {}
-                for (row, item), s in zip(pending, scores.tolist(), strict=True):
-                    was = best.get((row, item), (0.0, 0))
-                    best[row, item] = max(was[0], s), was[1] + 1
-                kept = [(row, item, s, n) for (row, item), (s, n) in best.items() if s >= cfg.threshold]
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, *_ in kept], pa.int64())), pa.array([b.ids[i] for _, i, _, _ in kept]).cast(item_type), pa.array([s for _, _, s, _ in kept], pa.float64()), pa.array([n for *_, n in kept], pa.int64())], names=["id", "item", "score", "n_windows"])  # noqa: B023
-
-            for rows, hashes, offsets in hash_words(batch.column(1).to_pylist()):
-                hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-                for n, probe in b.probes.items():
-                    at, seed = probe.find(grams(hashes, n))
-                    own = np.searchsorted(offsets, at, "right") - 1
-                    inside = at + n <= offsets[own + 1]
-                    for i, s, a in zip(own[inside].tolist(), seed[inside].tolist(), at[inside].tolist(), strict=True):
-                        hits[i].append((n, s, a - int(offsets[i])))
-                for i, found in hits.items():
-                    words = hashes[offsets[i] : offsets[i + 1]]
-                    for item, start, end in _windows(words, b, found, cfg):
-                        pending.append((rows.start + i, item))
-                        items.append(b.items[item].view(np.int64))
-                        windows.append(words[start:end].view(np.int64).copy())
-            if pending:
-                yield settle()
-
-    import pyspark.sql.pandas.types as kinds
-
-    item_type = kinds.to_arrow_type(docs.sparkSession.createDataFrame([], schema).schema["item"].dataType)
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+
+def search_batch(texts: list[str], block: Block, cfg: DecontamConfig) -> list[tuple[int, int, float, int]]:
+    """(text, item, best score, windows) of the pairs that reach cfg.threshold, by index."""
+    pending, items, windows = [], [], []
+    for rows, hashes, offsets in hash_words(texts):
+        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for n, probe in block.probes.items():
+            at, seed = probe.find(grams(hashes, n))
+            own = np.searchsorted(offsets, at, "right") - 1
+            inside = at + n <= offsets[own + 1]
+            for i, s, a in zip(own[inside].tolist(), seed[inside].tolist(), at[inside].tolist(), strict=True):
+                hits[i].append((n, s, a - int(offsets[i])))
+        for i, found in hits.items():
+            words = hashes[offsets[i] : offsets[i + 1]]
+            for item, start, end in _windows(words, block, found, cfg):
+                pending.append((rows.start + i, item))
+                items.append(block.items[item].view(np.int64))
+                windows.append(words[start:end].view(np.int64).copy())
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    for pair, s in zip(pending, align(items, windows).tolist(), strict=True):
+        was = best.get(pair, (0.0, 0))
+        best[pair] = max(was[0], s), was[1] + 1
+    return [(row, item, s, n) for (row, item), (s, n) in best.items() if s >= cfg.threshold]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
-    """docs without those that hold a benchmark item; rows with a null id stay."""
-    return docs.join(contaminated(docs, benchmark, id_col, text_col, item_col, cfg).select(id_col).distinct(), id_col, "left_anti").select(*docs.columns)
+    """docs without those that hold a benchmark item. Each text is judged where it is read: nothing is shuffled."""
+    for block in seed_blocks(docs, benchmark, text_col, item_col, cfg):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = np.ones(batch.num_rows, bool)
+                held[[row for row, *_ in search_batch(batch.column(text_col).to_pylist(), shared.value, cfg)]] = False
+                yield batch.filter(pa.array(held))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

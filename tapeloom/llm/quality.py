@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import crc_mod5, stage
+from . import bloom
+from .runtime import crc_mod5, spread, stage
 
 STATS = ("chars", "words", "word_len", "upper", "digit", "bang", "symbol", "bar", "other_punct", "space", "newline", "non_ascii", "distinct_words", "distinct_lines", "entropy", "wordless", "upper_words", "marked_words", "line_len", "long_words", "vowels", "repeat_word", "markup")
 _CLASS = {name: np.zeros(256, bool) for name in ("upper", "digit", "symbol", "punct", "space")}
@@ -111,7 +112,7 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(STATS), dtype=np.int32), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["id", "stats"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, stats array<double>")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, f"id {kind}, stats array<double>")
 
 
 def _stack(column: pa.Array) -> np.ndarray:
@@ -187,3 +188,23 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(crc_mod5(F.col("id")) != 0)
     scored = score_documents(stat, fit(stat, known, cfg))
     return scored.select(F.col("id").alias(id_col), F.coalesce(crc_mod5(F.col("id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cfg.threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cfg: QualityConfig = QualityConfig()) -> DataFrame:
+    """docs without those whose score is below cfg.threshold.
+
+    Statistics are first taken of labelled documents alone; each text is then judged where it is
+    read, so no text is shuffled for the decision.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(crc_mod5(F.col("id")) != 0)
+    bits = bloom.build(known.select("id").distinct(), "id")
+    model = fit(document_stats(bloom.maybe_in(docs.select(id_col, text_col).where(F.col(id_col).isNotNull()), id_col, bits), id_col, text_col), known, cfg)
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([stats(t or "") for t in batch.column(text_col).to_pylist()], np.float64).reshape(-1, len(STATS))
+            yield batch.filter(pa.array(model.score(x) >= cfg.threshold))
+
+    return docs.mapInArrow(run, docs.schema)
