@@ -165,5 +165,5 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     kind = pages.schema[id_col].dataType.simpleString()
     path = write_archives(pages, shared_path(spark, "warc"), id_col, url_col, html_col)
     page = lambda c: F.when(F.regexp_extract(c, r"^<urn:[a-z]+:([^:>]*)", 1) != "", F.regexp_extract(c, r"^<urn:[a-z]+:([^:>]*)", 1)).cast(kind)
-    done = assemble(read_records(spark, path))
+    done = assemble(stage(read_records(spark, path), "records"))  # parsed once for the three sides of the join
     return done.select(page(F.col("capture")).alias(id_col), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.kind").alias("record_type"), page(F.col("response.refers_to")).alias("refers_to"), F.size("request").alias("n_requests"), F.size("metadata").alias("n_metadata"))
