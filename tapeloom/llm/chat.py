@@ -45,7 +45,7 @@ def fold(events: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x.text), "").alias("text"),
         F.max(F.when(F.col("kind") == "delete", 1).otherwise(0)).alias("deleted"),
         F.count(F.when(F.col("kind") != "delete", 1)).alias("live"),
-        F.max(F.struct("seq", "role")).alias("by"),
+        F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).alias("by"),
     )
     roles = Window.partitionBy("conv", "msg").orderBy("epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     newest = Window.partitionBy("conv", "msg").orderBy(F.desc("epoch"))

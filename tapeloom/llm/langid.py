@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import crc_mod5
+from .runtime import crc_mod5, spread
 from .words import CHUNK_BYTES, normal
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -151,7 +151,7 @@ def infer(model: LangModel, texts: list[str], cfg: LangConfig = LangConfig()) ->
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", cfg: LangConfig = LangConfig()) -> DataFrame:
     """(id, held_out, lang_pred, score, langs, shares) for every row of docs."""
     model = fit(docs, id_col, text_col, lang_col, cfg)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

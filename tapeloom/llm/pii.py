@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import stage
+from .runtime import spread, stage
 from .words import WORD, hash_terms, hash_words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -153,7 +153,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, cfg: PiiConfig) -> DataFra
                 kinds = [pa.string(), *[pa.int64()] * 4, pa.string(), _NEAR]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["id", "base", "n_email", "n_ip", "n_card", "n_phone", "text", "near"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, {FOUND}")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, f"id {kind}, {FOUND}")
 
 
 def _count_terms(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
