@@ -293,11 +293,11 @@ def mapped(block: bytes) -> Lexicon:
 
 @dataclass(frozen=True)
 class BpeConfig:
-    lexicon: int = 262_144  # words
+    lexicon: int = 131_072  # words
     word_bytes: int = 64  # of a word in the lexicon, at most
-    counted: int = 400_000  # distinct words that a task counts at a time
-    told: int = 131_072  # words that a task tells
-    cached: int = 350_000  # words whose ids a worker keeps
+    counted: int = 300_000  # distinct words that a task counts at a time
+    told: int = 65_536  # words that a task tells
+    cached: int = 450_000  # words whose ids a worker keeps
 
 
 def count_words(docs: DataFrame, text_col: str, cfg: BpeConfig) -> DataFrame:
