@@ -37,7 +37,8 @@ def test_replay_equals_batch(spark, tmp_path):
     days = batch.select("trading_day").distinct().crossJoin(spark.createDataFrame([(n, p, s, None, i) for i, (n, p, s) in enumerate(STATIC)], "name string, price double, side string, available_from timestamp_ntz, ordinal int"))
     known = {(r.trading_day, r.bar_index, r.level_type) for r in touches.first_touches(batch, zones.merge_levels(days)).collect()}
     fired = {(r.trading_day, r.bar_index, r.level_type) for r in got.where("kind = 'touch' and level_type in ('mid', 'top')").collect()}
-    assert fired and len(fired & known) >= 0.7 * len(known)
+    # The stream also builds session levels; a zone that merges with one of them is named by its lowest level, so some are missing here.
+    assert fired and fired <= known and len(fired) >= 0.7 * len(known)
 
 
 def test_engine_equals_batch_without_spark_state(spark):
