@@ -119,6 +119,17 @@ def test_near_duplicates_query(spark, documents):
     assert [got.loc[i].class_id for i in ids] == [ids[root(k)] for k in range(len(ids))]
 
 
+def test_near_duplicates_by_distinct_shingles(spark):
+    """Texts with a line repeated very often, and the same with it once: only the set of shingles tells that they are near."""
+    rng = np.random.default_rng(17)
+    texts = []
+    for _ in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 100_000, 300)]
+        texts += [" ".join(words), " ".join([*words, *words[-20:] * 60])]
+    got = dartminhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert [got.loc[k].class_id for k in range(80)] == [k - k % 2 for k in range(80)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, x) for x in range(5001, 5300)]
