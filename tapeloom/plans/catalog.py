@@ -124,7 +124,8 @@ query("bars_first_of_day_recompute", S.with_(T, then="SELECT trading_day, min_by
 query("runtime_snapshot", S.with_(T, B, then="SELECT (SELECT count(*) FROM bars WHERE is_complete) AS complete_bars, (SELECT count(*) FROM bars WHERE NOT is_complete AND trading_day = (SELECT max(trading_day) FROM bars)) AS forming_bars, (SELECT max(trading_day) FROM bars) AS trading_day, (SELECT max_by(bid_ticks, (ts_event, sequence)) FROM quotes) AS bid_ticks, (SELECT max_by(ask_ticks, (ts_event, sequence)) FROM quotes) AS ask_ticks"))(
     lambda s, d: _bars(s, d).withColumn("_last", F.lit(1)).groupBy("_last").agg(F.count(F.when(F.col("is_complete"), 1)).alias("complete_bars"), F.max("trading_day").alias("trading_day"), F.max(F.struct("trading_day", "bar_index", (~F.col("is_complete")).cast("long").alias("open"))).alias("m")).join(_quotes(s, d).groupBy(F.lit(1).alias("_last")).agg(F.max(F.struct("ts_event", "sequence", "bid_ticks", "ask_ticks")).alias("q")), "_last").select("complete_bars", F.col("m.open").alias("forming_bars"), "trading_day", F.col("q.bid_ticks").alias("bid_ticks"), F.col("q.ask_ticks").alias("ask_ticks"))
 )
-query("sink_bars_json", None)(lambda s, d: _bars(s, d).select("bar_id", F.to_json(F.struct("trading_day", "bar_index", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume", "close_reason")).alias("json")))
+_JSON = "SELECT bar_id, to_json({'trading_day': trading_day, 'bar_index': bar_index, 'open_ticks': open_ticks, 'high_ticks': high_ticks, 'low_ticks': low_ticks, 'close_ticks': close_ticks, 'volume': volume, 'close_reason': close_reason})::VARCHAR AS json FROM bars"
+query("sink_bars_json", S.with_(T, B, then=_JSON))(lambda s, d: _bars(s, d).select("bar_id", F.to_json(F.struct("trading_day", "bar_index", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume", "close_reason")).alias("json")))
 
 # Levels and zones
 query("lvl_full_day_hl", S.with_(T, B, L, then="SELECT * FROM days"))(lambda s, d: levels.full_day(_bars(s, d)))
