@@ -14,9 +14,12 @@ once, and meet others in either way; for texts without repeats both signatures a
 
 Pipeline: one pass signs every whole text; equal word sequences collapse to the smallest
 doc_id; representatives meet in bands; within a band each member is paired with the
-smallest member, and, where more than two meet, also with the smallest that shares the next
-band as well (linear in the bucket, never all pairs); pairs are checked exactly on the
-texts; components of the links are the classes.
+smallest member, and pairs are checked exactly on the texts. Where the members of a bucket are
+not of one component of the links then, more of them become pivots, those with most links
+first, four times as many in each round; a pivot is paired with all members of its bucket that
+are of other components and near enough in length, and then leaves it. This ends when every two
+members of a bucket have been compared, can't be near by their lengths, or are of one
+component; components of the links are the classes.
 
 Defined cases: a null text is an empty one; a text without words is in a class of its own;
 a text of one to four words is one shingle of all its words; a null doc_id is kept with a
@@ -31,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -149,17 +152,17 @@ def _as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _bands(ids: np.ndarray, salt: np.ndarray, cfg: DartConfig) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each band of signatures, and that of the band with the next one."""
+def _bands(ids: np.ndarray, salt: np.ndarray, cfg: DartConfig) -> np.ndarray:
+    """The hash of each band of signatures."""
     ids = ids.reshape(len(ids), cfg.bands, cfg.rows)
     band = np.broadcast_to(salt, (len(ids), cfg.bands)).copy()
     for r in range(cfg.rows):
         band = mix(band * np.uint64(0x9E3779B97F4A7C15) + ids[:, :, r])
-    return band, mix(band ^ (np.roll(band, -1, axis=1) * np.uint64(3)))
+    return band
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig) -> DataFrame:
-    """One row per document: its id, digest of the word sequence (d0, d1), words, and its band hashes with the deeper ones."""
+    """One row per document: its id, digest of the word sequence (d0, d1), words, different shingles, and its band hashes."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +172,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig) -> DataFr
             for rows, hashes, offsets in hash_words(texts):
                 n = len(rows)
                 own, sh, w = weighted_shingles(hashes, offsets, cfg.words)
-                band, deep = _bands(throw(own, sh, w, n, cfg.k, cfg.slack), salt, cfg)
+                band = _bands(throw(own, sh, w, n, cfg.k, cfg.slack), salt, cfg)
                 length = np.diff(offsets)
                 shown = np.repeat((length > 0)[:, None], cfg.bands, axis=1)
                 # Texts with repeated shingles also get the bands of their set of shingles; other texts have no other bands.
@@ -177,11 +180,11 @@ def sign(docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig) -> DataFr
                 if len(often):
                     here = np.isin(own, often)
                     ids = throw(np.searchsorted(often, own[here]), sh[here], np.ones(int(here.sum())), len(often), cfg.k, cfg.slack)
-                    more = [np.zeros_like(band), np.zeros_like(deep)]
-                    more[0][often], more[1][often] = _bands(ids, salt, cfg)
+                    more = np.zeros_like(band)
+                    more[often] = _bands(ids, salt, cfg)
                     new = np.zeros_like(shown)
-                    new[often] = more[0][often] != band[often]
-                    band, deep, shown = (np.concatenate(x, axis=1) for x in ((band, more[0]), (deep, more[1]), (shown, new)))
+                    new[often] = more[often] != band[often]
+                    band, shown = np.concatenate((band, more), axis=1), np.concatenate((shown, new), axis=1)
                 digest = np.zeros((n, 2), np.uint64)
                 for c, base in enumerate((0xD6E8FEB86659FD93, 0xA0761D6478BD642F)):
                     power = np.cumprod(np.full(int(length.max(initial=0)) + 1, base, np.uint64))
@@ -189,20 +192,54 @@ def sign(docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig) -> DataFr
                         digest[i, c] = (hashes[offsets[i] : offsets[i + 1]] * power[: length[i]]).sum(dtype=np.uint64)
                 digest = mix(digest)
                 ends = pa.array(np.concatenate(([0], np.cumsum(shown.sum(1)))).astype(np.int32))
-                lists = lambda x: pa.ListArray.from_arrays(ends, pa.array(_as_long(x[shown])))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), pa.array(_as_long(digest[:, 0].copy())), pa.array(_as_long(digest[:, 1].copy())), pa.array(length.astype(np.int64)), lists(band), lists(deep)], names=["doc", "d0", "d1", "n", "band", "deep"])
+                bands = pa.ListArray.from_arrays(ends, pa.array(_as_long(band[shown])))
+                distinct = pa.array(np.bincount(own, minlength=n).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), pa.array(_as_long(digest[:, 0].copy())), pa.array(_as_long(digest[:, 1].copy())), pa.array(length.astype(np.int64)), distinct, bands], names=["doc", "d0", "d1", "n", "u", "band"])
 
-    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(run, f"doc {kind}, d0 long, d1 long, n long, band array<long>, deep array<long>")
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(run, f"doc {kind}, d0 long, d1 long, n long, u long, band array<long>")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of representatives that met in a band: each member with the least of its bucket."""
-    rows = reps.select("doc", F.explode(F.arrays_zip("band", "deep")).alias("x")).select("doc", F.col("x.band").alias("key"), F.col("x.deep").alias("deep"))
-    met = rows.groupBy("key").agg(F.min("doc").alias("a"), F.count("*").alias("m")).where("m > 1")
-    members = stage(rows.join(met, "key").select("a", F.col("doc").alias("b"), "deep", "m"), "band")
-    least = members.where("m > 2").groupBy("deep").agg(F.min("b").alias("a"), F.count("*").alias("k")).where("k > 1")
-    deeper = members.where("m > 2").join(least.select("deep", F.col("a").alias("c")), "deep").select(F.col("c").alias("a"), "b")
-    return members.select("a", "b").union(deeper).where("a < b").distinct()
+def buckets(reps: DataFrame) -> DataFrame:
+    """(key, doc, n, u, least, m) of the members of each bucket in which at least two representatives met."""
+    rows = reps.select("doc", "n", "u", F.explode("band").alias("key"))
+    met = rows.groupBy("key").agg(F.min("doc").alias("least"), F.count("*").alias("m")).where("m > 1")
+    return rows.join(met, "key").select("key", "doc", "n", "u", "least", "m")
+
+
+def _may_link(cfg: DartConfig) -> Column:
+    """Whether the lengths of p and q, (n, u), allow either similarity to reach the bound."""
+    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * cfg.similarity - 1e-6
+    total = lambda side: F.greatest(F.col(f"{side}.n") - (cfg.words - 1), F.lit(1))
+    return near(total("p"), total("q")) | near(F.col("p.u"), F.col("q.u"))
+
+
+def link(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig, more: DataFrame) -> DataFrame:
+    """(node, component) by the links among representatives that met in a band, and by the pairs of more."""
+    spark = docs.sparkSession
+    members = stage(buckets(reps), "band")
+    tried = stage(members.select(F.col("least").alias("a"), F.col("doc").alias("b")).where("a < b").distinct(), "pairs")
+    links = stage(verify(tried, docs, id_col, text_col, cfg), "links")
+    found = stage(components(links.union(more)), "components")
+    left = members.where("m > 2 and doc != least").select("key", "doc", "n", "u")
+    width = 1
+    while True:
+        width *= 4
+        now = left.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", "u", F.coalesce("component", "doc").alias("c"))
+        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+        rest = stage(now.join(mixed, "key", "left_semi"), "unlinked")
+        if not rest.take(1):
+            return found
+        degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("d"))
+        # The member with most links is a pivot in every bucket; as many others as slots, by a hash that differs between buckets.
+        ranked = rest.join(degree, "doc", "left").select("key", F.pmod(F.xxhash64("doc", F.lit(width)), F.lit(width)).alias("slot"), F.struct(F.coalesce("d", F.lit(0)).alias("d"), F.xxhash64("doc", "key").alias("h"), "doc", "n", "u", "c").alias("p"))
+        pivots = stage(ranked.groupBy("key", "slot").agg(F.max("p").alias("p")).select("key", "p"), "pivots")
+        met = rest.select("key", F.struct("doc", "n", "u", "c").alias("q")).join(pivots, "key").where(F.col("p.c") != F.col("q.c")).where(_may_link(cfg))
+        pairs = stage(met.select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = stage(verify(pairs, docs, id_col, text_col, cfg), "links")
+        tried, links = tried.union(pairs), links.union(new)
+        before, found = found, stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)), "components")
+        left = rest.join(pivots.select("key", F.col("p.doc").alias("doc")), ["key", "doc"], "left_anti").select("key", "doc", "n", "u")
+        unstage(spark, before)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig) -> DataFrame:
@@ -243,17 +280,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     exact_id: least id with the same words in the same order; class_id: least id reachable by links
     of at least cfg.similarity; kept: whether it is the one of its class that stays (of repeated rows, all).
     """
-    spark = docs.sparkSession
     signed = stage(sign(docs, id_col, text_col, cfg), "signed")
     wordy = signed.where("doc is not null and n > 0")
     # Only digests that repeat are joined, from a table of their own: a digest of very many copies can then be split over tasks.
     least = stage(wordy.groupBy("d0", "d1", "n").agg(F.min("doc").alias("exact"), F.count("*").alias("m")).where("m > 1").drop("m"), "copied")
-    known = stage(wordy.join(least, ["d0", "d1", "n"], "left").withColumn("exact", F.coalesce("exact", "doc")).select("doc", "exact", *[F.when(F.col("doc") == F.col("exact"), F.col(c)).alias(c) for c in ("band", "deep")]), "exact")
-    pairs = stage(candidates(known.where("doc = exact").select("doc", "band", "deep")), "pairs")
+    known = stage(wordy.join(least, ["d0", "d1", "n"], "left").withColumn("exact", F.coalesce("exact", "doc")).select("doc", "exact", "n", "u", F.when(F.col("doc") == F.col("exact"), F.col("band")).alias("band")), "exact")
     # An id that is repeated with other words links the classes of both texts.
     repeated = known.groupBy("doc").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).where("a != b").select("a", "b")
-    found = components(verify(pairs, docs, id_col, text_col, cfg).union(repeated))
-    unstage(spark, pairs)
+    found = link(known.where("doc = exact").select("doc", "n", "u", "band"), docs, id_col, text_col, cfg, repeated)
     classes = known.groupBy("doc").agg(F.min("exact").alias("exact")).join(found.withColumnRenamed("node", "exact"), "exact", "left").select("doc", "exact", F.coalesce("component", "exact").alias("class"))
     return (
         signed.select("doc")

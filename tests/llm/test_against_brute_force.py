@@ -130,6 +130,31 @@ def test_near_duplicates_by_distinct_shingles(spark):
     assert [got.loc[k].class_id for k in range(80)] == [k - k % 2 for k in range(80)]
 
 
+@pytest.mark.parametrize(("size", "place"), [(100, 50), (100, 99), (1000, 500), (1000, 999)])
+def test_star_of_near_copies(spark, size, place):
+    """Copies that are near their original, whose id is not the least, but not near each other."""
+    rng = np.random.default_rng(size + place)
+    words = [f"w{x}" for x in rng.integers(0, 100_000, 100)]
+    texts = []
+    for i in range(size):
+        now = list(words)
+        for k in rng.choice(np.arange(5, 95), 2, replace=False) if i != place else ():
+            now[k] = f"edit{i}x{k}"
+        texts.append(" ".join(now))
+    sets = list(_sets(texts))
+    near = {i: {j for j in range(size) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in range(size)}
+    want, todo = {}, list(range(size))
+    for i in todo:
+        reach = [i] if i not in want else []
+        while reach:
+            if (x := reach.pop()) not in want:
+                want[x] = i
+                reach += near[x]
+    got = dartminhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert [int(got.loc[i].class_id) for i in range(size)] == [want[i] for i in range(size)]
+    assert sum(w == 0 for w in want.values()) > 0.9 * size
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, x) for x in range(5001, 5300)]
