@@ -2,13 +2,15 @@ r"""PII: patterns, and information-theoretic sanitisation of the terms that reve
 
 Base patterns find emails, IPv4 addresses, card and phone numbers; each value found is a
 protected entity. Terms near an entity (within a number of words) may give it away. Over all
-documents, n(e) of N hold the entity, n(t) the term and n(e,t) both near each other. The
+different texts (copies of a text count once), n(e) of N hold the entity, n(t) the term and n(e,t) both near each other. The
 information that a term tells of an entity is PMI(e;t) = log2(n(e,t) N / (n(e) n(t))), at
 most the entity's own information IC(e) = -log2(n(e) / N); their ratio is the disclosure, 1
 if the term occurs with the entity alone (after Sanchez and Batet, "C-sanitized", 2016). In the
 documents that hold the entity a term whose disclosure reaches a bound is generalised, and
-from a higher bound on it is removed. A term must have met the entity in several different
-contexts, so what is near it in the copies of one text, or by chance once, isn't taken for a clue.
+from a higher bound on it is removed. Every pair that met is judged, also that of an entity with a
+single mention, unless so many meetings are likely by chance: with n(e) n(t) / N expected, by the
+lesser of Markov's and Chernoff's bounds. One meeting of a term and an entity that each occur once
+is no chance from 20 different texts on.
 
 Every text is searched whole, and counts are taken over all documents: one pass finds entities and
 contexts, a second counts the documents of candidate terms (through a bit table of fixed size
@@ -23,14 +25,13 @@ rows of their own; an empty table gives an empty result; other columns are not r
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import spread, stage
@@ -100,13 +101,13 @@ def entity(text: str, span: tuple[int, int, str]) -> str:
 class PiiConfig:
     window: int = 6  # words on either side of an entity
     letters: int = 3  # of a term, at least
-    contexts: int = 3  # different contexts in which a term meets an entity, at least
+    chance: float = 0.05  # probability of so many meetings, if term and entity were independent, at most
     generalise: float = 0.8  # disclosure from which a term is generalised
     remove: float = 0.95  # and from which it is removed
 
 
-def contexts(text: str, spans: list[tuple[int, int, str]], cfg: PiiConfig) -> list[tuple[str, int, list[str]]]:
-    """(entity, hash of the context, its terms) for each span; terms are words near it that are no part of a span."""
+def contexts(text: str, spans: list[tuple[int, int, str]], cfg: PiiConfig) -> list[tuple[str, list[str]]]:
+    """(entity, the terms of its context) for each span; terms are words near it that are no part of a span."""
     if not spans:
         return []
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
@@ -117,8 +118,7 @@ def contexts(text: str, spans: list[tuple[int, int, str]], cfg: PiiConfig) -> li
         left, right = int(np.searchsorted(starts, span[0])), int(np.searchsorted(starts, span[1]))
         near = [k for k in [*range(max(0, left - cfg.window), left), *range(right, min(len(words), right + cfg.window))] if not covered[k]]
         terms = [text[words[k][0] : words[k][1]].lower() for k in near]
-        context = int.from_bytes(hashlib.blake2b(" ".join(terms).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-        out.append((entity(text, span), context, sorted({t for t in terms if len(t) >= cfg.letters and not any(c.isdigit() for c in t)})))
+        out.append((entity(text, span), sorted({t for t in terms if len(t) >= cfg.letters and not any(c.isdigit() for c in t)})))
     return out
 
 
@@ -131,12 +131,16 @@ def _covered(words: list[tuple[int, int]], spans: list[tuple[int, int, str]]) ->
     return [bool(total[e] > total[s]) for s, e in words]
 
 
-FOUND = "base string, n_email long, n_ip long, n_card long, n_phone long, text string, near array<struct<entity: string, context: bigint, terms: array<string>>>"
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("terms", pa.list_(pa.string()))]))
+def _digest(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("digest")
+
+
+FOUND = "base string, n_email long, n_ip long, n_card long, n_phone long, text string, near array<struct<entity: string, terms: array<string>>>"
+_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str, cfg: PiiConfig) -> DataFrame:
-    """One row per document: base spans and counts; for documents with entities also the text and the contexts."""
+    """One row per document: a hash of its text, base spans and counts; for documents with entities also the text and the contexts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,17 +151,17 @@ def scan(docs: DataFrame, id_col: str, text_col: str, cfg: PiiConfig) -> DataFra
                 for text in batch.column(1).to_pylist():
                     spans = base_spans(text or "")
                     n = [sum(1 for *_, k in spans if k == kind) for kind in KINDS]
-                    near = [{"entity": e, "context": c, "terms": t} for e, c, t in contexts(text, spans, cfg)] if spans else None
+                    near = [{"entity": e, "terms": t} for e, t in contexts(text, spans, cfg)] if spans else None
                     rows.append((join_spans(spans), *n, text if spans else None, near))
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.string(), *[pa.int64()] * 4, pa.string(), _NEAR]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["id", "base", "n_email", "n_ip", "n_card", "n_phone", "text", "near"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["id", "digest", "base", "n_email", "n_ip", "n_card", "n_phone", "text", "near"])
 
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, f"id {kind}, {FOUND}")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _digest(text_col))).mapInArrow(run, f"id {kind}, digest long, {FOUND}")
 
 
-def _count_terms(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
-    """(term, n) documents that hold each term of (term), over all texts."""
+def _count_terms(docs: DataFrame, text_col: str, terms: DataFrame, copies: DataFrame) -> DataFrame:
+    """(term, n) different texts that hold each term of (term), over all texts; a text with m copies by (digest, m) counts 1/m in each."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hash_terms(batch.column(0).to_pylist()).view(np.int64))], names=["term", "h"])
@@ -175,33 +179,41 @@ def _count_terms(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
         m = shared.value
         for batch in batches:
             held: list[np.ndarray] = []
-            for _, hashes, offsets in hash_words(batch.column(0).to_pylist()):
+            share: list[np.ndarray] = []
+            each = 1.0 / batch.column(1).to_numpy(zero_copy_only=False)
+            for rows, hashes, offsets in hash_words(batch.column(0).to_pylist()):
                 at = np.flatnonzero(m[(hashes >> np.uint64(64 - bits)).astype(np.int64)])
                 own = np.searchsorted(offsets, at, "right") - 1
                 pair = np.unique(np.stack([own.astype(np.uint64), hashes[at]], 1), axis=0) if len(at) else np.empty((0, 2), np.uint64)
                 held.append(pair[:, 1])
-            h, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+                share.append(each[rows.start + pair[:, 0].astype(np.int64)])
+            h, at = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_inverse=True)
+            n = np.bincount(at, np.concatenate(share) if share else np.empty(0), len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
-    counts = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    weighed = docs.select(F.col(text_col).cast("string").alias("text"), _digest(text_col)).join(copies, "digest", "left").select("text", F.coalesce("m", F.lit(1)).alias("m"))
+    counts = weighed.mapInArrow(run, "h long, n double").groupBy("h").agg(F.round(F.sum("n")).cast("long").alias("n"))
     return wanted.join(counts, "h").select("term", "n")
 
 
 def disclosures(found: DataFrame, docs: DataFrame, text_col: str, cfg: PiiConfig) -> DataFrame | None:
-    """(entity, term, disclosure) of the terms that reach cfg.generalise; None if no term met an entity often enough."""
-    near = found.where("near is not null").select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.context", "x.terms")
-    met = near.select("row", "entity", "context", F.explode("terms").alias("term"))
-    pairs = met.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("row").alias("both")).where(F.col("contexts") >= cfg.contexts)
+    """(entity, term, disclosure) of the terms that reach cfg.generalise; None if no term met an entity."""
+    near = found.where("near is not null").select("digest", F.explode("near").alias("x")).select("digest", "x.entity", "x.terms")
+    met = near.select("digest", "entity", F.explode("terms").alias("term"))
+    pairs = met.groupBy("entity", "term").agg(F.countDistinct("digest").alias("both"))
     pairs = stage(pairs, "term-pairs")
     if not pairs.take(1):
         return None
-    n = found.count()
-    of_entity = near.groupBy("entity").agg(F.countDistinct("row").alias("ne"))
-    of_term = _count_terms(docs, text_col, pairs.select("term").distinct())
+    texts = stage(found.groupBy("digest").agg(F.count("*").alias("m")), "texts")
+    n = texts.count()
+    of_entity = near.groupBy("entity").agg(F.countDistinct("digest").alias("ne"))
+    of_term = _count_terms(docs, text_col, pairs.select("term").distinct(), texts.where("m > 1"))
     pmi = F.log2(F.col("both") * F.lit(n) / (F.col("ne") * F.greatest("nt", "both")))
     ic = -F.log2(F.col("ne") / F.lit(n))
     told = F.when(ic > 0, pmi / ic).otherwise(0.0)
-    out = pairs.join(of_entity, "entity").join(of_term.withColumnRenamed("n", "nt"), "term").withColumn("disclosure", told)
+    expected = F.col("ne") * F.greatest("nt", "both") / F.lit(n)
+    by_chance = F.least(expected / F.col("both"), F.when(expected < F.col("both"), F.exp(F.col("both") - expected + F.col("both") * F.log(expected / F.col("both")))).otherwise(1.0))
+    out = pairs.join(of_entity, "entity").join(of_term.withColumnRenamed("n", "nt"), "term").withColumn("disclosure", told).where(by_chance <= cfg.chance)
     return stage(out.where(F.col("disclosure") >= cfg.generalise).select("entity", "term", "disclosure"), "disclosures")
 
 
@@ -237,7 +249,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: P
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([join_spans(m) for m, _ in marked], pa.string()), pa.array([g for _, g in marked], pa.list_(pa.int32()))], names=["row", "more", "gone"])
 
     more = texts.mapInArrow(mark, "row long, more string, gone array<int>")
-    return found.drop("text", "near").join(more, "row", "left").select(*out, F.coalesce("more", "base").alias("spans"), F.coalesce("gone", F.array().cast("array<int>")).alias("remove"))
+    return found.drop("text", "near", "digest").join(more, "row", "left").select(*out, F.coalesce("more", "base").alias("spans"), F.coalesce("gone", F.array().cast("array<int>")).alias("remove"))
 
 
 def redact(text: str, spans: str, remove: list[int]) -> str:

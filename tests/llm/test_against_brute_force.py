@@ -253,6 +253,19 @@ def test_disclosing_terms(spark):
     assert "zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == rows[4][1]
 
 
+def test_disclosure_of_single_mentions(spark):
+    """A name that occurs nowhere else than beside an address reveals it, however few documents hold both; copies of a text count once."""
+    rows = [(0, "write to zanzibar office at kim@corp.example today"), (1, "notes on quagga office by lee@corp.example"), (2, "more of quagga office by lee@corp.example")]
+    rows += [(20 + i, f"plain text about the office number {i} today with notes on more") for i in range(60)]
+    rows += [(90 + i, "rare office at pat@corp.example") for i in range(8)] + [(100 + i, f"rare words {i}") for i in range(4)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    terms = {i: {text[i][int(s) : int(e)] for k, s, e in (x.split(":") for x in got[i].spans.split(",")) if k == "term"} for i in (0, 1, 2, 90)}
+    assert "zanzibar" in terms[0] and "quagga" in terms[1] and "quagga" in terms[2] and "office" not in set().union(*terms.values())
+    assert "rare" not in terms[90]  # it is in five different texts, one of them with the address; by documents, in 8 of 12
+    assert got[20].spans == ""
+
+
 # Operator 5
 def _align(a, b):
     h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
