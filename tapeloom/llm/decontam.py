@@ -1,10 +1,9 @@
-"""Benchmark decontamination (operator 5): rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination (operator 5): n-gram seeds, then Smith-Waterman alignment.
 
-The words of the benchmark are counted over the whole corpus. A seed is a run of n benchmark
-words that would be rare in the corpus if its words stood independently; so a passage that
-was copied very often still gives seeds, and a run of common words gives none. An item without
-any rare run is seeded by its rarest. Seeds that occur in a text, at a place that fits an item,
-open a window as long as the item and some slack; windows on near diagonals are one. Item and
+Every run of two words of an item is a seed, however common it is. A copy by substitutions and
+deletions that reaches half of the item's score has at most a third of the words edited, so it
+keeps one, from four words on; only a copy with words inserted between all its words has none. Seeds that occur in a text, at a place that fits an item,
+open a window as long as the item with its length on both sides; windows on near diagonals are one. Item and
 window are aligned by words (match 2, mismatch and gap -1), many pairs at once; the score is the
 best local alignment over that of the whole item.
 
@@ -37,9 +36,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 
 @dataclass(frozen=True)
 class DecontamConfig:
-    seed_words: int = 3
-    expected: float = 2e-9  # occurrences of a seed per corpus word, at most, if its words were independent
-    slack: float = 0.3  # of the item's length, on both sides of a window
+    seed_words: int = 2
+    slack: float = 1.0  # of the item's length, on both sides of a window
     threshold: float = 0.5
     block_seeds: int = 200_000
 
@@ -96,27 +94,6 @@ def _word_lists(texts: list[str]) -> list[np.ndarray]:
     return [h[o[k] : o[k + 1]] for _, h, o in hash_words(texts) for k in range(len(o) - 1)]
 
 
-def corpus_counts(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """How often each word of a sorted vocabulary of hashes occurs in all texts, and how many words there are."""
-    shared = docs.sparkSession.sparkContext.broadcast(Probe(vocabulary))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe = shared.value
-        total, found = 0, np.zeros(len(probe.keys), np.int64)
-        for batch in batches:
-            for _, hashes, _ in hash_words(batch.column(0).to_pylist()):
-                total += len(hashes)
-                found += np.bincount(probe.find(hashes)[1], minlength=len(found))
-        k = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(found[k], total))], names=["k", "n"])
-
-    rows = spread(docs.select(F.col(text_col).cast("string"))).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(len(vocabulary), np.int64)
-    known = rows[rows["k"] >= 0]
-    counts[known["k"]] = known["n"]
-    return counts, int(rows.loc[rows["k"] == -1, "n"].sum())
-
-
 @dataclass(frozen=True)
 class Block:
     """Items of one block with their seeds: by seed length the probe and, by seed, (item, place) pairs."""
@@ -127,34 +104,28 @@ class Block:
     places: dict[int, list[list[tuple[int, int]]]]
 
 
-def plan_blocks(items: list[tuple[object, np.ndarray]], share: dict[int, float], cfg: DecontamConfig) -> list[Block]:
-    """share: of each word hash among all corpus words."""
+def plan_blocks(items: list[tuple[object, np.ndarray]], cfg: DecontamConfig) -> list[Block]:
     blocks, now, seeds = [], [], 0
     for ident, words in items:
         n = min(cfg.seed_words, len(words))
         if not n:
             continue
-        p = np.log([max(share.get(int(w), 0.0), 1e-12) for w in words])
-        weight = np.convolve(p, np.ones(n), "valid")
-        rare = np.flatnonzero(weight <= np.log(cfg.expected))
-        if not len(rare):
-            rare = np.array([int(weight.argmin())])
-        if now and seeds + len(rare) > cfg.block_seeds:
+        runs = len(words) - n + 1
+        if now and seeds + runs > cfg.block_seeds:
             blocks.append(now)
             now, seeds = [], 0
-        now.append((ident, words, n, rare))
-        seeds += len(rare)
+        now.append((ident, words, n))
+        seeds += runs
     if now:
         blocks.append(now)
     out = []
     for block in blocks:
         by_length: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, words, n, rare) in enumerate(block):
-            g = grams(words, n)
-            for r in rare.tolist():
-                by_length[n][int(g[r])].append((k, r))
+        for k, (_, words, n) in enumerate(block):
+            for r, g in enumerate(grams(words, n).tolist()):
+                by_length[n][g].append((k, r))
         probes = {n: Probe(np.array(list(x), np.uint64)) for n, x in by_length.items()}
-        out.append(Block([w for _, w, _, _ in block], [i for i, _, _, _ in block], probes, {n: [by_length[n][int(h)] for h in p.keys] for n, p in probes.items()}))
+        out.append(Block([w for _, w, _ in block], [i for i, _, _ in block], probes, {n: [by_length[n][int(h)] for h in p.keys] for n, p in probes.items()}))
     return out
 
 
@@ -179,20 +150,18 @@ def _windows(words: np.ndarray, block: Block, hits: list[tuple[int, int, int]],
     return out
 
 
-def seed_blocks(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, cfg: DecontamConfig) -> list[Block]:
-    """The benchmark, which is the stated query set, in blocks, with seeds that are rare by the words of docs."""
+def seed_blocks(benchmark: DataFrame, text_col: str, item_col: str, cfg: DecontamConfig) -> list[Block]:
+    """The benchmark, which is the stated query set, in blocks."""
     rows = benchmark.select(item_col, F.col(text_col).cast("string")).collect()
     items = [(r[0], w) for r, w in zip(rows, _word_lists([r[1] or "" for r in rows]), strict=True)]
-    vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *(w for _, w in items)]))
-    counts, total = corpus_counts(docs, text_col, vocabulary) if len(vocabulary) else (np.zeros(0), 0)
-    return plan_blocks(items, {int(h): c / max(total, 1) for h, c in zip(vocabulary, counts, strict=True)}, cfg)
+    return plan_blocks(items, cfg)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
     """(id, item, score, n_windows): for each text and item aligned with at least cfg.threshold its best score."""
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    blocks = seed_blocks(docs, benchmark, text_col, item_col, cfg)
+    blocks = seed_blocks(benchmark, text_col, item_col, cfg)
     schema = f"id {kind}, item {item_kind}, score double, n_windows long"
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     found = spark.createDataFrame([], schema)
@@ -236,7 +205,7 @@ def search_batch(texts: list[str], block: Block, cfg: DecontamConfig) -> list[tu
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
     """docs without those that hold a benchmark item. Each text is judged where it is read: nothing is shuffled."""
-    for block in seed_blocks(docs, benchmark, text_col, item_col, cfg):
+    for block in seed_blocks(benchmark, text_col, item_col, cfg):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -308,6 +308,18 @@ def test_edited_copies(spark):
     assert found == {(int(i), int(i)) for i in items.item_id}
 
 
+@pytest.mark.parametrize("size", [5, 10, 90])
+def test_edited_copies_of_a_hot_item(spark, size):
+    """An item in a third of short texts, its copies edited at every third word; tables of few texts."""
+    item = [f"w{k}" for k in range(38)]
+    docs = [(i, " ".join(x if i % 3 or (k + i) % 3 else f"edit{i}x{k}" for k, x in enumerate(item if i % 3 == 0 else [f"z{i}x{k}" for k in range(40)]))) for i in range(size)]
+    copies = [(i, " ".join(item)) for i in range(1000, 1000 + size // 3)]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    found = {r.doc_id for r in decontam.contaminated(spark.createDataFrame(docs + copies, "doc_id long, text string"), bench).collect()}
+    want = {i for i, t in docs + copies if _align(item, t.split()) >= 0.5}
+    assert found == want and len(want) >= size // 3 + (size + 2) // 3
+
+
 # Operators 2 and 10
 def test_standard_readers_can_read(spark, tmp_path):
     import glob
