@@ -1,65 +1,71 @@
-"""Benchmark decontamination (operator 5): n-gram seeds, then Smith-Waterman alignment.
-
-Every run of two words of an item is a seed, however common it is. A copy by substitutions and
-deletions that reaches half of the item's score has at most a third of the words edited, so it
-keeps one, from four words on; only a copy with words inserted between all its words has none. Seeds that occur in a text, at a place that fits an item,
-open a window as long as the item with its length on both sides; windows on near diagonals are one. Item and
-window are aligned by words (match 2, mismatch and gap -1), many pairs at once; the score is the
-best local alignment over that of the whole item.
-
-The benchmark is the query set: it is taken in blocks of a bounded number of seeds, each
-broadcast, and every text is searched whole against each block.
-
-Defined cases: null and empty texts and items match nothing; items of fewer words than a seed
-are sought by a seed of their whole length; repeated rows and null ids are kept as rows of the
-result; equal item ids are separate items; empty tables give an empty result; columns beside ids
-and texts are not read.
+"""Benchmark decontamination (operator 5): rare n-gram seeds join texts to items, then Smith-Waterman alignment.
+
+Item and text are aligned by words (match 2, mismatch and gap -1); the score is the best local
+alignment over that of the whole item, and from a threshold on the text is contaminated.
+
+A seed is two neighbouring words of an item; in a text they may stand side by side or with one word
+between them. Which pairs an item needs follows from the threshold. Of an item of L words let an
+alignment cover A, with y of them replaced or left out and i words inserted. It reaches
+2 T L points only if 3 y + i <= 2 A - 2 T L. A replaced or missing word breaks two pairs, and it takes
+two inserted words to break one, so of the A - 1 pairs at least (4 T - 1) L / 3 - 1 are kept:
+the bound. An item's pairs are ranked by how often they occur in the corpus. With `agree` hits asked
+for, the commonest pairs can be left out, as many as the bound less `agree`: every copy that reaches the
+threshold keeps that many of the rest. Items of three words also have the pair of their ends as a
+seed, shorter ones their single words. So no copy is lost, whatever words an item is made of.
+
+Plan: one pass counts the benchmark's pairs in all texts; seeds are ranked in a window by item. A
+second pass finds the places of seeds, through a bit table of bounded size, and joins them to the items
+by an equi-join on the seed. Places are grouped by text and item; those that agree in `agree` places of the
+item on near diagonals open a window of the item's length on both sides. Only the texts with windows
+are read again, once for equal texts, and their windows are joined with the items' words and aligned.
+The benchmark is a table throughout: nothing of it comes to the driver, whatever its size.
+
+Defined cases: null and empty texts and items match nothing; repeated rows and null ids are kept as
+rows of the result; equal item ids are separate items; empty tables give an empty result; columns beside
+ids and texts are not read. Texts are held to be equal if two 64-bit hashes of them are.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from .runtime import spread
-from .words import grams, hash_words
+from . import bloom
+from .probe import BitTable, bit_table
+from .runtime import spread, stage
+from .words import grams, hash_words, mix
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Bytes of digests up to which contaminated texts are broadcast.
+BROADCAST_BYTES = 16 << 20
+_SLICE = 512
 
 
 @dataclass(frozen=True)
 class DecontamConfig:
-    seed_words: int = 2
-    slack: float = 1.0  # of the item's length, on both sides of a window
-    threshold: float = 0.5
-    block_seeds: int = 200_000
+    threshold: float = 0.5  # at least a half: below it the bound on kept pairs says nothing
+    agree: int = 3  # places of an item that must agree, where the bound allows
 
+    def __post_init__(self) -> None:
+        if not 0.5 <= self.threshold <= 1 or self.agree < 1:
+            raise ValueError("threshold must be 0.5 to 1, and agree 1 or more")
 
-class Probe:
-    """Which 64-bit hashes are in a sorted set: a bit table first, then a search."""
+    def kept(self, n: np.ndarray) -> np.ndarray:
+        """Pairs that every copy of an item of n words keeps, at least."""
+        return np.maximum(np.ceil((4 * self.threshold - 1) / 3 * n - 1 - 1e-9), 1).astype(np.int64)
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
-        self.bits = int(np.clip(np.ceil(np.log2(max(len(self.keys), 1) * 16)), 10, 26))
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+    def agreeing(self, n: np.ndarray) -> np.ndarray:
+        """How many places must agree."""
+        return np.where(n < 4, 1, np.minimum(self.agree, self.kept(n)))
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in hashes that are in the set, and their index there."""
-        at = np.flatnonzero(self.table[(hashes >> np.uint64(64 - self.bits)).astype(np.int64)])
-        if not len(at):
-            return at, at
-        k = np.searchsorted(self.keys, hashes[at])
-        k[k == len(self.keys)] = 0
-        same = self.keys[k] == hashes[at]
-        return at[same], k[same]
+    def seeds(self, n: np.ndarray) -> np.ndarray:
+        """How many of the rarest pairs are seeds."""
+        return np.where(n < 4, 3, n - 1 - self.kept(n) + self.agreeing(n))
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray], cells: int = 1 << 21) -> np.ndarray:
@@ -90,129 +96,207 @@ def align(items: list[np.ndarray], windows: list[np.ndarray], cells: int = 1 <<
     return out
 
 
-def _word_lists(texts: list[str]) -> list[np.ndarray]:
-    return [h[o[k] : o[k + 1]] for _, h, o in hash_words(texts) for k in range(len(o) - 1)]
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(0xD6E8FEB86659FD93) + second)
 
 
-@dataclass(frozen=True)
-class Block:
-    """Items of one block with their seeds: by seed length the probe and, by seed, (item, place) pairs."""
-
-    items: list[np.ndarray]
-    ids: list
-    probes: dict[int, Probe]
-    places: dict[int, list[list[tuple[int, int]]]]
-
-
-def plan_blocks(items: list[tuple[object, np.ndarray]], cfg: DecontamConfig) -> list[Block]:
-    blocks, now, seeds = [], [], 0
-    for ident, words in items:
-        n = min(cfg.seed_words, len(words))
-        if not n:
-            continue
-        runs = len(words) - n + 1
-        if now and seeds + runs > cfg.block_seeds:
-            blocks.append(now)
-            now, seeds = [], 0
-        now.append((ident, words, n))
-        seeds += runs
-    if now:
-        blocks.append(now)
-    out = []
-    for block in blocks:
-        by_length: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, words, n) in enumerate(block):
-            for r, g in enumerate(grams(words, n).tolist()):
-                by_length[n][g].append((k, r))
-        probes = {n: Probe(np.array(list(x), np.uint64)) for n, x in by_length.items()}
-        out.append(Block([w for _, w, _ in block], [i for i, _, _ in block], probes, {n: [by_length[n][int(h)] for h in p.keys] for n, p in probes.items()}))
-    return out
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def item_seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All seeds that an item may have, and the place of each."""
+    if len(words) < 3:
+        return grams(words, 1), np.arange(len(words))
+    seeds, places = _pairs(words[:-1], words[1:]), np.arange(len(words) - 1)
+    if len(words) == 3:
+        return np.append(seeds, _pairs(words[:1], words[2:])), np.append(places, 2)
+    return seeds, places
+
 
+def read_items(benchmark: DataFrame, text_col: str, item_col: str, cfg: DecontamConfig) -> DataFrame:
+    """(item, k, n, agree, most, words, seeds, places) of the items that have words; k is a hash of the words."""
+    kind = benchmark.schema[item_col].dataType.simpleString()
 
-def _windows(words: np.ndarray, block: Block, hits: list[tuple[int, int, int]], cfg: DecontamConfig) -> list[tuple[int, int, int]]:
-    """(item, start, end) of the windows that the seeds of one text open; hits: (seed length, seed, place)."""
-    diagonals: dict[int, list[int]] = defaultdict(list)
-    for n, seed, at in hits:
-        for item, place in block.places[n][seed]:
-            diagonals[item].append(at - place)
-    out = []
-    for item, starts in diagonals.items():
-        size = len(block.items[item])
-        extra = int(np.ceil(cfg.slack * size)) + 2
-        starts.sort()
-        group = [starts[0]]
-        for s in [*starts[1:], None]:
-            if s is not None and s - group[-1] <= extra and s - group[0] <= 2 * size:
-                group.append(s)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(start, _SLICE)
+                rows: list[tuple] = []
+                for some, hashes, offsets in hash_words(batch.column(1).to_pylist()):
+                    for i, lo, hi in zip(some, offsets[:-1], offsets[1:], strict=True):
+                        if hi > lo:
+                            w = hashes[lo:hi]
+                            seeds, places = item_seeds(w)
+                            rows.append((i, int(grams(w, len(w)).view(np.int64)[0]), w.view(np.int64), seeds.view(np.int64), places))
+                n = np.array([len(r[2]) for r in rows], np.int64)
+                lists = [pa.array([r[c] for r in rows], pa.list_(pa.int64())) for c in (2, 3, 4)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array(n), pa.array(cfg.agreeing(n)), pa.array(cfg.seeds(n)), *lists], names=["item", "k", "n", "agree", "most", "words", "seeds", "places"])
+
+    return benchmark.select(F.col(item_col), F.col(text_col).cast("string")).mapInArrow(run, f"item {kind}, k long, n long, agree long, most long, words array<long>, seeds array<long>, places array<long>")
+
+
+def _sought(texts: list[str], table: BitTable, single: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, seed, place) of what may be seeds: neighbours, words one apart, and single words if asked."""
+    for rows, hashes, offsets in hash_words(texts):
+        own = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        for gap in ((0, 1, 2) if single else (1, 2)):
+            if len(hashes) <= gap:
                 continue
-            out.append((item, max(0, group[0] - extra), min(len(words), group[-1] + size + extra)))
-            group = [s]
+            key = grams(hashes, 1) if gap == 0 else _pairs(hashes[:-gap], hashes[gap:])
+            at = np.flatnonzero(table.holds(key))
+            if gap:
+                at = at[own[at] == own[at + gap]]
+            yield own[at] + rows.start, key[at], at - offsets[own[at]]
+
+
+def corpus_counts(texts: DataFrame, table: BitTable, single: bool) -> DataFrame:
+    """(seed, f): how often what may be a seed occurs in all texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _SLICE):
+                found = [k for _, k, _ in _sought(whole.column(0).slice(start, _SLICE).to_pylist(), shared.value, single)]
+                seed, f = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([_long(seed), pa.array(f.astype(np.int64))], names=["seed", "f"])
+
+    return texts.select("text").mapInArrow(run, "seed long, f long").groupBy("seed").agg(F.sum("f").alias("f"))
+
+
+def seed_places(texts: DataFrame, table: BitTable, single: bool) -> DataFrame:
+    """(d0, d1, seed, at) of the places of what may be seeds in different texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(start, _SLICE)
+                for text, seed, at in _sought(batch.column(0).to_pylist(), shared.value, single):
+                    rows = pa.array(text)
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), _long(seed), pa.array(at)], names=["d0", "d1", "seed", "at"])
+
+    return texts.select("text", "d0", "d1").mapInArrow(run, "d0 long, d1 long, seed long, at long").distinct()
+
+
+def spans_of(diagonals: np.ndarray, places: np.ndarray, n: int, agree: int) -> list[tuple[int, int]]:
+    """(first, end) in words of what to align with an item of n words: around agreeing hits, merged where they overlap.
+
+    Of hits in one alignment the diagonals differ by at most n, as each point of the score pays for a gap.
+    """
+    order = np.argsort(diagonals, kind="stable")
+    d, p = diagonals[order], places[order]
+    far = np.searchsorted(d, d + n, "right")
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(far - np.arange(len(d)) >= agree):
+        if agree == 1 or len(np.unique(p[i : far[i]])) >= agree:
+            lo, hi = max(0, int(d[i]) - n), int(d[far[i] - 1]) + 2 * n + 1
+            if out and lo <= out[-1][1]:
+                out[-1] = out[-1][0], max(hi, out[-1][1])
+            else:
+                out.append((lo, hi))
     return out
 
 
-def seed_blocks(benchmark: DataFrame, text_col: str, item_col: str, cfg: DecontamConfig) -> list[Block]:
-    """The benchmark, which is the stated query set, in blocks."""
-    rows = benchmark.select(item_col, F.col(text_col).cast("string")).collect()
-    items = [(r[0], w) for r, w in zip(rows, _word_lists([r[1] or "" for r in rows]), strict=True)]
-    return plan_blocks(items, cfg)
+def windows(hits: DataFrame) -> DataFrame:
+    """(d0, d1, k, lo, hi) of grouped hits (d0, d1, k, n, agree, hits array<struct<diagonal, place>>)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(5)
+            offsets = lists.offsets.to_numpy()
+            flat = lists.values
+            diagonal, place = (flat.field(i).to_numpy() for i in (0, 1))
+            n, agree = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            rows, lo, hi = [], [], []
+            for i in range(batch.num_rows):
+                a, b = offsets[i], offsets[i + 1]
+                for x, y in spans_of(diagonal[a:b], place[a:b], int(n[i]), int(agree[i])):
+                    rows.append(i)
+                    lo.append(x)
+                    hi.append(y)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["d0", "d1", "k", "lo", "hi"])
+
+    return hits.select("d0", "d1", "k", "n", "agree", "hits").mapInArrow(run, "d0 long, d1 long, k long, lo long, hi long")
+
+
+def cut(texts: DataFrame) -> DataFrame:
+    """(d0, d1, k, window) of texts with their windows (text, d0, d1, spans array<struct<k, lo, hi>>)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 64):
+                batch = whole.slice(start, 64)
+                spans = batch.column(3).to_pylist()
+                for rows, hashes, offsets in hash_words(batch.column(0).to_pylist()):
+                    found = [(rows.start + i, s["k"], hashes[min(lo + s["lo"], hi) : min(lo + s["hi"], hi)].view(np.int64)) for i, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)) for s in spans[rows.start + i]]
+                    at = pa.array([i for i, *_ in found], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array([k for _, k, _ in found], pa.int64()), pa.array([w for *_, w in found], pa.list_(pa.int64()))], names=["d0", "d1", "k", "window"])
+
+    return texts.select("text", "d0", "d1", "spans").mapInArrow(run, "d0 long, d1 long, k long, window array<long>")
+
+
+def scored(pairs: DataFrame, cfg: DecontamConfig) -> DataFrame:
+    """(d0, d1, k, score) of pairs (d0, d1, k, words, window) that reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _SLICE):
+                batch = whole.slice(start, _SLICE)
+                both = [[x.values.to_numpy() for x in batch.column(c)] for c in (3, 4)]
+                score = align(*both)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(score)], names=["d0", "d1", "k", "score"]).filter(pa.array(score >= cfg.threshold))
+
+    return pairs.select("d0", "d1", "k", "words", "window").mapInArrow(run, "d0 long, d1 long, k long, score double")
+
+
+def _digests(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def search(docs: DataFrame, items: DataFrame, text_col: str, cfg: DecontamConfig) -> DataFrame | None:
+    """(d0, d1, k, score, n_windows) of the different texts and items aligned with at least the threshold; None if there are no items."""
+    text = F.col(text_col).cast("string")
+    d0, d1 = _digests(text)
+    plain = docs.select(text.alias("text"), d0.alias("d0"), d1.alias("d1")).where("text is not null")
+    texts = spread(plain)
+    every = stage(items.dropDuplicates(["k"]).select("k", "n", "agree", "most", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("k", "n", "agree", "most", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place")), "item-seeds")
+    about = every.agg(F.count("*").alias("n"), F.min("n").alias("least")).first()
+    if not about["n"]:
+        return None
+    single = about["least"] < 3
+    common = stage(corpus_counts(texts, bit_table(every.select("seed"), "seed", about["n"]), single), "seed-counts")
+    rank = Window.partitionBy("k").orderBy(F.coalesce("f", F.lit(0)), "place")
+    seeds = stage(every.join(common, "seed", "left").withColumn("rank", F.row_number().over(rank)).where("rank <= most").select("seed", "k", "n", "agree", "place"), "seeds")
+    hits = seed_places(texts, bit_table(seeds.select("seed"), "seed", about["n"]), single).join(seeds, "seed")
+    met = hits.groupBy("d0", "d1", "k").agg(F.first("n").alias("n"), F.first("agree").alias("agree"), F.collect_list(F.struct((F.col("at") - F.col("place")).alias("diagonal"), "place")).alias("hits")).where("size(hits) >= agree")
+    spans = stage(windows(met), "windows")
+    wanted = spans.groupBy("d0", "d1").agg(F.collect_list(F.struct("k", "lo", "hi")).alias("spans"))
+    again = bloom.maybe_in(plain, "d0", bloom.build(spans.select("d0").distinct(), "d0")).dropDuplicates(["d0", "d1"])
+    pairs = cut(again.join(wanted, ["d0", "d1"])).join(items.dropDuplicates(["k"]).select("k", "words"), "k")
+    return stage(scored(pairs, cfg).groupBy("d0", "d1", "k").agg(F.max("score").alias("score"), F.count("*").alias("n_windows")), "contaminated")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
-    """(id, item, score, n_windows): for each text and item aligned with at least cfg.threshold its best score."""
-    spark = docs.sparkSession
+    """(id, item, score, n_windows): for each text and item aligned with at least cfg.threshold the best score, and how many windows reach it."""
+    items = stage(read_items(benchmark, text_col, item_col, cfg), "items")
+    found = search(docs, items, text_col, cfg)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    blocks = seed_blocks(benchmark, text_col, item_col, cfg)
-    schema = f"id {kind}, item {item_kind}, score double, n_windows long"
-    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-    found = spark.createDataFrame([], schema)
-    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kept = search_batch(batch.column(1).to_pylist(), shared.value, cfg)
-                items = pa.array([shared.value.ids[i] for _, i, _, _ in kept], item_type)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r for r, *_ in kept], pa.int64())), items, pa.array([s for _, _, s, _ in kept], pa.float64()), pa.array([n for *_, n in kept], pa.int64())], names=["id", "item", "score", "n_windows"])
-
-        found = found.union(rows.mapInArrow(run, schema))
-    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "n_windows")
-
-
-def search_batch(texts: list[str], block: Block, cfg: DecontamConfig) -> list[tuple[int, int, float, int]]:
-    """(text, item, best score, windows) of the pairs that reach cfg.threshold, by index."""
-    pending, items, windows = [], [], []
-    for rows, hashes, offsets in hash_words(texts):
-        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for n, probe in block.probes.items():
-            at, seed = probe.find(grams(hashes, n))
-            own = np.searchsorted(offsets, at, "right") - 1
-            inside = at + n <= offsets[own + 1]
-            for i, s, a in zip(own[inside].tolist(), seed[inside].tolist(), at[inside].tolist(), strict=True):
-                hits[i].append((n, s, a - int(offsets[i])))
-        for i, found in hits.items():
-            words = hashes[offsets[i] : offsets[i + 1]]
-            for item, start, end in _windows(words, block, found, cfg):
-                pending.append((rows.start + i, item))
-                items.append(block.items[item].view(np.int64))
-                windows.append(words[start:end].view(np.int64).copy())
-    best: dict[tuple[int, int], tuple[float, int]] = {}
-    for pair, s in zip(pending, align(items, windows).tolist(), strict=True):
-        was = best.get(pair, (0.0, 0))
-        best[pair] = max(was[0], s), was[1] + 1
-    return [(row, item, s, n) for (row, item), (s, n) in best.items() if s >= cfg.threshold]
+    if found is None:
+        return docs.sparkSession.createDataFrame([], f"{id_col} {kind}, {item_col} {item_kind}, score double, n_windows long")
+    d0, d1 = _digests(F.col(text_col).cast("string"))
+    rows = docs.select(F.col(id_col).alias("id"), d0.alias("d0"), d1.alias("d1"))
+    named = found.join(items.select("k", "item"), "k")
+    return rows.join(named, ["d0", "d1"]).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "n_windows")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
-    """docs without those that hold a benchmark item. Each text is judged where it is read: nothing is shuffled."""
-    for block in seed_blocks(benchmark, text_col, item_col, cfg):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                held = np.ones(batch.num_rows, bool)
-                held[[row for row, *_ in search_batch(batch.column(text_col).to_pylist(), shared.value, cfg)]] = False
-                yield batch.filter(pa.array(held))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    """docs without those that hold a benchmark item."""
+    found = search(docs, stage(read_items(benchmark, text_col, item_col, cfg), "items"), text_col, cfg)
+    if found is None:
+        return docs
+    bad = stage(found.select(F.col("d0").alias("_bad0"), F.col("d1").alias("_bad1")).distinct(), "bad-texts")
+    d0, d1 = _digests(F.col(text_col).cast("string"))
+    side = F.broadcast(bad) if bad.count() * 16 <= BROADCAST_BYTES else bad
+    return docs.join(side, (d0 == F.col("_bad0")) & (d1 == F.col("_bad1")), "left_anti")

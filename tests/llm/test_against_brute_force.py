@@ -283,17 +283,64 @@ def test_alignment():
     assert np.allclose(decontam.align(items, windows, cells=2000), [_align(a, b) for a, b in zip(items, windows, strict=True)])
 
 
+def _best(items, texts):
+    """The pairs (text, item) that reach the threshold, by aligning every whole text with every item."""
+    word = {}
+    lists = [[np.array([word.setdefault(x, len(word)) for x in words], np.int64) for words in side] for side in (items, texts)]
+    out = set()
+    for t, text in enumerate(lists[1]):
+        for k, s in enumerate(decontam.align(lists[0], [text] * len(items))):
+            if s >= 0.5:
+                out.add((t, k))
+    return out
+
+
 def test_decontamination_query(spark, documents):
+    """Every whole text against every item."""
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
     words = lambda t: [h[o[k] : o[k + 1]] for _, h, o in hash_words([t]) for k in range(len(o) - 1)][0]
     got = {(r.doc_id, r.item_id) for r in QUERIES["op5_decontamination"](spark, SF).collect()}
-    some = documents[documents.doc_id.isin({d for d, _ in got}) | (documents.doc_id < 25)]
+    items = [words(t) for t in bench.text]
     want = set()
-    for i, text in zip(some.doc_id, some.text, strict=True):
-        w = words(text)[:1500]
-        scores = decontam.align([words(t) for t in bench.text], [w] * len(bench))
-        want |= {(i, k) for k, s in zip(bench.item_id, scores, strict=True) if s >= 0.5}
-    assert want == {(d, k) for d, k in got}
+    for i, text in zip(documents.doc_id, documents.text, strict=True):
+        w = words(text)
+        want |= {(i, k) for k, s in zip(bench.item_id, decontam.align(items, [w] * len(items)), strict=True) if s >= 0.5}
+    assert want == got and len(want) > 20
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_any_edits_of_common_words(spark, seed):
+    """Items of a small vocabulary, from one word on; copies with words replaced, left out and inserted at any rate, in texts of the same words."""
+    rng = np.random.default_rng(seed)
+    draw = lambda n: [f"v{int(x)}" for x in np.minimum(rng.zipf(1.3, n), 400)]
+    items = [draw(n) for n in [1, 2, 3, 3, 4, 4, 5, 6, 7, 8, *[14] * 60, *rng.integers(9, 50, 60).tolist()]]
+    texts = []
+    for item in items * 3:
+        rate, now = rng.uniform(0, 0.45), []
+        for w in item:
+            x = rng.uniform()
+            now += [f"v{rng.integers(400)}"] if x < rate / 3 else [] if x < rate * 2 / 3 else [w, f"v{rng.integers(400)}"] if x < rate else [w]
+        texts.append([*draw(rng.integers(0, 40)), *now, *draw(rng.integers(0, 40))])
+    texts += [[x for w in item for x in (w, "between")] for item in items[60:90]]
+    want = _best(items, texts)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    rows = decontam.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len({(t, k) for t, k in want if len(items[k]) == 14}) > 100
+
+
+def test_one_word_changed(spark):
+    """200 items of 14 words out of 400, each copied with one word changed."""
+    rng = np.random.default_rng(9)
+    items = [[f"v{x}" for x in rng.integers(0, 400, 14)] for _ in range(200)]
+    texts = []
+    for item in items:
+        now = list(item)
+        now[rng.integers(14)] = "other"
+        texts.append([*(f"v{x}" for x in rng.integers(0, 400, 100)), *now, *(f"v{x}" for x in rng.integers(0, 400, 100))])
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string"), bench).collect()}
+    assert {(k, k) for k in range(200)} <= found == _best(items, texts)
 
 
 def test_edited_copies(spark):
