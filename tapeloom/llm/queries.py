@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, dartminhash, decontam, itq, langid, pii, quality, urlfilter, warc
-from .runtime import table
+from .runtime import stage, table
 
 #: The file of the tokenizer; a deployment sets its own.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -52,12 +52,14 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.filter_urls(pages, rules, stage(urlfilter.several_spellings(pages), "listed-urls"))
 
 
 def op9_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long").alias("n_spans"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,23 +84,32 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM hashed LEFT JOIN first USING (payload_digest)
 """
 
-_OP8 = """
+def _cut(column: str, patterns: tuple[str, ...]) -> str:
+    for p in patterns:
+        column = f"regexp_replace({column}, '{p}', '')"
+    return column
+
+
+_OP8 = f"""
 WITH u AS (
-  SELECT row_number() OVER () AS i, page_id,
+  SELECT row_number() OVER () AS i, page_id, url,
     CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
   FROM pages),
 h AS (
-  SELECT i, page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS raw, rest FROM u),
+  SELECT i, page_id, url, regexp_extract(rest, '^([^/?#]*)', 1) AS raw, rest FROM u),
 p AS (
-  SELECT i, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT i, page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path
   FROM h),
-r (rhost, rpath, verdict) AS (VALUES %s),
+c AS (SELECT *, CASE WHEN host <> '' THEN {_cut('host', urlfilter.HOST_CUTS)} || {_cut('path', urlfilter.PATH_CUTS)} END AS canonical FROM p),
+spelt AS (SELECT canonical FROM c WHERE canonical IS NOT NULL GROUP BY 1 HAVING count(DISTINCT url) > 1),
+r (rhost, rpath, verdict) AS (VALUES {', '.join(str(r) for r in URL_RULES)}),
 best AS (
   SELECT i, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(verdict, length(rhost || rpath)) AS verdict
   FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY i)
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN best USING (i)
-""" % ", ".join(str(r) for r in URL_RULES)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN spelt.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, spelt.canonical IS NOT NULL AS listed
+FROM c LEFT JOIN best USING (i) LEFT JOIN spelt ON spelt.canonical = c.canonical
+"""
 
 _OP10 = f"""
 WITH t AS (

@@ -1,14 +1,25 @@
-"""URL filters: a blocked Bloom filter passes possible hits to an exact hash join (operator 8).
+r"""URL filters: a blocked Bloom filter passes possible hits to an exact hash join (operator 8).
 
-A listed entry is a canonical URL: a host and a path prefix. It fits its host and all
-subdomains if the path starts with its own. A URL is tested by candidate keys, one for each
-suffix of its host and each length that a listed path has; the Bloom filter of the listed
-keys drops nearly all, the hash join on the key removes false positives. Of the entries that
-fit the longest wins; of equally long ones that with the longer host; between an allow and a
-block of the same key, block. A URL without a fitting entry gets the default verdict.
+Two lists decide, each by a blocked Bloom filter of its keys and an exact hash join that removes
+the filter's false positives.
 
-Defined cases: null or no "://" gives an empty host and path, and no entry fits; null ids and
-repeated rows are kept; an empty table or an empty list works; other columns are not read.
+Rules are a host and a path prefix with a verdict. A rule fits its host and all subdomains if the path
+starts with its own; the longest wins, of equally long ones that with the longer host, between an
+allow and a block of the same key, block. The candidate keys of a URL are the endings of its host with
+as many labels as a listed host has, each with the path's beginnings of a listed length; no
+other ending is ever built, so a host of very many labels costs no more than a short one.
+
+Listed canonical URLs decide where no rule fits: their pages are blocked, all others get the
+default. The canonical form of a URL is its host without a leading `www.` or `m.`, closing dots and a
+port of 80 or 443, and its path without closing slashes after one closing `.html` or `index.html` is
+taken off; scheme, query and fragment are left out. `several_spellings` learns a list from a table: the
+canonical URLs that occur in it under two or more different URLs, as tracking parameters, mirrors and
+session ids give rise to. The list grows with the table; its filter is broadcast only while it is below
+the bound that bloom.py checks.
+
+Defined cases: null or no "://" gives an empty host and path: no rule fits, and the canonical form is
+null, which is never listed; null ids and repeated rows are kept; an empty table or empty lists work;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +30,9 @@ from pyspark.sql import functions as F
 from . import bloom
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Canonical form: what is taken off hosts and paths, in this order. DuckDB reads the same patterns.
+HOST_CUTS = (r"^(www|m)\.", r":(80|443)\z", r"\.+\z")
+PATH_CUTS = (r"(index)?\.html\z", r"/+\z")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -29,21 +43,46 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, _UP, _LOW), path
 
 
-def _suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def canonical(host: Column, path: Column) -> Column:
+    """The canonical URL of a host and path; null without a host."""
+    site, page = host, path
+    for cut in HOST_CUTS:
+        site = F.regexp_replace(site, cut, "")
+    for cut in PATH_CUTS:
+        page = F.regexp_replace(page, cut, "")
+    return F.when(host != "", F.concat(site, page))
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
-    """(id, host, path, rule, verdict) for each row; rules: (host, path, verdict)."""
+def several_spellings(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """(canonical) of the canonical URLs that occur under different URLs."""
     host, path = split_url(F.col(url_col))
-    urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
+    urls = pages.select(F.col(url_col).alias("url"), canonical(host, path).alias("canonical")).where("canonical is not null")
+    # The least and the largest differ if any two do; both are combined before the shuffle, however common a URL is.
+    return urls.groupBy("canonical").agg(F.min("url").alias("lo"), F.max("url").alias("hi")).where("lo != hi").select("canonical")
+
+
+def _by_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(row, best) of the urls (row, host, path) that a rule fits."""
     listed = rules.select(F.concat("host", F.lit("\t"), "path").alias("key"), F.concat("host", "path").alias("rule"), F.length("host").alias("host_len"), "verdict").groupBy("key", "rule", "host_len").agg(F.max("verdict").alias("verdict"))
-    lengths = sorted(r[0] for r in listed.select(F.length(F.substring_index("key", "\t", -1)).alias("n")).distinct().collect())
-    if not lengths:
-        return urls.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths])
-    keys = urls.where("host != ''").select("row", "path", F.explode(_suffixes(F.col("host"))).alias("h")).select("row", "h", F.explode(prefixes).alias("p")).where("p is not null").select("row", F.concat("h", F.lit("\t"), "p").alias("key"))
+    shapes = rules.select(F.size(F.split("host", r"\.", -1)).alias("labels"), F.length("path").alias("chars")).distinct().collect()  # of the list, which is a parameter
+    hosts = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in sorted({r["labels"] for r in shapes})]))
+    prefixes = F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in sorted({r["chars"] for r in shapes})])
+    keys = urls.where("host != ''").select("row", "path", F.explode(hosts).alias("h")).select("row", "h", F.explode(prefixes).alias("p")).where("p is not null").select("row", F.concat("h", F.lit("\t"), "p").alias("key"))
     hits = bloom.maybe_in(keys, "key", bloom.build(listed, "key")).join(listed, "key")
-    best = hits.groupBy("row").agg(F.max(F.struct(F.length("rule").alias("n"), "host_len", "rule", "verdict")).alias("best"))
-    return urls.join(best, "row", "left").select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return hits.groupBy("row").agg(F.max(F.struct(F.length("rule").alias("n"), "host_len", "rule", "verdict")).alias("best"))
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+    """(id, host, path, rule, verdict, listed) for each row; rules: (host, path, verdict); listed: (canonical)."""
+    host, path = split_url(F.col(url_col))
+    urls = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
+    ruled = urls.withColumn("best", F.lit(None).cast("struct<rule: string, verdict: string>")) if rules.isEmpty() else urls.join(_by_rule(urls.select("row", "host", "path"), rules), "row", "left")
+    hit = F.lit(False)
+    if listed is not None:
+        key = listed.select(F.col("canonical").alias("key")).where("key is not null").distinct()
+        open_ = urls.select("row", canonical(F.col("host"), F.col("path")).alias("key")).where("key is not null")
+        found = bloom.maybe_in(open_, "key", bloom.build(key, "key")).join(key, "key").select("row", F.lit(True).alias("found"))
+        ruled = ruled.join(found, "row", "left")
+        hit = F.coalesce("found", F.lit(False))
+    verdict = F.coalesce("best.verdict", F.when(hit, "block"), F.lit(default))
+    return ruled.select(id_col, "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"), hit.alias("listed"))
