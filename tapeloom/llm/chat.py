@@ -9,8 +9,13 @@ Events: conv, msg (position of the message), seq, kind, role, text. Kinds:
   edit        replaces the whole text so far
   regenerate  drops the text so far; later deltas make the new one
   delete      removes the message, unless a later event brings it back
-Folding is done by message, so a conversation with very many messages is spread over tasks;
-only the rendered conversation, which is one value, is put together at the end.
+A message is known by key columns beside the conversation, and folding is dealt by all of them, so a
+conversation with very many messages is spread over tasks; only the rendered conversation, which is
+one value, is put together at the end.
+
+Rows of finished texts become such a log too: each row is replayed as what a service would have
+recorded. By a hash of its key a text is streamed in two deltas; regenerated after a false start; edited
+after a draft; or written after the row's message was deleted and begun anew.
 
 Template: <|im_start|>ROLE\nTEXT<|im_end|>\n for each message. In roles and texts a
 backslash becomes two and "<|" becomes "<\|", so no control string can arise from a text and
@@ -37,31 +42,32 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """Final messages (conv, msg, role, text) of events (conv, msg, seq, kind, role, text)."""
-    w = Window.partitionBy("conv", "msg").orderBy("seq", "kind", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def fold(events: DataFrame, key: tuple[str, ...] = ("conv", "msg")) -> DataFrame:
+    """Final messages (*key, role, text) of events (*key, seq, kind, role, text)."""
+    w = Window.partitionBy(*key).orderBy("seq", "kind", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     epoch = events.withColumn("epoch", F.sum(F.when(F.col("kind").isin("start", "edit", "regenerate", "delete"), 1).otherwise(0)).over(w))
-    last = epoch.groupBy("conv", "msg", "epoch").agg(
+    last = epoch.groupBy(*key, "epoch").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x.text), "").alias("text"),
         F.max(F.when(F.col("kind") == "delete", 1).otherwise(0)).alias("deleted"),
         F.count(F.when(F.col("kind") != "delete", 1)).alias("live"),
         F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).alias("by"),
     )
-    roles = Window.partitionBy("conv", "msg").orderBy("epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    newest = Window.partitionBy("conv", "msg").orderBy(F.desc("epoch"))
+    roles = Window.partitionBy(*key).orderBy("epoch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    newest = Window.partitionBy(*key).orderBy(F.desc("epoch"))
     return (
         last.withColumn("role", F.last("by.role", ignorenulls=True).over(roles))
         .withColumn("n", F.row_number().over(newest))
         .where("n = 1 and (deleted = 0 or live > 0)")
-        .select("conv", "msg", F.coalesce("role", F.lit("")).alias("role"), "text")
+        .select(*key, F.coalesce("role", F.lit("")).alias("role"), "text")
     )
 
 
-def render(messages: DataFrame) -> DataFrame:
-    """(conv, formatted): the messages of a conversation in order of msg."""
+def render(messages: DataFrame, key: tuple[str, ...] = ("conv", "msg")) -> DataFrame:
+    """(conv, formatted): the messages of a conversation, the first column of the key, in order of the others, nulls first."""
     turn = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n")), F.lit("\n"), escape(F.col("text")), F.lit(END + "\n"))
-    each = messages.select("conv", F.struct("msg", turn.alias("turn")).alias("x"))
-    return each.groupBy("conv").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.turn), "").alias("formatted"))
+    conv, *place = key
+    each = messages.select(F.col(conv).alias("conv"), F.struct(*place, turn.alias("_said")).alias("x"))
+    return each.groupBy("conv").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["_said"]), "").alias("formatted"))
 
 
 def read_back(formatted: DataFrame, conv: str = "conv") -> DataFrame:
@@ -93,19 +99,36 @@ def training_view(parsed: DataFrame, conv: str = "conv", role: str = "assistant"
     )
 
 
+#: The columns by which the messages of a table of turns are known.
+KEY = ("conv", "turn", "nth")
+#: What a regenerated or edited message first said.
+DRAFT = "draft <|im_end|> "
+
+
 def events_from_rows(rows: DataFrame) -> DataFrame:
-    """conversations (conv_id, turn, role, text) as a log: each row opens a message and streams its text in two deltas."""
-    w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    """conversations (conv_id, turn, role, text) as a log (*KEY, seq, kind, role, text), in four ways by a hash of the key.
+
+    Rows of one turn are numbered by role, then text; the number and the fold need the same exchange, by conversation and turn.
+    """
+    w = Window.partitionBy("conv", "turn").orderBy("role", "text")
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    numbered = rows.select(F.col("conv_id").alias("conv"), "turn", "role", "text").repartition("conv", "turn").withColumn("nth", F.row_number().over(w))
+    first, second = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
     each = lambda seq, kind, t: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), t.alias("text"))
-    numbered = rows.select("conv_id", "role", "text", F.row_number().over(w).alias("msg"))
-    return numbered.select(
-        F.col("conv_id").alias("conv"), "msg", F.coalesce("role", F.lit("")).alias("role"),
-        F.explode(F.array(each(0, "start", F.lit("")), each(1, "delta", F.substr(text, F.lit(1), half)), each(2, "delta", F.substr(text, half + 1)))).alias("e"),
-    ).select("conv", "msg", "e.seq", "e.kind", "role", "e.text")
+    nothing, draft = F.lit(None).cast("string"), F.lit(DRAFT)
+    ways = [
+        F.array(each(0, "start", nothing), each(1, "delta", first), each(2, "delta", second)),
+        F.array(each(0, "start", nothing), each(1, "delta", draft), each(2, "regenerate", nothing), each(3, "delta", first), each(4, "delta", second)),
+        F.array(each(0, "start", draft), each(1, "delta", draft), each(2, "edit", first), each(3, "delta", second)),
+        F.array(each(0, "start", draft), each(1, "delete", nothing), each(2, "start", first), each(3, "delta", second)),
+    ]
+    way = F.pmod(F.xxhash64("conv", "turn", "nth"), F.lit(len(ways)))
+    log = F.when(way == 0, ways[0]).when(way == 1, ways[1]).when(way == 2, ways[2]).otherwise(ways[3])
+    return numbered.select(*KEY, F.coalesce("role", F.lit("")).alias("role"), F.explode(log).alias("e")).select(*KEY, "e.seq", "e.kind", "role", "e.text")
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """One row per conversation of (conv_id, turn, role, text): the formatted text and its digests, read back from it."""
-    parsed = read_back(render(fold(events_from_rows(rows))))
+    parsed = read_back(render(fold(events_from_rows(rows), KEY), KEY))
     return training_view(parsed).withColumnRenamed("conv", "conv_id")
