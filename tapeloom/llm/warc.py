@@ -4,7 +4,9 @@ Writing: each page becomes a request, a response (or a revisit, if an equal payl
 smaller page was stored) and a metadata record, tied by WARC-Concurrent-To. Records are
 written by Spark's own text writer, whose committer makes retries safe on any file system;
 the two line ends that close a record are its line separator. Files are gzip-compressed and
-hold a bounded number of pages.
+bounded in bytes: pages are written by classes of size, each with as many pages to a file as keep it
+below FILE_BYTES uncompressed (a page beyond that has a file of its own), as each file is read as one
+value. A revisit names the record that it refers to, so any reader can resolve it.
 
 Reading: each file is parsed by declared lengths, record by record, never by searching its
 payloads. Assembly then joins request, response and metadata records through their
@@ -24,7 +26,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import shared_path, stage
@@ -32,16 +34,28 @@ from .runtime import shared_path, stage
 CRLF, CLOSE = "\r\n", "\r\n\r\n"
 #: Payloads of fewer bytes are stored again rather than revisited.
 MIN_REVISIT_BYTES = 100
-PAGES_PER_FILE = 4096
+#: Uncompressed bytes of a file, and the payloads up to which a page is of each class of size.
+FILE_BYTES = 256 << 20
+CLASS_BYTES = (256 << 10, 4 << 20)
 
 
-def plan_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Each page with its payload, digest and the page (or null) whose response it revisits."""
+def plan_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, list[int]]:
+    """Each page with its payload, digest, key and the page and key (or null) of the response that it revisits; and the largest payload of each class of size.
+
+    The key of a row is its page and its number in the table, which must be the same in two reads of it, as it is of files.
+    """
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
-    first = rows.where(F.col("bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    page = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.concat(page, F.lit(":"), F.monotonically_increasing_id().cast("string")).alias("key"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
+    seen = Observation("warc-pages")
+    edges = (0, *CLASS_BYTES, 1 << 62)
+    of_class = [F.max(F.when((F.col("bytes") >= lo) & (F.col("bytes") < hi), F.col("bytes"))).alias(f"c{k}") for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+    first = rows.observe(seen, *of_class).where(F.col("bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "key"))).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     first = stage(first, "equal-payloads")  # its size is then known before the payloads are joined: small, it is broadcast and they stay in place
-    return rows.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first"))).drop("first")
+    largest = [-1 if seen.get[f"c{k}"] is None else seen.get[f"c{k}"] for k in range(len(of_class))]
+    revisit = F.col("page_id") != F.col("first.page_id")
+    return rows.join(first, "digest", "left").withColumn("refers_to", F.when(revisit, F.col("first.key"))).drop("first"), largest
 
 
 def _head(kind: str, rid: Column, extra: list[Column], block_bytes: Column, content_type: str) -> Column:
@@ -52,8 +66,7 @@ def _head(kind: str, rid: Column, extra: list[Column], block_bytes: Column, cont
 def records(captures: DataFrame) -> DataFrame:
     """Three records per capture, one text value each, without the closing line ends."""
     clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]", " ")
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    c = captures.withColumn("page", page).withColumn("key", F.concat(page, F.lit(":"), F.monotonically_increasing_id().cast("string"))).withColumn("uri", clean(F.col("url")))
+    c = captures.withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.lit(""))).withColumn("uri", clean(F.col("url")))
     rid = lambda part: F.concat(F.lit(f"<urn:{part}:"), F.col("key"), F.lit(">"))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit(CRLF))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CLOSE))
@@ -64,7 +77,7 @@ def records(captures: DataFrame) -> DataFrame:
     digest = [*target, line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest")))]
     body = F.col("payload").cast("string")
     response = F.concat(_head("response", rid("capture"), digest, F.octet_length(http) + F.col("bytes"), "application/http; msgtype=response"), http, body)
-    again = F.concat(_head("revisit", rid("capture"), [*digest, line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))], F.octet_length(http), "application/http; msgtype=response"), http)
+    again = F.concat(_head("revisit", rid("capture"), [*digest, line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<urn:capture:"), F.col("refers_to"), F.lit(">")))], F.octet_length(http), "application/http; msgtype=response"), http)
     beside = [*target, line("WARC-Concurrent-To", rid("capture"))]
     request = F.concat(_head("request", rid("request"), beside, F.octet_length(ask), "application/http; msgtype=request"), ask)
     metadata = F.concat(_head("metadata", rid("metadata"), beside, F.octet_length(note), "application/warc-fields"), note)
@@ -72,7 +85,13 @@ def records(captures: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
-    (records(plan_captures(pages, id_col, url_col, html_col)).write.option("lineSep", CLOSE).option("compression", "gzip").option("maxRecordsPerFile", 3 * PAGES_PER_FILE).text(path))
+    captures, largest = plan_captures(pages, id_col, url_col, html_col)
+    edges = (0, *CLASS_BYTES, 1 << 62)
+    for k, most in enumerate(largest):
+        if most >= 0 or k == 0:  # an empty table still gives archives
+            each = max(1, FILE_BYTES // min(max(most, 1), edges[k + 1]) if k else FILE_BYTES // edges[1])
+            part = captures.where((F.col("bytes") >= edges[k]) & (F.col("bytes") < edges[k + 1]))
+            records(part).write.mode("append").option("lineSep", CLOSE).option("compression", "gzip").option("maxRecordsPerFile", 3 * each).text(path)
     return path
 
 
