@@ -8,9 +8,10 @@ substrings, one table each; a pair is retrieved if any substring differs in at m
 double precision on the original vectors, so no pair below the bound is linked.
 
 Equal vectors collapse to one class first, so copies cost no pairs; a class counts in n_links
-with its size. Substring length follows the number of classes, so buckets stay small as the
-table grows; more rotations (a parameter) give more tables. Recall at a cosine of exactly 0.95
-is about 0.94 with one rotation of 64 bits, and rises above that; see the README for figures.
+with its size. Substring length follows the number of classes, about its binary logarithm, so a
+bucket holds a few classes however large the table is. A longer substring is hit less often, so
+the number of rotations follows from the length: as many as give a pair at the bound the
+recall asked for by the chance of at most one differing bit in some substring.
 
 Defined cases: null or zero vectors, vectors with null or non-finite components, or of another
 length than most link with nothing; null ids are kept and link with nothing; an id that
@@ -29,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import stage, unstage
+from .runtime import by_slices, stage, unstage
 
 
 @dataclass(frozen=True)
 class ItqConfig:
     cosine: float = 0.95
     bits: int = 64  # of one rotation, at most the dimension
-    rotations: int = 2
+    rotations: int = 2  # at least
+    recall: float = 0.97  # expected of pairs at the bound; pairs above it are met more often
     sample: int = 20_000
     iterations: int = 30
     seed: int = 11
@@ -49,6 +51,20 @@ class Rotation:
     basis: np.ndarray  # dimension x bits
 
 
+def plan(n: int, bits: int, cfg: ItqConfig) -> tuple[int, int]:
+    """(bits of a substring, rotations) for n classes and codes of so many bits."""
+    short = min(int(np.clip(np.ceil(np.log2(max(n, 2))), 8, 40)), bits)
+    flip = np.arccos(cfg.cosine) / np.pi
+    met = (1 - flip) ** short + short * flip * (1 - flip) ** (short - 1)
+    tables = np.log(1 - cfg.recall) / np.log(1 - met)
+    return short, max(cfg.rotations, int(np.ceil(tables / len(_cuts(bits, short)))))
+
+
+def _cuts(bits: int, short: int) -> list[tuple[int, int]]:
+    """Where the substrings of a code begin and end; what is left is one if it is more than half as long."""
+    return [(s, min(s + short, bits)) for s in range(0, max(bits - short // 2, 1), short)]
+
+
 def fit_rotation(x: np.ndarray, bits: int, iterations: int, seed: int) -> Rotation:
     """Principal directions, then the orthogonal matrix that brings them closest to their signs."""
     rng = np.random.default_rng(seed)
@@ -110,18 +126,16 @@ def class_links(classes: DataFrame, dim: int, cfg: ItqConfig) -> DataFrame:
     x = np.stack(picked["vec"].to_numpy()).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     bits = min(cfg.bits, dim)
-    rotations = [fit_rotation(x, bits, cfg.iterations, cfg.seed + i) for i in range(cfg.rotations)]
-    short = int(np.clip(np.ceil(np.log2(max(n, 2))), 8, 20))
-    cuts = [(i, s, min(s + short, bits)) for i in range(cfg.rotations) for s in range(0, bits - short // 2, short)]
+    short, turns = plan(n, bits, cfg)
+    rotations = [fit_rotation(x, bits, cfg.iterations, cfg.seed + i) for i in range(turns)]
+    cuts = [(i, s, e) for i in range(turns) for s, e in _cuts(bits, short)]
     flip = np.arccos(cfg.cosine) / np.pi
-    total = bits * cfg.rotations
+    total = bits * turns
     radius = int(np.floor(total * flip + cfg.slack * np.sqrt(total * flip * (1 - flip))))
     words = -(-total // 63)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             y = _matrix(batch.column(1), dim)
             y = y / np.abs(y).max(1, keepdims=True)
             y /= np.linalg.norm(y, axis=1, keepdims=True)
@@ -132,7 +146,7 @@ def class_links(classes: DataFrame, dim: int, cfg: ItqConfig) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), flat(keys), flat(code_words)], names=["cls", "keys", "code"])
 
     kind = classes.schema["cls"].dataType.simpleString()
-    coded = stage(classes.select("cls", "vec").mapInArrow(code, f"cls {kind}, keys array<long>, code array<long>"), "codes")
+    coded = stage(classes.select("cls", "vec").mapInArrow(by_slices(code, 4096), f"cls {kind}, keys array<long>, code array<long>"), "codes")
     table = coded.select("cls", "code", F.posexplode("keys").alias("t", "key"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(short)])
     probe = table.select(F.col("cls").alias("a"), F.col("code").alias("ca"), "t", "key").withColumn("key", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))))
@@ -148,5 +162,5 @@ def class_links(classes: DataFrame, dim: int, cfg: ItqConfig) -> DataFrame:
             cosine = np.einsum("ij,ij->i", va, vb) / (np.linalg.norm(va, axis=1) * np.linalg.norm(vb, axis=1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cosine)], names=["a", "b", "cosine"]).filter(pa.array(cosine >= cfg.cosine))
 
-    result = pairs.mapInArrow(rerank, f"a {kind}, b {kind}, cosine double")
+    result = pairs.mapInArrow(by_slices(rerank, 4096), f"a {kind}, b {kind}, cosine double")
     return result
