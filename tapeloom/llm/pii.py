@@ -1,13 +1,15 @@
 r"""PII: patterns, and information-theoretic sanitisation of the terms that reveal them (operator 9).
 
-Base patterns find emails, IPv4 addresses, card and phone numbers; each value found is a
-protected entity. Terms near an entity (within a number of words) may give it away. Over all
+Base patterns find emails, IPv4 addresses, card and phone numbers; a further one finds what is assigned
+to the name of a secret (a key, token or password). Each value found is a protected entity. Terms near an entity (within a number of words) may give it away. Over all
 different texts (copies of a text count once), n(e) of N hold the entity, n(t) the term and n(e,t) both near each other. The
 information that a term tells of an entity is PMI(e;t) = log2(n(e,t) N / (n(e) n(t))), at
 most the entity's own information IC(e) = -log2(n(e) / N); their ratio is the disclosure, 1
 if the term occurs with the entity alone (after Sanchez and Batet, "C-sanitized", 2016). In the
 documents that hold the entity a term whose disclosure reaches a bound is generalised, and
-from a higher bound on it is removed. Every pair that met is judged, also that of an entity with a
+from a higher bound on it is removed. It is generalised to a broader term: of the other terms of its
+contexts that are more frequent than it and disclose nothing, the one that is in most of them, at
+least in half (subsumption after Sanderson and Croft, 1999); where there is none, to its kind. Every pair that met is judged, also that of an entity with a
 single mention, unless so many meetings are likely by chance: with n(e) n(t) / N expected, by the
 lesser of Markov's and Chernoff's bounds. One meeting of a term and an entity that each occur once
 is no chance from 20 different texts on.
@@ -17,7 +19,8 @@ contexts, a second counts the documents of candidate terms (through a bit table
 that is broadcast, then an exact join). Only documents with entities are read again.
 
 Base patterns, leftmost and non-overlapping by kind, failing matches dropped without retry:
-email, ip (parts at most 255), card (12 to 19 digits, Luhn), phone (9 to 15 digits).
+email, ip (parts at most 255), card (12 to 19 digits, Luhn), phone (9 to 15 digits). Each takes time in
+proportion to the text: an ip can only begin where a run of digits does, so runs are never rescanned.
 
 Defined cases: a null text is an empty one, with no spans; a null id is kept; repeated rows are
 rows of their own; an empty table gives an empty result; other columns are not read.
@@ -34,17 +37,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import spread, stage
+from .probe import bit_table
+from .runtime import by_slices, spread, stage
 from .words import WORD, hash_terms, hash_words
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
+SECRET, TERM = "secret", "term"
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+# Names of secrets.
+_SECRET = re.compile(r"""(?i)(?:api[_-]?key|secret|token|password|passwd)["']?\s{0,8}[:=]\s{0,8}["']?([A-Za-z0-9+/_.-]{8,})""")
 
 
 def luhn(digits: str) -> bool:
@@ -85,16 +91,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
+def entity_spans(text: str) -> list[tuple[int, int, str]]:
+    """The base spans and those of secrets, in the same order."""
+    found = base_spans(text)
+    if "=" in text or ":" in text:
+        found += [(m.start(1), m.end(1), SECRET) for m in _SECRET.finditer(text)]
+    return sorted(found, key=_place)
+
+
+def _place(span: tuple[int, int, str]) -> tuple[int, int]:
+    return span[0], _ORDER[span[2]]
+
+
+_ORDER = {k: i for i, k in enumerate((*KINDS, SECRET, TERM))}
+
+
 def join_spans(spans: list[tuple[int, int, str]]) -> str:
-    order = {k: i for i, k in enumerate((*KINDS, TERM))}
-    return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], order[x[2]])))
+    return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=_place))
 
 
 def entity(text: str, span: tuple[int, int, str]) -> str:
-    """The protected value: an address in lower case, a number as its digits."""
+    """The protected value: an address in lower case, a number as its digits, a secret as it is."""
     s, e, kind = span
     value = text[s:e]
-    return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else _digits(value)}"
+    return f"{kind}:{value.lower() if kind == 'email' else value if kind in ('ip', SECRET) else _digits(value)}"
 
 
 @dataclass(frozen=True)
@@ -104,6 +124,7 @@ class PiiConfig:
     chance: float = 0.05  # probability of so many meetings, if term and entity were independent, at most
     generalise: float = 0.8  # disclosure from which a term is generalised
     remove: float = 0.95  # and from which it is removed
+    broader: float = 0.5  # share of a term's contexts that hold the term it is generalised to
 
 
 def contexts(text: str, spans: list[tuple[int, int, str]], cfg: PiiConfig) -> list[tuple[str, list[str]]]:
@@ -135,7 +156,7 @@ def _digest(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("digest")
 
 
-FOUND = "base string, n_email long, n_ip long, n_card long, n_phone long, text string, near array<struct<entity: string, terms: array<string>>>"
+FOUND = "base string, own string, n_email long, n_ip long, n_card long, n_phone long, text string, near array<struct<entity: string, terms: array<string>>>"
 _NEAR = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
 
 
@@ -144,20 +165,19 @@ def scan(docs: DataFrame, id_col: str, text_col: str, cfg: PiiConfig) -> DataFra
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                rows = []
-                for text in batch.column(1).to_pylist():
-                    spans = base_spans(text or "")
-                    n = [sum(1 for *_, k in spans if k == kind) for kind in KINDS]
-                    near = [{"entity": e, "terms": t} for e, t in contexts(text, spans, cfg)] if spans else None
-                    rows.append((join_spans(spans), *n, text if spans else None, near))
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.string(), *[pa.int64()] * 4, pa.string(), _NEAR]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["id", "digest", "base", "n_email", "n_ip", "n_card", "n_phone", "text", "near"])
-
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _digest(text_col))).mapInArrow(run, f"id {kind}, digest long, {FOUND}")
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                spans = entity_spans(text or "")
+                base = [x for x in spans if x[2] != SECRET]
+                n = [sum(1 for *_, k in base if k == kind) for kind in KINDS]
+                near = [{"entity": e, "terms": t} for e, t in contexts(text, spans, cfg)] if spans else None
+                rows.append((join_spans(base), join_spans(spans), *n, text if spans else None, near))
+            columns = list(zip(*rows, strict=True))
+            kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.string(), _NEAR]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["id", "digest", "base", "own", "n_email", "n_ip", "n_card", "n_phone", "text", "near"])
+
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _digest(text_col))).mapInArrow(by_slices(run, 512), f"id {kind}, digest long, {FOUND}")
 
 
 def _count_terms(docs: DataFrame, text_col: str, terms: DataFrame, copies: DataFrame) -> DataFrame:
@@ -166,23 +186,16 @@ def _count_terms(docs: DataFrame, text_col: str, terms: DataFrame, copies: DataF
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hash_terms(batch.column(0).to_pylist()).view(np.int64))], names=["term", "h"])
 
-    wanted = terms.mapInArrow(hashed, "term string, h long")
-    bits = 22
-    cells = wanted.select(F.shiftrightunsigned("h", 64 - bits).alias("c"))
-    packed = cells.groupBy(F.shiftrightunsigned("c", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(c & 63))")).alias("b")).toPandas()  # at most 2^16 rows
-    table = np.zeros(1 << (bits - 6), np.uint64)
-    table[packed["w"].to_numpy(np.int64)] = packed["b"].to_numpy(np.int64).view(np.uint64)
-    mask = np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
-    shared = docs.sparkSession.sparkContext.broadcast(mask)
+    wanted = stage(terms.mapInArrow(hashed, "term string, h long"), "terms")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "h", wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
             held: list[np.ndarray] = []
             share: list[np.ndarray] = []
             each = 1.0 / batch.column(1).to_numpy(zero_copy_only=False)
             for rows, hashes, offsets in hash_words(batch.column(0).to_pylist()):
-                at = np.flatnonzero(m[(hashes >> np.uint64(64 - bits)).astype(np.int64)])
+                at = shared.value.find(hashes)
                 own = np.searchsorted(offsets, at, "right") - 1
                 pair = np.unique(np.stack([own.astype(np.uint64), hashes[at]], 1), axis=0) if len(at) else np.empty((0, 2), np.uint64)
                 held.append(pair[:, 1])
@@ -192,12 +205,12 @@ def _count_terms(docs: DataFrame, text_col: str, terms: DataFrame, copies: DataF
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     weighed = docs.select(F.col(text_col).cast("string").alias("text"), _digest(text_col)).join(copies, "digest", "left").select("text", F.coalesce("m", F.lit(1)).alias("m"))
-    counts = weighed.mapInArrow(run, "h long, n double").groupBy("h").agg(F.round(F.sum("n")).cast("long").alias("n"))
+    counts = weighed.mapInArrow(by_slices(run, 1024), "h long, n double").groupBy("h").agg(F.round(F.sum("n")).cast("long").alias("n"))
     return wanted.join(counts, "h").select("term", "n")
 
 
 def disclosures(found: DataFrame, docs: DataFrame, text_col: str, cfg: PiiConfig) -> DataFrame | None:
-    """(entity, term, disclosure) of the terms that reach cfg.generalise; None if no term met an entity."""
+    """(entity, term, disclosure, broader) of the terms that reach cfg.generalise; None if no term met an entity."""
     near = found.where("near is not null").select("digest", F.explode("near").alias("x")).select("digest", "x.entity", "x.terms")
     met = near.select("digest", "entity", F.explode("terms").alias("term"))
     pairs = met.groupBy("entity", "term").agg(F.countDistinct("digest").alias("both"))
@@ -207,60 +220,75 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str, cfg: PiiConfig
     texts = stage(found.groupBy("digest").agg(F.count("*").alias("m")), "texts")
     n = texts.count()
     of_entity = near.groupBy("entity").agg(F.countDistinct("digest").alias("ne"))
-    of_term = _count_terms(docs, text_col, pairs.select("term").distinct(), texts.where("m > 1"))
+    of_term = stage(_count_terms(docs, text_col, pairs.select("term").distinct(), texts.where("m > 1")).withColumnRenamed("n", "nt"), "term-counts")
     pmi = F.log2(F.col("both") * F.lit(n) / (F.col("ne") * F.greatest("nt", "both")))
     ic = -F.log2(F.col("ne") / F.lit(n))
     told = F.when(ic > 0, pmi / ic).otherwise(0.0)
     expected = F.col("ne") * F.greatest("nt", "both") / F.lit(n)
     by_chance = F.least(expected / F.col("both"), F.when(expected < F.col("both"), F.exp(F.col("both") - expected + F.col("both") * F.log(expected / F.col("both")))).otherwise(1.0))
-    out = pairs.join(of_entity, "entity").join(of_term.withColumnRenamed("n", "nt"), "term").withColumn("disclosure", told).where(by_chance <= cfg.chance)
-    return stage(out.where(F.col("disclosure") >= cfg.generalise).select("entity", "term", "disclosure"), "disclosures")
+    out = pairs.join(of_entity, "entity").join(of_term, "term").withColumn("disclosure", told).where(by_chance <= cfg.chance)
+    out = stage(out.where(F.col("disclosure") >= cfg.generalise).select("entity", "term", "disclosure", "nt"), "disclosures")
+    return out.join(_broader(out, met.distinct(), of_term, cfg), "term", "left").select("entity", "term", "disclosure", "broader")
+
+
+def _broader(told: DataFrame, met: DataFrame, of_term: DataFrame, cfg: PiiConfig) -> DataFrame:
+    """(term, broader) of the terms to generalise for which the contexts (digest, entity, term) hold a broader term."""
+    own = met.join(told.where(F.col("disclosure") < cfg.remove).select("term", "nt").distinct(), "term")
+    held = own.groupBy("term").agg(F.count("*").alias("contexts"))
+    other = met.withColumnRenamed("term", "broader").join(told.select(F.col("term").alias("broader")).distinct(), "broader", "left_anti")
+    beside = own.join(other, ["digest", "entity"]).groupBy("term", "nt", "broader").agg(F.count("*").alias("k"))
+    fit = beside.join(of_term.select(F.col("term").alias("broader"), F.col("nt").alias("nb")), "broader").where("nb > nt").join(held, "term").where(F.col("k") >= cfg.broader * F.col("contexts"))
+    return fit.groupBy("term").agg(F.max(F.struct("k", "nb", "broader")).alias("m")).select("term", F.col("m.broader").alias("broader"))
+
 
+_CLUES = "array<struct<term: string, d: double, broader: string>>"
 
-def _mark(text: str, base: list[tuple[int, int, str]], bound: dict[str, float], cfg: PiiConfig) -> tuple[list[tuple[int, int, str]], list[int]]:
-    """All spans of a text given its disclosing terms, and the starts of the terms to remove."""
-    terms = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text) if m.group().lower() in bound]
-    hidden = _covered([(s, e) for s, e, _ in terms], base) if terms else []
+
+def _mark(text: str, own: list[tuple[int, int, str]], clues: list[dict], cfg: PiiConfig) -> tuple[list[tuple[int, int, str]], list[tuple[int, str]]]:
+    """All spans of a text given its disclosing terms, and (start, what takes its place) of the terms."""
+    bound = {c["term"]: (c["d"], c["broader"]) for c in clues}
+    terms = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text) if m.group().lower() in bound] if bound else []
+    hidden = _covered([(s, e) for s, e, _ in terms], own) if terms else []
     terms = [t for t, h in zip(terms, hidden, strict=True) if not h]
-    return [*base, *((s, e, TERM) for s, e, _ in terms)], [s for s, _, t in terms if bound[t] >= cfg.remove]
+    instead = [(s, "" if bound[t][0] >= cfg.remove else bound[t][1] or f"[{TERM.upper()}]") for s, _, t in terms]
+    return [*own, *((s, e, TERM) for s, e, _ in terms)], instead
 
 
 def _clues(found: DataFrame, told: DataFrame) -> DataFrame:
     """(row, clues) of the documents that hold an entity with disclosing terms."""
     near = found.where("near is not null").select("row", F.explode("near.entity").alias("entity")).distinct()
-    return near.join(told, "entity").groupBy("row", "term").agg(F.max("disclosure").alias("d")).groupBy("row").agg(F.collect_list(F.struct("term", "d")).alias("clues"))
+    return near.join(told, "entity").groupBy("row", "term").agg(F.max("disclosure").alias("d"), F.max("broader").alias("broader")).groupBy("row").agg(F.collect_list(F.struct("term", "d", "broader")).alias("clues"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: PiiConfig = PiiConfig()) -> DataFrame:
-    """(id, n_email, n_ip, n_card, n_phone, base, spans, remove) for every row of docs.
+    """(id, n_email, n_ip, n_card, n_phone, base, spans, terms) for every row of docs.
 
-    spans: base spans and those of disclosing terms; remove: the starts of the terms that are removed rather than generalised.
+    spans: base spans, those of secrets and of disclosing terms; terms: of each disclosing term the start and what takes its place.
     """
     found = stage(scan(docs, id_col, text_col, cfg).withColumn("row", F.monotonically_increasing_id()), "pii")
     told = disclosures(found, docs, text_col, cfg)
     out = [F.col("id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone", "base"]
+    kind = "array<struct<start: int, instead: string>>"
     if told is None:
-        return found.select(*out, F.col("base").alias("spans"), F.array().cast("array<int>").alias("remove"))
+        return found.select(*out, F.col("own").alias("spans"), F.array().cast(kind).alias("terms"))
     texts = found.where("near is not null").select("row", "text").join(_clues(found, told), "row")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked = [_mark(t, base_spans(t), {c["term"]: c["d"] for c in clue}, cfg) for t, clue in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([join_spans(m) for m, _ in marked], pa.string()), pa.array([g for _, g in marked], pa.list_(pa.int32()))], names=["row", "more", "gone"])
+            marked = [_mark(t, entity_spans(t), clues, cfg) for t, clues in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            instead = [[{"start": s, "instead": x} for s, x in i] for _, i in marked]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([join_spans(m) for m, _ in marked], pa.string()), pa.array(instead, pa.list_(pa.struct([("start", pa.int32()), ("instead", pa.string())])))], names=["row", "more", "instead"])
 
-    more = texts.mapInArrow(mark, "row long, more string, gone array<int>")
-    return found.drop("text", "near", "digest").join(more, "row", "left").select(*out, F.coalesce("more", "base").alias("spans"), F.coalesce("gone", F.array().cast("array<int>")).alias("remove"))
+    more = texts.mapInArrow(by_slices(mark, 512), f"row long, more string, instead {kind}")
+    return found.drop("text", "near", "digest").join(more, "row", "left").select(*out, F.coalesce("more", "own").alias("spans"), F.coalesce("instead", F.array().cast(kind)).alias("terms"))
 
 
-def redact(text: str, spans: str, remove: list[int]) -> str:
-    """The text with base spans and terms replaced by their kind, removed terms left out. Overlapping spans are one, of the first's kind."""
-    if not spans:
-        return text
-    out, at, gone = [], 0, set(remove or ())
-    for kind, s, e in (x.split(":") for x in spans.split(",")):
-        s, e = int(s), int(e)
+def redact(text: str, spans: list[tuple[int, int, str]], instead: list[tuple[int, str]]) -> str:
+    """The text with entities replaced by their kind, and terms by what takes their place. Overlapping spans are one, of the first's kind."""
+    out, at, terms = [], 0, dict(instead)
+    for s, e, kind in sorted(spans, key=_place):
         if s >= at:
-            out += [text[at:s], "" if kind == TERM and s in gone else f"[{kind.upper()}]"]
+            out += [text[at:s], terms[s] if kind == TERM else f"[{kind.upper()}]"]
         at = max(at, e)
     return "".join(out) + text[at:]
 
@@ -271,24 +299,21 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cf
     told = disclosures(found, docs, text_col, cfg)
     columns = docs.columns
     if told is None:
-        joined = docs.withColumn("_clues", F.lit(None).cast("array<struct<term: string, d: double>>"))
+        joined = docs.withColumn("_clues", F.lit(None).cast(_CLUES))
     else:  # what reveals the entities of a text depends on the text alone
         texts = found.where("near is not null").select("row", F.sha2("text", 256).alias("_key"))
         clues = stage(texts.join(_clues(found, told), "row").groupBy("_key").agg(F.first("clues").alias("_clues")), "clues")
         joined = docs.withColumn("_key", F.sha2(F.col(text_col).cast("string"), 256)).join(clues, "_key", "left").drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 1024):
-                batch = whole.slice(first, 1024)
-                at = batch.schema.get_field_index(text_col)
-                texts = batch.column(at).to_pylist()
-                clues = batch.column(batch.num_columns - 1).to_pylist()
-                for i, text in enumerate(texts):
-                    if base := base_spans(text or ""):
-                        spans, gone = _mark(text, base, {c["term"]: c["d"] for c in clues[i] or ()}, cfg)
-                        texts[i] = redact(text, join_spans(spans), gone)
-                kept = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                yield kept.select(columns)
-
-    return joined.select(*columns, "_clues").mapInArrow(run, docs.schema)
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = batch.column(at).to_pylist()
+            clues = batch.column(batch.num_columns - 1).to_pylist()
+            for i, text in enumerate(texts):
+                if own := entity_spans(text or ""):
+                    texts[i] = redact(text, *_mark(text, own, clues[i] or [], cfg))
+            kept = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield kept.select(columns)
+
+    return joined.select(*columns, "_clues").mapInArrow(by_slices(run, 512), docs.schema)

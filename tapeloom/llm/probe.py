@@ -14,20 +14,25 @@ MOST_BITS = 26
 
 @dataclass(frozen=True)
 class BitTable:
-    """One bit for each value of the leading bits of a hash: whether some listed hash has it."""
+    """Two bits for each listed hash, by the leading bits of its upper and of its lower half."""
 
     words: np.ndarray
     bits: int
 
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        cell = hashes >> np.uint64(64 - self.bits)
+    def _set(self, cell: np.ndarray) -> np.ndarray:
         return (self.words[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63))) & np.uint64(1) == 1
 
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the hashes are that may be listed; of the others about one in a thousand is too, while the table is within its bound."""
+        at = np.flatnonzero(self._set(hashes >> np.uint64(64 - self.bits)))
+        return at[self._set((hashes[at] << np.uint64(32)) >> np.uint64(64 - self.bits))]
+
 
 def bit_table(hashes: DataFrame, column: str, n: int) -> BitTable:
-    """The table of a long column with about n values, 16 bits a value where the bound allows."""
-    bits = int(np.clip(np.ceil(np.log2(max(n, 1) * 16)), 12, MOST_BITS))
-    cells = hashes.select(F.shiftrightunsigned(column, 64 - bits).alias("c"))
+    """The table of a long column with about n values, 64 bits a value where the bound allows."""
+    bits = int(np.clip(np.ceil(np.log2(max(n, 1) * 64)), 12, MOST_BITS))
+    both = F.array(F.shiftrightunsigned(column, 64 - bits), F.shiftrightunsigned(F.shiftleft(column, 32), 64 - bits))
+    cells = hashes.select(F.explode(both).alias("c"))
     packed = cells.groupBy(F.shiftrightunsigned("c", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(c & 63))")).alias("b")).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[packed.column("w").to_numpy()] = packed.column("b").to_numpy().view(np.uint64)
