@@ -16,10 +16,18 @@ Pipeline: one pass signs every whole text; equal word sequences collapse to the
 doc_id; representatives meet in bands; within a band each member is paired with the
 smallest member, and pairs are checked exactly on the texts. Where the members of a bucket are
 not of one component of the links then, more of them become pivots, those with most links
-first, four times as many in each round; a pivot is paired with all members of its bucket that
-are of other components and near enough in length, and then leaves it. This ends when every two
-members of a bucket have been compared, can't be near by their lengths, or are of one
-component; components of the links are the classes.
+first, many times as many in each round; a pivot is paired with all members of its bucket that
+are of other components and may be near, and then leaves it. This ends when every two
+members of a bucket have been compared, can't be near, or are of one component; components of
+the links are the classes. Whether two may be near is told by their lengths and by an odd sketch, the
+parities of a text's shingles hashed to 1024 bits (Mitzenmacher, Pagh and Pham, "Efficient Estimation
+for High Similarities using Odd Sketches", 2014): two sketches differ in no more bits than the sets
+have shingles that only one of them holds, so no near pair is ruled out, and of the others
+nearly all are, up to about 1,500 shingles.
+
+The measure: shingles as sets, whose Jaccard similarity must reach the bound, or counted as often
+as they occur, if the sets are also `least_set` similar: one line that two texts repeat very
+often does not make them copies.
 
 Defined cases: a null text is an empty one; a text without words is in a class of its own;
 a text of one to four words is one shingle of all its words; a null doc_id is kept with a
@@ -31,6 +39,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +48,10 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .components import components
-from .runtime import spread, stage, unstage
+from .runtime import by_slices, spread, stage, unstage
 from .words import grams, hash_words, mix
 
+SKETCH_BITS = 1024
 _U32 = np.uint64(32)
 _LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -53,6 +63,9 @@ class DartConfig:
     bands: int = 25
     rows: int = 5
     slack: float = 2.0  # darts thrown at first: k (ln k + slack)
+    least_set: float = 0.6  # of the sets of shingles, for a link by counted shingles
+    pivots: int = 8  # of a bucket in the first round after its least member
+    growth: int = 64
 
     @property
     def k(self) -> int:
@@ -148,6 +161,10 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return float(both / (total - both))
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(_as_long(x.ravel())))
+
+
 def _as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -161,15 +178,21 @@ def _bands(ids: np.ndarray, salt: np.ndarray, cfg: DartConfig) -> np.ndarray:
     return band
 
 
+def _odd_sketch(owner: np.ndarray, element: np.ndarray, n_sets: int) -> np.ndarray:
+    """(n_sets, 16) words: of each set the parity of its elements by hash."""
+    cell = owner * SKETCH_BITS + (mix(element) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+    odd = np.bincount(cell, minlength=n_sets * SKETCH_BITS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.uint64).reshape(n_sets, -1)
+
+
 def sign(docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig) -> DataFrame:
-    """One row per document: its id, digest of the word sequence (d0, d1), words, different shingles, and its band hashes."""
+    """One row per document: its id, digest of the word sequence (d0, d1), words, different shingles, band hashes, sketch of the set of shingles, and that of the shingles as often as they occur, null if none repeats."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, cfg.bands + 1, dtype=np.uint64))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for rows, hashes, offsets in hash_words(texts):
+            for rows, hashes, offsets in hash_words(batch.column(1).to_pylist()):
                 n = len(rows)
                 own, sh, w = weighted_shingles(hashes, offsets, cfg.words)
                 band = _bands(throw(own, sh, w, n, cfg.k, cfg.slack), salt, cfg)
@@ -193,10 +216,16 @@ def sign(docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig) -> DataFr
                 digest = mix(digest)
                 ends = pa.array(np.concatenate(([0], np.cumsum(shown.sum(1)))).astype(np.int32))
                 bands = pa.ListArray.from_arrays(ends, pa.array(_as_long(band[shown])))
+                counted = pa.nulls(n, pa.list_(pa.int64()))
+                if len(often):
+                    times = w.astype(np.int64)
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    each = np.repeat(sh, times) + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+                    counted = pa.array([x if k else None for k, x in zip(np.isin(np.arange(n), often), _as_long(_odd_sketch(np.repeat(own, times), each, n)), strict=True)], pa.list_(pa.int64()))
                 distinct = pa.array(np.bincount(own, minlength=n).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), pa.array(_as_long(digest[:, 0].copy())), pa.array(_as_long(digest[:, 1].copy())), pa.array(length.astype(np.int64)), distinct, bands], names=["doc", "d0", "d1", "n", "u", "band"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), pa.array(_as_long(digest[:, 0].copy())), pa.array(_as_long(digest[:, 1].copy())), pa.array(length.astype(np.int64)), distinct, bands, _lists(_odd_sketch(own, sh, n)), counted], names=["doc", "d0", "d1", "n", "u", "band", "once", "often"])
 
-    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(run, f"doc {kind}, d0 long, d1 long, n long, u long, band array<long>")
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(by_slices(run, 256), f"doc {kind}, d0 long, d1 long, n long, u long, band array<long>, once array<long>, often array<long>")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -207,10 +236,18 @@ def buckets(reps: DataFrame) -> DataFrame:
 
 
 def _may_link(cfg: DartConfig) -> Column:
-    """Whether the lengths of p and q, (n, u), allow either similarity to reach the bound."""
-    near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * cfg.similarity - 1e-6
+    """Whether the lengths and sketches of p and q, (n, u, once, often), allow a link. It never rules one out."""
+    near = lambda x, y, s: F.least(x, y) >= F.greatest(x, y) * s - 1e-6
     total = lambda side: F.greatest(F.col(f"{side}.n") - (cfg.words - 1), F.lit(1))
-    return near(total("p"), total("q")) | near(F.col("p.u"), F.col("q.u"))
+    apart = lambda x, y: reduce(Column.__add__, [F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(SKETCH_BITS // 64)])
+    # Of two sets of similarity J at most (1 - J) / (1 + J) of the sum of their sizes is in one of them alone.
+    most = lambda s, x, y: (x + y) * ((1 - s) / (1 + s)) + 1e-6
+    u, v, once = F.col("p.u"), F.col("q.u"), apart(F.col("p.once"), F.col("q.once"))
+    often = apart(F.coalesce("p.often", "p.once"), F.coalesce("q.often", "q.once"))
+    repeats = F.col("p.often").isNotNull() | F.col("q.often").isNotNull()
+    by_set = near(u, v, cfg.similarity) & (once <= most(cfg.similarity, u, v))
+    counted = repeats & near(total("p"), total("q"), cfg.similarity) & near(u, v, cfg.least_set) & (once <= most(cfg.least_set, u, v)) & (often <= most(cfg.similarity, total("p"), total("q")))
+    return by_set | counted
 
 
 def link(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig, more: DataFrame) -> DataFrame:
@@ -220,33 +257,37 @@ def link(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: Dart
     tried = stage(members.select(F.col("least").alias("a"), F.col("doc").alias("b")).where("a < b").distinct(), "pairs")
     links = stage(verify(tried, docs, id_col, text_col, cfg), "links")
     found = stage(components(links.union(more)), "components")
-    left = members.where("m > 2 and doc != least").select("key", "doc", "n", "u")
-    width = 1
+    left = members.where("m > 2 and doc != least").select("key", "doc")
+    about = reps.select("doc", "n", "u", "once", "often")
+    width = cfg.pivots
     while True:
-        width *= 4
-        now = left.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", "u", F.coalesce("component", "doc").alias("c"))
+        now = left.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
         mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
         rest = stage(now.join(mixed, "key", "left_semi"), "unlinked")
         if not rest.take(1):
             return found
         degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("d"))
         # The member with most links is a pivot in every bucket; as many others as slots, by a hash that differs between buckets.
-        ranked = rest.join(degree, "doc", "left").select("key", F.pmod(F.xxhash64("doc", F.lit(width)), F.lit(width)).alias("slot"), F.struct(F.coalesce("d", F.lit(0)).alias("d"), F.xxhash64("doc", "key").alias("h"), "doc", "n", "u", "c").alias("p"))
-        pivots = stage(ranked.groupBy("key", "slot").agg(F.max("p").alias("p")).select("key", "p"), "pivots")
-        met = rest.select("key", F.struct("doc", "n", "u", "c").alias("q")).join(pivots, "key").where(F.col("p.c") != F.col("q.c")).where(_may_link(cfg))
+        ranked = rest.join(degree, "doc", "left").select("key", F.pmod(F.xxhash64("doc", F.lit(width)), F.lit(width)).alias("slot"), F.struct(F.coalesce("d", F.lit(0)).alias("d"), F.xxhash64("doc", "key").alias("h"), "doc").alias("p"))
+        pivots = stage(ranked.groupBy("key", "slot").agg(F.max("p").alias("p")).select("key", F.col("p.doc").alias("doc")), "pivots")
+        known = rest.join(about, "doc")
+        side = lambda df, name: df.select("key", F.struct("doc", "n", "u", "once", "often", "c").alias(name))
+        met = side(known, "q").join(side(known.join(pivots, ["key", "doc"]), "p"), "key").where(F.col("p.c") != F.col("q.c")).where(_may_link(cfg))
         pairs = stage(met.select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        left = rest.join(pivots, ["key", "doc"], "left_anti").select("key", "doc")
+        width *= cfg.growth
+        if not pairs.take(1):
+            continue
+        tried = tried.union(pairs)
         new = stage(verify(pairs, docs, id_col, text_col, cfg), "links")
-        tried, links = tried.union(pairs), links.union(new)
-        before, found = found, stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)), "components")
-        left = rest.join(pivots.select("key", F.col("p.doc").alias("doc")), ["key", "doc"], "left_anti").select("key", "doc", "n", "u")
-        unstage(spark, before)
+        if new.take(1):
+            links = links.union(new)
+            before, found = found, stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)), "components")
+            unstage(spark, before)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig) -> DataFrame:
-    """The pairs whose Jaccard similarity, from the whole texts, is at least cfg.similarity.
-
-    Shingles count as often as they occur, or once each: either measure may reach the bound.
-    """
+    """The pairs that are near by the measure above, from the whole texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
     texts = bloom.maybe_in(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null"), "doc", bloom.build(ids, "doc"))
     both = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
@@ -267,11 +308,11 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: D
                         _, sh, w = weighted_shingles(h, np.array([0, len(h)]), cfg.words)
                         seen[t] = sh, w
                     sides.append(seen[t])
-                plain = [(sh, np.ones(len(sh))) for sh, _ in sides]
-                keep.append(max(weighted_jaccard(*sides), weighted_jaccard(*plain)) >= cfg.similarity)
+                once = weighted_jaccard(*((sh, np.ones(len(sh))) for sh, _ in sides))
+                keep.append(once >= cfg.similarity or once >= cfg.least_set and weighted_jaccard(*sides) >= cfg.similarity)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(by_slices(run, 256), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: DartConfig = DartConfig()) -> DataFrame:
@@ -284,10 +325,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wordy = signed.where("doc is not null and n > 0")
     # Only digests that repeat are joined, from a table of their own: a digest of very many copies can then be split over tasks.
     least = stage(wordy.groupBy("d0", "d1", "n").agg(F.min("doc").alias("exact"), F.count("*").alias("m")).where("m > 1").drop("m"), "copied")
-    known = stage(wordy.join(least, ["d0", "d1", "n"], "left").withColumn("exact", F.coalesce("exact", "doc")).select("doc", "exact", "n", "u", F.when(F.col("doc") == F.col("exact"), F.col("band")).alias("band")), "exact")
+    known = stage(wordy.join(least, ["d0", "d1", "n"], "left").withColumn("exact", F.coalesce("exact", "doc")).select("doc", "exact", "n", "u", *[F.when(F.col("doc") == F.col("exact"), F.col(c)).alias(c) for c in ("band", "once", "often")]), "exact")
     # An id that is repeated with other words links the classes of both texts.
     repeated = known.groupBy("doc").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).where("a != b").select("a", "b")
-    found = link(known.where("doc = exact").select("doc", "n", "u", "band"), docs, id_col, text_col, cfg, repeated)
+    found = link(known.where("doc = exact").select("doc", "n", "u", "band", "once", "often"), docs, id_col, text_col, cfg, repeated)
     classes = known.groupBy("doc").agg(F.min("exact").alias("exact")).join(found.withColumnRenamed("node", "exact"), "exact", "left").select("doc", "exact", F.coalesce("component", "exact").alias("class"))
     return (
         signed.select("doc")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .probe import BitTable, bit_table
-from .runtime import spread, stage
+from .runtime import by_slices, spread, stage
 from .words import grams, hash_words, mix
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -119,21 +119,19 @@ def read_items(benchmark: DataFrame, text_col: str, item_col: str, cfg: Decontam
     kind = benchmark.schema[item_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(start, _SLICE)
-                rows: list[tuple] = []
-                for some, hashes, offsets in hash_words(batch.column(1).to_pylist()):
-                    for i, lo, hi in zip(some, offsets[:-1], offsets[1:], strict=True):
-                        if hi > lo:
-                            w = hashes[lo:hi]
-                            seeds, places = item_seeds(w)
-                            rows.append((i, int(grams(w, len(w)).view(np.int64)[0]), w.view(np.int64), seeds.view(np.int64), places))
-                n = np.array([len(r[2]) for r in rows], np.int64)
-                lists = [pa.array([r[c] for r in rows], pa.list_(pa.int64())) for c in (2, 3, 4)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array(n), pa.array(cfg.agreeing(n)), pa.array(cfg.seeds(n)), *lists], names=["item", "k", "n", "agree", "most", "words", "seeds", "places"])
-
-    return benchmark.select(F.col(item_col), F.col(text_col).cast("string")).mapInArrow(run, f"item {kind}, k long, n long, agree long, most long, words array<long>, seeds array<long>, places array<long>")
+        for batch in batches:
+            rows: list[tuple] = []
+            for some, hashes, offsets in hash_words(batch.column(1).to_pylist()):
+                for i, lo, hi in zip(some, offsets[:-1], offsets[1:], strict=True):
+                    if hi > lo:
+                        w = hashes[lo:hi]
+                        seeds, places = item_seeds(w)
+                        rows.append((i, int(grams(w, len(w)).view(np.int64)[0]), w.view(np.int64), seeds.view(np.int64), places))
+            n = np.array([len(r[2]) for r in rows], np.int64)
+            lists = [pa.array([r[c] for r in rows], pa.list_(pa.int64())) for c in (2, 3, 4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int64()), pa.array(n), pa.array(cfg.agreeing(n)), pa.array(cfg.seeds(n)), *lists], names=["item", "k", "n", "agree", "most", "words", "seeds", "places"])
+
+    return benchmark.select(F.col(item_col), F.col(text_col).cast("string")).mapInArrow(by_slices(run, _SLICE), f"item {kind}, k long, n long, agree long, most long, words array<long>, seeds array<long>, places array<long>")
 
 
 def _sought(texts: list[str], table: BitTable, single: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -144,7 +142,7 @@ def _sought(texts: list[str], table: BitTable, single: bool) -> Iterator[tuple[n
             if len(hashes) <= gap:
                 continue
             key = grams(hashes, 1) if gap == 0 else _pairs(hashes[:-gap], hashes[gap:])
-            at = np.flatnonzero(table.holds(key))
+            at = table.find(key)
             if gap:
                 at = at[own[at] == own[at + gap]]
             yield own[at] + rows.start, key[at], at - offsets[own[at]]
@@ -155,13 +153,12 @@ def corpus_counts(texts: DataFrame, table: BitTable, single: bool) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, _SLICE):
-                found = [k for _, k, _ in _sought(whole.column(0).slice(start, _SLICE).to_pylist(), shared.value, single)]
-                seed, f = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([_long(seed), pa.array(f.astype(np.int64))], names=["seed", "f"])
+        for batch in batches:
+            found = [k for _, k, _ in _sought(batch.column(0).to_pylist(), shared.value, single)]
+            seed, f = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([_long(seed), pa.array(f.astype(np.int64))], names=["seed", "f"])
 
-    return texts.select("text").mapInArrow(run, "seed long, f long").groupBy("seed").agg(F.sum("f").alias("f"))
+    return texts.select("text").mapInArrow(by_slices(run, 2 * _SLICE), "seed long, f long").groupBy("seed").agg(F.sum("f").alias("f"))
 
 
 def seed_places(texts: DataFrame, table: BitTable, single: bool) -> DataFrame:
@@ -169,14 +166,12 @@ def seed_places(texts: DataFrame, table: BitTable, single: bool) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(start, _SLICE)
-                for text, seed, at in _sought(batch.column(0).to_pylist(), shared.value, single):
-                    rows = pa.array(text)
-                    yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), _long(seed), pa.array(at)], names=["d0", "d1", "seed", "at"])
+        for batch in batches:
+            for text, seed, at in _sought(batch.column(0).to_pylist(), shared.value, single):
+                rows = pa.array(text)
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), _long(seed), pa.array(at)], names=["d0", "d1", "seed", "at"])
 
-    return texts.select("text", "d0", "d1").mapInArrow(run, "d0 long, d1 long, seed long, at long").distinct()
+    return texts.select("text", "d0", "d1").mapInArrow(by_slices(run, _SLICE), "d0 long, d1 long, seed long, at long").distinct()
 
 
 def spans_of(diagonals: np.ndarray, places: np.ndarray, n: int, agree: int) -> list[tuple[int, int]]:
@@ -225,30 +220,26 @@ def cut(texts: DataFrame) -> DataFrame:
     """(d0, d1, k, window) of texts with their windows (text, d0, d1, spans array<struct<k, lo, hi>>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 64):
-                batch = whole.slice(start, 64)
-                spans = batch.column(3).to_pylist()
-                for rows, hashes, offsets in hash_words(batch.column(0).to_pylist()):
-                    found = [(rows.start + i, s["k"], hashes[min(lo + s["lo"], hi) : min(lo + s["hi"], hi)].view(np.int64)) for i, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)) for s in spans[rows.start + i]]
-                    at = pa.array([i for i, *_ in found], pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array([k for _, k, _ in found], pa.int64()), pa.array([w for *_, w in found], pa.list_(pa.int64()))], names=["d0", "d1", "k", "window"])
+        for batch in batches:
+            spans = batch.column(3).to_pylist()
+            for rows, hashes, offsets in hash_words(batch.column(0).to_pylist()):
+                found = [(rows.start + i, s["k"], hashes[min(lo + s["lo"], hi) : min(lo + s["hi"], hi)].view(np.int64)) for i, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)) for s in spans[rows.start + i]]
+                at = pa.array([i for i, *_ in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array([k for _, k, _ in found], pa.int64()), pa.array([w for *_, w in found], pa.list_(pa.int64()))], names=["d0", "d1", "k", "window"])
 
-    return texts.select("text", "d0", "d1", "spans").mapInArrow(run, "d0 long, d1 long, k long, window array<long>")
+    return texts.select("text", "d0", "d1", "spans").mapInArrow(by_slices(run, 64), "d0 long, d1 long, k long, window array<long>")
 
 
 def scored(pairs: DataFrame, cfg: DecontamConfig) -> DataFrame:
     """(d0, d1, k, score) of pairs (d0, d1, k, words, window) that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, _SLICE):
-                batch = whole.slice(start, _SLICE)
-                both = [[x.values.to_numpy() for x in batch.column(c)] for c in (3, 4)]
-                score = align(*both)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(score)], names=["d0", "d1", "k", "score"]).filter(pa.array(score >= cfg.threshold))
-
-    return pairs.select("d0", "d1", "k", "words", "window").mapInArrow(run, "d0 long, d1 long, k long, score double")
+        for batch in batches:
+            both = [[x.values.to_numpy() for x in batch.column(c)] for c in (3, 4)]
+            score = align(*both)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(score)], names=["d0", "d1", "k", "score"]).filter(pa.array(score >= cfg.threshold))
+
+    return pairs.select("d0", "d1", "k", "words", "window").mapInArrow(by_slices(run, _SLICE), "d0 long, d1 long, k long, score double")
 
 
 def _digests(text: Column) -> tuple[Column, Column]:

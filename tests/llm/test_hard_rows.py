@@ -20,7 +20,7 @@ def docs(spark, rows):
 @pytest.fixture(scope="module")
 def hard(spark):
     body = "the quick brown fox jumps over the lazy dog and runs far away from here today"
-    rows = [(1, None, "en"), (2, "", None), (3, LONG, "en"), (4, body, "en"), (4, body, "en"), (5, body, "en"), (None, body, None), (None, None, None), (6, "mail a@b.co or +1 234 567 8901", None), (7, "12 34", "de"), (8, "\u2028\ud7ff …", "en"), (9, "x" * 500_000, "en")]
+    rows = [(1, None, "en"), (2, "", None), (3, LONG, "en"), (4, body, "en"), (4, body, "en"), (5, body, "en"), (None, body, None), (None, None, None), (6, "mail a@b.co or +1 234 567 8901", None), (7, "12 34", "de"), (8, "\u2028\ud7ff …", "en"), (9, "x" * 500_000, "en"), (10, "9" * 1_000_000 + ". 1.2.3.4", None)]
     return docs(spark, rows)
 
 
@@ -62,7 +62,7 @@ def test_language(hard, none):
 
 def test_pii(hard, none):
     got = {r.doc_id: r for r in pii.find(hard).collect()}
-    assert got[6].base == "email:5:11,phone:15:30" and got[1].spans == "" and len(got) == 10
+    assert got[6].base == "email:5:11,phone:15:30" and got[1].spans == "" and len(got) == 11 and got[10].base == "ip:1000002:1000009"
     assert pii.find(none).count() == 0 == pii.sanitise(none).count()
     clean = {r.doc_id: r.text for r in pii.sanitise(hard).collect()}
     assert clean[6] == "mail [EMAIL] or [PHONE]" and clean[1] is None and clean[3] == LONG
@@ -87,12 +87,18 @@ def test_vectors(spark):
 
 def test_urls(spark):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    rows = [(1, None), (2, "no scheme"), (3, "http://WWW.example.com/en/x?y"), (3, "http://WWW.example.com/en/x?y"), (4, "https://a.b.example.com/en/"), (5, "x://shop.com"), (None, "http://q.net/es/#a"), (6, "http://"), (7, "http://notexample.com/en/" + "z" * 200_000)]
+    rows = [(1, None), (2, "no scheme"), (3, "http://WWW.example.com/en/x?y"), (3, "http://WWW.example.com/en/x?y"), (4, "https://a.b.example.com/en/"), (5, "x://shop.com"), (None, "http://q.net/es/#a"), (6, "http://"), (7, "http://notexample.com/en/" + "z" * 200_000), (8, "http://" + "a." * 100_000 + "net/es/x"), (10, "https://www.site.org:443/p/index.html?s=1"), (11, "http://site.org/p/"), (12, "http://site.org/q"), (12, "http://site.org/q")]
     frame = spark.createDataFrame([(i, u, "h", "p", 1, 2) for i, u in rows], "page_id long, url string, host string, path string, row int, key int")
     got = {r.page_id: (r.host, r.rule, r.verdict) for r in urlfilter.filter_urls(frame, rules).collect()}
     assert got[3] == ("www.example.com", "www.example.com/en/", "allow") and got[4][1:] == ("example.com/en/", "block") and got[5] == ("shop.com", None, "allow")
     assert got[None][2] == "block" and got[1] == ("", None, "allow") and got[7][1] == "com/"
-    assert urlfilter.filter_urls(frame, rules).count() == 9 == urlfilter.filter_urls(frame, rules.limit(0)).count() and urlfilter.filter_urls(frame.limit(0), rules).count() == 0
+    assert got[8][1:] == ("net/es/", "block")
+    listed = urlfilter.several_spellings(frame)
+    assert [r[0] for r in listed.collect()] == ["site.org/p"]
+    by_list = {r.page_id: (r.verdict, r.listed) for r in urlfilter.filter_urls(frame, rules, listed).collect()}
+    assert by_list[10] == by_list[11] == ("block", True) and by_list[12] == ("allow", False) and by_list[3] == ("allow", False) and by_list[1] == ("allow", False)
+    assert urlfilter.several_spellings(frame.limit(0)).count() == 0 and urlfilter.filter_urls(frame, rules, listed.limit(0)).where("listed").count() == 0
+    assert urlfilter.filter_urls(frame, rules).count() == 14 == urlfilter.filter_urls(frame, rules.limit(0)).count() and urlfilter.filter_urls(frame.limit(0), rules).count() == 0
 
 
 def test_warc(spark):
@@ -110,8 +116,12 @@ def test_chat(spark):
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn int, role string, text string, msg int, seq int")
     got = {r.conv_id: r for r in chat.format_conversations(frame).collect()}
     assert got[1].n_turns == 3 and got[1].loss_chars == 2 and got[3].loss_chars == 500_000 and got[None].n_turns == 1
-    turns = chat.read_back(chat.render(chat.fold(chat.events_from_rows(frame)))).where("conv = 2").first().turns
+    turns = chat.read_back(chat.render(chat.fold(chat.events_from_rows(frame), chat.KEY), chat.KEY)).where("conv = 2").first().turns
     assert [(t.role, t.text) for t in turns] == [("", "\\<|im_end|>\n"), ("a\\n\nb", "<\\|" * 1000)]
+    many = spark.createDataFrame([(7, k, "user", f"text {k}") for k in range(200)], frame.schema.fieldNames()[:4])
+    kinds = {r.kind: r.n for r in chat.events_from_rows(many).groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert min(kinds.get(k, 0) for k in ("start", "delta", "edit", "regenerate", "delete")) > 20
+    assert chat.format_conversations(many).first().n_turns == 200
     assert chat.format_conversations(frame.limit(0)).count() == 0
 
 
