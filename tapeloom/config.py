@@ -13,7 +13,6 @@ UNRESOLVED = "no_resolution"
 DIRECTION = {"LOW": "LONG", "HIGH": "SHORT"}
 LEVEL_ORDER = ("pdh", "pdl", "asia_high", "asia_low", "london_high", "london_low")
 LEVEL_SIDE = {"pdh": "HIGH", "pdl": "LOW", "asia_high": "HIGH", "asia_low": "LOW", "london_high": "HIGH", "london_low": "LOW"}
-POINT_VALUE = {"NQ": 20.0, "ES": 50.0}
 #: Names that a menu offers without a formula; asking for one is an error.
 FEATURES_WITHOUT_FORMULA = ("app_trade_count", "app_volume_acceleration", "app_avg_tob_imbalance", "app_volatility_recent", "app_volatility_ratio")
 FEATURES = ("int_time_beyond_level", "int_time_within_2pts", "int_absorption_ratio", "app_large_trade_vol_pct", "app_avg_trade_size", "app_max_spread")
@@ -40,7 +39,6 @@ class Scheme:
 
 EASTERN = Scheme("America/New_York", time(18), (Session("asia", time(19), time(2, 45)), Session("london", time(3), time(8)), Session("ny", time(9), time(17))))
 CENTRAL = Scheme("America/Chicago", time(18), (Session("asia", time(18), time(2)), Session("london", time(2), time(8)), Session("ny", time(8), time(16))), Session("closed", time(16), time(18)))
-EARLIER = Scheme("America/New_York", time(18), (Session("asia", time(18), time(1)), Session("london", time(1), time(8)), Session("ny", time(9, 30), time(16, 15))))
 
 
 @dataclass(frozen=True)

@@ -54,3 +54,12 @@ def safe_source(source: Column) -> Column:
     """A source name without its folders."""
     clean = redact(source)
     return F.when((clean == source) & source.rlike(r"[/\\]"), F.element_at(F.split(F.replace(source, F.lit("\\"), F.lit("/")), "/"), -1)).otherwise(clean)
+
+
+def redact_metadata(metadata: Column) -> Column:
+    """A map of texts with its values redacted; a key that names a secret is hidden, and of equal keys then the last stays."""
+    name = lambda k: F.when(redact(k).rlike(SECRET_WORD) | k.rlike(SECRET_WORD), "<redacted_key>").otherwise(redact(k))
+    entries = F.transform(F.map_entries(metadata), lambda e: F.struct(name(e["key"]).alias("key"), redact(e["value"]).alias("value")))
+    # Maps refuse equal keys, so an entry goes if a later one has its key.
+    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i)))

@@ -1,9 +1,10 @@
 """Bars of a fixed number of trades.
 
-Within a partition (a trading day, or a symbol and a day) trades are numbered in canonical order;
-the number div N is the bar. Number and window share one exchange with the aggregate. Opening and
-closing prices are taken by packing number and price into one long, so all aggregates are primitive
-and hash-aggregated rather than sorted.
+Trades of a trading day (or of a symbol and a day) are numbered in canonical order; the number div N is the
+bar. Numbering is by hours: within each, by a window, and from the first of the day by the counts of the
+hours before, a table of a few rows a day. So no task sorts more than an hour, however busy a day is. Opening and
+closing prices are taken by packing the number within the bar and the price into one long, so all aggregates are
+primitive, and combined before the shuffle by bar.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import TICK_SIZE, Scheme
 from ..functions.calendar import with_session
-from .ordering import canonical_key, rank_in_order
+from .ordering import canonical_key, hour_block, rank_in_order
 
 _SHIFT, _HALF = 32, 1 << 31
 
@@ -26,28 +27,35 @@ def _price(packed: Column) -> Column:
     return packed.bitwiseAND(F.lit((1 << _SHIFT) - 1).cast("long")) - F.lit(_HALF).cast("long")
 
 
-def _aggregate(numbered: DataFrame, keys: list[str], size: Column | int) -> DataFrame:
-    pack = _packed(F.col("_rn"), F.col("price_ticks"))
+def _aggregate(numbered: DataFrame, keys: list[str]) -> DataFrame:
+    """numbered: with _at, the number of a trade within its bar."""
+    pack = _packed(F.col("_at"), F.col("price_ticks"))
     return numbered.groupBy(*keys).agg(
         F.min("ts_event").alias("open_ts"), F.max("ts_event").alias("close_ts"), _price(F.min(pack)).alias("open_ticks"), F.max("price_ticks").alias("high_ticks"),
         F.min("price_ticks").alias("low_ticks"), _price(F.max(pack)).alias("close_ticks"), F.sum("size").alias("volume"), F.count("*").alias("trade_count"),
     )
 
 
+def numbered_in_day(trades: DataFrame, scheme: Scheme, order: list[Column] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, trading_day, ts_event, price_ticks, size, _rn): the number of each trade of a day, from 0; order must begin with the time or its hour."""
+    days = with_session(trades, scheme).where("trading_day is not null").withColumn("_hour", F.date_trunc("hour", "ts_event"))
+    counts = days.groupBy(*by, "trading_day", "_hour").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.partitionBy(*by, "trading_day").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*by, "trading_day", "_hour", F.coalesce(earlier, F.lit(0)).alias("_start"))
+    w = Window.partitionBy(*by, "trading_day", "_hour").orderBy(*(order or canonical_key()))
+    own = days.select(*by, "trading_day", "_hour", "ts_event", "price_ticks", "size", (F.row_number().over(w).cast("long") - 1).alias("_k"))
+    return own.join(starts, [*by, "trading_day", "_hour"]).withColumn("_rn", F.col("_k") + F.col("_start")).drop("_hour", "_k", "_start")
+
+
 def tick_bars(trades: DataFrame, sizes: int | tuple[int, ...], scheme: Scheme, order: list[Column] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Bars of each size for each trading day; the last of a day may be partial. Trades of a closed window are left out."""
     wanted = sorted({sizes} if isinstance(sizes, int) else set(sizes))
     if not wanted or wanted[0] <= 0:
         raise ValueError("bar sizes must be positive")
-    days = with_session(trades, scheme).where("trading_day is not null")
-    w = Window.partitionBy(*by, "trading_day").orderBy(*(order or canonical_key()))
-    numbered = days.select(*by, "trading_day", "ts_event", "price_ticks", "size", (F.row_number().over(w).cast("long") - 1).alias("_rn"))
-    if len(wanted) > 1:
-        numbered = numbered.withColumn("timeframe_ticks", F.explode(F.array(*[F.lit(n) for n in wanted])))
-    else:
-        numbered = numbered.withColumn("timeframe_ticks", F.lit(wanted[0]))
-    numbered = numbered.withColumn("bar_index", F.expr("_rn div timeframe_ticks"))
-    return finish(_aggregate(numbered, [*by, "timeframe_ticks", "trading_day", "bar_index"], wanted[0]))
+    numbered = numbered_in_day(trades, scheme, order, by)
+    each = F.explode(F.array(*[F.lit(n) for n in wanted])) if len(wanted) > 1 else F.lit(wanted[0])
+    numbered = numbered.withColumn("timeframe_ticks", each).withColumn("bar_index", F.expr("_rn div timeframe_ticks")).withColumn("_at", F.expr("_rn % timeframe_ticks"))
+    return finish(_aggregate(numbered, [*by, "timeframe_ticks", "trading_day", "bar_index"]))
 
 
 def finish(bars: DataFrame) -> DataFrame:
@@ -60,8 +68,8 @@ def finish(bars: DataFrame) -> DataFrame:
 
 def continuous_bars(trades: DataFrame, size: int) -> DataFrame:
     """Complete bars across days."""
-    ranked = rank_in_order(trades, canonical_key(), F.col("ts_event").cast("date")).withColumn("_rn", F.col("rank") - 1).withColumn("bar_index", F.expr(f"_rn div {int(size)}"))
-    return _aggregate(ranked, ["bar_index"], size).where(F.col("trade_count") == size)
+    ranked = rank_in_order(trades, canonical_key(), hour_block()).withColumn("bar_index", F.expr(f"(rank - 1) div {int(size)}")).withColumn("_at", F.expr(f"(rank - 1) % {int(size)}"))
+    return _aggregate(ranked, ["bar_index"]).where(F.col("trade_count") == size)
 
 
 def current_bars(bars: DataFrame) -> DataFrame:

@@ -28,13 +28,18 @@ def chain(trades: DataFrame, bar_trades: int, cfg: EngineConfig = EngineConfig()
 
 
 def training_rows(trades: DataFrame, quotes: DataFrame, bar_trades: int, cfg: EngineConfig = EngineConfig(), drop_unresolved: bool = True) -> DataFrame:
-    """Touches with features and outcomes; dropped touches are left out, and unresolved ones if asked."""
+    """Touches with features and outcomes; dropped touches are left out, and unresolved ones if asked.
+
+    One chain of joins: touches meet the trades, the quotes and the bars once each, and nothing is computed twice.
+    """
     c = chain(trades, bar_trades, cfg)
-    out = outcomes.decision_outcomes(c.touches, c.bars, trades, cfg.label, cfg.scheme, cfg.tick_size).where("drop_reason is null").drop("drop_reason", "decision_ts")
+    about = ("bar_ts", "representative_price", "direction", "level_type")
+    feats = features.touch_features(c.touches, trades, quotes, cfg.windows, cfg.tick_size, decision_min=cfg.label.decision_min, tolerance_min=cfg.label.fill_tolerance_min, keep=about)
+    keep = (*about, *features.ZERO, *features.NULL)
+    out = outcomes.decided(feats, c.bars, cfg.label, cfg.scheme, cfg.tick_size, keep).where("drop_reason is null").drop("drop_reason", "decision_ts")
     if drop_unresolved:
         out = out.where("label_encoded is not null")
-    feats = features.touch_features(c.touches, trades, quotes, cfg.windows, cfg.tick_size)
-    return c.touches.select("trading_day", "zone_id", "bar_ts", "representative_price", "direction", "level_type").join(out, ["trading_day", "zone_id"]).join(feats, ["trading_day", "zone_id"])
+    return out.select("trading_day", "zone_id", *about, "entry_price", "label", "label_encoded", "max_mfe", "max_mae", "bars_to_resolution", *features.ZERO, *features.NULL)
 
 
 def class_balance(rows: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import rank_in_order
+
 
 def diff_by_key(left: DataFrame, right: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     """Keys on one side only, and keys whose fields differ, with the fields' names. Null equals null, NaN equals NaN."""
@@ -22,11 +24,10 @@ def divergence(pairs: DataFrame, value: str) -> DataFrame:
 
 
 def even_sample(df: DataFrame, order: list[str], k: int) -> DataFrame:
-    """At most k rows at even distances in order. The input is a report's rows, ranked by day blocks beforehand where it is large."""
-    w = Window.orderBy(*order)
-    n = Window.partitionBy()
-    ranked = df.withColumn("_r", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(n))
-    return ranked.where((F.col("_n") <= k) | (F.expr(f"(_r * {k}) div _n") != F.expr(f"((_r - 1) * {k}) div _n")) | (F.col("_r") == 0)).drop("_r", "_n")
+    """At most k rows at even distances in order; the first of order, a date or another key that rises, is the block by which rows are numbered."""
+    ranked = rank_in_order(df, [F.col(c) for c in order], F.col(order[0]), "_r").withColumn("_r", F.col("_r") - 1)
+    counted = ranked.join(df.agg(F.count("*").alias("_n")), F.lit(True))
+    return counted.where((F.col("_n") <= k) | (F.expr(f"(_r * {k}) div _n") != F.expr(f"((_r - 1) * {k}) div _n")) | (F.col("_r") == 0)).drop("_r", "_n")
 
 
 def missing_days(have: DataFrame, first: str, last: str) -> DataFrame:

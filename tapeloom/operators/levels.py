@@ -34,13 +34,14 @@ def session_extremes_of_trades(trades: DataFrame, scheme: Scheme) -> DataFrame:
 
 def level_set(bars: DataFrame, scheme: Scheme, tick_size: float = 0.25, static: DataFrame | None = None) -> DataFrame:
     """(trading_day, name, price, side, available_from, ordinal). static: more levels of the same columns, taken first."""
-    prior = prior_day(full_day(bars)).select("trading_day", F.explode(F.array(F.struct(F.lit("pdh").alias("name"), F.col("pdh_ticks").alias("ticks")), F.struct(F.lit("pdl").alias("name"), F.col("pdl_ticks").alias("ticks")))).alias("x")).select("trading_day", "x.name", "x.ticks", instant_on(F.col("trading_day"), scheme.boundary, scheme, -1).alias("available_from"))
+    by_session = session_extremes(bars, scheme)  # every bar has a session, if only none, so the day's range follows from these few rows
+    prior = prior_day(full_day(by_session)).select("trading_day", F.explode(F.array(F.struct(F.lit("pdh").alias("name"), F.col("pdh_ticks").alias("ticks")), F.struct(F.lit("pdl").alias("name"), F.col("pdl_ticks").alias("ticks")))).alias("x")).select("trading_day", "x.name", "x.ticks", instant_on(F.col("trading_day"), scheme.boundary, scheme, -1).alias("available_from"))
     ends = {s.name: s.end for s in scheme.sessions}
     known: Column | None = None
     for name in ("asia", "london"):
         at = instant_on(F.col("trading_day"), ends[name], scheme)
         known = F.when(F.col("session") == name, at) if known is None else known.when(F.col("session") == name, at)
-    own = session_extremes(bars, scheme).where(F.col("session").isin("asia", "london")).withColumn("available_from", known)
+    own = by_session.where(F.col("session").isin("asia", "london")).withColumn("available_from", known)
     session = own.select("trading_day", "available_from", F.explode(F.array(*[F.struct(F.concat("session", F.lit(f"_{e}")).alias("name"), F.col(f"{e}_ticks").alias("ticks")) for e in ("high", "low")])).alias("x")).select("trading_day", "x.name", "x.ticks", "available_from")
     order, side = F.create_map(*[x for i, n in enumerate(LEVEL_ORDER) for x in (F.lit(n), F.lit(i))]), F.create_map(*[x for n, s in LEVEL_SIDE.items() for x in (F.lit(n), F.lit(s))])
     out = prior.unionByName(session).select("trading_day", "name", (F.col("ticks") * tick_size).alias("price"), side[F.col("name")].alias("side"), "available_from", order[F.col("name")].alias("ordinal"))

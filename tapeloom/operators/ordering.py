@@ -45,12 +45,21 @@ def _before(df: DataFrame, value: Column, order: list[Column], block: Column, ru
     return own.withColumn("_in", inside).join(blocks, "_block").withColumn("_was", F.greatest("_in", "_earlier") if running_max else F.coalesce("_in", "_earlier")).drop("_block", "_in", "_earlier")
 
 
-def regressions(df: DataFrame, arrival: str, block_rows: int = 65_536) -> DataFrame:
-    """Rows whose time is before that of an earlier accepted row, in order of arrival."""
-    got = _before(df, F.col("ts_event"), [F.col(arrival)], F.floor(F.col(arrival) / block_rows), True)
+def regressions(df: DataFrame, arrival: str, block_rows: int = 65_536, processed: bool = False) -> DataFrame:
+    """Rows whose time is before that of the last accepted row, in order of arrival, which is accepted_ts.
+
+    Late rows are dropped, so the last accepted time is the largest so far; or they are processed, and it moves back with them.
+    """
+    got = _before(df, F.col("ts_event"), [F.col(arrival)], F.floor(F.col(arrival) / block_rows), not processed)
     return got.where("ts_event < _was").withColumnRenamed("_was", "accepted_ts")
 
 
+def regression_notes(late: DataFrame) -> DataFrame:
+    """Data-quality notes of regressions."""
+    message = F.concat(F.lit("earlier than "), F.date_format("accepted_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return late.select(F.lit("timestamp_regression").alias("code"), message.alias("message"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("source"), "ts_event")
+
+
 def inversions(df: DataFrame, arrival: str, block_rows: int = 65_536) -> DataFrame:
     """How often the time falls from one row to the next."""
     got = _before(df, F.col("ts_event"), [F.col(arrival)], F.floor(F.col(arrival) / block_rows), False)

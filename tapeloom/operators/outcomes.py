@@ -22,47 +22,55 @@ def encode(label: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])[label]
 
 
-def resolve(entries: DataFrame, bars: DataFrame, p: LabelPolicy, after: str, before: str, tick_size: float = TICK_SIZE) -> DataFrame:
+def resolve(entries: DataFrame, bars: DataFrame, p: LabelPolicy, after: str, before: str, tick_size: float = TICK_SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, label, label_encoded, max_mfe, max_mae, bars_to_resolution, n_forward) of entries (key, direction, entry_price, after, before).
 
-    Bars of the day that close strictly between after and before; extremes start at 0.
+    Bars of the day that close strictly between after and before; extremes start at 0. With keep, entries without
+    a price or such a bar stay too, with nulls, and so do these columns.
     """
     b = bars.select(F.col("trading_day").alias("_day"), F.col("bar_index").alias("_i"), "close_ts", "high_ticks", "low_ticks")
-    fwd = entries.join(b, (F.col("trading_day") == F.col("_day")) & (F.col("close_ts") > F.col(after)) & (F.col("close_ts") < F.col(before))).drop("_day")
+    ahead = (F.col("trading_day") == F.col("_day")) & (F.col("close_ts") > F.col(after)) & (F.col("close_ts") < F.col(before)) & F.col("entry_price").isNotNull()
+    fwd = entries.join(b, ahead, "left" if keep else "inner").drop("_day")
     up, down = F.col("high_ticks") * tick_size - F.col("entry_price"), F.col("entry_price") - F.col("low_ticks") * tick_size
     long = F.col("direction") == "LONG"
     w = Window.partitionBy(*KEY).orderBy("_i")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     steps = fwd.withColumns({"_mfe": F.greatest(F.lit(0.0), F.max(F.when(long, up).otherwise(down)).over(run)), "_mae": F.greatest(F.lit(0.0), F.max(F.when(long, down).otherwise(up)).over(run)), "_k": F.row_number().over(w) - 1})
-    steps = steps.withColumn("_label", ladder(F.col("_mfe"), F.col("_mae"), p))
+    steps = steps.withColumn("_label", F.when(F.col("_i").isNotNull(), ladder(F.col("_mfe"), F.col("_mae"), p)))
     # The first decided step, or the last one if none is.
     decided = F.col("_label").isNotNull()
     pick = F.min(F.when(decided, F.struct("_k", "_label", "_mfe", "_mae")))
-    g = steps.groupBy(*KEY).agg(pick.alias("d"), F.max("_mfe").alias("_mfe"), F.max("_mae").alias("_mae"), F.count("*").alias("n_forward"))
-    label = F.coalesce("d._label", F.lit(UNRESOLVED))
-    return g.select(*KEY, label.alias("label"), encode(label).alias("label_encoded"), F.round(F.coalesce("d._mfe", "_mfe"), 4).alias("max_mfe"), F.round(F.coalesce("d._mae", "_mae"), 4).alias("max_mae"), F.coalesce("d._k", F.lit(-1)).alias("bars_to_resolution"), "n_forward")
+    g = steps.groupBy(*KEY, *keep).agg(pick.alias("d"), F.max("_mfe").alias("_mfe"), F.max("_mae").alias("_mae"), F.count("_i").alias("n_forward"))
+    some = lambda c: F.when(F.col("n_forward") > 0, c)
+    label = some(F.coalesce("d._label", F.lit(UNRESOLVED)))
+    return g.select(*KEY, *keep, label.alias("label"), encode(label).alias("label_encoded"), some(F.round(F.coalesce("d._mfe", "_mfe"), 4)).alias("max_mfe"), some(F.round(F.coalesce("d._mae", "_mae"), 4)).alias("max_mae"), some(F.coalesce("d._k", F.lit(-1))).alias("bars_to_resolution"), "n_forward")
 
 
-def asof_price(points: DataFrame, trades: DataFrame, at: str, tolerance_min: int, tick_size: float = TICK_SIZE, bucket_min: int = 60) -> DataFrame:
-    """(key, entry_price): the last trade in canonical order with at - tolerance <= ts_event <= at; keys without one are missing.
+def asof_price(points: DataFrame, trades: DataFrame, at: str, tolerance_min: int, tick_size: float = TICK_SIZE, bucket_min: int = 60, how: str = "inner", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, entry_price): the last trade in canonical order with at - tolerance <= ts_event <= at; keys without one are missing, or have a null in a left join.
 
     A backward as-of join by time buckets; the latest trade is kept by an aggregate, so nothing is sorted as a whole.
     """
-    p = points.select(*KEY, at)
+    p = points.select(*KEY, at, *keep)
     p = p.withColumn("_b", F.explode(F.expr(f"sequence(cast(floor(({_minutes(at)} - {tolerance_min} - 1) / {bucket_min}) as bigint), cast(floor({_minutes(at)} / {bucket_min}) as bigint))")))
-    t = trades.select("ts_event", "sequence", "side", "size", "price_ticks", F.expr(f"cast(floor({_minutes('ts_event')} / {bucket_min}) as bigint)").alias("_b"))
-    near = p.join(t, "_b").where((F.col("ts_event") <= F.col(at)) & (F.col("ts_event") >= F.col(at) - F.expr(f"INTERVAL {tolerance_min} MINUTE")))
-    return near.groupBy(*KEY).agg((F.max_by("price_ticks", F.struct(*canonical_key())) * tick_size).alias("entry_price"))
+    t = trades.select("ts_event", "sequence", "side", "size", "price_ticks", F.expr(f"cast(floor({_minutes('ts_event')} / {bucket_min}) as bigint)").alias("_own"))
+    inside = (F.col("_b") == F.col("_own")) & (F.col("ts_event") <= F.col(at)) & (F.col("ts_event") >= F.col(at) - F.expr(f"INTERVAL {tolerance_min} MINUTE"))
+    last = F.max(F.when(F.col("ts_event").isNotNull(), F.struct(*[c.alias(f"_k{i}") for i, c in enumerate(canonical_key())], "price_ticks")))
+    return p.join(t, inside, how).groupBy(*KEY, *keep).agg((last["price_ticks"] * tick_size).alias("entry_price"))
 
 
-def decision_outcomes(touches: DataFrame, bars: DataFrame, trades: DataFrame, p: LabelPolicy, scheme: Scheme, tick_size: float = TICK_SIZE) -> DataFrame:
-    """An outcome or the reason of a drop (flatten, cutoff, no_fill, no_forward, in this order) for each touch, from the price at the decision."""
+def decided(priced: DataFrame, bars: DataFrame, p: LabelPolicy, scheme: Scheme, tick_size: float = TICK_SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """An outcome or the reason of a drop (flatten, cutoff, no_fill, no_forward, in this order) for each touch (key, bar_ts, direction, entry_price), from the price at the decision."""
     decision = F.col("bar_ts") + F.expr(f"INTERVAL {p.decision_min} MINUTE")
-    t = touches.select(*KEY, "direction", "bar_ts", decision.alias("decision_ts"), instant_on(F.col("trading_day"), p.cutoff, scheme).alias("cutoff_ts"))
-    early = F.when(micros_of_day(to_local(F.col("decision_ts"), scheme)) >= micros_of(p.flatten), "flatten").when(F.col("decision_ts") >= F.col("cutoff_ts"), "cutoff")
-    t = t.withColumn("_early", early)
-    priced = t.where("_early is null").join(asof_price(t.where("_early is null"), trades, "decision_ts", p.fill_tolerance_min, tick_size), list(KEY))
-    done = resolve(priced, bars, p, "decision_ts", "cutoff_ts", tick_size)
-    out = t.join(priced.select(*KEY, "entry_price"), list(KEY), "left").join(done, list(KEY), "left")
+    t = priced.withColumns({"decision_ts": decision, "_cutoff": instant_on(F.col("trading_day"), p.cutoff, scheme)})
+    early = F.when(micros_of_day(to_local(F.col("decision_ts"), scheme)) >= micros_of(p.flatten), "flatten").when(F.col("decision_ts") >= F.col("_cutoff"), "cutoff")
+    t = t.withColumn("_early", early).withColumn("entry_price", F.when(F.col("_early").isNull(), F.col("entry_price")))
+    out = resolve(t, bars, p, "decision_ts", "_cutoff", tick_size, ("decision_ts", "entry_price", "_early", *keep))
     reason = F.coalesce("_early", F.when(F.col("entry_price").isNull(), "no_fill").when(F.col("label").isNull(), "no_forward"))
-    return out.withColumn("drop_reason", reason).drop("_early", "direction", "cutoff_ts", "n_forward", "bar_ts")
+    return out.withColumn("drop_reason", reason).drop("_early", "n_forward")
+
+
+def decision_outcomes(touches: DataFrame, bars: DataFrame, trades: DataFrame, p: LabelPolicy, scheme: Scheme, tick_size: float = TICK_SIZE) -> DataFrame:
+    """The outcomes of touches. Each touch meets the trades once, and the bars once."""
+    points = touches.select(*KEY, "direction", "bar_ts", (F.col("bar_ts") + F.expr(f"INTERVAL {p.decision_min} MINUTE")).alias("_at"))
+    return decided(asof_price(points, trades, "_at", p.fill_tolerance_min, tick_size, how="left", keep=("direction", "bar_ts")), bars, p, scheme, tick_size)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,10 @@ from ..config import CENTRAL, EASTERN, EngineConfig, FeatureWindows, LabelPolicy
 from ..functions import ticks
 from ..functions.calendar import day_bounds, session_of, to_local, with_session
 from ..operators import bars, dataset, diff, features, levels, ordering, outcomes, touches, zones
+from .. import sinks
 from ..sources import market
-from ..sources.tape import tape_book, tape_dirty, tape_events
+from ..sources.tape import tape_book, tape_dirty, tape_dirty_book, tape_events, tape_lineitem, tape_messages, tape_ties
+from ..streaming import runs
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,54 +49,68 @@ def _flat(z: DataFrame) -> DataFrame:
 
 
 def _quotes(s: SparkSession, d: str) -> DataFrame:
-    return market.normalize_quotes(tape_book(s, d)).drop("bid_size", "ask_size")
+    return market.normalize_quotes(tape_book(s, d))[0].drop("bid_size", "ask_size")
 
 
 # Sources and normalising
 query("src_trades_scan", S.with_(T, then="SELECT ts_event, sequence, price_ticks, size, side FROM tape"))(lambda s, d: market.normalize_trades(tape_events(s, d).drop("price_ticks"))[0])
-_EVENTS = "ev AS (SELECT ts_event, sequence, 'trade' AS kind, price_ticks, size, side, NULL::BIGINT AS bid_ticks, NULL::BIGINT AS ask_ticks FROM book WHERE action = 'T' UNION ALL SELECT ts_event, sequence, 'quote', NULL, NULL, NULL, bid_ticks, ask_ticks FROM quotes)"
-query("src_events_merged", S.with_(T, _EVENTS, then="SELECT ts_event, sequence, kind, price_ticks, bid_ticks, row_number() OVER (ORDER BY ts_event, sequence, CASE WHEN kind = 'quote' THEN 0 WHEN side = 'B' THEN price_ticks ELSE -price_ticks END, coalesce(size, 0))::BIGINT AS rank FROM ev"))(lambda s, d: ordering.merged(market.book_events(tape_book(s, d).drop("price_ticks"))).select("ts_event", "sequence", "kind", "price_ticks", "bid_ticks", F.col("rank").cast("long").alias("rank")))
-query("src_book_fanout", S.with_(T, _EVENTS, then="SELECT * FROM ev"))(lambda s, d: market.book_events(tape_book(s, d).drop("price_ticks")))
+_EVENTS = "ev AS (SELECT ts_event, sequence, 'trade' AS kind, price_ticks, size, side, NULL::BIGINT AS bid_ticks, NULL::BIGINT AS ask_ticks, NULL::BIGINT AS bid_size, NULL::BIGINT AS ask_size FROM book WHERE action = 'T' UNION ALL SELECT ts_event, sequence, 'quote', NULL, NULL, NULL, bid_ticks, ask_ticks, bid_size, ask_size FROM quotes)"
+query("src_events_merged", S.with_(T, _EVENTS, then="SELECT ts_event, sequence, kind, price_ticks, bid_ticks, row_number() OVER (ORDER BY ts_event, sequence, CASE WHEN kind = 'quote' THEN 0 WHEN side = 'B' THEN price_ticks ELSE -price_ticks END, coalesce(size, 0))::BIGINT AS rank FROM ev"))(lambda s, d: ordering.merged(market.book_events(tape_book(s, d).drop("price_ticks"))[0]).select("ts_event", "sequence", "kind", "price_ticks", "bid_ticks", F.col("rank").cast("long").alias("rank")))
+query("src_book_fanout", S.with_(T, _EVENTS, then="SELECT * FROM ev"))(lambda s, d: market.book_events(tape_book(s, d).drop("price_ticks"))[0])
 query("src_time_range", S.with_(T, then="SELECT ts_event, sequence, price_ticks FROM tape WHERE ts_event >= TIMESTAMP '2024-01-10 00:00:00' AND ts_event < TIMESTAMP '2024-01-12 00:00:00'"))(lambda s, d: tape_events(s, d).where("ts_event >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND ts_event < TIMESTAMP_NTZ '2024-01-12 00:00:00'").select("ts_event", "sequence", "price_ticks"))
 query("src_outright_only", S.with_(T, then="SELECT sequence, symbol FROM book WHERE symbol NOT LIKE '%-%'"))(lambda s, d: market.outright(tape_book(s, d)).select("sequence", "symbol"))
 _VOLUME = "fm AS (SELECT instrument_id, sum(greatest(coalesce(nullif(size, 0), 1), 1))::BIGINT AS volume FROM book WHERE symbol NOT LIKE '%-%' GROUP BY 1 ORDER BY volume DESC, instrument_id LIMIT 1)"
 query("src_front_month_volume", S.with_(T, _VOLUME, then="SELECT instrument_id, volume FROM fm"))(lambda s, d: market.front_month_by_volume(tape_book(s, d)))
 query("src_front_month_rows", S.with_(T, then="SELECT symbol, count(*) AS n FROM book WHERE symbol NOT LIKE '%-%' GROUP BY 1 ORDER BY n DESC, symbol LIMIT 1"))(lambda s, d: market.front_month_by_rows(tape_book(s, d)))
 query("join_semi_front_month", S.with_(T, _VOLUME, then="SELECT sequence, b.instrument_id, size FROM book b SEMI JOIN fm USING (instrument_id)"))(lambda s, d: market.only_front_month(market.outright(tape_book(s, d))).select("sequence", "instrument_id", "size"))
-_WINDOW = "TIMESTAMP{0} '2024-01-09 23:00:00' AND ts_event < TIMESTAMP{0} '2024-01-10 23:00:00'"
-query("src_day_window_trades", S.with_(T, then=f"SELECT sequence, ts_event, price_ticks FROM book WHERE symbol = 'AAF4' AND upper(action) = 'T' AND ts_event >= {_WINDOW.format('')}"))(lambda s, d: tape_book(s, d).where(f"symbol = 'AAF4' AND upper(action) = 'T' AND price > 0 AND ts_event >= {_WINDOW.format('_NTZ')}").select("sequence", "ts_event", "price_ticks"))
+_WINDOW = ("2024-01-09 23:00:00", "2024-01-10 23:00:00")
+query("src_day_window_trades", S.with_(T, then=f"SELECT sequence, ts_event, price_ticks FROM book WHERE symbol = 'AAF4' AND upper(action) = 'T' AND ts_event >= TIMESTAMP '{_WINDOW[0]}' AND ts_event < TIMESTAMP '{_WINDOW[1]}'"))(lambda s, d: market.day_window(tape_book(s, d), "AAF4", *_WINDOW).select("sequence", "ts_event", "price_ticks"))
 query("src_book_mid", S.with_(T, then="SELECT ts_event, sequence, (bid_px_00 + ask_px_00) / 2 AS mid, round_even((bid_px_00 + ask_px_00) / 2 / 0.125, 0)::BIGINT AS price_ticks FROM book WHERE bid_px_00 > 0 AND ask_px_00 > 0"))(lambda s, d: market.book_mid(tape_book(s, d)).select("ts_event", "sequence", "mid", "price_ticks"))
 _DIRTY = "dirty AS (SELECT ts_event, sequence, CASE WHEN sequence % 103 = 0 THEN NULL WHEN sequence % 97 = 0 THEN price + 0.10 ELSE price END AS price, CASE WHEN sequence % 101 = 0 THEN 0 ELSE size END AS size, side FROM signed)"
 _GRID = "price IS NOT NULL AND price::VARCHAR::DECIMAL(38,18) % 0.25 = 0"
 query("norm_trades", S.with_(T, _DIRTY, then=f"SELECT ts_event, sequence, (price / 0.25)::BIGINT AS price_ticks, size, side FROM dirty WHERE {_GRID} AND size > 0"))(lambda s, d: market.normalize_trades(tape_dirty(s, d))[0])
-query("norm_quotes", S.with_(T, then="SELECT ts_event, sequence, bid_ticks, ask_ticks FROM quotes"))(_quotes)
+query("norm_quotes", S.with_(T, then="SELECT * FROM quotes"))(lambda s, d: market.normalize_quotes(tape_book(s, d))[0])
 query("norm_ts_kinds", S.with_(T, then="SELECT sequence, ts_event AS from_nanos, ts_event AS from_text, NULL::TIMESTAMP AS from_naive_text FROM tape"))(
     lambda s, d: tape_events(s, d).select("sequence", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts_event) * 1000 + 999").alias("ns"), F.date_format("ts_event", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t")).select("sequence", ticks.from_nanos(F.col("ns")).alias("from_nanos"), ticks.from_iso(F.concat("t", F.lit("+00:00"))).alias("from_text"), ticks.from_iso(F.col("t")).alias("from_naive_text"))
 )
 query("norm_price_grid", S.with_(T, _DIRTY, then=f"SELECT sequence, CASE WHEN {_GRID} THEN (price / 0.25)::BIGINT END AS price_ticks FROM dirty"))(lambda s, d: tape_dirty(s, d).select("sequence", ticks.exact_ticks(F.col("price")).alias("price_ticks")))
 query("norm_price_rint", S.with_(T, then="SELECT sequence, round_even((price + 0.125) / 0.25, 0)::BIGINT AS price_ticks FROM signed"))(lambda s, d: tape_events(s, d).select("sequence", ticks.nearest_ticks(F.col("price") + 0.125).alias("price_ticks")))
-query("norm_provider_messages", S.with_(T, then="SELECT ts_event, price_ticks, size, side FROM tape"))(
-    lambda s, d: market.provider_trades(tape_events(s, d).select(F.to_json(F.struct(F.concat(F.date_format("ts_event", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("ts_event"), F.when(F.col("sequence") % 2 == 0, F.col("price_ticks")).alias("price_ticks"), F.col("price").alias("px"), F.col("size").alias("qty"), F.lower("side").alias("side"))).alias("message")))
-)
+_PROVIDED = """pt AS (SELECT *, sequence % 97 = 0 OR sequence % 83 = 0 OR (sequence % 2 = 1 AND sequence % 89 = 0) AS bad FROM tape),
+pq AS (SELECT *, sequence % 97 = 0 OR sequence % 79 = 0 OR sequence % 73 = 0 AS bad FROM tape)"""
+query("norm_provider_messages", S.with_(T, _PROVIDED, then="SELECT ts_event, 0::BIGINT AS sequence, 'trade' AS kind, price_ticks, size, side, NULL::BIGINT AS bid_ticks, NULL::BIGINT AS ask_ticks, NULL::BIGINT AS bid_size, NULL::BIGINT AS ask_size FROM pt WHERE NOT bad UNION ALL SELECT ts_event, 0, 'quote', NULL, NULL, NULL, price_ticks - 1, price_ticks + 2, size, 0 FROM pq WHERE NOT bad"))(lambda s, d: market.provider_events(tape_messages(s, d))[0])
+query("dq_provider_errors", S.with_(T, _PROVIDED, then="SELECT 'provider_error' AS code, (SELECT count(*) FROM pt WHERE bad) + (SELECT count(*) FROM pq WHERE bad) AS n"))(lambda s, d: market.provider_events(tape_messages(s, d))[1].groupBy("code").agg(F.count("*").alias("n")))
+_BADBOOK = "CASE WHEN sequence % 101 = 0 THEN 'invalid_timestamp' WHEN sequence % 89 = 0 THEN 'invalid_price' END"
+query("dq_quote_warnings", S.with_(T, then=f"SELECT {_BADBOOK} AS code, 'warning' AS severity, count(*) AS n FROM tape WHERE sequence % 83 <> 0 AND {_BADBOOK} IS NOT NULL GROUP BY 1"))(lambda s, d: market.normalize_quotes(tape_dirty_book(s, d).where("ask_px_00 is not null"))[1].groupBy("code", "severity").agg(F.count("*").alias("n")))
+query("dq_book_warnings", S.with_(T, then=f"SELECT ts_event, kind, code FROM (SELECT CASE WHEN sequence % 101 <> 0 THEN ts_event END AS ts_event, 'trade' AS kind, CASE WHEN sequence % 101 = 0 THEN 'invalid_timestamp' END AS code FROM book WHERE action = 'T' UNION ALL SELECT CASE WHEN sequence % 101 <> 0 THEN ts_event END, 'quote', {_BADBOOK} FROM book WHERE sequence % 83 <> 0) WHERE code IS NOT NULL"))(lambda s, d: market.book_events(tape_dirty_book(s, d))[1].select("ts_event", F.element_at(F.split("message", " "), 1).alias("kind"), "code"))
 _TEXTS = "CASE sequence % 4 WHEN 0 THEN 'cannot open /data/feeds/' || sequence || '.parquet, retry' WHEN 1 THEN 'token = abc' || sequence || '; next' WHEN 2 THEN 'C:\\feeds\\day' || sequence || ' missing' ELSE 'row ' || sequence || ' has no password' END"
 query("dq_redact_text", S.with_(T, then=f"SELECT sequence, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '[A-Za-z]:\\\\[^\\s,;]+', '<path>', 'g'), '/(?:[^\\s,;]+/)+[^\\s,;]+', '<path>', 'g'), '(?i)(secret|token|password|api[_-]?key)\\s*[:=]\\s*[^\\s,;]+', '<redacted>', 'g'), '(?i)secret|token|password|api[_-]?key', '<redacted>', 'g') AS message FROM (SELECT sequence, {_TEXTS} AS m FROM tape)"))(lambda s, d: tape_events(s, d).select("sequence", ticks.redact(F.expr(_TEXTS.replace("\\", "\\\\"))).alias("message")))
-query("dq_warning_counts", S.with_(T, _DIRTY, then=f"SELECT CASE WHEN NOT ({_GRID}) THEN 'invalid_price' ELSE 'invalid_record' END AS code, 'warning' AS severity, count(*) AS n FROM dirty WHERE NOT ({_GRID}) OR size <= 0 GROUP BY 1"))(lambda s, d: market.normalize_trades(tape_dirty(s, d))[1].groupBy("code", "severity").agg(F.count("*").alias("n")))
+_META = "CASE sequence % 3 WHEN 0 THEN 'path' WHEN 1 THEN 'api_key' ELSE 'note' END"
+_CLEAN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[A-Za-z]:\\\\[^\\s,;]+', '<path>', 'g'), '/(?:[^\\s,;]+/)+[^\\s,;]+', '<path>', 'g'), '(?i)(secret|token|password|api[_-]?key)\\s*[:=]\\s*[^\\s,;]+', '<redacted>', 'g'), '(?i)secret|token|password|api[_-]?key', '<redacted>', 'g')"
+query("dq_redact_metadata", S.with_(T, then=f"SELECT sequence, CASE WHEN sequence % 3 = 1 THEN '<redacted_key>' ELSE {_META} END AS key, {_CLEAN.format('m')} AS value FROM (SELECT sequence, {_TEXTS} AS m FROM tape)"))(lambda s, d: tape_events(s, d).select("sequence", F.explode(ticks.redact_metadata(F.create_map(F.expr(_META), F.expr(_TEXTS.replace("\\", "\\\\")))))).select("sequence", "key", "value"))
+_SOURCES = "CASE sequence % 3 WHEN 0 THEN 'feeds/day' || sequence || '.parquet' WHEN 1 THEN '/data/feeds/day' || sequence || '.parquet' ELSE 'feed' || sequence END"
+query("dq_safe_source", S.with_(T, then="SELECT sequence, CASE sequence % 3 WHEN 0 THEN 'day' || sequence || '.parquet' WHEN 1 THEN '<path>' ELSE 'feed' || sequence END AS source FROM tape"))(lambda s, d: tape_events(s, d).select("sequence", ticks.safe_source(F.expr(_SOURCES)).alias("source")))
+_LATE = "SELECT sequence, ts_event, was AS accepted_ts FROM (SELECT *, {0} OVER (ORDER BY arrival ROWS BETWEEN {1} PRECEDING AND 1 PRECEDING) AS was FROM arr2) WHERE ts_event < was"
+_ARRIVAL = "arr AS (SELECT *, sequence + CASE WHEN sequence % 13 = 0 THEN 5 ELSE 0 END AS arrival FROM signed), arr2 AS (SELECT ts_event, sequence, price_ticks, side, row_number() OVER (ORDER BY arrival, sequence) - 1 AS arrival FROM arr)"
+query("dq_warning_counts", S.with_(T, _DIRTY, _ARRIVAL, _PROVIDED, then=f"SELECT CASE WHEN NOT ({_GRID}) THEN 'invalid_price' ELSE 'invalid_record' END AS code, 'warning' AS severity, count(*) AS n FROM dirty WHERE NOT ({_GRID}) OR size <= 0 GROUP BY 1 UNION ALL SELECT 'timestamp_regression', 'warning', count(*) FROM ({_LATE.format('max(ts_event)', 'UNBOUNDED')}) UNION ALL SELECT 'provider_error', 'warning', (SELECT count(*) FROM pt WHERE bad) + (SELECT count(*) FROM pq WHERE bad)"))(
+    lambda s, d: market.normalize_trades(tape_dirty(s, d))[1].unionByName(ordering.regression_notes(ordering.regressions(_arrivals(s, d), "arrival", 4096))).unionByName(market.provider_events(tape_messages(s, d))[1]).groupBy("code", "severity").agg(F.count("*").alias("n"))
+)
 
 # Order
 query("ord_side_signed", S.with_(T, then="SELECT sequence, side_signed FROM signed"))(lambda s, d: tape_events(s, d).select("sequence", ticks.side_signed(F.col("price_ticks"), F.col("side")).alias("side_signed")))
+# Trades that tie in instant and number: price, side and size decide.
 _RANK = "row_number() OVER (ORDER BY ts_event, sequence, side_signed, size)::BIGINT"
-query("ord_canonical_rank", S.with_(T, then=f"SELECT sequence, {_RANK} AS rank FROM signed"))(lambda s, d: ordering.canonical_rank(tape_events(s, d)).select("sequence", F.col("rank").cast("long").alias("rank")))
+query("ord_canonical_rank", S.with_(T, S.TIES, then=f"SELECT ts_event, sequence, side_signed, size, {_RANK} AS rank FROM ties"))(lambda s, d: ordering.canonical_rank(tape_ties(s, d)).select("ts_event", "sequence", ticks.side_signed(F.col("price_ticks"), F.col("side")).alias("side_signed"), "size", F.col("rank").cast("long").alias("rank")))
 query("ord_sorted_tape", S.with_(T, then=f"SELECT ts_event, sequence, price_ticks, size, side, {_RANK} AS rank FROM signed"))(lambda s, d: ordering.canonical_rank(tape_events(s, d)).select("ts_event", "sequence", "price_ticks", "size", "side", F.col("rank").cast("long").alias("rank")))
-# Arrival swaps neighbours, so some rows come late.
-_ARRIVAL = "arr AS (SELECT *, sequence + CASE WHEN sequence % 13 = 0 THEN 5 ELSE 0 END AS arrival FROM signed), arr2 AS (SELECT ts_event, sequence, price_ticks, side, row_number() OVER (ORDER BY arrival, sequence) - 1 AS arrival FROM arr)"
 
 
+# Arrival swaps neighbours, so some rows come late.
 def _arrivals(s: SparkSession, d: str) -> DataFrame:
     late = tape_events(s, d).withColumn("arrival", F.col("sequence") + F.when(F.col("sequence") % 13 == 0, 5).otherwise(0))
     return ordering.rank_in_order(late, [F.col("arrival"), F.col("sequence")], F.floor(F.col("arrival") / 4096), "rank").withColumn("arrival", F.col("rank") - 1).drop("rank")
 
 
-query("ord_ts_regressions", S.with_(T, _ARRIVAL, then="SELECT sequence, ts_event, was AS accepted_ts FROM (SELECT *, max(ts_event) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM arr2) WHERE ts_event < was"))(lambda s, d: ordering.regressions(_arrivals(s, d), "arrival", 4096).select("sequence", "ts_event", "accepted_ts"))
+query("ord_ts_regressions", S.with_(T, _ARRIVAL, then=_LATE.format("max(ts_event)", "UNBOUNDED")))(lambda s, d: ordering.regressions(_arrivals(s, d), "arrival", 4096).select("sequence", "ts_event", "accepted_ts"))
+query("ord_ts_regressions_processed", S.with_(T, _ARRIVAL, then=_LATE.format("max(ts_event)", "1")))(lambda s, d: ordering.regressions(_arrivals(s, d), "arrival", 4096, processed=True).select("sequence", "ts_event", "accepted_ts"))
 query("ord_inversion_count", S.with_(T, _ARRIVAL, then="SELECT coalesce(sum((ts_event < was)::BIGINT), 0)::BIGINT AS inversions, count(*) AS n_rows FROM (SELECT *, lag(ts_event) OVER (ORDER BY arrival) AS was FROM arr2)"))(lambda s, d: ordering.inversions(_arrivals(s, d), "arrival", 4096))
 query("ord_sweep_breakdown", S.with_(T, "st AS (SELECT date_trunc('hour', ts_event) AS h, sequence, price_ticks, side, price_ticks - lag(price_ticks) OVER (PARTITION BY date_trunc('hour', ts_event) ORDER BY sequence) AS dd FROM tape), g AS (SELECT h, count(DISTINCT price_ticks) AS n_prices, count(DISTINCT side) AS n_sides, min(dd) AS lo, max(dd) AS hi FROM st GROUP BY 1)", then="SELECT CASE WHEN lo >= 0 THEN 'ascending' WHEN hi <= 0 THEN 'descending' ELSE 'non_monotone' END AS shape, n_sides > 1 AS mixed_side, count(*) AS n FROM g WHERE n_prices > 1 GROUP BY 1, 2"))(lambda s, d: ordering.sweeps(tape_events(s, d).withColumn("h", F.date_trunc("hour", "ts_event")), ["h"], "sequence").groupBy("shape", "mixed_side").agg(F.count("*").alias("n")))
 query("lim_first_n_events", S.with_(T, then="SELECT ts_event, sequence, price_ticks FROM signed ORDER BY ts_event, sequence, side_signed, size LIMIT 100"))(lambda s, d: tape_events(s, d).orderBy(*ordering.canonical_key()).limit(100).select("ts_event", "sequence", "price_ticks"))
@@ -113,7 +130,10 @@ for _n in (1, 7, 147):
     query(f"bars_tick_{_n}", S.with_(T, S.bars(_n), then=f"SELECT {S.BAR_COLUMNS} FROM bars"))(lambda s, d, n=_n: _bars(s, d, n))
 query("bars_multi_timeframe", S.with_(T, S.bars(7, "b1"), S.bars(21, "b2"), S.bars(147, "b3"), then=" UNION ALL ".join(f"SELECT {S.BAR_COLUMNS} FROM b{i}" for i in (1, 2, 3))))(lambda s, d: _bars(s, d, (147, 7, 21, 7)))
 query("bars_partials_only", S.with_(T, B, then="SELECT bar_id, trade_count, close_reason FROM bars WHERE is_partial"))(lambda s, d: _bars(s, d).where("is_partial").select("bar_id", "trade_count", "close_reason"))
-query("bars_current_snapshot", S.with_(T, B, then="SELECT bar_id, trade_count, NULL::VARCHAR AS close_reason FROM bars WHERE NOT is_complete AND trading_day = (SELECT max(trading_day) FROM bars)"))(lambda s, d: bars.current_bars(_bars(s, d)).select("bar_id", "trade_count", "close_reason"))
+_SOME = (7, 11, 13, 147)
+query("bars_current_snapshot", S.with_(T, *[S.bars(n, f"f{n}") for n in _SOME], then=" UNION ALL ".join(f"SELECT bar_id, trade_count, NULL::VARCHAR AS close_reason FROM f{n} WHERE NOT is_complete AND trading_day = (SELECT max(trading_day) FROM f{n})" for n in _SOME)))(lambda s, d: bars.current_bars(_bars(s, d, _SOME)).select("bar_id", "trade_count", "close_reason"))
+query("bars_ties", S.with_(T, S.TIES, S.bars(7, source="numt"), then=f"SELECT {S.BAR_COLUMNS} FROM bars"))(lambda s, d: bars.tick_bars(tape_ties(s, d), N, EASTERN))
+query("bars_lineitem_147", S.with_(S.TAPE_LINEITEM, S.bars(147), then=f"SELECT {S.BAR_COLUMNS} FROM bars"))(lambda s, d: bars.tick_bars(tape_lineitem(s, d), 147, EASTERN))
 _CONT = "crn AS (SELECT *, row_number() OVER (ORDER BY ts_event, sequence, side_signed, size) - 1 AS g FROM signed), cont AS (SELECT g // 7 AS bar_index, min(ts_event) AS open_ts, max(ts_event) AS close_ts, min_by(price_ticks, g) AS open_ticks, max(price_ticks) AS high_ticks, min(price_ticks) AS low_ticks, max_by(price_ticks, g) AS close_ticks, sum(size)::BIGINT AS volume, count(*)::BIGINT AS trade_count FROM crn GROUP BY 1 HAVING count(*) = 7)"
 query("bars_continuous", S.with_(T, _CONT, then="SELECT * FROM cont"))(lambda s, d: bars.continuous_bars(tape_events(s, d), N))
 query("bars_book_mid", S.with_(T, f"mid AS (SELECT ts_event, sequence, round_even((bid_px_00 + ask_px_00) / 2 / 0.125, 0)::BIGINT AS price_ticks, size, side FROM book), midn AS (SELECT *, {S.day(S.local('ts_event'))} AS trading_day, row_number() OVER (PARTITION BY {S.day(S.local('ts_event'))} ORDER BY ts_event, sequence, CASE WHEN side = 'B' THEN price_ticks ELSE -price_ticks END, size) - 1 AS rn FROM mid)", S.bars(7, source="midn"), then="SELECT bar_id, open_ticks, high_ticks, low_ticks, close_ticks, volume FROM bars"))(lambda s, d: bars.tick_bars(market.book_mid(tape_book(s, d)), N, EASTERN).select("bar_id", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume"))
@@ -124,8 +144,34 @@ query("bars_first_of_day_recompute", S.with_(T, then="SELECT trading_day, min_by
 query("runtime_snapshot", S.with_(T, B, then="SELECT (SELECT count(*) FROM bars WHERE is_complete) AS complete_bars, (SELECT count(*) FROM bars WHERE NOT is_complete AND trading_day = (SELECT max(trading_day) FROM bars)) AS forming_bars, (SELECT max(trading_day) FROM bars) AS trading_day, (SELECT max_by(bid_ticks, (ts_event, sequence)) FROM quotes) AS bid_ticks, (SELECT max_by(ask_ticks, (ts_event, sequence)) FROM quotes) AS ask_ticks"))(
     lambda s, d: _bars(s, d).withColumn("_last", F.lit(1)).groupBy("_last").agg(F.count(F.when(F.col("is_complete"), 1)).alias("complete_bars"), F.max("trading_day").alias("trading_day"), F.max(F.struct("trading_day", "bar_index", (~F.col("is_complete")).cast("long").alias("open"))).alias("m")).join(_quotes(s, d).groupBy(F.lit(1).alias("_last")).agg(F.max(F.struct("ts_event", "sequence", "bid_ticks", "ask_ticks")).alias("q")), "_last").select("complete_bars", F.col("m.open").alias("forming_bars"), "trading_day", F.col("q.bid_ticks").alias("bid_ticks"), F.col("q.ask_ticks").alias("ask_ticks"))
 )
-_JSON = "SELECT bar_id, to_json({'trading_day': trading_day, 'bar_index': bar_index, 'open_ticks': open_ticks, 'high_ticks': high_ticks, 'low_ticks': low_ticks, 'close_ticks': close_ticks, 'volume': volume, 'close_reason': close_reason})::VARCHAR AS json FROM bars"
-query("sink_bars_json", S.with_(T, B, then=_JSON))(lambda s, d: _bars(s, d).select("bar_id", F.to_json(F.struct("trading_day", "bar_index", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume", "close_reason")).alias("json")))
+_SINK = ("trading_day", "bar_index", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume", "close_reason")
+
+
+def _through_sink(s: SparkSession, d: str) -> DataFrame:
+    """Bars written as JSON lines and read back as they stand in the files."""
+    b = _bars(s, d).select("bar_id", *_SINK)
+    return sinks.read_json_lines(s, sinks.write_json_lines(b, sinks.scratch(s, "bars")), b.schema)
+
+
+query("sink_bars_json", S.with_(T, B, then=f"SELECT bar_id, {', '.join(_SINK)} FROM bars"))(_through_sink)
+
+# Streams, run to their end over the same tape, with a row that ends the last day
+_STATIC = (("mid", 17075.0, "LOW"), ("top", 17225.0, "HIGH"))
+_STATIC_SQL = "levels AS (SELECT DISTINCT trading_day, name, price::DOUBLE AS price, side, NULL::TIMESTAMP AS available_from, ordinal::INTEGER AS ordinal FROM bars, (VALUES ('mid', 17075.0, 'LOW', 0), ('top', 17225.0, 'HIGH', 1)) v(name, price, side, ordinal))"
+
+
+def _streamed(s: SparkSession, d: str, **settings) -> DataFrame:
+    t = tape_events(s, d).withColumns({"symbol": F.lit("AA"), "kind": F.lit("trade")}).drop("price")
+    end = t.agg(F.max("ts_event").alias("ts_event")).withColumns({"symbol": F.lit("AA"), "kind": F.lit("end")})
+    return runs.run_to_end(t.unionByName(end, allowMissingColumns=True), **settings)
+
+
+query("stream_bars", S.with_(T, S.bars(7, "b1"), S.bars(147, "b2"), then=" UNION ALL ".join(f"SELECT timeframe_ticks, trading_day, bar_index, open_ticks, high_ticks, low_ticks, close_ticks, volume, trade_count, close_reason FROM b{i}" for i in (1, 2))))(
+    lambda s, d: _streamed(s, d, sizes=(7, 147), own_levels=False).where("kind = 'bar'").select("timeframe_ticks", "trading_day", "bar_index", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume", "trade_count", "close_reason")
+)
+query("stream_touches", S.with_(T, B, _STATIC_SQL, Z, H, then="SELECT trading_day, bar_index, bar_ts, representative_price, direction, level_type FROM touches"))(
+    lambda s, d: _streamed(s, d, sizes=(7,), static_levels=_STATIC, own_levels=False).where("kind = 'touch'").select("trading_day", "bar_index", F.col("ts").alias("bar_ts"), "representative_price", "direction", "level_type")
+)
 
 # Levels and zones
 query("lvl_full_day_hl", S.with_(T, B, L, then="SELECT * FROM days"))(lambda s, d: levels.full_day(_bars(s, d)))
@@ -133,6 +179,16 @@ query("lvl_pdh_pdl", S.with_(T, B, L, then="SELECT * FROM prior"))(lambda s, d:
 query("lvl_session_hl", S.with_(T, B, L, then="SELECT * FROM sess"))(lambda s, d: levels.session_extremes(_bars(s, d), EASTERN))
 query("lvl_session_hl_trades", S.with_(T, then="SELECT trading_day, session, max(price_ticks) AS high_ticks, min(price_ticks) AS low_ticks FROM num GROUP BY 1, 2"))(lambda s, d: levels.session_extremes_of_trades(tape_events(s, d), EASTERN))
 query("lvl_level_set", S.with_(T, B, L, then="SELECT * FROM levels"))(lambda s, d: levels.level_set(_bars(s, d), EASTERN))
+_FIXED = "fixed AS (SELECT trading_day, 'weekly' AS name, 17100.0::DOUBLE AS price, 'HIGH' AS side, NULL::TIMESTAMP AS available_from, -1::INTEGER AS ordinal FROM days)"
+
+
+def _with_static(s: SparkSession, d: str) -> DataFrame:
+    b = _bars(s, d)
+    fixed = levels.full_day(b).select("trading_day", F.lit("weekly").alias("name"), F.lit(17100.0).alias("price"), F.lit("HIGH").alias("side"), F.lit(None).cast("timestamp_ntz").alias("available_from"), F.lit(-1).alias("ordinal"))
+    return levels.level_set(b, EASTERN, static=fixed)
+
+
+query("lvl_static_levels", S.with_(T, B, L, _FIXED, then="SELECT * FROM levels UNION ALL SELECT * FROM fixed"))(_with_static)
 _ZONES = "SELECT trading_day, zone_id, representative_price, array_to_string(names, ',') AS names, side, available_from, n_levels FROM zones"
 query("zone_build", S.with_(T, B, L, Z, then=_ZONES))(lambda s, d: _flat(_chain(s, d)[1].zones))
 query("zone_build_wide", S.with_(T, B, L, S.zones(12.0), then=_ZONES))(lambda s, d: _flat(zones.merge_levels(_chain(s, d)[1].levels, 12.0)))
@@ -168,6 +224,7 @@ def _feature(name: str, column: str):
 
 for _name, _column in _FEATS.items():
     _feature(_name, _column)
+query("feat_least_trades", S.with_(*TO_TOUCH, S.FEATURES, "many AS (SELECT trading_day, zone_id FROM inter GROUP BY 1, 2 HAVING count(*) >= 2)", then="SELECT * FROM feats JOIN many USING (trading_day, zone_id)"))(lambda s, d: (lambda c: features.touch_features(c[1].touches, c[0], _quotes(s, d), W, least_trades=2))(_chain(s, d)))
 query("feat_vector", S.with_(*TO_TOUCH, S.FEATURES, then="SELECT * FROM feats"))(_features)
 
 # Outcomes
@@ -193,6 +250,18 @@ def _honest(s: SparkSession, d: str) -> DataFrame:
 
 
 query("out_honest", S.with_(*TO_TOUCH, S.DECISIONS, then="SELECT * FROM honest"))(_honest)
+# A narrow fill window and an early cutoff, so that every reason occurs.
+_TIGHT = LabelPolicy(fill_tolerance_min=4, cutoff=time(13), flatten=time(14))
+
+
+def _tight(s: SparkSession, d: str) -> DataFrame:
+    t, c = _chain(s, d)
+    return outcomes.decision_outcomes(c.touches, c.bars, t, _TIGHT, EASTERN)
+
+
+_TIGHT_SQL = S.decisions(4, "13:00:00", 50400)
+query("out_honest_tight", S.with_(*TO_TOUCH, _TIGHT_SQL, then="SELECT * FROM honest"))(_tight)
+query("out_drop_counts_tight", S.with_(*TO_TOUCH, _TIGHT_SQL, then="SELECT coalesce(drop_reason, 'kept') AS reason, count(*) AS n FROM honest GROUP BY 1"))(lambda s, d: _tight(s, d).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n")))
 query("out_drop_counts", S.with_(*TO_TOUCH, S.DECISIONS, then="SELECT coalesce(drop_reason, 'kept') AS reason, count(*) AS n FROM honest GROUP BY 1"))(lambda s, d: _honest(s, d).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n")))
 query("out_class_balance", S.with_(*TO_TOUCH, S.DECISIONS, then="SELECT label, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 4) AS pct FROM honest WHERE label IS NOT NULL GROUP BY 1"))(lambda s, d: dataset.class_balance(_honest(s, d)))
 _ROWS = "SELECT t.trading_day, t.zone_id, bar_ts, representative_price, direction, level_type, entry_price, label, label_encoded, max_mfe, max_mae, bars_to_resolution, int_time_beyond_level, int_time_within_2pts, int_absorption_ratio, app_large_trade_vol_pct, app_avg_trade_size, app_max_spread FROM touches t JOIN honest USING (trading_day, zone_id) JOIN feats USING (trading_day, zone_id) WHERE drop_reason IS NULL AND label_encoded IS NOT NULL"

@@ -18,8 +18,6 @@ def session(local_ts: str, scheme: str = "ET") -> str:
     t = f"(epoch_us({local_ts}) % 86400000000 // 1000000)"
     if scheme == "CT":
         return f"CASE WHEN {t} >= 57600 AND {t} < 64800 THEN 'closed' WHEN {t} >= 64800 OR {t} < 7200 THEN 'asia' WHEN {t} >= 7200 AND {t} < 28800 THEN 'london' WHEN {t} >= 28800 AND {t} < 57600 THEN 'ny' ELSE 'none' END"
-    if scheme == "EARLIER":
-        return f"CASE WHEN {t} >= 64800 OR {t} < 3600 THEN 'asia' WHEN {t} >= 3600 AND {t} < 28800 THEN 'london' WHEN {t} >= 34200 AND {t} < 58500 THEN 'ny' ELSE 'none' END"
     return f"CASE WHEN {t} >= 68400 OR {t} < 9900 THEN 'asia' WHEN {t} >= 10800 AND {t} < 28800 THEN 'london' WHEN {t} >= 32400 AND {t} < 61200 THEN 'ny' ELSE 'none' END"
 
 
@@ -45,9 +43,21 @@ book AS (
     CASE WHEN sequence % 3 = 0 THEN 'T' ELSE 'A' END AS action,
     CASE WHEN sequence % 11 < 8 THEN 'AAF4' WHEN sequence % 11 < 10 THEN 'AAH4' ELSE 'AAF4-AAH4' END AS symbol,
     CASE WHEN sequence % 11 < 8 THEN 1 WHEN sequence % 11 < 10 THEN 2 ELSE 3 END::BIGINT AS instrument_id,
-    price - 0.25 AS bid_px_00, price + 0.25 * (1 + sequence % 3) AS ask_px_00
+    price - 0.25 AS bid_px_00, price + 0.25 * (1 + sequence % 3) AS ask_px_00, 1 + sequence % 9 AS bid_size, sequence % 7 AS ask_size
   FROM signed),
-quotes AS (SELECT ts_event, sequence, price_ticks - 1 AS bid_ticks, price_ticks + 1 + sequence % 3 AS ask_ticks FROM tape)"""
+quotes AS (SELECT ts_event, sequence, price_ticks - 1 AS bid_ticks, price_ticks + 1 + sequence % 3 AS ask_ticks, 1 + sequence % 9 AS bid_size, sequence % 7 AS ask_size FROM tape)"""
+
+#: The longer tape, as num.
+TAPE_LINEITEM = f"""
+li AS (
+  SELECT l_shipdate::TIMESTAMP + INTERVAL 1 SECOND * ((l_orderkey * 7919 + l_linenumber * 104729) % 86400) AS ts_event, l_orderkey * 8 + l_linenumber AS sequence, l_partkey, l_quantity::BIGINT AS size FROM lineitem),
+lim AS (SELECT *, epoch_us(ts_event) // 60000000 AS m FROM li),
+lip AS (SELECT ts_event, sequence, size, (68000 + abs(m % 1260 - 630) // 2 + abs(m % 4200 - 2100) // 6 + l_partkey % 25)::BIGINT AS price_ticks FROM lim),
+num AS (SELECT *, {day(local('ts_event'))} AS trading_day, row_number() OVER (PARTITION BY {day(local('ts_event'))} ORDER BY ts_event, sequence, -price_ticks, size) - 1 AS rn FROM lip)"""
+#: Trades that tie in instant and number, as numt.
+TIES = f"""
+ties AS (SELECT date_trunc('hour', ts_event) AS ts_event, sequence % 2 AS sequence, price_ticks, size, side, side_signed FROM signed),
+numt AS (SELECT *, {day(local('ts_event'))} AS trading_day, row_number() OVER (PARTITION BY {day(local('ts_event'))} ORDER BY ts_event, sequence, side_signed, size) - 1 AS rn FROM ties)"""
 
 BAR_COLUMNS = "timeframe_ticks, trading_day, bar_index, open_ts, close_ts, open_ticks, high_ticks, low_ticks, close_ticks, volume, trade_count, bar_id, is_complete, is_partial, close_reason"
 
@@ -154,14 +164,15 @@ def resolve(entries: str, name: str = "resolved", trap: float = 5.0, forced: boo
   FROM {name}_l GROUP BY 1, 2)"""
 
 
-DECISIONS = f"""
+def decisions(tolerance_min: int = 30, cutoff: str = "17:00:00", flatten_s: int = 60000) -> str:
+    return f"""
 dec AS (
-  SELECT trading_day, zone_id, direction, bar_ts + INTERVAL 5 MINUTE AS decision_ts, {utc("(trading_day + TIME '17:00:00')")} AS cutoff_ts FROM touches),
+  SELECT trading_day, zone_id, direction, bar_ts + INTERVAL 5 MINUTE AS decision_ts, {utc(f"(trading_day + TIME '{cutoff}')")} AS cutoff_ts FROM touches),
 early AS (
-  SELECT *, CASE WHEN epoch_us({local('decision_ts')}) % 86400000000 >= 60000000000 THEN 'flatten' WHEN decision_ts >= cutoff_ts THEN 'cutoff' END AS reason FROM dec),
+  SELECT *, CASE WHEN epoch_us({local('decision_ts')}) % 86400000000 >= {flatten_s} * 1000000::BIGINT THEN 'flatten' WHEN decision_ts >= cutoff_ts THEN 'cutoff' END AS reason FROM dec),
 fills AS (
   SELECT e.trading_day, zone_id, max_by(price_ticks, (x.ts_event, x.sequence, x.side_signed, x.size)) * 0.25::DOUBLE AS entry_price
-  FROM early e JOIN signed x ON x.ts_event <= decision_ts AND x.ts_event >= decision_ts - INTERVAL 30 MINUTE WHERE reason IS NULL GROUP BY 1, 2),
+  FROM early e JOIN signed x ON x.ts_event <= decision_ts AND x.ts_event >= decision_ts - INTERVAL {tolerance_min} MINUTE WHERE reason IS NULL GROUP BY 1, 2),
 entries AS (SELECT e.trading_day, zone_id, direction, entry_price, decision_ts AS after_ts, cutoff_ts AS before_ts FROM early e JOIN fills USING (trading_day, zone_id)),
 {resolve('entries').lstrip()},
 honest AS (
@@ -169,6 +180,9 @@ honest AS (
     coalesce(reason, CASE WHEN entry_price IS NULL THEN 'no_fill' WHEN label IS NULL THEN 'no_forward' END) AS drop_reason
   FROM early e LEFT JOIN fills USING (trading_day, zone_id) LEFT JOIN resolved USING (trading_day, zone_id))"""
 
+
+DECISIONS = decisions()
+
 BARS = bars(7)
 
 

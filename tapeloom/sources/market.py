@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ticks
@@ -14,7 +18,9 @@ SYMBOL, SEQUENCE = ("raw_symbol", "symbol"), ("sequence", "seq")
 TRADE_SCHEMAS = ("trades", "trade")
 BOOK_SCHEMAS = ("mbp-10", "mbp10", "cmbp-10", "cmbp10")
 TOP_SCHEMAS = ("mbp-1", "cmbp-1", "bbo", "cbbo", "tbbo")
+REQUIRED = {"trade": {"ts_event", "price", "size"}, "book": {"ts_event", "price", "size", "action"}, "top": {"ts_event"}}
 NOTES = "code string, message string, severity string, source string, ts_event timestamp_ntz"
+EVENTS = "ts_event timestamp_ntz, sequence long, kind string, price_ticks long, size long, side string, bid_ticks long, ask_ticks long, bid_size long, ask_size long"
 
 
 def first_of(df: DataFrame, names: tuple[str, ...]) -> Column | None:
@@ -39,26 +45,41 @@ def _sequence(df: DataFrame) -> Column:
     return F.coalesce(*have, F.lit(0).cast("long"))
 
 
-def normalize_trades(df: DataFrame, tick_size: float = 0.25) -> tuple[DataFrame, DataFrame]:
+def notes_of(rejected: DataFrame, message: str, severity: str = "warning", source: str | None = None) -> DataFrame:
+    """Notes about rejected rows (code, ts_event); source: a column that names where a row comes from, told without its folders."""
+    where = ticks.safe_source(F.col(source)) if source else F.lit(None).cast("string")
+    return rejected.select("code", F.lit(message).alias("message"), F.lit(severity).alias("severity"), where.alias("source"), "ts_event")
+
+
+def _split(judged: DataFrame, message: str, source: str | None) -> tuple[DataFrame, DataFrame]:
+    return judged.where("code is null").drop("code", "_source"), notes_of(judged.where("code is not null"), message, source=source and "_source")
+
+
+def normalize_trades(df: DataFrame, tick_size: float = 0.25, source: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(trades, notes). A row must have a time, a price on the grid and a whole positive size."""
     whole = dict(df.dtypes)["size"] in ("bigint", "int", "smallint", "tinyint")
     row = df.select(
         event_time(df).alias("ts_event"), _sequence(df).alias("sequence"), ticks.exact_ticks(F.col("price"), tick_size).alias("price_ticks"),
         (F.col("size").cast("long") if whole else F.lit(None).cast("long")).alias("size"),
         (F.upper("side") if "side" in df.columns else F.lit(None).cast("string")).alias("side"),
+        (F.col(source) if source else F.lit(None).cast("string")).alias("_source"),
     )
     code = F.when(F.col("ts_event").isNull(), "invalid_timestamp").when(F.col("price_ticks").isNull(), "invalid_price").when(F.coalesce(F.col("size") <= 0, F.lit(True)), "invalid_record")
-    judged = row.withColumn("code", code)
-    return judged.where("code is null").drop("code"), judged.where("code is not null").select("code", F.lit("trade record rejected").alias("message"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("source"), "ts_event")
+    return _split(row.withColumn("code", code), "trade record rejected", source)
 
 
-def normalize_quotes(df: DataFrame, tick_size: float = 0.25) -> DataFrame:
-    """Top of book; rows without a time, or a side that is null or off the grid, are left out."""
+def normalize_quotes(df: DataFrame, tick_size: float = 0.25, source: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(quotes, notes) of the top of book. A row must have a time, and both sides on the grid; sizes default to 0."""
     bid, ask = first_of(df, BID), first_of(df, ASK)
     if bid is None or ask is None:
         raise ValueError("quotes need a bid and an ask column")
-    size = lambda names: F.coalesce(*[x.cast("long") for x in [first_of(df, names)] if x is not None], F.lit(0).cast("long"))
-    return df.select(event_time(df).alias("ts_event"), _sequence(df).alias("sequence"), ticks.exact_ticks(bid, tick_size).alias("bid_ticks"), ticks.exact_ticks(ask, tick_size).alias("ask_ticks"), size(BID_SIZE).alias("bid_size"), size(ASK_SIZE).alias("ask_size")).where("ts_event is not null and bid_ticks is not null and ask_ticks is not null")
+    size = lambda names: F.coalesce(*[x.try_cast("long") for x in [first_of(df, names)] if x is not None], F.lit(0).cast("long"))
+    row = df.select(
+        event_time(df).alias("ts_event"), _sequence(df).alias("sequence"), ticks.exact_ticks(bid, tick_size).alias("bid_ticks"), ticks.exact_ticks(ask, tick_size).alias("ask_ticks"),
+        size(BID_SIZE).alias("bid_size"), size(ASK_SIZE).alias("ask_size"), (F.col(source) if source else F.lit(None).cast("string")).alias("_source"),
+    )
+    code = F.when(F.col("ts_event").isNull(), "invalid_timestamp").when(F.col("bid_ticks").isNull() | F.col("ask_ticks").isNull(), "invalid_price")
+    return _split(row.withColumn("code", code), "quote record rejected", source)
 
 
 def outright(df: DataFrame) -> DataFrame:
@@ -85,11 +106,26 @@ def only_front_month(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return df.join(front, [*by, "instrument_id"], "left_semi")
 
 
-def book_events(df: DataFrame, tick_size: float = 0.25) -> DataFrame:
-    """Book rows fanned out to typed events: a trade for action T, and a quote if the top is known."""
-    trades = normalize_trades(df.where(F.upper("action").isin("T", "TRADE")), tick_size)[0]
-    quotes = normalize_quotes(df, tick_size)
-    return trades.select("ts_event", "sequence", F.lit("trade").alias("kind"), "price_ticks", "size", "side", F.lit(None).cast("long").alias("bid_ticks"), F.lit(None).cast("long").alias("ask_ticks")).unionByName(quotes.select("ts_event", "sequence", F.lit("quote").alias("kind"), "bid_ticks", "ask_ticks"), allowMissingColumns=True)
+def day_window(df: DataFrame, symbol: str, start: str, end: str) -> DataFrame:
+    """Trades of one symbol in a book within [start, end) of event time (UTC), with a positive price."""
+    inside = (F.col("ts_event") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts_event") < F.lit(end).cast("timestamp_ntz"))
+    return df.where((F.col("symbol") == symbol) & F.upper("action").isin("T", "TRADE") & (F.col("price") > 0) & inside)
+
+
+def typed(events: DataFrame, kind: str) -> DataFrame:
+    """events with all columns of EVENTS, those that a kind lacks null."""
+    have = set(events.columns)
+    return events.select(*[F.lit(kind).alias("kind") if n == "kind" else (F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in EVENTS.split(", "))])
+
+
+def book_events(df: DataFrame, tick_size: float = 0.25, source: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, notes) of book rows fanned out: a trade for action T, and a quote if both sides are known."""
+    trades, bad_trades = normalize_trades(df.where(F.upper("action").isin("T", "TRADE")), tick_size, source)
+    bid, ask = first_of(df, BID), first_of(df, ASK)
+    if bid is None or ask is None:
+        return typed(trades, "trade"), bad_trades
+    quotes, bad_quotes = normalize_quotes(df.where(bid.isNotNull() & ask.isNotNull()), tick_size, source)
+    return typed(trades, "trade").unionByName(typed(quotes, "quote")), bad_trades.unionByName(bad_quotes)
 
 
 def book_mid(df: DataFrame) -> DataFrame:
@@ -98,24 +134,59 @@ def book_mid(df: DataFrame) -> DataFrame:
     return both.select("ts_event", "sequence", ((F.col("bid_px_00") + F.col("ask_px_00")) / 2).alias("mid"), ticks.nearest_ticks((F.col("bid_px_00") + F.col("ask_px_00")) / 2, 0.125).alias("price_ticks"), "size", "side")
 
 
+def feed_kind(schema: str) -> str | None:
+    name = schema.lower()
+    return "trade" if name in TRADE_SCHEMAS else "book" if name in BOOK_SCHEMAS else "top" if name in TOP_SCHEMAS else None
+
+
+def missing_columns(columns: list[str], kind: str) -> list[str]:
+    """What a file of a kind lacks; a top-of-book file needs one name of each side."""
+    have = set(columns)
+    lacks = sorted(REQUIRED[kind] - have)
+    return lacks + [names[0] for names in (BID, ASK) if not have & set(names)] if kind == "top" else lacks
+
+
 def read_events(spark: SparkSession, paths: list[str], schema: str, start=None, end=None, front_month_only: bool = False, tick_size: float = 0.25) -> tuple[DataFrame, DataFrame]:
-    """(events, notes) of parquet files of one feed schema, [start, end) by event time, front month by file."""
-    name, empty = schema.lower(), spark.createDataFrame([], NOTES)
-    note = lambda code, message: spark.createDataFrame([(code, message, "error", None, None)], NOTES)
-    df = spark.read.parquet(*paths)
-    need = {"ts_event", "price", "size"} if name in TRADE_SCHEMAS else {"ts_event", "price", "size", "action"} if name in BOOK_SCHEMAS else {"ts_event"}
-    if name not in (*TRADE_SCHEMAS, *BOOK_SCHEMAS, *TOP_SCHEMAS):
-        return spark.createDataFrame([], "ts_event timestamp_ntz"), note("unsupported_schema", "schema is not supported")
-    if missing := need - set(df.columns):
-        return spark.createDataFrame([], "ts_event timestamp_ntz"), note("missing_required_column", ", ".join(sorted(missing)))
-    df = outright(df)
-    if front_month_only and "instrument_id" in df.columns:
-        df = only_front_month(df.withColumn("_file", F.input_file_name()), ("_file",)).drop("_file")
-    notes = empty
-    if name in TRADE_SCHEMAS:
-        events, notes = normalize_trades(df, tick_size)
-    else:
-        events = book_events(df, tick_size) if name in BOOK_SCHEMAS else normalize_quotes(df, tick_size)
+    """(events, notes) of parquet files of one feed schema, [start, end) by event time, front month by file.
+
+    Each file's footer is read first. A file that can't be opened or lacks a column is noted as an error
+    and left out, the others are read; a file whose pages turn out to be corrupt is skipped by Spark from there on.
+    """
+    note = lambda rows: spark.createDataFrame([(code, message, "error", None, None, source) for code, message, source in rows], NOTES + ", path string").withColumn("source", ticks.safe_source(F.col("path"))).drop("path")
+    none = spark.createDataFrame([], EVENTS)
+    kind = feed_kind(schema)
+    if kind is None:
+        return none, note([("unsupported_schema", "schema is not supported", None)])
+
+    def opened(path: str) -> tuple[DataFrame | None, tuple[str, str, str] | None]:
+        try:
+            df = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+            if not df.columns:
+                raise ValueError("no columns")
+        except (PySparkException, ValueError) as e:
+            return None, ("invalid_record", f"could not open file: {type(e).__name__}", path)
+        lacks = missing_columns(df.columns, kind)
+        return (None, ("missing_required_column", f"missing {', '.join(lacks)}", path)) if lacks else (df, None)
+
+    with ThreadPoolExecutor(16) as pool:
+        files = list(pool.map(opened, paths))
+    notes = note([n for _, n in files if n])
+    parts = []
+    for df in (d for d, _ in files if d is not None):
+        df = outright(df.withColumn("_file", F.input_file_name()))
+        if front_month_only and "instrument_id" in df.columns:
+            df = only_front_month(df, ("_file",))
+        if kind == "trade":
+            good, bad = normalize_trades(df, tick_size, "_file")
+            good = typed(good, "trade")
+        elif kind == "book":
+            good, bad = book_events(df, tick_size, "_file")
+        else:
+            good, bad = normalize_quotes(df, tick_size, "_file")
+            good = typed(good, "quote")
+        parts.append(good)
+        notes = notes.unionByName(bad)
+    events = reduce(DataFrame.unionByName, parts) if parts else none
     if start is not None:
         events = events.where(F.col("ts_event") >= F.lit(start).cast("timestamp_ntz"))
     if end is not None:
@@ -123,16 +194,36 @@ def read_events(spark: SparkSession, paths: list[str], schema: str, start=None,
     return events, notes
 
 
-def provider_trades(messages: DataFrame, column: str = "message", tick_size: float = 0.25) -> DataFrame:
-    """Trades of JSON messages; an explicit price_ticks wins over price; size or qty must be positive."""
-    j = lambda *names: F.coalesce(*[F.get_json_object(column, f"$.{n}") for n in names])
-    ns = j("ts_event", "ts")
-    ts = F.when(ns.rlike(r"^-?\d+$"), ticks.from_nanos(ns.try_cast("long"))).otherwise(ticks.from_iso(ns))
-    price = F.coalesce(j("price_ticks").try_cast("long"), ticks.exact_ticks(j("price", "px"), tick_size))
-    row = messages.select(ts.alias("ts_event"), price.alias("price_ticks"), j("size", "qty").try_cast("long").alias("size"), F.upper(j("side")).alias("side"))
-    return row.where("ts_event is not null and price_ticks is not null and size > 0")
+def provider_events(messages: DataFrame, tick_size: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """(events, notes) of JSON messages (schema, message) of a provider.
+
+    Explicit ticks win over prices; a trade's size (or qty) must be positive; quote sizes default to 0. A message that
+    can't be read, or of another schema than trades and top of book, is a provider_error.
+    """
+    j = lambda *names: F.coalesce(*[F.get_json_object("message", f"$.{n}") for n in names])
+    at = j("ts_event", "event_ts_utc", "ts")
+    price = lambda explicit, *names: F.coalesce(j(explicit).try_cast("long"), ticks.exact_ticks(j(*names), tick_size))
+    whole = lambda *names: F.coalesce(j(*names).try_cast("long"), F.when(j(*names).isNull(), F.lit(0).cast("long")))
+    name = F.lower("schema")
+    kind = F.when(name.isin(*TRADE_SCHEMAS), "trade").when(name.isin(*TOP_SCHEMAS), "quote")
+    row = messages.select(
+        F.when(at.rlike(r"^-?\d+$"), ticks.from_nanos(at.try_cast("long"))).otherwise(ticks.from_iso(at)).alias("ts_event"), F.lit(0).cast("long").alias("sequence"), kind.alias("kind"),
+        price("price_ticks", "price", "px").alias("price_ticks"), j("size", "qty").try_cast("long").alias("size"), F.upper(j("side")).alias("side"),
+        price("bid_price_ticks", *BID[1:]).alias("bid_ticks"), price("ask_price_ticks", *ASK[1:]).alias("ask_ticks"), whole(*BID_SIZE).alias("bid_size"), whole(*ASK_SIZE).alias("ask_size"),
+    )
+    trade = F.col("price_ticks").isNotNull() & (F.col("size") > 0)
+    quote = F.col("bid_ticks").isNotNull() & F.col("ask_ticks").isNotNull() & F.col("bid_size").isNotNull() & F.col("ask_size").isNotNull()
+    fine = F.coalesce(F.col("ts_event").isNotNull() & ((F.col("kind") == "trade") & trade | (F.col("kind") == "quote") & quote), F.lit(False))
+    only = lambda k, *names: {n: F.when(F.col("kind") == k, F.col(n)) for n in names}
+    good = row.where(fine).withColumns(only("trade", "price_ticks", "size", "side") | only("quote", "bid_ticks", "ask_ticks", "bid_size", "ask_size"))
+    return typed_columns(good), notes_of(row.where(~fine).withColumn("code", F.lit("provider_error")), "provider message could not be normalised")
+
+
+def typed_columns(events: DataFrame) -> DataFrame:
+    return events.select(*[c.split()[0] for c in EVENTS.split(", ")])
 
 
 def latest_quotes(quotes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc("ts_event"), F.desc("sequence"))
-    return quotes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last quote of each group, by an aggregate that is combined before the shuffle."""
+    rest = [c for c in quotes.columns if c not in (*by, "ts_event", "sequence")]
+    return quotes.groupBy(*by).agg(F.max(F.struct("ts_event", "sequence", *rest)).alias("q")).select(*by, "q.*")

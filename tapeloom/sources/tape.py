@@ -31,9 +31,15 @@ def tape_book(spark: SparkSession, sf_dir: str) -> DataFrame:
         "instrument_id": F.when(k < 8, 1).when(k < 10, 2).otherwise(3).cast("long"),
         "bid_px_00": F.col("price") - 0.25, "ask_px_00": F.col("price") + 0.25 * (1 + F.col("sequence") % 3),
         "size": F.when((k >= 8) & (k < 10), F.col("size") * 10).otherwise(F.col("size")),
+        "bid_sz_00": 1 + F.col("sequence") % 9, "ask_sz_00": F.when(F.col("sequence") % 7 > 0, F.col("sequence") % 7),
     })
 
 
+def tape_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of which many share the instant and the number, so that only the whole key orders them."""
+    return tape_events(spark, sf_dir).withColumns({"ts_event": F.date_trunc("hour", "ts_event").cast("timestamp_ntz"), "sequence": F.col("sequence") % 2})
+
+
 def tape_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades some of which are off the grid, without size or without a price."""
     t, s = tape_events(spark, sf_dir), F.col("sequence")
@@ -41,6 +47,25 @@ def tape_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumns({"price": price, "size": F.when(s % 101 == 0, 0).otherwise(F.col("size"))}).drop("price_ticks")
 
 
+def tape_dirty_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Book rows of which some have a side off the grid, one side only, or no time."""
+    b, s = tape_book(spark, sf_dir), F.col("sequence")
+    return b.withColumns({
+        "bid_px_00": F.when(s % 89 == 0, F.col("bid_px_00") + 0.07).otherwise(F.col("bid_px_00")), "ask_px_00": F.when(s % 83 == 0, None).otherwise(F.col("ask_px_00")),
+        "ts_event": F.when(s % 101 == 0, None).otherwise(F.col("ts_event")),
+    }).drop("price_ticks")
+
+
+def tape_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON messages (schema, message) of trades and quotes, some of which no reader should take."""
+    t, s = tape_events(spark, sf_dir), F.col("sequence")
+    at = F.concat(F.date_format("ts_event", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.when(s % 97 == 0, "").otherwise("Z")).alias("ts_event")
+    trade = F.struct(at, F.when(s % 2 == 0, F.col("price_ticks")).alias("price_ticks"), F.when(s % 89 == 0, F.col("price") + 0.1).otherwise(F.col("price")).alias("px"), F.when(s % 83 == 0, 0).otherwise(F.col("size")).alias("qty"), F.lower("side").alias("side"))
+    quote = F.struct(at, F.when(s % 2 == 1, F.col("price_ticks") - 1).alias("bid_price_ticks"), (F.col("price") - 0.25).alias("bid"), F.when(s % 79 > 0, F.col("price") + 0.5).alias("ask_px"), F.col("size").alias("bid_sz"))
+    kinds = F.array(F.struct(F.lit("Trades").alias("schema"), F.to_json(trade).alias("message")), F.struct(F.when(s % 73 == 0, "mbo").otherwise("mbp-1").alias("schema"), F.to_json(quote).alias("message")))
+    return t.select(F.explode(kinds).alias("m")).select("m.*")
+
+
 def tape_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A longer tape for benchmarks; rows that tie in all columns are equal, so their order has no effect."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")

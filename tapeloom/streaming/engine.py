@@ -1,28 +1,37 @@
-"""Bars, levels, zones and touches from a stream, with state by symbol.
+"""Bars, levels, zones and touches from a stream of typed events, with state by symbol.
 
 The state processor is Python, as no built-in streaming operator counts trades into bars. Rows
-of a micro-batch are sorted in canonical order first; rows that come in a later batch are processed
-as they come, never dropped, and flagged if they are earlier than what was seen (no watermark
-discards anything). With static levels the results equal the batch operators'.
+of a micro-batch are sorted in canonical order first; rows that come in a later batch are never discarded
+by a watermark: a trade earlier than what was accepted is noted, and processed or dropped as asked.
+With static levels alone, and an `end` row after the last trade, bars and touches equal the batch operators'.
+
+All rows that a symbol has in a micro-batch are sorted in one task, so the source should bound a batch
+(maxFilesPerTrigger or maxBytesPerTrigger). What is kept of a symbol between batches: the current day, the last
+bars and notes up to a limit, and one small record for each earlier day, in map state, read only if that day
+comes again or is the prior day; the keys of its touches are let go after `keep_days`.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from datetime import date, datetime, time, timedelta
 from typing import Any
 from zoneinfo import ZoneInfo
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import DIRECTION, EASTERN, LEVEL_ORDER, LEVEL_SIDE, TICK_SIZE, Scheme
 
-OUTPUT = "symbol string, kind string, ts timestamp_ntz, trading_day date, bar_index long, timeframe_ticks int, open_ticks long, high_ticks long, low_ticks long, close_ticks long, volume long, trade_count long, close_reason string, representative_price double, direction string, level_type string"
+OUTPUT = "symbol string, kind string, ts timestamp_ntz, trading_day date, bar_index long, timeframe_ticks int, open_ticks long, high_ticks long, low_ticks long, close_ticks long, volume long, trade_count long, close_reason string, representative_price double, direction string, level_type string, code string, message string"
 COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+KIND = {n: {"long": "Int64", "int": "Int32", "double": "float64", "timestamp_ntz": "datetime64[ns]"}.get(t, object) for n, t in (c.split() for c in OUTPUT.split(", "))}
+#: Columns of the events: a row of kind trade, quote, warning, end or reset has those that it needs.
+EVENTS = "symbol string, kind string, ts_event timestamp_ntz, sequence long, price_ticks long, size long, side string, bid_ticks long, ask_ticks long, bid_size long, ask_size long, code string, message string"
 
 
 @dataclass
@@ -47,114 +56,228 @@ class Clock:
         return day, next((s.name for s in self.scheme.sessions if inside(s)), "none")
 
 
+@dataclass
+class Update:
+    """What one event changed."""
+
+    bars: list[dict[str, Any]] = field(default_factory=list)
+    touches: list[dict[str, Any]] = field(default_factory=list)
+    notes: list[dict[str, Any]] = field(default_factory=list)
+    quote: dict[str, Any] | None = None
+
+    def has_deltas(self) -> bool:
+        return bool(self.bars or self.touches or self.notes or self.quote)
+
+    def rows(self) -> list[dict[str, Any]]:
+        return [*self.notes, *self.bars, *self.touches]
+
+
 @dataclass
 class TapeState:
-    """All that is kept for a symbol; it becomes JSON between micro-batches."""
+    """What is kept of a symbol besides its earlier days; it becomes JSON between micro-batches."""
 
     day: str | None = None
+    session: str | None = None
     open: dict[str, list] = field(default_factory=dict)  # by size: first ts, last ts, open, high, low, close, volume, count
-    next_index: dict[str, int] = field(default_factory=dict)  # by "size|day"
+    next_index: dict[str, int] = field(default_factory=dict)  # by size, of the current day
     ranges: dict[str, list[int]] = field(default_factory=dict)  # by session of the day: high, low
     day_range: list[int] | None = None
-    summaries: dict[str, list[int]] = field(default_factory=dict)  # by day: high, low
-    fired: list[str] = field(default_factory=list)
-    quote: list | None = None
+    fired: dict[str, bool] = field(default_factory=dict)  # keys of the zones touched on the current day
+    quote: dict[str, Any] | None = None
     last_ts: str | None = None
+    accepted_ts: str | None = None
     regressions: int = 0
+    recent: list[dict[str, Any]] = field(default_factory=list)
+    notes: list[dict[str, Any]] = field(default_factory=list)
+    status: str = "ok"
+    events: int = 0
 
     def dump(self) -> str:
-        return json.dumps(self.__dict__)
+        return json.dumps(self.__dict__, default=str)
 
     @classmethod
     def load(cls, text: str | None) -> TapeState:
         return cls(**json.loads(text)) if text else cls()
 
 
+class Days:
+    """One record for each earlier day: next bar index by size, touched zones, high and low. Kept in memory here."""
+
+    def __init__(self) -> None:
+        self.kept: dict[str, str] = {}
+
+    def get(self, day: str) -> dict[str, Any]:
+        text = self.kept.get(day)
+        return json.loads(text) if text else {}
+
+    def put(self, day: str, record: dict[str, Any]) -> None:
+        self.kept[day] = json.dumps(record)
+
+
+class StoredDays(Days):
+    """The same in the map state of a streaming query."""
+
+    def __init__(self, state: Any):
+        self.state = state
+
+    def get(self, day: str) -> dict[str, Any]:
+        return json.loads(self.state.getValue((day,))[0]) if self.state.containsKey((day,)) else {}
+
+    def put(self, day: str, record: dict[str, Any]) -> None:
+        self.state.updateValue((day,), (json.dumps(record),))
+
+
 @dataclass
 class TapeEngine:
-    """One symbol's machine: trades in canonical order give bars and touches; quotes only replace the last one."""
+    """One symbol's machine: events in canonical order give bars, touches and notes."""
 
     scheme: Scheme = EASTERN
     sizes: tuple[int, ...] = (147,)
     tick_size: float = TICK_SIZE
     proximity: float = 3.0
     static_levels: tuple[tuple[str, float, str], ...] = ()
+    own_levels: bool = True  # levels of the stream's own days and sessions beside the static ones
     carry_prior_day: bool = False
+    max_back: int = 7  # calendar days to the prior day, at most
+    late: str = "process"  # or drop: what is done with a trade earlier than one accepted before
+    keep_days: int = 30
+    recent_bars: int = 500
+    recent_notes: int = 100
     state: TapeState = field(default_factory=TapeState)
+    days: Days = field(default_factory=Days)
 
     def __post_init__(self) -> None:
         self.sizes = tuple(sorted(set(self.sizes)))
         if not self.sizes or self.sizes[0] <= 0:
             raise ValueError("bar sizes must be positive")
+        if self.late not in ("process", "drop"):
+            raise ValueError("late events are processed or dropped")
         self.clock = Clock(self.scheme)
 
     def load_prior_day(self, day: date, high_ticks: int, low_ticks: int) -> None:
         if high_ticks < low_ticks:
             raise ValueError("the high of a day is below its low")
-        self.state.summaries[day.isoformat()] = [high_ticks, low_ticks]
-
-    def quote(self, ts: datetime, bid: int, ask: int) -> None:
-        self.state.quote = [ts.isoformat(), bid, ask]
-
-    def trade(self, ts: datetime, price: int, size: int) -> list[dict[str, Any]]:
-        st = self.state
-        if st.last_ts is not None and ts < datetime.fromisoformat(st.last_ts):
+        self.days.put(day.isoformat(), self.days.get(day.isoformat()) | {"range": [high_ticks, low_ticks]})
+
+    def process(self, event: dict[str, Any]) -> Update:
+        """Dispatch by kind; another kind is an error."""
+        kind = event.get("kind", "trade")
+        if kind == "trade":
+            return self.trade(event["ts_event"], event["price_ticks"], event["size"])
+        if kind == "quote":
+            return self.quote(event["ts_event"], event["bid_ticks"], event["ask_ticks"], event.get("bid_size") or 0, event.get("ask_size") or 0)
+        if kind == "warning":
+            return self.note(event.get("code"), event.get("message"), event.get("ts_event"))
+        if kind == "end":
+            return self.finish_day()
+        if kind == "reset":
+            self.reset()
+            return Update()
+        raise TypeError(f"unsupported kind of event: {kind}")
+
+    def quote(self, ts: datetime, bid: int, ask: int, bid_size: int = 0, ask_size: int = 0) -> Update:
+        """Only replaces the last quote."""
+        self.state.quote = {"ts": ts.isoformat(), "bid_ticks": bid, "ask_ticks": ask, "bid_size": bid_size, "ask_size": ask_size}
+        self.state.last_ts = ts.isoformat()
+        self.state.events += 1
+        return Update(quote=self.state.quote)
+
+    def note(self, code: str | None, message: str | None, ts: datetime | None = None) -> Update:
+        """A data-quality note: the latest are kept, and the feed is degraded."""
+        new = {"kind": "warning", "ts": ts, "code": code, "message": message}
+        self.state.notes = [*self.state.notes, new | {"ts": ts and ts.isoformat()}][-self.recent_notes :]
+        self.state.status = "degraded"
+        return Update(notes=[new])
+
+    def trade(self, ts: datetime, price: int, size: int) -> Update:
+        st, out = self.state, Update()
+        if st.accepted_ts is not None and ts < datetime.fromisoformat(st.accepted_ts):
             st.regressions += 1
-        st.last_ts = ts.isoformat()
-        day, session = self.clock.place(ts)
+            out.notes += self.note("timestamp_regression", f"earlier than {st.accepted_ts}", ts).notes
+            if self.late == "drop":
+                return out
+        st.last_ts = st.accepted_ts = ts.isoformat()
+        st.events += 1
+        day, st.session = self.clock.place(ts)
         if day is None:
-            return []
-        closed: list[dict[str, Any]] = []
-        if st.day is not None and st.day != day.isoformat():
-            closed += self.finish_day()
+            return out
         if st.day != day.isoformat():
-            st.day, st.ranges, st.day_range = day.isoformat(), {}, None
+            closed = self._turn_to(day)
+            out.bars, out.touches = closed.bars, closed.touches
+        now: list[dict[str, Any]] = []
         for n in self.sizes:
             bar = st.open.get(str(n))
             if bar is None:
                 bar = st.open[str(n)] = [ts.isoformat(), None, price, price, price, None, 0, 0]
             bar[1], bar[3], bar[4], bar[5], bar[6], bar[7] = ts.isoformat(), max(bar[3], price), min(bar[4], price), price, bar[6] + size, bar[7] + 1
             if bar[7] == n:
-                closed.append(self._close(n, day, "complete"))
-        for key in (session, None):
-            was = st.day_range if key is None else st.ranges.get(key)
-            now = [max(was[0], price), min(was[1], price)] if was else [price, price]
-            if key is None:
-                st.day_range = now
-            else:
-                st.ranges[key] = now
-        return closed + [t for b in closed if b["timeframe_ticks"] == self.sizes[0] for t in self._touches(b)]
+                now.append(self._close(n, day, "complete"))
+        wider = lambda was: [max(was[0], price), min(was[1], price)] if was else [price, price]
+        st.ranges[st.session], st.day_range = wider(st.ranges.get(st.session)), wider(st.day_range)
+        out.bars += now
+        out.touches += self._touches(now)
+        return out
 
-    def finish_day(self) -> list[dict[str, Any]]:
-        """Close what is open, as at the end of the day."""
+    def _turn_to(self, day: date) -> Update:
+        """Close the current day and open another, which may have been there before."""
+        st = self.state
+        closed = self.finish_day()
+        was = self.days.get(day.isoformat())
+        st.day, st.ranges, st.day_range = day.isoformat(), {}, None
+        st.next_index, st.fired = was.get("next", {}), dict.fromkeys(was.get("fired", ()), True)
+        for k in range(self.keep_days, self.keep_days + 7):  # a week, as some days have no trades
+            old = (day - timedelta(days=k)).isoformat()
+            if (record := self.days.get(old)).get("fired"):
+                self.days.put(old, record | {"fired": []})
+        return closed
+
+    def finish_day(self) -> Update:
+        """Close what is open, as at the end of the day, with what it touches by the day's own levels; and file the day."""
         st = self.state
         if st.day is None:
-            return []
+            return Update()
         day = date.fromisoformat(st.day)
-        out = [self._close(n, day, "end_of_day") for n in self.sizes if str(n) in st.open]
-        if self.carry_prior_day and st.day_range:
-            st.summaries[st.day] = st.day_range
+        closed = [self._close(n, day, "end_of_day") for n in self.sizes if str(n) in st.open]
+        out = Update(closed, list(self._touches(closed)))
+        record = self.days.get(st.day) | {"next": st.next_index, "fired": list(st.fired)}
+        self.days.put(st.day, record | ({"range": st.day_range} if self.carry_prior_day and st.day_range else {}))
         return out
 
+    def reset(self) -> None:
+        """Forget the day, but not the ranges of earlier days nor the static levels."""
+        if self.state.day is not None:
+            self.days.put(self.state.day, {k: v for k, v in self.days.get(self.state.day).items() if k == "range"})
+        self.state = TapeState()
+
     def current(self) -> dict[int, list]:
         return {int(n): b for n, b in self.state.open.items()}
 
+    def snapshot(self) -> dict[str, Any]:
+        st = self.state
+        day = date.fromisoformat(st.day) if st.day else None
+        zones = [{"price": p, "names": names, "side": side, "available_from": known, "touched": day is not None and self._key(day, p, names, side) in st.fired} for p, names, side, known in self.zones()]
+        return {"trading_day": st.day, "session": st.session, "current": self.current(), "recent": st.recent, "levels": self.levels(), "zones": zones, "quote": st.quote, "notes": st.notes, "status": st.status, "events": st.events, "last_ts": st.last_ts}
+
     def _close(self, n: int, day: date, reason: str) -> dict[str, Any]:
         first, last, o, h, lo, c, volume, count = self.state.open.pop(str(n))
-        key = f"{n}|{day.isoformat()}"
-        index = self.state.next_index.get(key, 0)
-        self.state.next_index[key] = index + 1
-        return {"kind": "bar", "ts": datetime.fromisoformat(last), "trading_day": day, "bar_index": index, "timeframe_ticks": n, "open_ticks": o, "high_ticks": h, "low_ticks": lo, "close_ticks": c, "volume": volume, "trade_count": count, "close_reason": reason}
+        index = self.state.next_index.get(str(n), 0)
+        self.state.next_index[str(n)] = index + 1
+        bar = {"kind": "bar", "ts": datetime.fromisoformat(last), "trading_day": day, "bar_index": index, "timeframe_ticks": n, "open_ticks": o, "high_ticks": h, "low_ticks": lo, "close_ticks": c, "volume": volume, "trade_count": count, "close_reason": reason}
+        self.state.recent = [*self.state.recent, bar | {"ts": last, "trading_day": day.isoformat()}][-self.recent_bars :] if self.recent_bars else []
+        return bar
+
+    def _prior_range(self, day: date) -> list[int] | None:
+        back = (self.days.get((day - timedelta(days=k)).isoformat()).get("range") for k in range(1, self.max_back + 1))
+        return next((r for r in back if r), None)
 
     def levels(self) -> list[tuple[str, float, str, datetime | None]]:
         st = self.state
         out: list[tuple[str, float, str, datetime | None]] = [(n, p, s, None) for n, p, s in self.static_levels]
-        if st.day is None:
+        if st.day is None or not self.own_levels:
             return out
         day = date.fromisoformat(st.day)
-        earlier = max((d for d in st.summaries if d < st.day), default=None)
         ends = {s.name: s.end for s in self.scheme.sessions}
-        ranges = {"pd": st.summaries.get(earlier) if earlier else None} | {k: st.ranges.get(k) for k in ("asia", "london")}
+        ranges = {"pd": self._prior_range(day)} | {k: st.ranges.get(k) for k in ("asia", "london")}
         for name in LEVEL_ORDER:
             base = "pd" if name.startswith("pd") else name.split("_")[0]
             r = ranges[base]
@@ -173,42 +296,81 @@ class TapeEngine:
                 groups.append([level])
         return [(sum(x[1] for x in g) / len(g), tuple(x[0] for x in g), "HIGH" if 2 * sum(x[2] == "HIGH" for x in g) > len(g) else "LOW", max((x[3] for x in g if x[3]), default=None)) for g in groups]
 
-    def _touches(self, bar: dict[str, Any]) -> Iterator[dict[str, Any]]:
+    @staticmethod
+    def _key(day: date, price: float, names: tuple[str, ...], side: str) -> str:
+        return json.dumps([day.isoformat(), names, round(price, 6), side])
+
+    def _touches(self, closed: list[dict[str, Any]]) -> Iterator[dict[str, Any]]:
+        """First touches by the closed bars of the smallest size."""
+        for bar in (b for b in closed if b["timeframe_ticks"] == self.sizes[0]):
+            yield from self._touched_by(bar)
+
+    def _touched_by(self, bar: dict[str, Any]) -> Iterator[dict[str, Any]]:
         for price, names, side, known in self.zones():
-            key = json.dumps([bar["trading_day"].isoformat(), names, round(price, 6), side])
+            key = self._key(bar["trading_day"], price, names, side)
             if key in self.state.fired or known and bar["ts"] < known or not bar["low_ticks"] * self.tick_size <= price <= bar["high_ticks"] * self.tick_size:
                 continue
-            self.state.fired.append(key)
+            self.state.fired[key] = True
             yield {"kind": "touch", "ts": bar["ts"], "trading_day": bar["trading_day"], "bar_index": bar["bar_index"], "timeframe_ticks": bar["timeframe_ticks"], "representative_price": price, "direction": DIRECTION[side], "level_type": names[0]}
 
 
+def in_order(events: pd.DataFrame) -> pd.DataFrame:
+    """Events of one symbol in canonical order; at an instant and number what ends or resets comes last."""
+    quote = events["kind"].eq("quote")
+    buys = events["side"].fillna("").str.upper().eq("B")
+    signed = events["price_ticks"].where(buys, -events["price_ticks"]).where(~quote, 0).fillna(0)
+    key = pd.DataFrame({"ts": events["ts_event"], "last": events["kind"].isin(["end", "reset"]), "sequence": events["sequence"].fillna(0), "signed": signed, "size": events["size"].where(~quote, 0).fillna(0)})
+    return events.loc[key.sort_values(["ts", "last", "sequence", "signed", "size"], kind="stable").index]
+
+
 class TapeProcessor(StatefulProcessor):
-    def __init__(self, **settings: Any):
-        self.settings = settings
+    def __init__(self, prior_days: tuple[tuple[str, date, int, int], ...] = (), **settings: Any):
+        self.prior_days, self.settings = prior_days, settings
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getValueState("tape", "state string")
+        self.days = handle.getMapState("days", "day string", "record string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        engine = TapeEngine(**self.settings, state=TapeState.load(self.kept.get()[0] if self.kept.exists() else None))
-        batch = pd.concat(list(rows), ignore_index=True)
-        batch["_signed"] = batch["price_ticks"].where(batch["side"].fillna("").str.upper() == "B", -batch["price_ticks"])
-        batch = batch.sort_values(["ts_event", "sequence", "_signed", "size"], kind="stable")
+        known = self.kept.exists()
+        engine = TapeEngine(**self.settings, state=TapeState.load(self.kept.get()[0] if known else None), days=StoredDays(self.days))
+        if not known:
+            for symbol, day, high, low in self.prior_days:
+                if symbol == key[0]:
+                    engine.load_prior_day(day, high, low)
+        batch = in_order(pd.concat(list(rows), ignore_index=True))
         out: list[dict[str, Any]] = []
-        for ts, price, size in zip(batch["ts_event"], batch["price_ticks"], batch["size"], strict=True):
-            out += engine.trade(ts.to_pydatetime(), int(price), int(size))
+        for event in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+            event["ts_event"] = event["ts_event"] and pd.Timestamp(event["ts_event"]).to_pydatetime()
+            out += engine.process(event).rows()
         self.kept.update((engine.state.dump(),))
         if out:
-            frame = pd.DataFrame(out).reindex(columns=COLUMNS)
-            frame["symbol"] = key[0]
-            for c in ("bar_index", "timeframe_ticks", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume", "trade_count"):
-                frame[c] = frame[c].astype("Int64")
+            frame = pd.DataFrame({c: pd.Series([row.get(c) for row in out], dtype=KIND[c]) for c in COLUMNS})
+            frame["symbol"] = pd.Series([key[0]] * len(out), dtype=object)
             yield frame
 
     def close(self) -> None:
         pass
 
 
-def tape_stream(trades: DataFrame, **settings: Any) -> DataFrame:
-    """Closed bars and touches (column kind) of a stream of trades (symbol, ts_event, sequence, price_ticks, size, side)."""
-    return trades.groupBy("symbol").transformWithStateInPandas(TapeProcessor(**settings), OUTPUT, "Append", "None")
+def tape_stream(events: DataFrame, **settings: Any) -> DataFrame:
+    """Closed bars, touches and warnings (column kind) of a stream of events.
+
+    events has columns of EVENTS; without a kind all are trades. settings: those of TapeEngine, and prior_days
+    (symbol, day, high, low in ticks) for the first day of a symbol.
+    """
+    have = set(events.columns)
+    columns = [F.coalesce(F.col("kind"), F.lit("trade")).alias("kind") if n == "kind" and n in have else F.lit("trade").alias("kind") if n == "kind" else (F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in EVENTS.split(", "))]
+    return events.select(*columns).groupBy("symbol").transformWithStateInPandas(TapeProcessor(**settings), OUTPUT, "Append", "None")
+
+
+def read_snapshot(spark: SparkSession, checkpoint: str, **settings: Any) -> dict[str, dict[str, Any]]:
+    """By symbol the snapshot of what a stopped or running stream has kept in its checkpoint: one row a symbol is read."""
+    rows = spark.read.format("statestore").option("stateVarName", "tape").load(checkpoint).select("key.symbol", "value.state").collect()
+    return {r["symbol"]: TapeEngine(**settings, state=TapeState.load(r["state"])).snapshot() for r in rows}
+
+
+def replay_in_memory(events: Iterable[dict[str, Any]], **settings: Any) -> Iterator[Update]:
+    """The engine over an iterable of one symbol's events, for tools on the driver."""
+    engine = TapeEngine(**settings)
+    return (engine.process(e) for e in events)

@@ -140,9 +140,26 @@ def test_normalising(spark, tmp_path):
     assert events.count() == 0
     assert market.read_events(spark, [f"{tmp_path}/t"], "nope")[1].first().code == "unsupported_schema"
     assert market.read_events(spark, [f"{tmp_path}/t"], "mbp-10")[1].first().code == "missing_required_column"
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 not a table PAR1")
+    raw.drop("price").write.parquet(f"{tmp_path}/lacks")
+    events, notes = market.read_events(spark, [f"{tmp_path}/t", f"{tmp_path}/bad.parquet", f"{tmp_path}/none", f"{tmp_path}/lacks"], "trades")
+    assert [(r.kind, r.price_ticks) for r in events.collect()] == [("trade", 68000)]
+    found = sorted((r.code, r.severity) for r in notes.collect())
+    assert found.count(("invalid_record", "error")) == 2 and ("missing_required_column", "error") in found and found.count(("invalid_price", "warning")) == 3
+    assert all(str(tmp_path) not in f"{r.source} {r.message}" for r in notes.collect())
+    top = spark.createDataFrame([(at(14), 100.0, 100.5, 3), (at(14), 100.1, 100.5, 3)], "ts_event timestamp_ntz, bid double, other double, bid_sz int")
+    top.write.parquet(f"{tmp_path}/top")
+    assert market.read_events(spark, [f"{tmp_path}/top"], "bbo")[1].first().message == "missing ask_price"
+    quotes, notes = market.normalize_quotes(top.withColumnRenamed("other", "ask"))
+    assert [(r.bid_ticks, r.ask_ticks, r.bid_size, r.ask_size) for r in quotes.collect()] == [(400, 402, 3, 0)] and notes.first().code == "invalid_price"
+    messages = [("trades", '{"ts_event": "2025-06-02T14:00:00Z", "price": 170000, "size": 1}'), ("MBP-1", '{"ts": 1748872800000000000, "bid_px": 1.0, "ask_price_ticks": 5}'), ("trades", "no json"), ("mbp-10", "{}"), (None, "{}"), ("bbo", '{"ts": "2025-06-02T14:00:00", "bid": 1, "ask": 2}')]
+    good, notes = market.provider_events(spark.createDataFrame(messages, "schema string, message string"))
+    assert {(r.kind, r.price_ticks, r.bid_ticks, r.ask_ticks, r.bid_size) for r in good.collect()} == {("trade", 680000, None, None, None), ("quote", None, 4, 5, 0)} and notes.count() == 4
+    ranked = market.latest_quotes(spark.createDataFrame([("a", at(1), 1, 5), ("a", at(1), 2, 6), ("b", at(0), 9, 7)], "s string, ts_event timestamp_ntz, sequence int, bid_ticks int"), ("s",))
+    assert {(r.s, r.bid_ticks) for r in ranked.collect()} == {("a", 6), ("b", 7)}
     ns = spark.createDataFrame([(-1,), (1_700_000_000_123_456_789,)], "n long").select(ticks.from_nanos(F.col("n")).alias("t")).collect()
     assert [r.t for r in ns] == [datetime(1969, 12, 31, 23, 59, 59, 999999), datetime(2023, 11, 14, 22, 13, 20, 123456)]
-    book = spark.createDataFrame([(1, 10, "NQZ6"), (9, 500, "NQZ6-NQH7"), (2, 1, "NQH7")], "instrument_id long, size long, symbol string")
+    book = spark.createDataFrame([(1, 10, "ZZM5"), (9, 500, "ZZM5-ZZU5"), (2, 1, "ZZU5")], "instrument_id long, size long, symbol string")
     assert market.front_month_by_volume(book).first().instrument_id == 1
     assert spark.range(1).select(ticks.redact(F.lit("open /a/b/c.txt, api_key: 12 token"))).first()[0] == "open <path>, <redacted> <redacted>"
 
@@ -150,7 +167,7 @@ def test_normalising(spark, tmp_path):
 @pytest.fixture
 def valid():
     return {
-        "contract_version": "v1", "engine_version": "e3", "strategy_id": "s", "training_mode": "t", "supported_by_runtime": True, "instrument": "NQ", "tick_size": 0.25, "point_value": 20.0,
+        "contract_version": "v1", "engine_version": "e3", "strategy_id": "s", "training_mode": "t", "supported_by_runtime": True, "instrument": "ZZ", "tick_size": 0.25, "point_value": 20.0,
         "model": {"type": "x", "loss_function": "y", "file": "z"}, "feature_set": {"names": ["a", "b"], "order_is_contractual": True, "interaction_features": ["a"], "approach_features": ["b"], "nan_policy": "n"},
         "class_map": {"0": "p", "1": "q"}, "session_scheme": {"timezone": "America/New_York", "trading_day_boundary": "18:00", "sessions": {"ny": {"start": "09:00", "end": "17:00"}}},
         "level_scheme": {"pdh_pdl_source": "d", "session_levels": [], "available_from_guard": True}, "touch_rule": {"type": "t", "bar_type": "147t", "zone_proximity_pts": 3.0, "zone_representative_price": "mean", "scope": "day", "direction_from_side": {}},

@@ -1,98 +1,277 @@
 """The streaming engine against the batch operators, and the controllers' life cycles."""
 
-from datetime import datetime
+import time
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.config import EASTERN
+from tapeloom.config import EASTERN, TICK_SIZE
 from tapeloom.operators import bars, touches, zones
-from tapeloom.sources.tape import tape_events
-from tapeloom.streaming.controllers import BoundedQueue, Live, Notes, Replay
-from tapeloom.streaming.engine import TapeEngine, tape_stream
+from tapeloom.sources import market
+from tapeloom.sources.tape import tape_book, tape_events, tape_lineitem
+from tapeloom.streaming.controllers import BoundedQueue, EventReplay, Live, Notes, QueueSource, Replay, clean_metadata
+from tapeloom.streaming.engine import TapeEngine, read_snapshot, tape_stream
 
 SF = "/root/testdata/sf0.001"
 STATIC = (("mid", 68300.0 * 0.25, "LOW"), ("top", 68900.0 * 0.25, "HIGH"))
+BAR = ["trading_day", "bar_index", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume", "trade_count", "close_reason"]
 
 
-def test_replay_equals_batch(spark, tmp_path):
-    tape = tape_events(spark, SF).withColumn("symbol", F.lit("AA")).select("symbol", "ts_event", "sequence", "price_ticks", "size", "side")
-    for i in range(3):
-        tape.where(f"sequence >= {i * 400} and sequence < {(i + 1) * 400}").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-    stream = spark.readStream.schema(tape.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+def replayed(spark, events, tmp_path, n_batches=3, **settings):
+    """Rows that the stream gives for events cut into micro-batches by time, with an end row in one more."""
+    edges = [r[0] for r in events.selectExpr(f"explode(percentile_approx(ts_event, array({', '.join(str(k / n_batches) for k in range(1, n_batches))})))").collect()] if n_batches > 1 else []
+    full = events if "kind" in events.columns else events.withColumn("kind", F.lit("trade"))
+    part = F.lit(0)
+    for e in edges:
+        part = part + (F.col("ts_event") > F.lit(e)).cast("int")
+    full = full.withColumn("_p", part).cache()
+    last = full.agg(F.max("ts_event")).first()[0]
+    end = full.select("symbol").distinct().withColumns({"kind": F.lit("end"), "ts_event": F.lit(last).cast("timestamp_ntz"), "_p": F.lit(n_batches)})
+    full = full.unionByName(end, allowMissingColumns=True)
+    for i in range(n_batches + 1):
+        full.where(f"_p = {i}").drop("_p").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        time.sleep(0.05)  # files are taken in order of their times
+    schema = full.drop("_p").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     out = f"{tmp_path}/out"
-    replay = Replay(tape_stream(stream, sizes=(7,), static_levels=STATIC), f"{tmp_path}/cp", lambda df, i: df.write.mode("append").parquet(out))
+    replay = Replay(tape_stream(stream, **settings), f"{tmp_path}/cp", lambda df, i: df.write.mode("append").parquet(out))
     assert replay.state == "idle"
     replay.start()
     with pytest.raises(RuntimeError):
         replay.start()
     assert replay.wait() == "completed", replay.error
-    got = spark.read.parquet(out)
-    batch = bars.tick_bars(tape, 7, EASTERN)
-    last = batch.agg(F.max("trading_day")).first()[0]
-    columns = ["trading_day", "bar_index", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume", "trade_count", "close_reason"]
-    want = {tuple(r) for r in batch.select(*columns).collect() if r.close_reason == "complete" or r.trading_day != last}
-    seen = {tuple(r) for r in got.where("kind = 'bar'").select(*columns).collect()}
-    assert seen <= {tuple(r) for r in batch.select(*columns).collect()} and len(seen) >= len(want) - 8
-    days = batch.select("trading_day").distinct().crossJoin(spark.createDataFrame([(n, p, s, None, i) for i, (n, p, s) in enumerate(STATIC)], "name string, price double, side string, available_from timestamp_ntz, ordinal int"))
-    known = {(r.trading_day, r.bar_index, r.level_type) for r in touches.first_touches(batch, zones.merge_levels(days)).collect()}
-    fired = {(r.trading_day, r.bar_index, r.level_type) for r in got.where("kind = 'touch' and level_type in ('mid', 'top')").collect()}
-    # The stream also builds session levels; a zone that merges with one of them is named by its lowest level, so some are missing here.
-    assert fired and fired <= known and len(fired) >= 0.7 * len(known)
+    assert replay.events == full.count()
+    return spark.read.parquet(out)
+
+
+def as_set(df, *columns):
+    return {tuple(r) for r in df.select(*columns).collect()}
+
+
+@pytest.mark.parametrize("source", ["events", "ties"])
+def test_stream_equals_batch(spark, tmp_path, source):
+    """Every bar, the finished last day too, and every touch under static levels."""
+    if source == "events":
+        tape = tape_events(spark, SF)
+    else:  # several trades at an instant, equal numbers, buys and sells: only the whole key orders them
+        whole = tape_lineitem(spark, SF)
+        first = whole.agg(F.min("ts_event")).first()[0] + timedelta(days=300)
+        tape = whole.where((F.col("ts_event") >= F.lit(first)) & (F.col("ts_event") < F.lit(first + timedelta(days=40)))).withColumns({"ts_event": F.date_trunc("hour", "ts_event").cast("timestamp_ntz"), "sequence": F.col("sequence") % 2, "side": F.when(F.col("size") % 3 == 0, "B").otherwise("A")})
+    tape = tape.withColumn("symbol", F.lit("AA")).select("symbol", "ts_event", "sequence", "price_ticks", "size", "side")
+    low, high = tape.selectExpr("percentile_approx(price_ticks, 0.3)", "percentile_approx(price_ticks, 0.8)").first()
+    static = STATIC if source == "events" else (("mid", low * TICK_SIZE, "LOW"), ("top", high * TICK_SIZE, "HIGH"))
+    got = replayed(spark, tape, tmp_path, sizes=(7, 3), static_levels=static, own_levels=False)
+    for n in (3, 7):
+        assert as_set(got.where(f"kind = 'bar' and timeframe_ticks = {n}"), *BAR) == as_set(bars.tick_bars(tape, n, EASTERN), *BAR)
+    batch = bars.tick_bars(tape, 3, EASTERN)
+    days = batch.select("trading_day").distinct().crossJoin(spark.createDataFrame([(n, p, s, None, i) for i, (n, p, s) in enumerate(static)], "name string, price double, side string, available_from timestamp_ntz, ordinal int"))
+    want = as_set(touches.first_touches(batch, zones.merge_levels(days)), "trading_day", "bar_index", "bar_ts", "representative_price", "direction", "level_type")
+    seen = as_set(got.where("kind = 'touch'"), "trading_day", "bar_index", "ts", "representative_price", "direction", "level_type")
+    assert seen == want and len(want) > 4
+
+
+def test_stream_touches_of_its_own_levels(spark, tmp_path):
+    """With the stream's own levels: the batch operators over the levels that were known when each bar closed."""
+    tape = tape_events(spark, SF).withColumn("symbol", F.lit("AA")).select("symbol", "ts_event", "sequence", "price_ticks", "size", "side")
+    got = replayed(spark, tape, tmp_path, sizes=(7,), carry_prior_day=True)
+    seen = [tuple(r) for r in got.where("kind = 'touch'").orderBy("ts", "representative_price").select("trading_day", "bar_index", "representative_price", "level_type").collect()]
+    trades = [(r.ts_event, r.price_ticks) for r in tape.orderBy("ts_event", "sequence").collect()]
+    clock = TapeEngine().clock
+    ranges, sessions, want, fired, place = {}, {}, [], set(), {}
+    closing = {(r.trading_day, r.bar_index): r for r in bars.tick_bars(tape, 7, EASTERN).collect()}
+    for ts, price in trades:
+        day, session = clock.place(ts)
+        k = place[day] = place.get(day, -1) + 1
+        for book, key in ((ranges, day), (sessions, (day, session))):
+            was = book.get(key, (price, price))
+            book[key] = max(was[0], price), min(was[1], price)
+        if k % 7 < 6:
+            continue
+        bar, lv = closing[day, k // 7], []
+        prior = next((ranges[day - timedelta(days=b)] for b in range(1, 8) if day - timedelta(days=b) in ranges), None)
+        if prior:
+            known = clock.utc(day, EASTERN.boundary, -1)
+            lv += [("pdh", prior[0], "HIGH", known), ("pdl", prior[1], "LOW", known)]
+        for s in EASTERN.sessions[:2]:
+            if (day, s.name) in sessions:
+                hi, lo = sessions[day, s.name]
+                lv += [(f"{s.name}_high", hi, "HIGH", clock.utc(day, s.end)), (f"{s.name}_low", lo, "LOW", clock.utc(day, s.end))]
+        groups = []
+        for x in sorted(lv, key=lambda x: x[1]):
+            if groups and (x[1] - groups[-1][-1][1]) * TICK_SIZE <= 3.0:
+                groups[-1].append(x)
+            else:
+                groups.append([x])
+        for g in groups:
+            rep = sum(x[1] * TICK_SIZE for x in g) / len(g)
+            side = "HIGH" if 2 * sum(x[2] == "HIGH" for x in g) > len(g) else "LOW"
+            key = (day, tuple(x[0] for x in g), round(rep, 6), side)
+            if key not in fired and bar.close_ts >= max(x[3] for x in g) and bar.low_ticks * TICK_SIZE <= rep <= bar.high_ticks * TICK_SIZE:
+                fired.add(key)
+                want.append((day, k // 7, rep, g[0][0]))
+    complete = [t for t in seen if closing[t[0], t[1]].is_complete]
+    assert sorted(complete) == sorted(want) and len(want) > 20
 
 
 def test_engine_equals_batch_without_spark_state(spark):
     tape = tape_events(spark, SF).orderBy("ts_event", "sequence").toPandas()
     e = TapeEngine(sizes=(7, 3))
-    out = [b for ts, p, s in zip(tape.ts_event, tape.price_ticks, tape["size"], strict=True) for b in e.trade(ts.to_pydatetime(), int(p), int(s))] + e.finish_day()
-    got = {(b["timeframe_ticks"], b["trading_day"], b["bar_index"], b["open_ticks"], b["high_ticks"], b["low_ticks"], b["close_ticks"], b["volume"], b["trade_count"], b["close_reason"]) for b in out if b["kind"] == "bar"}
-    want = bars.tick_bars(tape_events(spark, SF), (3, 7), EASTERN).select("timeframe_ticks", "trading_day", "bar_index", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume", "trade_count", "close_reason")
-    assert got == {tuple(r) for r in want.collect()}
+    out = [b for ts, p, s in zip(tape.ts_event, tape.price_ticks, tape["size"], strict=True) for b in e.trade(ts.to_pydatetime(), int(p), int(s)).bars] + e.finish_day().bars
+    got = {tuple(b[c] for c in ("timeframe_ticks", *BAR)) for b in out}
+    assert got == as_set(bars.tick_bars(tape_events(spark, SF), (3, 7), EASTERN), "timeframe_ticks", *BAR)
+
 
+def test_quotes_warnings_and_snapshot_of_the_state(spark, tmp_path):
+    """Typed events of a book: quotes only replace the last one, warnings come out, and the checkpoint can be read."""
+    events, _ = market.book_events(tape_book(spark, SF).drop("price_ticks"))
+    events = events.withColumn("symbol", F.lit("AA")).unionByName(spark.createDataFrame([("AA", "warning", datetime(2024, 1, 3), "x_code", "seen")], "symbol string, kind string, ts_event timestamp_ntz, code string, message string"), allowMissingColumns=True)
+    prior = (("AA", date(2023, 12, 31), 69000, 68000), ("BB", date(2023, 12, 31), 2, 1))
+    got = replayed(spark, events, tmp_path, sizes=(7,), prior_days=prior)
+    trades = events.where("kind = 'trade'")
+    assert as_set(got.where("kind = 'bar'"), *BAR) == as_set(bars.tick_bars(trades, 7, EASTERN), *BAR)
+    assert as_set(got.where("kind = 'warning'"), "code", "message") == {("x_code", "seen")}
+    last = events.where("kind = 'quote'").orderBy(F.desc("ts_event"), F.desc("sequence")).first()
+    kept = read_snapshot(spark, f"{tmp_path}/cp", sizes=(7,))["AA"]
+    assert (kept["quote"]["bid_ticks"], kept["quote"]["ask_ticks"], kept["status"]) == (last.bid_ticks, last.ask_ticks, "degraded")
+    assert kept["current"] == {} and kept["recent"] and kept["events"] == events.where("kind != 'warning'").count()
 
-def test_engine_levels():
+
+def test_late_trades_between_batches(spark, tmp_path):
+    rows = [("AA", "trade", datetime(2025, 6, 2, 14, m), i, 400 + m, 1, "A", p) for i, (m, p) in enumerate([(0, 0), (5, 0), (3, 1), (6, 1)])]
+    tape = spark.createDataFrame(rows, "symbol string, kind string, ts_event timestamp_ntz, sequence long, price_ticks long, size long, side string, _p int")
+    for late, want in (("process", [(400, 405), (403, 406)]), ("drop", [(400, 405), (406, 406)])):
+        for i in range(2):
+            tape.where(f"_p = {i}").drop("_p").coalesce(1).write.parquet(f"{tmp_path}/{late}/{i}")
+            time.sleep(0.05)
+        stream = spark.readStream.schema(tape.drop("_p").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/{late}")
+        found = []
+        replay = Replay(tape_stream(stream, sizes=(1, 2), late=late, own_levels=False), f"{tmp_path}/cp-{late}", lambda df, i: found.extend(df.collect()))  # noqa: B023
+        replay.start()
+        assert replay.wait() == "completed", replay.error
+        assert [r.code for r in found if r.kind == "warning"] == ["timestamp_regression"]
+        closes = [r.close_ticks for r in found if r.kind == "bar" and r.timeframe_ticks == 1]
+        assert closes == ([400, 405, 403, 406] if late == "process" else [400, 405, 406])
+
+
+def test_engine_levels_days_and_reset():
     e = TapeEngine(sizes=(1,))
     with pytest.raises(ValueError):
-        e.load_prior_day(datetime(2025, 5, 30).date(), 1, 2)
-    e.load_prior_day(datetime(2025, 5, 30).date(), 800, 400)
+        e.load_prior_day(date(2025, 6, 1), 1, 2)
+    e.load_prior_day(date(2025, 6, 1), 800, 400)
     out = e.trade(datetime(2025, 6, 2, 13), 400, 1)
-    assert [b["kind"] for b in out] == ["bar", "touch"] and out[1]["level_type"] == "pdl" and out[1]["direction"] == "LONG"
-    assert [b["kind"] for b in e.trade(datetime(2025, 6, 2, 13, 1), 400, 1)] == ["bar"]
-    e.trade(datetime(2025, 6, 2, 12), 401, 1)
-    assert e.state.regressions == 1 and e.current() == {}
+    assert len(out.bars) == 1 and [(t["level_type"], t["direction"]) for t in out.touches] == [("pdl", "LONG")] and out.has_deltas()
+    assert not e.trade(datetime(2025, 6, 2, 13, 1), 400, 1).touches
+    assert e.trade(datetime(2025, 6, 2, 12), 401, 1).notes[0]["code"] == "timestamp_regression"
+    assert e.state.regressions == 1 and e.current() == {} and e.snapshot()["zones"][0]["touched"]
+    e.process({"kind": "quote", "ts_event": datetime(2025, 6, 2, 13), "bid_ticks": 1, "ask_ticks": 2})
+    e.process({"kind": "reset"})
+    assert e.state.quote is None and e.trade(datetime(2025, 6, 2, 13), 400, 1).touches  # the prior day is still known, the touch is not
+    with pytest.raises(TypeError):
+        e.process({"kind": "other"})
+    # A day that comes again goes on with its numbers, and its zones stay touched.
+    e.trade(datetime(2025, 6, 3, 13), 500, 1)
+    again = e.trade(datetime(2025, 6, 2, 15), 400, 1)
+    assert again.bars[-1]["bar_index"] == 1 and not again.touches
+    far = TapeEngine(sizes=(1,), keep_days=2)
+    far.load_prior_day(date(2025, 6, 1), 800, 400)
+    for day in (2, 3, 4, 5):
+        far.trade(datetime(2025, 6, day, 13), 400, 1)
+    assert far.days.get("2025-06-02")["fired"] == [] and far.days.get("2025-06-02")["next"] == {"1": 1}
+    for _ in range(150):
+        e.note("c", "m")
+    assert len(e.state.notes) == 100 and e.snapshot()["status"] == "degraded"
 
 
-def test_queue_and_notes():
-    q = BoundedQueue(1)
-    q.put({"x": 1})
-    q.put({"x": 2})
-    events, notes = q.drain(lambda m: m["x"])
-    assert events == [1] and notes[0]["code"] == "backpressure_drop" and notes[0]["count"] == 1
-    n = Notes(keep=2)
-    n.record([{"code": str(i)} for i in range(5)])
-    assert n.status == "degraded" and [x["code"] for x in n.latest] == ["3", "4"]
+class Source:
+    def __init__(self, items, bad=False, hold=0.0):
+        self.items, self.bad, self.stopped, self.hold = items, bad, False, hold
 
+    def start(self):
+        if self.bad:
+            raise OSError("no /srv/feed/x.sock, token=abc")
+
+    def stop(self):
+        self.stopped = True
+
+    def events(self):
+        for x in self.items:
+            time.sleep(self.hold)
+            yield x
 
-def test_live():
-    class Source:
-        def __init__(self, bad=False):
-            self.bad, self.stopped = bad, False
 
-        def start(self):
-            if self.bad:
-                raise OSError("no /srv/feed/x.sock, token=abc")
+def at(m, **more):
+    return {"kind": "trade", "ts_event": datetime(2025, 6, 2, 14, m), "price_ticks": 400, "size": 1} | more
 
-        def stop(self):
-            self.stopped = True
 
-        def events(self):
-            yield from (1, 2)
+def test_event_replay():
+    e = TapeEngine(sizes=(2,))
+    run = EventReplay(Source([at(0), at(1), at(0), at(2), {"kind": "warning", "ts_event": None, "code": "c", "message": "m"}]), e.process)
+    assert run.status().state == "idle"
+    run.start()
+    assert run.wait(5) == "completed"
+    s = run.status()
+    assert (s.events, s.warnings, s.last_event) == (4, 1, datetime(2025, 6, 2, 14, 2)) and s.started <= s.ended
+    assert len(run.updates) == 4  # two bars, the note of the late trade, and the warning; a trade that closes nothing is no delta
+    late = []
+    run = EventReplay(Source([at(0), at(5), at(1), at(3), at(6)]), lambda x: x, on_regression=lambda item, was: late.append((item["ts_event"].minute, was.minute)))
+    run.start(max_events=4)
+    assert run.wait(5) == "completed" and late == [(1, 5), (3, 5)] and (run.status().events, run.status().warnings) == (2, 2)
+    run = EventReplay(Source([at(0), at(1), at(2)]), lambda x: x)
+    t = time.perf_counter()
+    run.start(speed=600)
+    with pytest.raises(RuntimeError):
+        run.start()
+    assert run.wait(5) == "completed" and 0.15 < time.perf_counter() - t < 2
+    run.start(speed=0.001)  # waits are cut
+    time.sleep(0.1)
+    run.pause()
+    assert run.status().state == "paused" and run.wait(0.4) == "paused"
+    run.resume()
+    assert run.wait(5) == "completed" and run.status().events == 3
+    run = EventReplay(Source([at(0)] * 1000, hold=0.01), lambda x: x)
+    run.start()
+    time.sleep(0.1)
+    run.stop()
+    assert run.wait(5) == "stopped" and 0 < run.status().events < 1000
+    run = EventReplay(Source([{"kind": "odd /a/b/c password=x"}]), e.process)
+    run.start()
+    assert run.wait(5) == "failed" and run.status().error == "TypeError" and "/a/b" not in run.status().message
+
 
+def test_live():
     seen = []
-    live = Live(Source(), seen.append)
+    live = Live(Source([at(0), at(1)], hold=0.05), lambda x: x, seen.append)
     live.start()
-    assert (live.state, seen, live.events) == ("disconnected", [1, 2], 2)
-    bad = Live(Source(True), seen.append)
+    assert live.status().state == "running"
+    with pytest.raises(RuntimeError):
+        live.start()
+    assert live.wait(5) == "disconnected" and len(seen) == 2 and live.status().events == 2
+    bad = Live(Source([], bad=True), lambda x: x)
     with pytest.raises(OSError):
         bad.start()
-    assert bad.state == "failed" and "srv" not in bad.error and "abc" not in bad.error and bad.source.stopped
+    s = bad.status()
+    assert s.state == "failed" and "srv" not in s.message and "abc" not in s.message and bad.source.stopped
+    queue = QueueSource(lambda m: at(m["m"]), size=2)
+    queue.put({"m": 9})  # not started: ignored
+    live = Live(queue, lambda x: x)
+    live.start()
+    for k in range(1, 4):
+        queue.put({"m": k})
+    queue.put({})
+    time.sleep(0.3)
+    live.stop()
+    s = live.status()
+    assert s.state == "stopped" and s.events >= 2 and s.ended and s.events + s.warnings >= 3
+
+
+def test_queue_and_notes():
+    q = BoundedQueue(2)
+    for m in ({"x": 1}, {"y": 2}, {"x": 3}):
+        q.put(m)
+    events, notes = q.drain(lambda m: m["x"])
+    assert events == [1] and [(n["code"], n.get("count")) for n in notes] == [("backpressure_drop", 1), ("provider_error", None)]
+    n = Notes(keep=2)
+    n.record([{"code": str(i)} for i in range(5)])
+    assert n.status == "degraded" and [x["code"] for x in n.latest] == ["3", "4"]
+    assert clean_metadata({"api_key": 1, "path": "/a/b/c", "n": 2}) == {"<redacted_key>": 1, "path": "<path>", "n": 2}
