@@ -27,6 +27,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node that points does so once, at one that does not: then the edges are stars."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").take(1)
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node of an edge, component being the smallest node that it can reach.
 
@@ -36,17 +42,10 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     spark = edges.sparkSession
     a, b = edges.columns[:2]
     now = stage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    print_of = lambda df: tuple(df.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first())
-    was = print_of(now)
     for _ in range(max_rounds):
-        if not was[0]:
-            break
+        if _settled(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         after = stage(_small_star(_large_star(now)), "edges")
         unstage(spark, now)
-        now, seen = after, print_of(after)
-        if seen == was:
-            break
-        was = seen
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+        now = after
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -15,11 +15,11 @@ once, and meet others in either way; for texts without repeats both signatures a
 Pipeline: one pass signs every whole text; equal word sequences collapse to the smallest
 doc_id; representatives meet in bands; within a band each member is paired with the
 smallest member, and pairs are checked exactly on the texts. Where the members of a bucket are
-not of one component of the links then, more of them become pivots, those with most links
-first, many times as many in each round; a pivot is paired with all members of its bucket that
-are of other components and may be near, and then leaves it. This ends when every two
-members of a bucket have been compared, can't be near, or are of one component; components of
-the links are the classes. Whether two may be near is told by their lengths and by an odd sketch, the
+not of one component of the links then, all that are of different components and may be near are
+paired. In buckets beyond a size that takes rounds: some members, by hash, are pivots, are paired with the
+others and leave; components are made anew, and each round has many times as many pivots. This ends
+when every two members of a bucket have been compared, can't be near, or are of one component; components
+of the links are the classes. Whether two may be near is told by their lengths and by an odd sketch, the
 parities of a text's shingles hashed to 1024 bits (Mitzenmacher, Pagh and Pham, "Efficient Estimation
 for High Similarities using Odd Sketches", 2014): two sketches differ in no more bits than the sets
 have shingles that only one of them holds, so no near pair is ruled out, and of the others
@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .components import components
-from .runtime import by_slices, spread, stage, unstage
+from .runtime import by_slices, spread, stage
 from .words import grams, hash_words, mix
 
 SKETCH_BITS = 1024
@@ -64,8 +64,9 @@ class DartConfig:
     rows: int = 5
     slack: float = 2.0  # darts thrown at first: k (ln k + slack)
     least_set: float = 0.6  # of the sets of shingles, for a link by counted shingles
-    pivots: int = 8  # of a bucket in the first round after its least member
-    growth: int = 64
+    whole: int = 2048  # members of a bucket that are all compared at once
+    pivots: int = 256  # of a larger bucket in the first round
+    growth: int = 16
 
     @property
     def k(self) -> int:
@@ -254,42 +255,42 @@ def link(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: Dart
     """(node, component) by the links among representatives that met in a band, and by the pairs of more."""
     spark = docs.sparkSession
     members = stage(buckets(reps), "band")
-    tried = stage(members.select(F.col("least").alias("a"), F.col("doc").alias("b")).where("a < b").distinct(), "pairs")
-    links = stage(verify(tried, docs, id_col, text_col, cfg), "links")
-    found = stage(components(links.union(more)), "components")
-    left = members.where("m > 2 and doc != least").select("key", "doc")
+    first = stage(members.select(F.col("least").alias("a"), F.col("doc").alias("b")).where("a < b").distinct(), "pairs")
+    found = stage(components(verify(first, docs, id_col, text_col, cfg).union(more)), "components")
     about = reps.select("doc", "n", "u", "once", "often")
+    left = members.where("m > 2 and doc != least").select("key", "doc")
     width = cfg.pivots
     while True:
-        now = left.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c"))
-        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-        rest = stage(now.join(mixed, "key", "left_semi"), "unlinked")
+        now = stage(left.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c")), "placed")
+        mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", "m")
+        rest = stage(now.join(mixed, "key"), "unlinked")
         if not rest.take(1):
             return found
-        degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("d"))
-        # The member with most links is a pivot in every bucket; as many others as slots, by a hash that differs between buckets.
-        ranked = rest.join(degree, "doc", "left").select("key", F.pmod(F.xxhash64("doc", F.lit(width)), F.lit(width)).alias("slot"), F.struct(F.coalesce("d", F.lit(0)).alias("d"), F.xxhash64("doc", "key").alias("h"), "doc").alias("p"))
-        pivots = stage(ranked.groupBy("key", "slot").agg(F.max("p").alias("p")).select("key", F.col("p.doc").alias("doc")), "pivots")
         known = rest.join(about, "doc")
         side = lambda df, name: df.select("key", F.struct("doc", "n", "u", "once", "often", "c").alias(name))
-        met = side(known, "q").join(side(known.join(pivots, ["key", "doc"]), "p"), "key").where(F.col("p.c") != F.col("q.c")).where(_may_link(cfg))
-        pairs = stage(met.select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        left = rest.join(pivots, ["key", "doc"], "left_anti").select("key", "doc")
+        small, large = known.where(F.col("m") <= cfg.whole), rest.where(F.col("m") > cfg.whole)
+        near = side(small, "q").join(side(small, "p"), "key").where(F.col("p.doc") < F.col("q.doc"))
+        is_large = bool(large.take(1))
+        if is_large:
+            slots = large.withColumn("slot", F.pmod(F.xxhash64("doc", F.lit(width)), F.lit(width)))
+            pivots = stage(slots.groupBy("key", "slot").agg(F.max(F.struct(F.xxhash64("doc", "key").alias("h"), "doc")).alias("p")).select("key", F.col("p.doc").alias("doc")), "pivots")
+            big = known.where(F.col("m") > cfg.whole)
+            near = near.union(side(big, "q").join(side(big.join(pivots, ["key", "doc"]), "p"), "key"))
+        near = near.where(F.col("p.c") != F.col("q.c")).where(_may_link(cfg))
+        pairs = stage(near.select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct(), "pairs")
+        if pairs.take(1):
+            joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verify(pairs, docs, id_col, text_col, cfg))
+            found = stage(components(joined), "components")
+        if not is_large:
+            return found
+        left = large.join(pivots, ["key", "doc"], "left_anti").select("key", "doc")
         width *= cfg.growth
-        if not pairs.take(1):
-            continue
-        tried = tried.union(pairs)
-        new = stage(verify(pairs, docs, id_col, text_col, cfg), "links")
-        if new.take(1):
-            links = links.union(new)
-            before, found = found, stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)), "components")
-            unstage(spark, before)
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig) -> DataFrame:
-    """The pairs that are near by the measure above, from the whole texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    texts = bloom.maybe_in(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null"), "doc", bloom.build(ids, "doc"))
+    """The pairs of a staged table that are near by the measure above, from the whole texts."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    texts = bloom.maybe_in(docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null"), "doc", bloom.build(ids, "doc", n_keys=2 * pairs.count()))
     both = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
     kind = docs.schema[id_col].dataType.simpleString()
 
