@@ -3,8 +3,9 @@
 The words of the corpus are counted; the most frequent, with their ids as outputs, are compiled
 into a minimal acyclic automaton that shares prefixes and suffixes. Each transition carries the
 number of smaller words it skips, so a path numbers its word and the outputs stay in one array
-(Lucchesi and Kowaltowski, 1993; Daciuk et al., 2000). Workers memory-map the automaton and look up
-all new words of a batch at once; words that are not in it are merged exactly, by rank.
+(Lucchesi and Kowaltowski, 1993; Daciuk et al., 2000). The automaton is one file in the shared
+folder, which Spark hands to each executor once; its workers memory-map that copy, so they share its pages, and look up
+all new words of a batch at once. Words that are not in it are merged exactly, by rank.
 
 The lexicon only saves time: every word it lacks is merged, so results never depend on it. Each
 task counts its texts with bounded memory (rarest words are let go when its table is full), and
@@ -26,7 +27,6 @@ import heapq
 import json
 import mmap
 import re
-import tempfile
 import uuid
 from array import array
 from collections import Counter
@@ -37,11 +37,12 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers.normalizers import NFC
 
-from .runtime import spread, stage, unstage
+from .runtime import by_slices, put_file, spread, stage, unstage
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 # Code points that are letters or numbers since later Unicode versions than the tokenizer's; to it they are neither.
@@ -283,14 +284,19 @@ class Lexicon:
         return self.ids[self.offsets[number] : self.offsets[number + 1]]
 
 
-def mapped(block: bytes) -> Lexicon:
-    """The lexicon from a memory-mapped file of this worker's own, which is gone from the folder at once."""
-    with tempfile.TemporaryFile() as f:
-        f.write(block)
-        f.flush()
+def mapped(path: str) -> Lexicon:
+    """The lexicon of a file, memory-mapped."""
+    with open(path, "rb") as f:
         return Lexicon(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
+def publish(spark: SparkSession, block: bytes) -> str:
+    """Write a lexicon to the shared folder and hand it to all executors, by the name that is returned."""
+    name = f"lexicon-{uuid.uuid4().hex}"
+    spark.sparkContext.addFile(put_file(spark, name, block))
+    return name
+
+
 @dataclass(frozen=True)
 class BpeConfig:
     lexicon: int = 131_072  # words
@@ -313,7 +319,7 @@ def count_words(docs: DataFrame, text_col: str, cfg: BpeConfig) -> DataFrame:
         top = [(w, n) for w, n in seen.most_common(cfg.told) if len(w.encode("utf-8", "replace")) <= cfg.word_bytes]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
-    return spread(docs.select(F.col(text_col).cast("string"))).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(docs.select(F.col(text_col).cast("string"))).mapInArrow(by_slices(run, 1024), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def compile_lexicon(docs: DataFrame, text_col: str, vocabulary: Vocabulary, cfg: BpeConfig) -> bytes:
@@ -380,32 +386,23 @@ class Encoder:
                 yield b"".join([i for i, _ in own]), " ".join([d for _, d in own])
 
 
-#: The encoder that this worker used last, by the run that it belongs to; its cache serves the next task too.
-_WARM: dict[str, Encoder] = {}
-
-
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", cfg: BpeConfig = BpeConfig(), digests: bool = False) -> DataFrame:
     """(id, ids array<int>, decoded) for every row; with digests (id, n_tokens, ids_sha256, decoded_sha256) instead."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     vocabulary = Vocabulary.read(tokenizer_path)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, vocabulary, compile_lexicon(docs, text_col, vocabulary, cfg)))
+    name = publish(spark, compile_lexicon(docs, text_col, vocabulary, cfg))
+    shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run_id, words, block = shared.value
-        if run_id not in _WARM:
-            _WARM.clear()
-            _WARM[run_id] = Encoder(words, mapped(block), cfg.cached)
-        encoder = _WARM[run_id]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = list(encoder.encode(["" if t is None else t for t in part.column(1).to_pylist()]))
-                if digests:
-                    sha = lambda parts: pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i, _ in found], pa.int64()), sha(i for i, _ in found), sha(d.encode() for _, d in found)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([d for _, d in found], pa.string())], names=["id", "ids", "decoded"])
+        encoder = Encoder(shared.value, mapped(SparkFiles.get(name)), cfg.cached)
+        for part in batches:
+            found = list(encoder.encode(["" if t is None else t for t in part.column(1).to_pylist()]))
+            if digests:
+                sha = lambda parts: pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i, _ in found], pa.int64()), sha(i for i, _ in found), sha(d.encode() for _, d in found)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            else:
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([d for _, d in found], pa.string())], names=["id", "ids", "decoded"])
 
     out = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f"id {kind}, ids array<int>, decoded string"
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(run, out).withColumnRenamed("id", id_col)
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(by_slices(run, 512), out).withColumnRenamed("id", id_col)

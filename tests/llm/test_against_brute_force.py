@@ -31,11 +31,17 @@ def official():
     return Tokenizer.from_file(TOKENIZER)
 
 
+def lexicon(words, folder):
+    path = folder / "lexicon"
+    path.write_bytes(bpe.Lexicon.compile(words))
+    return bpe.mapped(str(path))
+
+
 @pytest.fixture(scope="module")
-def encoder():
+def encoder(tmp_path_factory):
     v = bpe.Vocabulary.read(TOKENIZER)
     words = {w: v.merge(w) for w in (b"the", b"these", b"then", b"rain", b"train", b"trains", b"'s", "é".encode())}
-    return bpe.Encoder(v, bpe.mapped(bpe.Lexicon.compile(words)), 1000)
+    return bpe.Encoder(v, lexicon(words, tmp_path_factory.mktemp("bpe")), 1000)
 
 
 def same(official, encoder, text):
@@ -61,12 +67,12 @@ def test_special_texts(official, encoder):
         same(official, encoder, text)
 
 
-def test_lexicon_is_minimal_and_numbered():
+def test_lexicon_is_minimal_and_numbered(tmp_path):
     words = sorted({bytes(w) for w in np.random.default_rng(1).integers(97, 100, (400, 5), np.uint8)} | {b"a", b"ab", b"abc"})
-    lex = bpe.mapped(bpe.Lexicon.compile({w: [i, i + 1] for i, w in enumerate(words)}))
+    lex = lexicon({w: [i, i + 1] for i, w in enumerate(words)}, tmp_path)
     assert lex.numbers(words).tolist() == list(range(len(words)))
     assert (lex.numbers([b"", b"zz", b"abcd" * 9, words[3] + b"q"]) == -1).all() and lex.output(7).tolist() == [7, 8]
-    assert bpe.mapped(bpe.Lexicon.compile({b"xation": [1], b"yation": [2], b"zation": [3]})).states == 7
+    assert lexicon({b"xation": [1], b"yation": [2], b"zation": [3]}, tmp_path).states == 7
 
 
 def test_bpe_query(spark, documents, official):
@@ -187,8 +193,10 @@ def test_pairs_in_a_crowd(spark, seed):
             if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
                 links += 1
-    got = dartminhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas().set_index("doc_id")
-    assert links >= 60 and [int(got.loc[i].class_id) for i in range(len(texts))] == [root(i) for i in range(len(texts))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for cfg in (dartminhash.DartConfig(), dartminhash.DartConfig(whole=20, pivots=4, growth=4))[: 1 + (seed == 1)]:  # the second goes by rounds of pivots
+        got = dartminhash.near_duplicates(frame, cfg=cfg).toPandas().set_index("doc_id")
+        assert links >= 60 and [int(got.loc[i].class_id) for i in range(len(texts))] == [root(i) for i in range(len(texts))]
 
 
 def test_a_much_repeated_line_links_nothing(spark):

@@ -137,3 +137,8 @@ def test_stages(spark, hard, none, tmp_path):
                 assert out.columns == frame.columns
     kept = corpus_pipeline.drop_near_duplicates(spark, hard, str(tmp_path)).where("doc_id in (4, 5)").count()
     assert kept == 1
+    # An id with two texts is two documents: neither goes for the other, nor do copies of either for the id.
+    body = "one two three four five six seven eight nine ten eleven twelve"
+    two = docs(spark, [(1, body, None), (1, body[::-1], None), (1, body, None), (2, body[::-1], None), (3, body + " more", None), (4, "z", None)])
+    left = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, two, str(tmp_path)).collect())
+    assert left == sorted([(1, body), (1, body[::-1]), (4, "z")])
