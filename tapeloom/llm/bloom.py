@@ -52,14 +52,19 @@ def build(keys: DataFrame, key: str, bits_per_key: int = 12, n_keys: int | None
     return BlockedBloom(bits.groupBy("block").agg(*[word(i) for i in range(WORDS)]), blocks, bits_per_key)
 
 
-def maybe_in(df: DataFrame, key: str, bloom: BlockedBloom) -> DataFrame:
-    """The rows of df whose key may be in the filter; none that is in it is lost."""
+def mark(df: DataFrame, key: str, bloom: BlockedBloom, name: str) -> DataFrame:
+    """df with a column that tells whether a row's key may be in the filter; it is true for every key that is."""
     own = df.columns
     side = F.broadcast(bloom.table) if bloom.broadcastable else bloom.table
-    joined = df.withColumn("block", _block(F.col(key), bloom.blocks)).join(side, "block")
+    joined = df.withColumn("block", _block(F.col(key), bloom.blocks)).join(side, "block", "left")
     test = F.lit(True)
     words = F.array(*[F.col(f"w{i}") for i in range(WORDS)])
     for b in _bits(F.col(key), HASHES):
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63).cast("long")).cast("int"))
         test = test & (F.element_at(words, (F.shiftright(b, 6) + 1).cast("int")).bitwiseAND(mask) != 0)
-    return joined.where(test).select(*own)
+    return joined.select(*own, F.coalesce(test, F.lit(False)).alias(name))
+
+
+def maybe_in(df: DataFrame, key: str, bloom: BlockedBloom) -> DataFrame:
+    """The rows of df whose key may be in the filter; none that is in it is lost."""
+    return mark(df, key, bloom, "_maybe").where("_maybe").drop("_maybe")

@@ -324,7 +324,7 @@ def count_words(docs: DataFrame, text_col: str, cfg: BpeConfig) -> DataFrame:
 
 def compile_lexicon(docs: DataFrame, text_col: str, vocabulary: Vocabulary, cfg: BpeConfig) -> bytes:
     """The automaton of the words that are more frequent than some count, which leaves at most cfg.lexicon of them."""
-    counts = stage(count_words(docs, text_col, cfg), "words")
+    counts = stage(count_words(docs, text_col, cfg), "words", narrow=True)
     step = F.floor(F.log2("n") * 16)  # the number of steps is bounded, whatever the corpus
     sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect()
     total, least = 0, None

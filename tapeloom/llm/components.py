@@ -41,11 +41,11 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     spark = edges.sparkSession
     a, b = edges.columns[:2]
-    now = stage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = stage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", narrow=True)
     for _ in range(max_rounds):
         if _settled(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
-        after = stage(_small_star(_large_star(now)), "edges")
+        after = stage(_small_star(_large_star(now)), "edges", narrow=True)
         unstage(spark, now)
         now = after
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

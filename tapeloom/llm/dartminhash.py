@@ -254,16 +254,16 @@ def _may_link(cfg: DartConfig) -> Column:
 def link(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig, more: DataFrame) -> DataFrame:
     """(node, component) by the links among representatives that met in a band, and by the pairs of more."""
     spark = docs.sparkSession
-    members = stage(buckets(reps), "band")
-    first = stage(members.select(F.col("least").alias("a"), F.col("doc").alias("b")).where("a < b").distinct(), "pairs")
-    found = stage(components(verify(first, docs, id_col, text_col, cfg).union(more)), "components")
+    members = stage(buckets(reps), "band", narrow=True)
+    first = stage(members.select(F.col("least").alias("a"), F.col("doc").alias("b")).where("a < b").distinct(), "pairs", narrow=True)
+    found = stage(components(verify(first, docs, id_col, text_col, cfg).union(more)), "components", narrow=True)
     about = reps.select("doc", "n", "u", "once", "often")
     left = members.where("m > 2 and doc != least").select("key", "doc")
     width = cfg.pivots
     while True:
-        now = stage(left.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c")), "placed")
+        now = stage(left.join(found, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("c")), "placed", narrow=True)
         mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", "m")
-        rest = stage(now.join(mixed, "key"), "unlinked")
+        rest = stage(now.join(mixed, "key"), "unlinked", narrow=True)
         if not rest.take(1):
             return found
         known = rest.join(about, "doc")
@@ -273,14 +273,14 @@ def link(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: Dart
         is_large = bool(large.take(1))
         if is_large:
             slots = large.withColumn("slot", F.pmod(F.xxhash64("doc", F.lit(width)), F.lit(width)))
-            pivots = stage(slots.groupBy("key", "slot").agg(F.max(F.struct(F.xxhash64("doc", "key").alias("h"), "doc")).alias("p")).select("key", F.col("p.doc").alias("doc")), "pivots")
+            pivots = stage(slots.groupBy("key", "slot").agg(F.max(F.struct(F.xxhash64("doc", "key").alias("h"), "doc")).alias("p")).select("key", F.col("p.doc").alias("doc")), "pivots", narrow=True)
             big = known.where(F.col("m") > cfg.whole)
             near = near.union(side(big, "q").join(side(big.join(pivots, ["key", "doc"]), "p"), "key"))
         near = near.where(F.col("p.c") != F.col("q.c")).where(_may_link(cfg))
-        pairs = stage(near.select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct(), "pairs")
+        pairs = stage(near.select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct(), "pairs", narrow=True)
         if pairs.take(1):
             joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verify(pairs, docs, id_col, text_col, cfg))
-            found = stage(components(joined), "components")
+            found = stage(components(joined), "components", narrow=True)
         if not is_large:
             return found
         left = large.join(pivots, ["key", "doc"], "left_anti").select("key", "doc")
@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = stage(sign(docs, id_col, text_col, cfg), "signed")
     wordy = signed.where("doc is not null and n > 0")
     # Only digests that repeat are joined, from a table of their own: a digest of very many copies can then be split over tasks.
-    least = stage(wordy.groupBy("d0", "d1", "n").agg(F.min("doc").alias("exact"), F.count("*").alias("m")).where("m > 1").drop("m"), "copied")
+    least = stage(wordy.groupBy("d0", "d1", "n").agg(F.min("doc").alias("exact"), F.count("*").alias("m")).where("m > 1").drop("m"), "copied", narrow=True)
     known = stage(wordy.join(least, ["d0", "d1", "n"], "left").withColumn("exact", F.coalesce("exact", "doc")).select("doc", "exact", "n", "u", *[F.when(F.col("doc") == F.col("exact"), F.col(c)).alias(c) for c in ("band", "once", "often")]), "exact")
     # An id that is repeated with other words links the classes of both texts.
     repeated = known.groupBy("doc").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).where("a != b").select("a", "b")

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .probe import BitTable, bit_table
+from .probe import BitTable, Tally, bit_table
 from .runtime import by_slices, spread, stage
 from .words import grams, hash_words, mix
 
@@ -153,12 +153,19 @@ def corpus_counts(texts: DataFrame, table: BitTable, single: bool) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
         for batch in batches:
-            found = [k for _, k, _ in _sought(batch.column(0).to_pylist(), shared.value, single)]
-            seed, f = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([_long(seed), pa.array(f.astype(np.int64))], names=["seed", "f"])
+            for _, seed, _ in _sought(batch.column(0).to_pylist(), shared.value, single):
+                tally.add(seed, np.ones(len(seed)))
+            if tally.full:
+                yield told(tally)
+        yield told(tally)
 
-    return texts.select("text").mapInArrow(by_slices(run, 2 * _SLICE), "seed long, f long").groupBy("seed").agg(F.sum("f").alias("f"))
+    def told(tally: Tally) -> pa.RecordBatch:
+        seed, f = tally.take()
+        return pa.RecordBatch.from_arrays([_long(seed), pa.array(f.astype(np.int64))], names=["seed", "f"])
+
+    return texts.select("text").mapInArrow(by_slices(run, _SLICE), "seed long, f long").groupBy("seed").agg(F.sum("f").alias("f"))
 
 
 def seed_places(texts: DataFrame, table: BitTable, single: bool) -> DataFrame:
@@ -252,26 +259,26 @@ def search(docs: DataFrame, items: DataFrame, text_col: str, cfg: DecontamConfig
     d0, d1 = _digests(text)
     plain = docs.select(text.alias("text"), d0.alias("d0"), d1.alias("d1")).where("text is not null")
     texts = spread(plain)
-    every = stage(items.dropDuplicates(["k"]).select("k", "n", "agree", "most", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("k", "n", "agree", "most", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place")), "item-seeds")
+    every = stage(items.dropDuplicates(["k"]).select("k", "n", "agree", "most", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("k", "n", "agree", "most", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place")), "item-seeds", narrow=True)
     about = every.agg(F.count("*").alias("n"), F.min("n").alias("least")).first()
     if not about["n"]:
         return None
     single = about["least"] < 3
-    common = stage(corpus_counts(texts, bit_table(every.select("seed"), "seed", about["n"]), single), "seed-counts")
+    common = stage(corpus_counts(texts, bit_table(every.select("seed"), "seed", about["n"]), single), "seed-counts", narrow=True)
     rank = Window.partitionBy("k").orderBy(F.coalesce("f", F.lit(0)), "place")
-    seeds = stage(every.join(common, "seed", "left").withColumn("rank", F.row_number().over(rank)).where("rank <= most").select("seed", "k", "n", "agree", "place"), "seeds")
+    seeds = stage(every.join(common, "seed", "left").withColumn("rank", F.row_number().over(rank)).where("rank <= most").select("seed", "k", "n", "agree", "place"), "seeds", narrow=True)
     hits = seed_places(texts, bit_table(seeds.select("seed"), "seed", about["n"]), single).join(seeds, "seed")
     met = hits.groupBy("d0", "d1", "k").agg(F.first("n").alias("n"), F.first("agree").alias("agree"), F.collect_list(F.struct((F.col("at") - F.col("place")).alias("diagonal"), "place")).alias("hits")).where("size(hits) >= agree")
-    spans = stage(windows(met), "windows")
+    spans = stage(windows(met), "windows", narrow=True)
     wanted = spans.groupBy("d0", "d1").agg(F.collect_list(F.struct("k", "lo", "hi")).alias("spans"))
     again = bloom.maybe_in(plain, "d0", bloom.build(spans.select("d0").distinct(), "d0")).dropDuplicates(["d0", "d1"])
     pairs = cut(again.join(wanted, ["d0", "d1"])).join(items.dropDuplicates(["k"]).select("k", "words"), "k")
-    return stage(scored(pairs, cfg).groupBy("d0", "d1", "k").agg(F.max("score").alias("score"), F.count("*").alias("n_windows")), "contaminated")
+    return stage(scored(pairs, cfg).groupBy("d0", "d1", "k").agg(F.max("score").alias("score"), F.count("*").alias("n_windows")), "contaminated", narrow=True)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
     """(id, item, score, n_windows): for each text and item aligned with at least cfg.threshold the best score, and how many windows reach it."""
-    items = stage(read_items(benchmark, text_col, item_col, cfg), "items")
+    items = stage(read_items(benchmark, text_col, item_col, cfg), "items", narrow=True)
     found = search(docs, items, text_col, cfg)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     if found is None:
@@ -284,10 +291,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", cfg: DecontamConfig = DecontamConfig()) -> DataFrame:
     """docs without those that hold a benchmark item."""
-    found = search(docs, stage(read_items(benchmark, text_col, item_col, cfg), "items"), text_col, cfg)
+    found = search(docs, stage(read_items(benchmark, text_col, item_col, cfg), "items", narrow=True), text_col, cfg)
     if found is None:
         return docs
-    bad = stage(found.select(F.col("d0").alias("_bad0"), F.col("d1").alias("_bad1")).distinct(), "bad-texts")
+    bad = stage(found.select(F.col("d0").alias("_bad0"), F.col("d1").alias("_bad1")).distinct(), "bad-texts", narrow=True)
     d0, d1 = _digests(F.col(text_col).cast("string"))
     side = F.broadcast(bad) if bad.count() * 16 <= BROADCAST_BYTES else bad
     return docs.join(side, (d0 == F.col("_bad0")) & (d1 == F.col("_bad1")), "left_anti")

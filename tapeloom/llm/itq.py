@@ -106,7 +106,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     # Equal vectors: one class with the least id; zeros of either sign are equal.
     classes = stage(good.select("id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec")).groupBy("vec").agg(F.min("id").alias("cls"), F.count("*").alias("size")), "classes")
     member = good.select("id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec")).join(classes, "vec").select("id", "cls")
-    links = stage(class_links(classes, dim, cfg), "vector-links")
+    links = stage(class_links(classes, dim, cfg), "vector-links", narrow=True)
     sizes = classes.select("cls", "size")
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy("a").agg(F.sum("size").alias("more"))

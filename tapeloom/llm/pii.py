@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .probe import bit_table
+from . import bloom
+from .probe import Tally, bit_table
 from .runtime import by_slices, spread, stage
 from .words import WORD, hash_terms, hash_words
 
@@ -186,25 +187,30 @@ def _count_terms(docs: DataFrame, text_col: str, terms: DataFrame, copies: DataF
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hash_terms(batch.column(0).to_pylist()).view(np.int64))], names=["term", "h"])
 
-    wanted = stage(terms.mapInArrow(hashed, "term string, h long"), "terms")
+    wanted = stage(terms.mapInArrow(hashed, "term string, h long"), "terms", narrow=True)
     shared = docs.sparkSession.sparkContext.broadcast(bit_table(wanted, "h", wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
         for batch in batches:
-            held: list[np.ndarray] = []
-            share: list[np.ndarray] = []
             each = 1.0 / batch.column(1).to_numpy(zero_copy_only=False)
             for rows, hashes, offsets in hash_words(batch.column(0).to_pylist()):
                 at = shared.value.find(hashes)
                 own = np.searchsorted(offsets, at, "right") - 1
                 pair = np.unique(np.stack([own.astype(np.uint64), hashes[at]], 1), axis=0) if len(at) else np.empty((0, 2), np.uint64)
-                held.append(pair[:, 1])
-                share.append(each[rows.start + pair[:, 0].astype(np.int64)])
-            h, at = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_inverse=True)
-            n = np.bincount(at, np.concatenate(share) if share else np.empty(0), len(h))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-    weighed = docs.select(F.col(text_col).cast("string").alias("text"), _digest(text_col)).join(copies, "digest", "left").select("text", F.coalesce("m", F.lit(1)).alias("m"))
+                tally.add(pair[:, 1], each[rows.start + pair[:, 0].astype(np.int64)])
+            if tally.full:
+                yield told(tally)
+        yield told(tally)
+
+    def told(tally: Tally) -> pa.RecordBatch:
+        h, n = tally.take()
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    # Texts without a copy stay where they are read; only those that may have copies are shuffled, to learn how many.
+    marked = bloom.mark(docs.select(F.col(text_col).cast("string").alias("text"), _digest(text_col)), "digest", bloom.build(copies, "digest"), "copied")
+    single = marked.where("not copied").select("text", F.lit(1).cast("long").alias("m"))
+    weighed = single.union(marked.where("copied").join(copies, "digest", "left").select("text", F.coalesce("m", F.lit(1).cast("long")).alias("m")))
     counts = weighed.mapInArrow(by_slices(run, 1024), "h long, n double").groupBy("h").agg(F.round(F.sum("n")).cast("long").alias("n"))
     return wanted.join(counts, "h").select("term", "n")
 
@@ -214,20 +220,20 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str, cfg: PiiConfig
     near = found.where("near is not null").select("digest", F.explode("near").alias("x")).select("digest", "x.entity", "x.terms")
     met = near.select("digest", "entity", F.explode("terms").alias("term"))
     pairs = met.groupBy("entity", "term").agg(F.countDistinct("digest").alias("both"))
-    pairs = stage(pairs, "term-pairs")
+    pairs = stage(pairs, "term-pairs", narrow=True)
     if not pairs.take(1):
         return None
-    texts = stage(found.groupBy("digest").agg(F.count("*").alias("m")), "texts")
+    texts = stage(found.groupBy("digest").agg(F.count("*").alias("m")), "texts", narrow=True)
     n = texts.count()
     of_entity = near.groupBy("entity").agg(F.countDistinct("digest").alias("ne"))
-    of_term = stage(_count_terms(docs, text_col, pairs.select("term").distinct(), texts.where("m > 1")).withColumnRenamed("n", "nt"), "term-counts")
+    of_term = stage(_count_terms(docs, text_col, pairs.select("term").distinct(), texts.where("m > 1")).withColumnRenamed("n", "nt"), "term-counts", narrow=True)
     pmi = F.log2(F.col("both") * F.lit(n) / (F.col("ne") * F.greatest("nt", "both")))
     ic = -F.log2(F.col("ne") / F.lit(n))
     told = F.when(ic > 0, pmi / ic).otherwise(0.0)
     expected = F.col("ne") * F.greatest("nt", "both") / F.lit(n)
     by_chance = F.least(expected / F.col("both"), F.when(expected < F.col("both"), F.exp(F.col("both") - expected + F.col("both") * F.log(expected / F.col("both")))).otherwise(1.0))
     out = pairs.join(of_entity, "entity").join(of_term, "term").withColumn("disclosure", told).where(by_chance <= cfg.chance)
-    out = stage(out.where(F.col("disclosure") >= cfg.generalise).select("entity", "term", "disclosure", "nt"), "disclosures")
+    out = stage(out.where(F.col("disclosure") >= cfg.generalise).select("entity", "term", "disclosure", "nt"), "disclosures", narrow=True)
     return out.join(_broader(out, met.distinct(), of_term, cfg), "term", "left").select("entity", "term", "disclosure", "broader")
 
 
@@ -302,7 +308,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cf
         joined = docs.withColumn("_clues", F.lit(None).cast(_CLUES))
     else:  # what reveals the entities of a text depends on the text alone
         texts = found.where("near is not null").select("row", F.sha2("text", 256).alias("_key"))
-        clues = stage(texts.join(_clues(found, told), "row").groupBy("_key").agg(F.first("clues").alias("_clues")), "clues")
+        clues = stage(texts.join(_clues(found, told), "row").groupBy("_key").agg(F.first("clues").alias("_clues")), "clues", narrow=True)
         joined = docs.withColumn("_key", F.sha2(F.col(text_col).cast("string"), 256)).join(clues, "_key", "left").drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,3 +37,33 @@ def bit_table(hashes: DataFrame, column: str, n: int) -> BitTable:
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[packed.column("w").to_numpy()] = packed.column("b").to_numpy().view(np.uint64)
     return BitTable(words, bits)
+
+
+class Tally:
+    """Sums by hash over a task's rows: what is told grows with the different hashes, not with the rows. Beyond a bound it is told in parts."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.keys, self.sums, self.size = most, [], [], 0
+
+    def add(self, hashes: np.ndarray, weights: np.ndarray) -> None:
+        self.keys.append(hashes)
+        self.sums.append(weights)
+        self.size += len(hashes)
+        if self.size > 2 * self.most:
+            self._merge()
+
+    def _merge(self) -> None:
+        keys, at = np.unique(np.concatenate(self.keys) if self.keys else np.empty(0, np.uint64), return_inverse=True)
+        self.sums = [np.bincount(at, np.concatenate(self.sums) if self.sums else np.empty(0), len(keys))]
+        self.keys, self.size = [keys], len(keys)
+
+    @property
+    def full(self) -> bool:
+        return self.size > self.most and len(self.keys) == 1
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, sums) so far; then it is empty."""
+        self._merge()
+        out = self.keys[0], self.sums[0]
+        self.keys, self.sums, self.size = [], [], 0
+        return out

@@ -54,7 +54,7 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    return urlfilter.filter_urls(pages, rules, stage(urlfilter.several_spellings(pages), "listed-urls"))
+    return urlfilter.filter_urls(pages, rules, stage(urlfilter.several_spellings(pages), "listed-urls", narrow=True))
 
 
 def op9_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:

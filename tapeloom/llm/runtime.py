@@ -59,12 +59,20 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and reread it: cuts the lineage, survives lost executors."""
+#: Files of a narrow table for each core of the session, at most.
+FILES_PER_CORE = 4
+
+
+def stage(df: DataFrame, label: str, narrow: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and reread it: cuts the lineage, survives lost executors.
+
+    A narrow table has rows of a few ids and hashes, so it takes few files: as many as keep all cores
+    busy, however many partitions a shuffle before it has.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
     schema = df.schema
-    df.write.parquet(path)
+    (df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism) if narrow else df).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -57,8 +57,9 @@ def several_spellings(pages: DataFrame, url_col: str = "url") -> DataFrame:
     """(canonical) of the canonical URLs that occur under different URLs."""
     host, path = split_url(F.col(url_col))
     urls = pages.select(F.col(url_col).alias("url"), canonical(host, path).alias("canonical")).where("canonical is not null")
-    # The least and the largest differ if any two do; both are combined before the shuffle, however common a URL is.
-    return urls.groupBy("canonical").agg(F.min("url").alias("lo"), F.max("url").alias("hi")).where("lo != hi").select("canonical")
+    # The least and the largest hash differ if any two URLs do; both are combined before the shuffle, however common a URL is.
+    spelt = F.xxhash64("url")
+    return urls.groupBy("canonical").agg(F.min(spelt).alias("lo"), F.max(spelt).alias("hi")).where("lo != hi").select("canonical")
 
 
 def _by_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:

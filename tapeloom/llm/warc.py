@@ -52,7 +52,7 @@ def plan_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     edges = (0, *CLASS_BYTES, 1 << 62)
     of_class = [F.max(F.when((F.col("bytes") >= lo) & (F.col("bytes") < hi), F.col("bytes"))).alias(f"c{k}") for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
     first = rows.observe(seen, *of_class).where(F.col("bytes") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "key"))).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    first = stage(first, "equal-payloads")  # its size is then known before the payloads are joined: small, it is broadcast and they stay in place
+    first = stage(first, "equal-payloads", narrow=True)  # its size is then known before the payloads are joined: small, it is broadcast and they stay in place
     largest = [-1 if seen.get[f"c{k}"] is None else seen.get[f"c{k}"] for k in range(len(of_class))]
     revisit = F.col("page_id") != F.col("first.page_id")
     return rows.join(first, "digest", "left").withColumn("refers_to", F.when(revisit, F.col("first.key"))).drop("first"), largest
