@@ -22,13 +22,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates. Of rows that repeat both id and text one stays; an id with several texts is as many documents."""
-    again = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    again = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated", narrow=True)
     if not again.take(1):
-        gone = stage(dartminhash.near_duplicates(docs).where("not kept").select("doc_id"), "copies")
+        gone = stage(dartminhash.near_duplicates(docs).where("not kept").select("doc_id"), "copies", narrow=True)
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     key = F.when(F.col("doc_id").isNotNull(), F.concat(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")), 256)))
     keyed = docs.withColumn("_key", key)
-    gone = stage(dartminhash.near_duplicates(keyed, "_key").where("not kept").select("_key").distinct(), "copies")
+    gone = stage(dartminhash.near_duplicates(keyed, "_key").where("not kept").select("_key").distinct(), "copies", narrow=True)
     rest = keyed.join(gone, "_key", "left_anti").select(*docs.columns, "_key")
     once = rest.join(again, "doc_id", "left_anti").select(*docs.columns)
     return once.unionByName(rest.join(again, "doc_id", "left_semi").dropDuplicates(["_key"]).select(*docs.columns))
