@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import time
+from datetime import datetime, time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +57,26 @@ query("src_trades_scan", S.with_(T, then="SELECT ts_event, sequence, price_ticks
 _EVENTS = "ev AS (SELECT ts_event, sequence, 'trade' AS kind, price_ticks, size, side, NULL::BIGINT AS bid_ticks, NULL::BIGINT AS ask_ticks, NULL::BIGINT AS bid_size, NULL::BIGINT AS ask_size FROM book WHERE action = 'T' UNION ALL SELECT ts_event, sequence, 'quote', NULL, NULL, NULL, bid_ticks, ask_ticks, bid_size, ask_size FROM quotes)"
 query("src_events_merged", S.with_(T, _EVENTS, then="SELECT ts_event, sequence, kind, price_ticks, bid_ticks, row_number() OVER (ORDER BY ts_event, sequence, CASE WHEN kind = 'quote' THEN 0 WHEN side = 'B' THEN price_ticks ELSE -price_ticks END, coalesce(size, 0))::BIGINT AS rank FROM ev"))(lambda s, d: ordering.merged(market.book_events(tape_book(s, d).drop("price_ticks"))[0]).select("ts_event", "sequence", "kind", "price_ticks", "bid_ticks", F.col("rank").cast("long").alias("rank")))
 query("src_book_fanout", S.with_(T, _EVENTS, then="SELECT * FROM ev"))(lambda s, d: market.book_events(tape_book(s, d).drop("price_ticks"))[0])
+
+
+def _filed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The book as files of two feeds, read back as events: front month by file, a day and a half; beside them a path without a file, and a feed without a side."""
+    place = sinks.scratch(s, "feeds")
+    book = tape_dirty_book(s, d)
+    book.where("sequence % 2 = 0").coalesce(1).write.parquet(f"{place}/a")
+    book.where("sequence % 2 = 1").coalesce(1).write.parquet(f"{place}/b")
+    book.drop("price", "size").limit(1).coalesce(1).write.parquet(f"{place}/c")
+    return market.read_events(s, [f"{place}/{n}" for n in ("a", "b", "c", "none")], "MBP-10", datetime(2024, 1, 9, 23), datetime(2024, 1, 11, 11), front_month_only=True)
+
+
+_FILED = """fb AS (SELECT *, sequence % 2 AS f FROM book WHERE symbol NOT LIKE '%-%'),
+fv AS (SELECT f, instrument_id, sum(greatest(coalesce(nullif(size, 0), 1), 1)) AS v FROM fb GROUP BY 1, 2),
+ff AS (SELECT f, arg_max(instrument_id, v) AS instrument_id FROM fv GROUP BY 1),
+kept AS (SELECT b.* FROM fb b SEMI JOIN ff USING (f, instrument_id)),
+fe AS (SELECT ts_event, sequence, 'trade' AS kind, price_ticks, size, side, NULL::BIGINT AS bid_ticks, NULL::BIGINT AS ask_ticks, NULL::BIGINT AS bid_size, NULL::BIGINT AS ask_size FROM kept WHERE action = 'T' AND sequence % 101 <> 0
+  UNION ALL SELECT ts_event, sequence, 'quote', NULL, NULL, NULL, price_ticks - 1, price_ticks + 1 + sequence % 3, 1 + sequence % 9, sequence % 7 FROM kept WHERE sequence % 83 <> 0 AND sequence % 101 <> 0 AND sequence % 89 <> 0)"""
+query("src_read_files", S.with_(T, _FILED, then="SELECT * FROM fe WHERE ts_event >= TIMESTAMP '2024-01-09 23:00:00' AND ts_event < TIMESTAMP '2024-01-11 11:00:00'"))(lambda s, d: _filed(s, d)[0])
+query("src_read_notes", S.with_(T, _FILED, then="SELECT code, severity, count(*) AS n FROM (SELECT 'invalid_timestamp' AS code, 'warning' AS severity FROM kept WHERE sequence % 101 = 0 AND action = 'T' UNION ALL SELECT CASE WHEN sequence % 101 = 0 THEN 'invalid_timestamp' ELSE 'invalid_price' END, 'warning' FROM kept WHERE sequence % 83 <> 0 AND (sequence % 101 = 0 OR sequence % 89 = 0) UNION ALL VALUES ('missing_required_column', 'error'), ('invalid_record', 'error')) GROUP BY 1, 2"))(lambda s, d: _filed(s, d)[1].groupBy("code", "severity").agg(F.count("*").alias("n")))
 query("src_time_range", S.with_(T, then="SELECT ts_event, sequence, price_ticks FROM tape WHERE ts_event >= TIMESTAMP '2024-01-10 00:00:00' AND ts_event < TIMESTAMP '2024-01-12 00:00:00'"))(lambda s, d: tape_events(s, d).where("ts_event >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND ts_event < TIMESTAMP_NTZ '2024-01-12 00:00:00'").select("ts_event", "sequence", "price_ticks"))
 query("src_outright_only", S.with_(T, then="SELECT sequence, symbol FROM book WHERE symbol NOT LIKE '%-%'"))(lambda s, d: market.outright(tape_book(s, d)).select("sequence", "symbol"))
 _VOLUME = "fm AS (SELECT instrument_id, sum(greatest(coalesce(nullif(size, 0), 1), 1))::BIGINT AS volume FROM book WHERE symbol NOT LIKE '%-%' GROUP BY 1 ORDER BY volume DESC, instrument_id LIMIT 1)"
