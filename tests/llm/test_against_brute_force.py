@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tapeloom.llm import bpe, chat, components, dartminhash, decontam, itq, langid, pii, quality, warc
+from tapeloom.llm import bpe, chat, components, dartminhash, decontam, itq, langid, pii, probe, quality, warc
 from tapeloom.llm.queries import QUERIES, TOKENIZER
 from tapeloom.llm.words import hash_words, mix, normal
 
@@ -619,3 +619,25 @@ def test_pipeline(spark, documents):
     text = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(kept[["doc_id", "text"]])).collect()}
     want = pd.Series({i: len(official.encode(t, add_special_tokens=False).ids) for i, t in text.items()})
     assert (got.set_index("doc_id").n_tokens.sort_index() == want.sort_index()).all()
+
+
+# Shared parts
+def test_bit_table_and_tally(spark):
+    rng = np.random.default_rng(12)
+    keys, others = rng.integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2), rng.integers(0, 2**63, 200_000, dtype=np.uint64)
+    table = probe.bit_table(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "h long"), "h", len(keys))
+    assert len(table.find(keys)) == len(keys) and len(table.find(others)) < 0.005 * len(others)
+    assert len(probe.bit_table(spark.createDataFrame([], "h long"), "h", 0).find(others)) == 0
+    tally, seen = probe.Tally(most=100), {}
+    told = {}
+    for _ in range(50):
+        h, w = rng.integers(0, 400, 37).astype(np.uint64), rng.integers(1, 9, 37).astype(float)
+        tally.add(h, w)
+        for k, x in zip(h.tolist(), w.tolist(), strict=True):
+            seen[k] = seen.get(k, 0) + x
+        if tally.full:
+            for k, x in zip(*(y.tolist() for y in tally.take()), strict=True):
+                told[k] = told.get(k, 0) + x
+    for k, x in zip(*(y.tolist() for y in tally.take()), strict=True):
+        told[k] = told.get(k, 0) + x
+    assert told == seen and len(tally.take()[0]) == 0
