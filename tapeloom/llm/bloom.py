@@ -55,10 +55,11 @@ def build(keys: DataFrame, key: str, bits_per_key: int = 12, n_keys: int | None
 def mark(df: DataFrame, key: str, bloom: BlockedBloom, name: str) -> DataFrame:
     """df with a column that tells whether a row's key may be in the filter; it is true for every key that is."""
     own = df.columns
-    side = F.broadcast(bloom.table) if bloom.broadcastable else bloom.table
-    joined = df.withColumn("block", _block(F.col(key), bloom.blocks)).join(side, "block", "left")
+    table = bloom.table.select(F.col("block").alias("_bf"), *[F.col(f"w{i}").alias(f"_bf{i}") for i in range(WORDS)])
+    side = F.broadcast(table) if bloom.broadcastable else table
+    joined = df.withColumn("_bf_key", _block(F.col(key), bloom.blocks)).join(side, F.col("_bf_key") == F.col("_bf"), "left")
     test = F.lit(True)
-    words = F.array(*[F.col(f"w{i}") for i in range(WORDS)])
+    words = F.array(*[F.col(f"_bf{i}") for i in range(WORDS)])
     for b in _bits(F.col(key), HASHES):
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63).cast("long")).cast("int"))
         test = test & (F.element_at(words, (F.shiftright(b, 6) + 1).cast("int")).bitwiseAND(mask) != 0)
@@ -68,3 +69,27 @@ def mark(df: DataFrame, key: str, bloom: BlockedBloom, name: str) -> DataFrame:
 def maybe_in(df: DataFrame, key: str, bloom: BlockedBloom) -> DataFrame:
     """The rows of df whose key may be in the filter; none that is in it is lost."""
     return mark(df, key, bloom, "_maybe").where("_maybe").drop("_maybe")
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of df whose key is not in the staged table gone (key), nulls kept.
+
+    A small table is broadcast. Beyond that the rows that can't be in it stay where they are, and only the others,
+    hardly more than go, are shuffled: a corpus is not moved to take some rows out.
+    """
+    n = gone.count()
+    if n * 32 <= BROADCAST_BYTES:
+        return df.join(F.broadcast(gone), key, "left_anti").select(*df.columns)
+    marked = mark(df, key, build(gone, key, n_keys=n), "_gone")
+    stay = marked.where("not _gone").drop("_gone")
+    return stay.union(marked.where("_gone").drop("_gone").join(gone, key, "left_anti").select(*df.columns))
+
+
+def attach(df: DataFrame, key: str, table: DataFrame, value: str, table_bytes: int) -> DataFrame:
+    """df left-joined with a staged table (key, value) whose keys are unique, moving only rows that may have a value."""
+    if table_bytes <= BROADCAST_BYTES:
+        return df.join(F.broadcast(table), key, "left")
+    marked = mark(df, key, build(table, key), "_has")
+    kind = table.schema[value].dataType
+    rest = marked.where("not _has").drop("_has").withColumn(value, F.lit(None).cast(kind))
+    return rest.unionByName(marked.where("_has").drop("_has").join(table, key, "left"))

@@ -32,7 +32,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -301,9 +301,9 @@ def publish(spark: SparkSession, block: bytes) -> str:
 class BpeConfig:
     lexicon: int = 131_072  # words
     word_bytes: int = 64  # of a word in the lexicon, at most
-    counted: int = 300_000  # distinct words that a task counts at a time
+    counted: int = 150_000  # distinct words that a task counts at a time
     told: int = 65_536  # words that a task tells
-    cached: int = 450_000  # words whose ids a worker keeps
+    cached: int = 160_000  # words whose ids a task keeps
 
 
 def count_words(docs: DataFrame, text_col: str, cfg: BpeConfig) -> DataFrame:
@@ -319,7 +319,7 @@ def count_words(docs: DataFrame, text_col: str, cfg: BpeConfig) -> DataFrame:
         top = [(w, n) for w, n in seen.most_common(cfg.told) if len(w.encode("utf-8", "replace")) <= cfg.word_bytes]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
-    return spread(docs.select(F.col(text_col).cast("string"))).mapInArrow(by_slices(run, 1024), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(docs.select(F.col(text_col).cast("string"))).mapInArrow(by_slices(run, 256), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def compile_lexicon(docs: DataFrame, text_col: str, vocabulary: Vocabulary, cfg: BpeConfig) -> bytes:
@@ -344,20 +344,24 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, cached: int):
         self.vocabulary, self.lexicon, self.cached = vocabulary, lexicon, cached
         self.known: dict[str, tuple[bytes, str]] = {}  # of a word: ids as bytes, and what they decode to
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.special = re.compile("(" + "|".join(re.escape(a) for a in sorted(vocabulary.added, key=len, reverse=True)) + ")") if vocabulary.added else None
 
     def _learn(self, words: set[str]) -> dict[str, tuple[bytes, str]]:
-        """What these words, all new, become. A full cache lets its older half go first."""
-        if len(self.known) + len(words) > self.cached:
-            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
-        raw = [w.encode("utf-8", "replace") for w in words]
+        """What these words become. Of words not used since the cache was last full half go, so frequent ones stay."""
+        again = {w: self.older[w] for w in words if w in self.older}
+        fresh = [w for w in words if w not in again]
+        raw = [w.encode("utf-8", "replace") for w in fresh]
         new = {}
-        for word, b, number in zip(words, raw, self.lexicon.numbers(raw).tolist(), strict=True):
+        for word, b, number in zip(fresh, raw, self.lexicon.numbers(raw).tolist(), strict=True):
             if word in self.vocabulary.added:  # no word can equal one
                 ids = [self.vocabulary.added[word]]
             else:
                 ids = self.lexicon.output(number).tolist() if number >= 0 else self.vocabulary.merge(b)
             new[word] = array("I", ids).tobytes(), self.vocabulary.decode(ids)
+        new |= again
+        if len(self.known) + len(new) > self.cached // 2:
+            self.older, self.known = self.known, {}
         self.known |= new
         return new
 
@@ -405,4 +409,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([d for _, d in found], pa.string())], names=["id", "ids", "decoded"])
 
     out = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f"id {kind}, ids array<int>, decoded string"
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(by_slices(run, 512), out).withColumnRenamed("id", id_col)
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(by_slices(run, 256), out).withColumnRenamed("id", id_col)

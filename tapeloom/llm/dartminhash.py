@@ -226,7 +226,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig) -> DataFr
                 distinct = pa.array(np.bincount(own, minlength=n).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), pa.array(_as_long(digest[:, 0].copy())), pa.array(_as_long(digest[:, 1].copy())), pa.array(length.astype(np.int64)), distinct, bands, _lists(_odd_sketch(own, sh, n)), counted], names=["doc", "d0", "d1", "n", "u", "band", "once", "often"])
 
-    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(by_slices(run, 256), f"doc {kind}, d0 long, d1 long, n long, u long, band array<long>, once array<long>, often array<long>")
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(by_slices(run, 128), f"doc {kind}, d0 long, d1 long, n long, u long, band array<long>, once array<long>, often array<long>")
 
 
 def buckets(reps: DataFrame) -> DataFrame:

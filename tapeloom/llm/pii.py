@@ -153,6 +153,11 @@ def _covered(words: list[tuple[int, int]], spans: list[tuple[int, int, str]]) ->
     return [bool(total[e] > total[s]) for s, e in words]
 
 
+def _text_key(text: Column) -> Column:
+    """A text by two 64-bit hashes."""
+    return F.concat(F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(1), text))).alias("_key")
+
+
 def _digest(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("digest")
 
@@ -178,7 +183,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str, cfg: PiiConfig) -> DataFra
             kinds = [pa.string(), pa.string(), *[pa.int64()] * 4, pa.string(), _NEAR]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["id", "digest", "base", "own", "n_email", "n_ip", "n_card", "n_phone", "text", "near"])
 
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _digest(text_col))).mapInArrow(by_slices(run, 512), f"id {kind}, digest long, {FOUND}")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _digest(text_col))).mapInArrow(by_slices(run, 256), f"id {kind}, digest long, {FOUND}")
 
 
 def _count_terms(docs: DataFrame, text_col: str, terms: DataFrame, copies: DataFrame) -> DataFrame:
@@ -211,7 +216,7 @@ def _count_terms(docs: DataFrame, text_col: str, terms: DataFrame, copies: DataF
     marked = bloom.mark(docs.select(F.col(text_col).cast("string").alias("text"), _digest(text_col)), "digest", bloom.build(copies, "digest"), "copied")
     single = marked.where("not copied").select("text", F.lit(1).cast("long").alias("m"))
     weighed = single.union(marked.where("copied").join(copies, "digest", "left").select("text", F.coalesce("m", F.lit(1).cast("long")).alias("m")))
-    counts = weighed.mapInArrow(by_slices(run, 1024), "h long, n double").groupBy("h").agg(F.round(F.sum("n")).cast("long").alias("n"))
+    counts = weighed.mapInArrow(by_slices(run, 256), "h long, n double").groupBy("h").agg(F.round(F.sum("n")).cast("long").alias("n"))
     return wanted.join(counts, "h").select("term", "n")
 
 
@@ -307,9 +312,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cf
     if told is None:
         joined = docs.withColumn("_clues", F.lit(None).cast(_CLUES))
     else:  # what reveals the entities of a text depends on the text alone
-        texts = found.where("near is not null").select("row", F.sha2("text", 256).alias("_key"))
+        texts = found.where("near is not null").select("row", _text_key(F.col("text")))
         clues = stage(texts.join(_clues(found, told), "row").groupBy("_key").agg(F.first("clues").alias("_clues")), "clues", narrow=True)
-        joined = docs.withColumn("_key", F.sha2(F.col(text_col).cast("string"), 256)).join(clues, "_key", "left").drop("_key")
+        size = clues.agg(F.coalesce(F.sum(64 + 64 * F.size("_clues")), F.lit(0))).first()[0]
+        joined = bloom.attach(docs.withColumn("_key", _text_key(F.col(text_col).cast("string"))), "_key", clues, "_clues", size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,4 +328,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cf
             kept = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield kept.select(columns)
 
-    return joined.select(*columns, "_clues").mapInArrow(by_slices(run, 512), docs.schema)
+    return joined.select(*columns, "_clues").mapInArrow(by_slices(run, 256), docs.schema)

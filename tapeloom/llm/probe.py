@@ -42,7 +42,7 @@ def bit_table(hashes: DataFrame, column: str, n: int) -> BitTable:
 class Tally:
     """Sums by hash over a task's rows: what is told grows with the different hashes, not with the rows. Beyond a bound it is told in parts."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 17):
         self.most, self.keys, self.sums, self.size = most, [], [], 0
 
     def add(self, hashes: np.ndarray, weights: np.ndarray) -> None:

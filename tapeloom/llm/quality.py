@@ -112,7 +112,7 @@ def document_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(STATS), dtype=np.int32), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["id", "stats"])
 
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(by_slices(run, 512), f"id {kind}, stats array<double>")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInArrow(by_slices(run, 256), f"id {kind}, stats array<double>")
 
 
 def _stack(column: pa.Array) -> np.ndarray:
@@ -207,4 +207,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             x = np.array([stats(t or "") for t in batch.column(text_col).to_pylist()], np.float64).reshape(-1, len(STATS))
             yield batch.filter(pa.array(model.score(x) >= cfg.threshold))
 
-    return docs.mapInArrow(by_slices(run, 512), docs.schema)
+    return docs.mapInArrow(by_slices(run, 256), docs.schema)

@@ -94,25 +94,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as the session has cores, for work that costs far more than a shuffle of a small input."""
+    """df over at least as many partitions as the session has cores, for work that costs far more than a shuffle of a small input; its texts go to Python in small batches."""
+    text_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def release() -> None:
-    """Give back to the system what this worker's memory pools keep: Spark reuses workers, whose pools would add up."""
+    """Give back to the system what this worker has freed: Spark reuses workers, and what they keep would add up."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 
 
+#: Rows of an Arrow batch between Spark and Python: Spark's own number is meant for rows of a few numbers, not for whole texts.
+BATCH_ROWS, _SPARKS_OWN = 1024, "10000"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let the session exchange batches of fewer rows, unless it was set otherwise. A batch is held by the executor and by its worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, _SPARKS_OWN) == _SPARKS_OWN:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def by_slices(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run for mapInArrow, over slices of a few rows: a batch of long texts is never unpacked as a whole."""
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
         yield from run(whole.slice(at, rows) for whole in batches for at in range(0, whole.num_rows, rows))
         release()
 
