@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe, dartminhash, decontam, pii, quality
+from tapeloom.llm import bloom, bpe, dartminhash, decontam, pii, quality
 from tapeloom.llm.queries import TOKENIZER
 from tapeloom.llm.runtime import stage, table
 
@@ -25,7 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = stage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated", narrow=True)
     if not again.take(1):
         gone = stage(dartminhash.near_duplicates(docs).where("not kept").select("doc_id"), "copies", narrow=True)
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        return bloom.without(docs, "doc_id", gone)
     key = F.when(F.col("doc_id").isNotNull(), F.concat(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit(":"), F.sha2(F.coalesce("text", F.lit("")), 256)))
     keyed = docs.withColumn("_key", key)
     gone = stage(dartminhash.near_duplicates(keyed, "_key").where("not kept").select("_key").distinct(), "copies", narrow=True)
