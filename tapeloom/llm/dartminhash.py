@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wordy = signed.where("doc is not null and n > 0")
     # Only digests that repeat are joined, from a table of their own: a digest of very many copies can then be split over tasks.
     least = stage(wordy.groupBy("d0", "d1", "n").agg(F.min("doc").alias("exact"), F.count("*").alias("m")).where("m > 1").drop("m"), "copied", narrow=True)
-    known = stage(wordy.join(least, ["d0", "d1", "n"], "left").withColumn("exact", F.coalesce("exact", "doc")).select("doc", "exact", "n", "u", *[F.when(F.col("doc") == F.col("exact"), F.col(c)).alias(c) for c in ("band", "once", "often")]), "exact")
+    known = stage(wordy.join(least, ["d0", "d1", "n"], "left").withColumn("exact", F.coalesce("exact", "doc")).select("doc", "exact", "n", "u", *[F.when(F.col("doc") == F.col("exact"), F.col(c)).alias(c) for c in ("band", "once", "often")]), "exact", narrow=True)
     # An id that is repeated with other words links the classes of both texts.
     repeated = known.groupBy("doc").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).where("a != b").select("a", "b")
     found = link(known.where("doc = exact").select("doc", "n", "u", "band", "once", "often"), docs, id_col, text_col, cfg, repeated)
