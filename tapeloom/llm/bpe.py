@@ -303,7 +303,7 @@ class BpeConfig:
     word_bytes: int = 64  # of a word in the lexicon, at most
     counted: int = 150_000  # distinct words that a task counts at a time
     told: int = 65_536  # words that a task tells
-    cached: int = 160_000  # words whose ids a task keeps
+    cached: int = 320_000  # words whose ids a task keeps
 
 
 def count_words(docs: DataFrame, text_col: str, cfg: BpeConfig) -> DataFrame:
