@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, dartminhash, decontam, itq, langid, pii, quality, urlfilter, warc
+from . import bpe, chat, dartminhash, decontam, itq, langid, pii, quality, tokencount, turnrepair, urlfilter, warc, whitening
 from .runtime import stage, table
 
 #: The file of the tokenizer; a deployment sets its own.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: The file of the tokenizer by which tokens are counted.
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 #: Host, path and verdict of the URL rules.
 URL_RULES = [
@@ -68,7 +70,21 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(rows.union(more))
 
 
-QUERIES = {f.__name__: f for f in (op1_itq_near_vectors, op2_warc_transactions, op3_quality_rff, op4_bpe_transducer, op5_decontamination, op6_dartminhash, op7_language_mixture, op8_url_filter, op9_pii_disclosure, op10_chat_format)}
+def op11_residue_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))  # null where no long holds it
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = turnrepair.repair(turnrepair.damaged(table(spark, sf_dir, "conversations")))
+    return turnrepair.with_digests(done)
+
+
+QUERIES = {f.__name__: f for f in (op1_itq_near_vectors, op2_warc_transactions, op3_quality_rff, op4_bpe_transducer, op5_decontamination, op6_dartminhash, op7_language_mixture, op8_url_filter, op9_pii_disclosure, op10_chat_format, op11_residue_whitening, op12_token_counts, op13_turn_repair)}
 
 _OP2 = """
 WITH rows AS (
