@@ -27,35 +27,35 @@ def _price(packed: Column) -> Column:
     return packed.bitwiseAND(F.lit((1 << _SHIFT) - 1).cast("long")) - F.lit(_HALF).cast("long")
 
 
-def _aggregate(numbered: DataFrame, keys: list[str]) -> DataFrame:
-    """numbered: with _at, the number of a trade within its bar."""
+def _aggregate(numbered: DataFrame, keys: list[str], extra: tuple[Column, ...] = ()) -> DataFrame:
+    """numbered: with _at, the number of a trade within its bar. extra: more aggregates."""
     pack = _packed(F.col("_at"), F.col("price_ticks"))
     return numbered.groupBy(*keys).agg(
         F.min("ts_event").alias("open_ts"), F.max("ts_event").alias("close_ts"), _price(F.min(pack)).alias("open_ticks"), F.max("price_ticks").alias("high_ticks"),
-        F.min("price_ticks").alias("low_ticks"), _price(F.max(pack)).alias("close_ticks"), F.sum("size").alias("volume"), F.count("*").alias("trade_count"),
+        F.min("price_ticks").alias("low_ticks"), _price(F.max(pack)).alias("close_ticks"), F.sum("size").alias("volume"), F.count("*").alias("trade_count"), *extra,
     )
 
 
 def numbered_in_day(trades: DataFrame, scheme: Scheme, order: list[Column] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, trading_day, ts_event, price_ticks, size, _rn): the number of each trade of a day, from 0; order must begin with the time or its hour."""
+    """(by, trading_day, session, ts_event, price_ticks, size, _rn): the number of each trade of a day, from 0; order must begin with the time or its hour."""
     days = with_session(trades, scheme).where("trading_day is not null").withColumn("_hour", F.date_trunc("hour", "ts_event"))
     counts = days.groupBy(*by, "trading_day", "_hour").agg(F.count("*").alias("_n"))
     earlier = F.sum("_n").over(Window.partitionBy(*by, "trading_day").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(*by, "trading_day", "_hour", F.coalesce(earlier, F.lit(0)).alias("_start"))
     w = Window.partitionBy(*by, "trading_day", "_hour").orderBy(*(order or canonical_key()))
-    own = days.select(*by, "trading_day", "_hour", "ts_event", "price_ticks", "size", (F.row_number().over(w).cast("long") - 1).alias("_k"))
+    own = days.select(*by, "trading_day", "session", "_hour", "ts_event", "price_ticks", "size", (F.row_number().over(w).cast("long") - 1).alias("_k"))
     return own.join(starts, [*by, "trading_day", "_hour"]).withColumn("_rn", F.col("_k") + F.col("_start")).drop("_hour", "_k", "_start")
 
 
-def tick_bars(trades: DataFrame, sizes: int | tuple[int, ...], scheme: Scheme, order: list[Column] | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """Bars of each size for each trading day; the last of a day may be partial. Trades of a closed window are left out."""
+def tick_bars(trades: DataFrame, sizes: int | tuple[int, ...], scheme: Scheme, order: list[Column] | None = None, by: tuple[str, ...] = (), extra: tuple[Column, ...] | list[Column] = ()) -> DataFrame:
+    """Bars of each size for each trading day, or each of by and day; the last of a day may be partial. Trades of a closed window are left out. extra: more aggregates over a bar's trades, which have their session."""
     wanted = sorted({sizes} if isinstance(sizes, int) else set(sizes))
     if not wanted or wanted[0] <= 0:
         raise ValueError("bar sizes must be positive")
     numbered = numbered_in_day(trades, scheme, order, by)
     each = F.explode(F.array(*[F.lit(n) for n in wanted])) if len(wanted) > 1 else F.lit(wanted[0])
     numbered = numbered.withColumn("timeframe_ticks", each).withColumn("bar_index", F.expr("_rn div timeframe_ticks")).withColumn("_at", F.expr("_rn % timeframe_ticks"))
-    return finish(_aggregate(numbered, [*by, "timeframe_ticks", "trading_day", "bar_index"]))
+    return finish(_aggregate(numbered, [*by, "timeframe_ticks", "trading_day", "bar_index"], tuple(extra)))
 
 
 def finish(bars: DataFrame) -> DataFrame:

@@ -20,26 +20,27 @@ class Chain:
     touches: DataFrame
 
 
-def chain(trades: DataFrame, bar_trades: int, cfg: EngineConfig = EngineConfig()) -> Chain:
-    bars = b.tick_bars(trades, bar_trades, cfg.scheme)
-    lv = levels.level_set(bars, cfg.scheme, cfg.tick_size)
-    zn = zones.merge_levels(lv, cfg.proximity_pts)
-    return Chain(bars, lv, zn, touches.first_touches(bars, zn, cfg.tick_size))
+def chain(trades: DataFrame, bar_trades: int, cfg: EngineConfig = EngineConfig(), by: tuple[str, ...] = ()) -> Chain:
+    """by: columns of the trades, such as a symbol, of which each has bars, levels, zones and touches of its own."""
+    bars = b.tick_bars(trades, bar_trades, cfg.scheme, by=by)
+    lv = levels.level_set(bars, cfg.scheme, cfg.tick_size, by=by)
+    zn = zones.merge_levels(lv, cfg.proximity_pts, by)
+    return Chain(bars, lv, zn, touches.first_touches(bars, zn, cfg.tick_size, by=by))
 
 
-def training_rows(trades: DataFrame, quotes: DataFrame, bar_trades: int, cfg: EngineConfig = EngineConfig(), drop_unresolved: bool = True) -> DataFrame:
+def training_rows(trades: DataFrame, quotes: DataFrame, bar_trades: int, cfg: EngineConfig = EngineConfig(), drop_unresolved: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """Touches with features and outcomes; dropped touches are left out, and unresolved ones if asked.
 
     One chain of joins: touches meet the trades, the quotes and the bars once each, and nothing is computed twice.
     """
-    c = chain(trades, bar_trades, cfg)
+    c = chain(trades, bar_trades, cfg, by)
     about = ("bar_ts", "representative_price", "direction", "level_type")
-    feats = features.touch_features(c.touches, trades, quotes, cfg.windows, cfg.tick_size, decision_min=cfg.label.decision_min, tolerance_min=cfg.label.fill_tolerance_min, keep=about)
+    feats = features.touch_features(c.touches, trades, quotes, cfg.windows, cfg.tick_size, decision_min=cfg.label.decision_min, tolerance_min=cfg.label.fill_tolerance_min, keep=about, by=by)
     keep = (*about, *features.ZERO, *features.NULL)
-    out = outcomes.decided(feats, c.bars, cfg.label, cfg.scheme, cfg.tick_size, keep).where("drop_reason is null").drop("drop_reason", "decision_ts")
+    out = outcomes.decided(feats, c.bars, cfg.label, cfg.scheme, cfg.tick_size, keep, by).where("drop_reason is null").drop("drop_reason", "decision_ts")
     if drop_unresolved:
         out = out.where("label_encoded is not null")
-    return out.select("trading_day", "zone_id", *about, "entry_price", "label", "label_encoded", "max_mfe", "max_mae", "bars_to_resolution", *features.ZERO, *features.NULL)
+    return out.select(*by, "trading_day", "zone_id", *about, "entry_price", "label", "label_encoded", "max_mfe", "max_mae", "bars_to_resolution", *features.ZERO, *features.NULL)
 
 
 def class_balance(rows: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import FEATURES_WITHOUT_FORMULA, TICK_SIZE, FeatureWindows
 from .ordering import canonical_key
+from .touches import renamed, same
 
 BUCKET_MIN = 60
 KEY = ("trading_day", "zone_id")
@@ -33,16 +34,16 @@ def _minute(n: int) -> Column:
     return F.expr(f"INTERVAL {n} MINUTE")
 
 
-def window_join(touches: DataFrame, events: DataFrame, before_min: int, after_min: int, closed: bool = False, how: str = "inner", keep: tuple[str, ...] = ()) -> DataFrame:
+def window_join(touches: DataFrame, events: DataFrame, before_min: int, after_min: int, closed: bool = False, how: str = "inner", keep: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """touches x events with bar_ts - before <= ts_event < bar_ts + after (or <=, if closed).
 
     A left join gives each touch at least one row, with nulls for the event, in each of its buckets without a match.
     """
-    t = touches.select(*KEY, "bar_ts", "direction", "representative_price", *keep).withColumn("_b", _span("bar_ts", before_min, after_min))
-    own = events.withColumn("_own", F.expr(f"cast(floor({_minutes('ts_event')} / {BUCKET_MIN}) as bigint)"))
+    t = touches.select(*by, *KEY, "bar_ts", "direction", "representative_price", *keep).withColumn("_b", _span("bar_ts", before_min, after_min))
+    own = events.select(*renamed(by), *(c for c in events.columns if c not in by)).withColumn("_own", F.expr(f"cast(floor({_minutes('ts_event')} / {BUCKET_MIN}) as bigint)"))
     last = F.col("bar_ts") + _minute(after_min)
     inside = (F.col("_b") == F.col("_own")) & (F.col("ts_event") >= F.col("bar_ts") - _minute(before_min)) & ((F.col("ts_event") <= last) if closed else (F.col("ts_event") < last))
-    return t.join(own, inside, how).drop("_b", "_own")
+    return t.join(own, inside & same(by) if by else inside, how).drop("_b", "_own", *("_of_" + n for n in by))
 
 
 def _adverse(points: Column, level: Column) -> Column:
@@ -94,12 +95,12 @@ ZERO = ("int_time_beyond_level", "int_time_within_2pts", "int_absorption_ratio")
 NULL = ("app_large_trade_vol_pct", "app_avg_trade_size", "app_max_spread")
 
 
-def of_trades(touches: DataFrame, trades: DataFrame, cfg: FeatureWindows = FeatureWindows(), tick_size: float = TICK_SIZE, decision_min: int = 5, tolerance_min: int = 30, keep: tuple[str, ...] = ()) -> DataFrame:
+def of_trades(touches: DataFrame, trades: DataFrame, cfg: FeatureWindows = FeatureWindows(), tick_size: float = TICK_SIZE, decision_min: int = 5, tolerance_min: int = 30, keep: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """(key, direction, representative_price, keep, n_after, n_before, features of trades, entry_price) for each touch, by one join with the trades."""
-    base = (*KEY, "direction", "representative_price", *keep)
+    base = (*by, *KEY, "direction", "representative_price", *keep)
     back, ahead = max(cfg.approach_min, tolerance_min - decision_min), max(cfg.interaction_min, decision_min)
-    t = trades.select("ts_event", "sequence", "side", "size", "price_ticks")
-    joined = window_join(touches, t, back, ahead, closed=True, how="left", keep=tuple(c for c in keep if c != "bar_ts"))
+    t = trades.select(*by, "ts_event", "sequence", "side", "size", "price_ticks")
+    joined = window_join(touches, t, back, ahead, closed=True, how="left", keep=tuple(c for c in keep if c != "bar_ts"), by=by)
     found = joined.groupBy(*base).agg(*_of_trades(cfg, tick_size, decision_min, tolerance_min))
     named = _named(tick_size, cfg)
     return found.select(*base, F.size("_after").alias("n_after"), F.col("_n").alias("n_before"), *[c.alias(n) for n, c in named.items()], "entry_price")
@@ -127,7 +128,7 @@ def spread(touches: DataFrame, quotes: DataFrame, cfg: FeatureWindows, tick_size
     return window_join(touches, q, cfg.approach_min, 0).groupBy(*KEY).agg((F.max("_spread") * tick_size).alias("app_max_spread"))
 
 
-def touch_features(touches: DataFrame, trades: DataFrame, quotes: DataFrame, cfg: FeatureWindows = FeatureWindows(), tick_size: float = TICK_SIZE, names: tuple[str, ...] = (), nan: bool = False, least_trades: int = 0, decision_min: int = 5, tolerance_min: int = 30, keep: tuple[str, ...] = ()) -> DataFrame:
+def touch_features(touches: DataFrame, trades: DataFrame, quotes: DataFrame, cfg: FeatureWindows = FeatureWindows(), tick_size: float = TICK_SIZE, names: tuple[str, ...] = (), nan: bool = False, least_trades: int = 0, decision_min: int = 5, tolerance_min: int = 30, keep: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """All six for each touch: 0 where nothing happened after it, null (or NaN) where nothing came before.
 
     least_trades: touches with fewer trades after them are left out. keep: more columns of touches, and entry_price.
@@ -135,12 +136,12 @@ def touch_features(touches: DataFrame, trades: DataFrame, quotes: DataFrame, cfg
     if missing := set(names) & set(FEATURES_WITHOUT_FORMULA):
         raise NotImplementedError(f"no formula is defined for {sorted(missing)}")
     held = ("bar_ts", *(c for c in keep if c not in ("bar_ts", "direction", "representative_price")))
-    got = of_trades(touches, trades, cfg, tick_size, decision_min, tolerance_min, held)
+    got = of_trades(touches, trades, cfg, tick_size, decision_min, tolerance_min, held, by)
     # Quotes join what the trades gave, a row a touch, so the touches are computed once.
-    q = quotes.select("ts_event", (F.col("ask_ticks") - F.col("bid_ticks")).alias("_spread"))
-    own = [c for c in got.columns if c not in (*KEY, "bar_ts", "direction", "representative_price")]
-    out = window_join(got, q, cfg.approach_min, 0, how="left", keep=tuple(own)).groupBy(*got.columns).agg((F.max("_spread") * tick_size).alias("app_max_spread"))
+    q = quotes.select(*by, "ts_event", (F.col("ask_ticks") - F.col("bid_ticks")).alias("_spread"))
+    own = [c for c in got.columns if c not in (*by, *KEY, "bar_ts", "direction", "representative_price")]
+    out = window_join(got, q, cfg.approach_min, 0, how="left", keep=tuple(own), by=by).groupBy(*got.columns).agg((F.max("_spread") * tick_size).alias("app_max_spread"))
     out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ZERO} | ({c: F.coalesce(c, F.lit(float("nan"))) for c in NULL} if nan else {}))
     if least_trades:
         out = out.where(F.col("n_after") >= least_trades)
-    return out.select(*KEY, *keep, *(["entry_price"] if keep else []), *ZERO, *NULL)
+    return out.select(*by, *KEY, *keep, *(["entry_price"] if keep else []), *ZERO, *NULL)

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..config import CENTRAL, EASTERN, EngineConfig, FeatureWindows, LabelPolicy
 from ..functions import ticks
 from ..functions.calendar import day_bounds, session_of, to_local, with_session
-from ..operators import bars, dataset, diff, features, levels, ordering, outcomes, touches, zones
+from ..operators import bars, dataset, diff, evolving, features, levels, ordering, outcomes, touches, zones
 from .. import sinks
 from ..sources import market
-from ..sources.tape import tape_book, tape_dirty, tape_dirty_book, tape_events, tape_lineitem, tape_messages, tape_ties
+from ..sources.tape import damaged_copy, tape_book, tape_dirty, tape_dirty_book, tape_events, tape_lineitem, tape_messages, tape_symbols, tape_ties
 from ..streaming import runs
 from . import sql as S
 
@@ -60,13 +60,16 @@ query("src_book_fanout", S.with_(T, _EVENTS, then="SELECT * FROM ev"))(lambda s,
 
 
 def _filed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The book as files of two feeds, read back as events: front month by file, a day and a half; beside them a path without a file, and a feed without a side."""
+    """The book as files of two feeds, read back as events: front month by file, a day and a half; beside them a path without a file, a file without needed columns and one damaged midway."""
     place = sinks.scratch(s, "feeds")
     book = tape_dirty_book(s, d)
     book.where("sequence % 2 = 0").coalesce(1).write.parquet(f"{place}/a")
     book.where("sequence % 2 = 1").coalesce(1).write.parquet(f"{place}/b")
     book.drop("price", "size").limit(1).coalesce(1).write.parquet(f"{place}/c")
-    return market.read_events(s, [f"{place}/{n}" for n in ("a", "b", "c", "none")], "MBP-10", datetime(2024, 1, 9, 23), datetime(2024, 1, 11, 11), front_month_only=True)
+    # A file damaged in its middle: what is left of it lies before the range, so only its note counts.
+    tape_book(s, d).drop("price_ticks").where("ts_event < TIMESTAMP_NTZ '2024-01-09 00:00:00'").coalesce(1).write.parquet(f"{place}/whole")
+    damaged_copy(s, s.read.parquet(f"{place}/whole").inputFiles()[0], f"{place}/d/part.parquet")
+    return market.read_events(s, [f"{place}/{n}" for n in ("a", "b", "c", "d", "none")], "MBP-10", datetime(2024, 1, 9, 23), datetime(2024, 1, 11, 11), front_month_only=True)
 
 
 _FILED = """fb AS (SELECT *, sequence % 2 AS f FROM book WHERE symbol NOT LIKE '%-%'),
@@ -76,7 +79,7 @@ kept AS (SELECT b.* FROM fb b SEMI JOIN ff USING (f, instrument_id)),
 fe AS (SELECT ts_event, sequence, 'trade' AS kind, price_ticks, size, side, NULL::BIGINT AS bid_ticks, NULL::BIGINT AS ask_ticks, NULL::BIGINT AS bid_size, NULL::BIGINT AS ask_size FROM kept WHERE action = 'T' AND sequence % 101 <> 0
   UNION ALL SELECT ts_event, sequence, 'quote', NULL, NULL, NULL, price_ticks - 1, price_ticks + 1 + sequence % 3, 1 + sequence % 9, sequence % 7 FROM kept WHERE sequence % 83 <> 0 AND sequence % 101 <> 0 AND sequence % 89 <> 0)"""
 query("src_read_files", S.with_(T, _FILED, then="SELECT * FROM fe WHERE ts_event >= TIMESTAMP '2024-01-09 23:00:00' AND ts_event < TIMESTAMP '2024-01-11 11:00:00'"))(lambda s, d: _filed(s, d)[0])
-query("src_read_notes", S.with_(T, _FILED, then="SELECT code, severity, count(*) AS n FROM (SELECT 'invalid_timestamp' AS code, 'warning' AS severity FROM kept WHERE sequence % 101 = 0 AND action = 'T' UNION ALL SELECT CASE WHEN sequence % 101 = 0 THEN 'invalid_timestamp' ELSE 'invalid_price' END, 'warning' FROM kept WHERE sequence % 83 <> 0 AND (sequence % 101 = 0 OR sequence % 89 = 0) UNION ALL VALUES ('missing_required_column', 'error'), ('invalid_record', 'error')) GROUP BY 1, 2"))(lambda s, d: _filed(s, d)[1].groupBy("code", "severity").agg(F.count("*").alias("n")))
+query("src_read_notes", S.with_(T, _FILED, then="SELECT code, severity, count(*) AS n FROM (SELECT 'invalid_timestamp' AS code, 'warning' AS severity FROM kept WHERE sequence % 101 = 0 AND action = 'T' UNION ALL SELECT CASE WHEN sequence % 101 = 0 THEN 'invalid_timestamp' ELSE 'invalid_price' END, 'warning' FROM kept WHERE sequence % 83 <> 0 AND (sequence % 101 = 0 OR sequence % 89 = 0) UNION ALL VALUES ('missing_required_column', 'error'), ('invalid_record', 'error'), ('invalid_record', 'error')) GROUP BY 1, 2"))(lambda s, d: _filed(s, d)[1].groupBy("code", "severity").agg(F.count("*").alias("n")))
 query("src_time_range", S.with_(T, then="SELECT ts_event, sequence, price_ticks FROM tape WHERE ts_event >= TIMESTAMP '2024-01-10 00:00:00' AND ts_event < TIMESTAMP '2024-01-12 00:00:00'"))(lambda s, d: tape_events(s, d).where("ts_event >= TIMESTAMP_NTZ '2024-01-10 00:00:00' AND ts_event < TIMESTAMP_NTZ '2024-01-12 00:00:00'").select("ts_event", "sequence", "price_ticks"))
 query("src_outright_only", S.with_(T, then="SELECT sequence, symbol FROM book WHERE symbol NOT LIKE '%-%'"))(lambda s, d: market.outright(tape_book(s, d)).select("sequence", "symbol"))
 _VOLUME = "fm AS (SELECT instrument_id, sum(greatest(coalesce(nullif(size, 0), 1), 1))::BIGINT AS volume FROM book WHERE symbol NOT LIKE '%-%' GROUP BY 1 ORDER BY volume DESC, instrument_id LIMIT 1)"
@@ -220,6 +223,17 @@ query("touch_first_ungated", S.with_(T, B, L, Z, S.touches(False), then="SELECT
 query("touch_ny_eligible", S.with_(*TO_TOUCH, then=f"SELECT trading_day, zone_id, bar_ts FROM touches WHERE {S.session(S.local('bar_ts'))} = 'ny'"))(lambda s, d: touches.in_session(_chain(s, d)[1].touches, EASTERN).select("trading_day", "zone_id", "bar_ts"))
 query("join_anti_untouched_zones", S.with_(*TO_TOUCH, then="SELECT trading_day, zone_id, side FROM zones ANTI JOIN touches USING (trading_day, zone_id)"))(lambda s, d: (lambda c: touches.untouched(c.zones, c.touches).select("trading_day", "zone_id", "side"))(_chain(s, d)[1]))
 
+# Zones as known at each bar's close, from the levels of the day so far
+_RUNTIME = "SELECT trading_day, bar_index, bar_ts, representative_price, direction, level_type, array_to_string(names, ',') AS names FROM rt"
+
+
+def _runtime(trades: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return _flat(evolving.runtime_touches(trades, N, EASTERN, by=by)).select(*by, "trading_day", "bar_index", "bar_ts", "representative_price", "direction", "level_type", "names")
+
+
+query("touch_runtime", S.with_(T, B, L, S.RUNTIME_TOUCHES, then=_RUNTIME))(lambda s, d: _runtime(tape_events(s, d)))
+query("zone_runtime", S.with_(T, B, L, S.RUNTIME_TOUCHES, then="SELECT trading_day, bar_index, representative_price, array_to_string(names, ',') AS names, side, available_from FROM rt_zones"))(lambda s, d: _flat(evolving.zones_at_close(evolving.levels_at_close(evolving.bars_with_ranges(tape_events(s, d), N, EASTERN), EASTERN))).select("trading_day", "bar_index", "representative_price", "names", "side", "available_from"))
+
 # Features
 W = FeatureWindows()
 _FEATS = {"feat_time_beyond": "int_time_beyond_level", "feat_time_within": "int_time_within_2pts", "feat_absorption": "int_absorption_ratio", "feat_large_vol_pct": "app_large_trade_vol_pct", "feat_avg_size": "app_avg_trade_size", "feat_max_spread": "app_max_spread"}
@@ -324,3 +338,25 @@ query("diff_even_sample", S.with_(*TO_TOUCH, "sm AS (SELECT trading_day, zone_id
 query("diff_bars_continuous", S.with_(T, B, _CONT, "p AS (SELECT open_ts, close_ts, volume FROM bars WHERE is_complete)", then="SELECT (SELECT count(*) FROM p) AS n_days, (SELECT count(*) FROM cont) AS n_continuous, (SELECT count(*) FROM p JOIN cont USING (open_ts, close_ts, volume)) AS n_same"))(
     lambda s, d: (lambda p, c: p.agg(F.count("*").alias("n_days")).join(c.agg(F.count("*").alias("n_continuous")), F.lit(True)).join(p.join(c, ["open_ts", "close_ts", "volume"]).agg(F.count("*").alias("n_same")), F.lit(True)))(_bars(s, d).where("is_complete").select("open_ts", "close_ts", "volume"), bars.continuous_bars(tape_events(s, d), N).select("open_ts", "close_ts", "volume"))
 )
+
+# Several instruments in one tape: each has bars, levels, zones, touches and outcomes of its own. The SQL runs the chain of one for each.
+_BY = ("symbol",)
+
+
+def _sym_chain(s: SparkSession, d: str) -> dataset.Chain:
+    return dataset.chain(tape_symbols(s, d), N, by=_BY)
+
+
+def _sym_quotes(s: SparkSession, d: str) -> DataFrame:
+    """One quote beside each trade."""
+    k = F.col("sequence")
+    return tape_symbols(s, d).select("symbol", "ts_event", "sequence", (F.col("price_ticks") - 1).alias("bid_ticks"), (F.col("price_ticks") + 1 + k % 3).alias("ask_ticks"))
+
+
+query("sym_bars", S.each_symbol(T, B, then=f"SELECT {S.BAR_COLUMNS} FROM bars"))(lambda s, d: bars.tick_bars(tape_symbols(s, d), N, EASTERN, by=_BY))
+query("sym_levels", S.each_symbol(T, B, L, then="SELECT * FROM levels"))(lambda s, d: _sym_chain(s, d).levels)
+query("sym_zones", S.each_symbol(T, B, L, Z, then=_ZONES))(lambda s, d: _flat(_sym_chain(s, d).zones).select("symbol", "trading_day", "zone_id", "representative_price", "names", "side", "available_from", "n_levels"))
+query("sym_touches", S.each_symbol(*TO_TOUCH, then="SELECT * FROM touches"))(lambda s, d: _sym_chain(s, d).touches)
+query("sym_touch_runtime", S.each_symbol(T, B, L, S.RUNTIME_TOUCHES, then=_RUNTIME))(lambda s, d: _runtime(tape_symbols(s, d), _BY))
+query("sym_outcomes", S.each_symbol(*TO_TOUCH, S.DECISIONS, then="SELECT * FROM honest"))(lambda s, d: (lambda c: outcomes.decision_outcomes(c.touches, c.bars, tape_symbols(s, d), P, EASTERN, by=_BY))(_sym_chain(s, d)))
+query("sym_dataset", S.each_symbol(*TO_TOUCH, S.DECISIONS, S.FEATURES, then=_ROWS))(lambda s, d: dataset.training_rows(tape_symbols(s, d), _sym_quotes(s, d), N, by=_BY))

@@ -181,6 +181,37 @@ honest AS (
   FROM early e LEFT JOIN fills USING (trading_day, zone_id) LEFT JOIN resolved USING (trading_day, zone_id))"""
 
 
+_RT_LEVELS = " UNION ALL ".join(
+    f"SELECT trading_day, bar_index, close_ts, high_ticks, low_ticks, '{name}' AS name, {ticks} * 0.25::DOUBLE AS price, '{side}' AS side, {utc(known)} AS available_from, {i} AS ordinal FROM rt_bars WHERE {ticks} IS NOT NULL"
+    for i, (name, ticks, side, known) in enumerate([
+        ("pdh", "pdh_ticks", "HIGH", "(trading_day - 1 + TIME '18:00:00')"), ("pdl", "pdl_ticks", "LOW", "(trading_day - 1 + TIME '18:00:00')"),
+        ("asia_high", "asia_high", "HIGH", "(trading_day + TIME '02:45:00')"), ("asia_low", "asia_low", "LOW", "(trading_day + TIME '02:45:00')"),
+        ("london_high", "london_high", "HIGH", "(trading_day + TIME '08:00:00')"), ("london_low", "london_low", "LOW", "(trading_day + TIME '08:00:00')"),
+    ])
+)
+#: Zones by the levels known when each bar closed (rt_zones), and the first bar that meets each of them (rt).
+RUNTIME_TOUCHES = f"""
+rt_ranges AS (
+  SELECT trading_day, rn // 7 AS bar_index, max(price_ticks) FILTER (session = 'asia') AS asia_high, min(price_ticks) FILTER (session = 'asia') AS asia_low,
+    max(price_ticks) FILTER (session = 'london') AS london_high, min(price_ticks) FILTER (session = 'london') AS london_low
+  FROM num GROUP BY 1, 2),
+rt_bars AS (
+  SELECT trading_day, bar_index, close_ts, high_ticks, low_ticks, pdh_ticks, pdl_ticks,
+    max(asia_high) OVER w AS asia_high, min(asia_low) OVER w AS asia_low, max(london_high) OVER w AS london_high, min(london_low) OVER w AS london_low
+  FROM bars JOIN rt_ranges USING (trading_day, bar_index) LEFT JOIN prior USING (trading_day)
+  WINDOW w AS (PARTITION BY trading_day ORDER BY bar_index ROWS UNBOUNDED PRECEDING)),
+rt_levels AS ({_RT_LEVELS}),
+rt_gaps AS (SELECT *, CASE WHEN price - lag(price) OVER (PARTITION BY trading_day, bar_index ORDER BY price, ordinal) > 3.0 THEN 1 ELSE 0 END AS gap FROM rt_levels),
+rt_numbered AS (SELECT *, sum(gap) OVER (PARTITION BY trading_day, bar_index ORDER BY price, ordinal ROWS UNBOUNDED PRECEDING) AS z FROM rt_gaps),
+rt_zones AS (
+  SELECT trading_day, bar_index, any_value(close_ts) AS close_ts, any_value(high_ticks) AS high_ticks, any_value(low_ticks) AS low_ticks, sum(price) / count(*) AS representative_price,
+    list(name ORDER BY price, ordinal) AS names, CASE WHEN 2 * count(*) FILTER (side = 'HIGH') > count(*) THEN 'HIGH' ELSE 'LOW' END AS side, max(available_from) AS available_from
+  FROM rt_numbered GROUP BY trading_day, bar_index, z),
+rt_hits AS (
+  SELECT *, row_number() OVER (PARTITION BY trading_day, names, side, round(representative_price, 6) ORDER BY bar_index) AS k
+  FROM rt_zones WHERE representative_price BETWEEN low_ticks * 0.25 AND high_ticks * 0.25 AND close_ts >= available_from),
+rt AS (SELECT trading_day, bar_index, close_ts AS bar_ts, representative_price, side, CASE side WHEN 'LOW' THEN 'LONG' ELSE 'SHORT' END AS direction, names[1] AS level_type, names FROM rt_hits WHERE k = 1)"""
+
 DECISIONS = decisions()
 
 BARS = bars(7)
@@ -188,3 +219,9 @@ BARS = bars(7)
 
 def with_(*parts: str, then: str) -> str:
     return "WITH " + ",".join(parts) + "\n" + then
+
+
+def each_symbol(tape: str, *parts: str, then: str) -> str:
+    """The result of one instrument's tape for each of three symbols, with a column symbol."""
+    own = lambda k: tape.replace("FROM events)", f"FROM events WHERE user_id % 3 = {k})")
+    return "\nUNION ALL\n".join(f"SELECT 'S{k}' AS symbol, of_{k}.* FROM ({with_(own(k), *parts, then=then)}) of_{k}" for k in range(3))

@@ -25,6 +25,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/tapeloom-runs/{label}-{uuid.uuid4().hex}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, whatever its scheme."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """One JSON object a row, nulls left out. The writer commits whole files, so a lost executor leaves none by half."""
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode(mode).text(path)

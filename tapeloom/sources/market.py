@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import json
+import os
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,46 +152,105 @@ def missing_columns(columns: list[str], kind: str) -> list[str]:
     return lacks + [names[0] for names in (BID, ASK) if not have & set(names)] if kind == "top" else lacks
 
 
+def _known_names() -> tuple[str, ...]:
+    """The columns that any feed is read for."""
+    return tuple(dict.fromkeys(("ts_event", *SEQUENCE, "price", "size", "side", "action", *SYMBOL, "instrument_id", *BID, *ASK, *BID_SIZE, *ASK_SIZE)))
+
+
+def file_schemas(spark: SparkSession, paths: list[str]) -> list[tuple[str, str | None, str | None]]:
+    """(path, fingerprint, error) of each file or folder of files: the known columns with their types, or why it can't be opened.
+
+    Footers are read by one job on the executors. Paths of a store that only Spark's readers open are left to it, one by one.
+    """
+    known = set(_known_names())
+
+    def told(columns: list[tuple[str, str]]) -> str:
+        return json.dumps([c for c in sorted(columns) if c[0] in known])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in (p for part in batches for p in part.column(0).to_pylist()):
+            schema = error = None
+            try:
+                fs, place = pafs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
+                info = fs.get_file_info(place)
+                if info.type == pafs.FileType.Directory:
+                    found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(place, recursive=True)) if f.type == pafs.FileType.File and not os.path.basename(f.path).startswith(("_", ".")))
+                    place = found[0] if found else place
+                elif info.type == pafs.FileType.NotFound:
+                    raise FileNotFoundError
+                schema = told([(f.name, str(f.type)) for f in pq.read_schema(place, filesystem=fs)])
+            except (pa.ArrowException, OSError, ValueError) as e:
+                error = UNKNOWN_STORE if "Unrecognized filesystem" in str(e) else type(e).__name__
+            yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "fingerprint": pa.array([schema], pa.string()), "error": pa.array([error], pa.string())})
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 4 * spark.sparkContext.defaultParallelism), "path") if paths else None
+    out = {r["path"]: (r["fingerprint"], r["error"]) for r in rows.mapInArrow(probe, "path string, fingerprint string, error string").collect()} if rows else {}
+    for path in [p for p, (_, error) in out.items() if error == UNKNOWN_STORE]:
+        try:
+            out[path] = told([(f.name, f.dataType.simpleString()) for f in spark.read.parquet(path).schema]), None
+        except (PySparkException, Py4JJavaError) as e:  # of a store without a reader
+            out[path] = None, type(e).__name__
+    return [(p, *out[p]) for p in dict.fromkeys(paths)]
+
+
+UNKNOWN_STORE = "another store"
+
+
+def lost_rows(scan: DataFrame) -> DataFrame:
+    """(file_path, n_rows, n_read) of the files of a scan (with file_path) that give fewer rows than their footers tell, as a page can't be decoded.
+
+    A count that needs no column comes from the footers alone; a hash of all columns has every page decoded.
+    """
+    told = scan.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_rows"))
+    read = scan.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_read"), F.max(F.xxhash64(*[c for c in scan.columns if c != "file_path"])).alias("_all")).where("_all is not null").drop("_all")
+    both = told.join(read, "file_path", "left").select("file_path", "n_rows", F.coalesce("n_read", F.lit(0).cast("long")).alias("n_read"))
+    return both.where("n_read < n_rows")
+
+
 def read_events(spark: SparkSession, paths: list[str], schema: str, start=None, end=None, front_month_only: bool = False, tick_size: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """(events, notes) of parquet files of one feed schema, [start, end) by event time, front month by file.
 
-    Each file's footer is read first. A file that can't be opened or lacks a column is noted as an error
-    and left out, the others are read; a file whose pages turn out to be corrupt is skipped by Spark from there on.
+    All footers are read first, by one job. Files whose known columns have the same types become one scan, so the plan
+    has a scan for each schema (two for a book, whose rows are fanned out), however many files there are. A file that can't
+    be opened or lacks a column is noted as an error and left out. Where a page can't be decoded (checksums are
+    compared, if the file has them), the rows of its split before it stay, the other files and splits are read, and an
+    error tells how many rows of the file are missing.
     """
-    note = lambda rows: spark.createDataFrame([(code, message, "error", None, None, source) for code, message, source in rows], NOTES + ", path string").withColumn("source", ticks.safe_source(F.col("path"))).drop("path")
+    note = lambda rows: spark.createDataFrame([(code, message, "error", None, None, source and source.rstrip("/").rpartition("/")[2]) for code, message, source in rows], NOTES + ", path string").withColumn("source", ticks.safe_source(F.col("path"))).drop("path")
     none = spark.createDataFrame([], EVENTS)
     kind = feed_kind(schema)
     if kind is None:
         return none, note([("unsupported_schema", "schema is not supported", None)])
-
-    def opened(path: str) -> tuple[DataFrame | None, tuple[str, str, str] | None]:
-        try:
-            df = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
-            if not df.columns:
-                raise ValueError("no columns")
-        except (PySparkException, ValueError) as e:
-            return None, ("invalid_record", f"could not open file: {type(e).__name__}", path)
-        lacks = missing_columns(df.columns, kind)
-        return (None, ("missing_required_column", f"missing {', '.join(lacks)}", path)) if lacks else (df, None)
-
-    with ThreadPoolExecutor(16) as pool:
-        files = list(pool.map(opened, paths))
-    notes = note([n for _, n in files if n])
-    parts = []
-    for df in (d for d, _ in files if d is not None):
-        df = outright(df.withColumn("_file", F.input_file_name()))
+    bad, groups = [], {}
+    for path, fingerprint, error in file_schemas(spark, paths):
+        lacks = [] if error else missing_columns([n for n, _ in json.loads(fingerprint)], kind)
+        if error:
+            bad.append(("invalid_record", f"could not open file: {error}", path))
+        elif lacks:
+            bad.append(("missing_required_column", f"missing {', '.join(lacks)}", path))
+        else:
+            groups.setdefault(fingerprint, []).append(path)
+    notes, parts = note(bad), []
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("parquet.page.verify-checksum.enabled", "true")
+    for group in groups.values():
+        df = reader.parquet(*group)
+        df = df.select(*[c for c in _known_names() if c in df.columns], "_metadata.file_path", "_metadata.file_name")
+        lost = lost_rows(df.drop("file_name"))
+        message = F.concat((F.col("n_rows") - F.col("n_read")).cast("string"), F.lit(" of "), F.col("n_rows").cast("string"), F.lit(" rows could not be decoded"))
+        notes = notes.unionByName(lost.select(F.lit("invalid_record").alias("code"), message.alias("message"), F.lit("error").alias("severity"), ticks.safe_source(F.element_at(F.split("file_path", "/"), -1)).alias("source"), F.lit(None).cast("timestamp_ntz").alias("ts_event")))
+        df = outright(df)
         if front_month_only and "instrument_id" in df.columns:
-            df = only_front_month(df, ("_file",))
+            df = only_front_month(df, ("file_path",))
         if kind == "trade":
-            good, bad = normalize_trades(df, tick_size, "_file")
+            good, rejected = normalize_trades(df, tick_size, "file_name")
             good = typed(good, "trade")
         elif kind == "book":
-            good, bad = book_events(df, tick_size, "_file")
+            good, rejected = book_events(df, tick_size, "file_name")
         else:
-            good, bad = normalize_quotes(df, tick_size, "_file")
+            good, rejected = normalize_quotes(df, tick_size, "file_name")
             good = typed(good, "quote")
         parts.append(good)
-        notes = notes.unionByName(bad)
+        notes = notes.unionByName(rejected)
     events = reduce(DataFrame.unionByName, parts) if parts else none
     if start is not None:
         events = events.where(F.col("ts_event") >= F.lit(start).cast("timestamp_ntz"))

@@ -2,26 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks import hadoop_path
+
 
 def _price_path(ts: str, extra: str) -> str:
     m = f"timestampdiff(MINUTE, TIMESTAMP_NTZ '1970-01-01 00:00:00', {ts})"
     return f"cast(68000 + abs({m} % 1260 - 630) div 2 + abs({m} % 4200 - 2100) div 6 + {extra} as bigint)"
 
 
-def tape_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades from events: ts_event, sequence, price_ticks, price, size, side."""
+def tape_events(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Trades from events: ts_event, sequence, price_ticks, size, side, more columns of theirs, and price."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
     return e.select(
         F.col("ts").cast("timestamp_ntz").alias("ts_event"), F.col("event_id").alias("sequence"),
         F.expr(_price_path("cast(ts as timestamp_ntz)", "cast(floor(value * 100) as bigint) % 25")).alias("price_ticks"),
         (1 + F.col("user_id") % 17).cast("long").alias("size"),
-        F.when(F.col("event_type").isin("purchase", "view"), "B").when(F.col("event_type") == "error", "N").otherwise("A").alias("side"),
+        F.when(F.col("event_type").isin("purchase", "view"), "B").when(F.col("event_type") == "error", "N").otherwise("A").alias("side"), *more,
     ).withColumn("price", F.col("price_ticks") * 0.25)
 
 
+def tape_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trades of events as those of three symbols: S0, S1 and S2."""
+    return tape_events(spark, sf_dir, F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string")).alias("symbol"))
+
+
+def damaged_copy(spark: SparkSession, file: str, target: str) -> str:
+    """A copy of a parquet file of which the middle half of the data is overwritten; its footer is as it was."""
+    path, fs = hadoop_path(spark, file)
+    stream = fs.open(path)
+    block = bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    stream.close()
+    data = len(block) - 8 - int.from_bytes(block[-8:-4], "little")
+    block[data // 4 : 3 * data // 4] = b"\xff" * (3 * data // 4 - data // 4)
+    copy, fs = hadoop_path(spark, target)
+    out = fs.create(copy)
+    out.write(block)
+    out.close()
+    return target
+
+
 def tape_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten-level book rows of which the top is used: action, bid_px_00, ask_px_00, symbol, instrument_id."""
     t, k = tape_events(spark, sf_dir), F.col("sequence") % 11
