@@ -33,6 +33,8 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Canonical form: what is taken off hosts and paths, in this order. DuckDB reads the same patterns.
 HOST_CUTS = (r"^(www|m)\.", r":(80|443)\z", r"\.+\z")
 PATH_CUTS = (r"(index)?\.html\z", r"/+\z")
+#: Patterns of one closing character: trimming takes it off in one pass, where the pattern would be tried from every place of a long run.
+TRIMMED = {r"\.+\z": ".", r"/+\z": "/"}
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -45,12 +47,13 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def canonical(host: Column, path: Column) -> Column:
     """The canonical URL of a host and path; null without a host."""
-    site, page = host, path
-    for cut in HOST_CUTS:
-        site = F.regexp_replace(site, cut, "")
-    for cut in PATH_CUTS:
-        page = F.regexp_replace(page, cut, "")
-    return F.when(host != "", F.concat(site, page))
+
+    def without(part: Column, cuts: tuple[str, ...]) -> Column:
+        for cut in cuts:
+            part = F.rtrim(part, F.lit(TRIMMED[cut])) if cut in TRIMMED else F.regexp_replace(part, cut, "")
+        return part
+
+    return F.when(host != "", F.concat(without(host, HOST_CUTS), without(path, PATH_CUTS)))
 
 
 def several_spellings(pages: DataFrame, url_col: str = "url") -> DataFrame:

@@ -26,6 +26,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +43,17 @@ CLASS_BYTES = (256 << 10, 4 << 20)
 def plan_captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, list[int]]:
     """Each page with its payload, digest, key and the page and key (or null) of the response that it revisits; and the largest payload of each class of size.
 
-    The key of a row is its page and its number in the table, which must be the same in two reads of it, as it is of files.
+    The key of a row is its page, its file and its number in that file, so every read of the table gives the same,
+    however it is split and whatever executors there are. A table that does not come from files is written to some first.
     """
+    try:
+        place = pages.select(id_col, url_col, html_col, F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit("."), F.col("_metadata.row_index").cast("string")).alias("_at"))
+        place.schema  # analysed here
+    except AnalysisException:
+        return plan_captures(stage(pages.select(id_col, url_col, html_col), "pages"), id_col, url_col, html_col)
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     page = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.concat(page, F.lit(":"), F.monotonically_increasing_id().cast("string")).alias("key"))
+    rows = place.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.concat(page, F.lit(":"), "_at").alias("key"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("bytes", F.octet_length("payload").cast("long"))
     seen = Observation("warc-pages")
     edges = (0, *CLASS_BYTES, 1 << 62)

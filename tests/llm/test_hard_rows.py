@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, and extra columns with clashing names, for every operator and stage."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,30 @@ def test_stages(spark, hard, none, tmp_path):
     two = docs(spark, [(1, body, None), (1, body[::-1], None), (1, body, None), (2, body[::-1], None), (3, body + " more", None), (4, "z", None)])
     left = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, two, str(tmp_path)).collect())
     assert left == sorted([(1, body), (1, body[::-1]), (4, "z")])
+
+
+@pytest.mark.parametrize(("url", "canonical"), [("http://a.com/x" + "/" * 1_000_000, "a.com/x"), ("http://a.com" + "." * 1_000_000, "a.com"), ("http://a.com/" + "/x" * 500_000, "a.com/" + "/x" * 500_000), ("http://" + "a." * 500_000 + "com/", "a." * 500_000 + "com")])
+def test_long_urls_in_linear_time(spark, url, canonical):
+    host, path = urlfilter.split_url(F.col("url"))
+    rows = spark.createDataFrame([(url,)], "url string")
+    rows.select(urlfilter.canonical(host, path)).first()  # code is compiled
+    began = time.perf_counter()
+    assert rows.select(urlfilter.canonical(host, path)).first()[0] == canonical
+    assert time.perf_counter() - began < 5
+
+
+def test_record_keys_do_not_hang_on_partitions(spark, tmp_path):
+    """A read that is split otherwise gives the same keys, so what a revisit names is there."""
+    rows = [(i % 40, f"http://a.com/{i}", "x" * (150 + i % 7)) for i in range(300)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.option("parquet.block.size", 1024).parquet(f"{tmp_path}/pages")
+    keys = []
+    for size in ("1k", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        keys.append(sorted(r.key for r in warc.plan_captures(spark.read.parquet(f"{tmp_path}/pages"))[0].select("key").collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert keys[0] == keys[1] and len(set(keys[0])) == 300
+    shuffled = spark.read.parquet(f"{tmp_path}/pages").repartition(3)
+    warc.write_archives(shuffled, f"{tmp_path}/warc")
+    found = warc.read_records(spark, f"{tmp_path}/warc").where("kind in ('response', 'revisit')").collect()
+    known = {r.record_id for r in found if r.kind == "response"}
+    assert len(found) == 300 and all(r.refers_to in known for r in found if r.kind == "revisit") and len(known) < 300
