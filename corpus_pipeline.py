@@ -47,7 +47,7 @@ def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and what they decode to, as digests."""
-    return bpe.encode_documents(docs, TOKENIZER, digests=True)
+    return bpe.encode_documents(docs, TOKENIZER, digests=True, cfg=bpe.BpeConfig(cached=80_000))  # beside what earlier stages leave in the executors
 
 
 STAGES = [
@@ -58,7 +58,7 @@ STAGES = [
     ("BPE encoding and decoding", encode),
 ]
 
-#: SQL cannot express these stages; tests/llm holds the pipeline against brute-force versions.
+#: SQL cannot express these stages; tests/llm holds it against the operators, and those against brute-force versions.
 ORACLE_SQL = None
 
 
