@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.calendar import session_of, to_local
 from . import bars as b
 from . import features, levels, outcomes, touches, zones
 
@@ -22,7 +23,11 @@ class Chain:
 
 def chain(trades: DataFrame, bar_trades: int, cfg: EngineConfig = EngineConfig(), by: tuple[str, ...] = ()) -> Chain:
     """by: columns of the trades, such as a symbol, of which each has bars, levels, zones and touches of its own."""
-    bars = b.tick_bars(trades, bar_trades, cfg.scheme, by=by)
+    return chain_of_bars(b.tick_bars(trades, bar_trades, cfg.scheme, by=by), cfg, by)
+
+
+def chain_of_bars(bars: DataFrame, cfg: EngineConfig = EngineConfig(), by: tuple[str, ...] = ()) -> Chain:
+    """The same from bars, such as a table of them that was written once."""
     lv = levels.level_set(bars, cfg.scheme, cfg.tick_size, by=by)
     zn = zones.merge_levels(lv, cfg.proximity_pts, by)
     return Chain(bars, lv, zn, touches.first_touches(bars, zn, cfg.tick_size, by=by))
@@ -43,6 +48,15 @@ def training_rows(trades: DataFrame, quotes: DataFrame, bar_trades: int, cfg: En
     return out.select(*by, "trading_day", "zone_id", *about, "entry_price", "label", "label_encoded", "max_mfe", "max_mae", "bars_to_resolution", *features.ZERO, *features.NULL)
 
 
+def judged_touches(c: Chain, trades: DataFrame, quotes: DataFrame, cfg: EngineConfig = EngineConfig(), by: tuple[str, ...] = ()) -> DataFrame:
+    """Every touch with its session, features, and outcome or reason of a drop."""
+    key = [*by, "trading_day", "zone_id"]
+    feats = features.touch_features(c.touches, trades, quotes, cfg.windows, cfg.tick_size, by=by)
+    out = outcomes.decision_outcomes(c.touches, c.bars, trades, cfg.label, cfg.scheme, cfg.tick_size, by)
+    session = session_of(to_local(F.col("bar_ts"), cfg.scheme), cfg.scheme)
+    return c.touches.withColumn("session", session).join(feats, key).join(out, key)
+
+
 def class_balance(rows: DataFrame) -> DataFrame:
     g = rows.where("label is not null").groupBy("label").agg(F.count("*").alias("n"))
     return g.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 4))

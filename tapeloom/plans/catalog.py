@@ -263,8 +263,16 @@ query("feat_vector", S.with_(*TO_TOUCH, S.FEATURES, then="SELECT * FROM feats"))
 
 # Outcomes
 P = LabelPolicy()
-_GRIDS = "SELECT a.range * 2.5 AS mfe, b.range * 5.0 AS mae FROM range(10) a, range(10) b"
-query("out_classify_kernel", f"SELECT mfe::DOUBLE AS mfe, mae::DOUBLE AS mae, {S.ladder('mfe', 'mae')} AS label, {S.ladder('mfe', 'mae', forced=True)} AS label_forced FROM ({_GRIDS})")(lambda s, d: s.range(100).select((F.expr("id div 10") * 2.5).alias("mfe"), (F.expr("id % 10") * 5.0).alias("mae")).select("mfe", "mae", outcomes.ladder(F.col("mfe"), F.col("mae"), P).alias("label"), outcomes.ladder(F.col("mfe"), F.col("mae"), LabelPolicy(forced=True)).alias("label_forced")))
+# A long entry at the open of each bar, held through the bar.
+_HELD = "SELECT bar_id, (high_ticks - open_ticks) * 0.25::DOUBLE AS mfe, (open_ticks - low_ticks) * 0.25::DOUBLE AS mae FROM bars"
+
+
+def _held(s: SparkSession, d: str) -> DataFrame:
+    held = _bars(s, d, 147).select("bar_id", ((F.col("high_ticks") - F.col("open_ticks")) * 0.25).alias("mfe"), ((F.col("open_ticks") - F.col("low_ticks")) * 0.25).alias("mae"))
+    return held.select("*", outcomes.ladder(F.col("mfe"), F.col("mae"), P).alias("label"), outcomes.ladder(F.col("mfe"), F.col("mae"), LabelPolicy(forced=True)).alias("label_forced"))
+
+
+query("out_classify_kernel", S.with_(T, S.bars(147), then=f"SELECT *, {S.ladder('mfe', 'mae')} AS label, {S.ladder('mfe', 'mae', forced=True)} AS label_forced FROM ({_HELD})"))(_held)
 
 
 def _level_entries(c: dataset.Chain) -> DataFrame:
@@ -339,6 +347,102 @@ query("diff_bars_continuous", S.with_(T, B, _CONT, "p AS (SELECT open_ts, close_
     lambda s, d: (lambda p, c: p.agg(F.count("*").alias("n_days")).join(c.agg(F.count("*").alias("n_continuous")), F.lit(True)).join(p.join(c, ["open_ts", "close_ts", "volume"]).agg(F.count("*").alias("n_same")), F.lit(True)))(_bars(s, d).where("is_complete").select("open_ts", "close_ts", "volume"), bars.continuous_bars(tape_events(s, d), N).select("open_ts", "close_ts", "volume"))
 )
 
+# Two runs of the chain that differ in the order of trades within an hour, compared stage by stage and day by day
+_RUN = (T, B, L, Z, H, S.DECISIONS, S.FEATURES)
+_OTHER = (T, _BY_PRICE, S.bars(7, "bars", "byp", "rp"), L, Z, H, S.DECISIONS, S.FEATURES)
+_FEATURES = (*features.ZERO, *features.NULL)
+_STAGES = (
+    ("bars", "bars", ("trading_day", "bar_index"), dict.fromkeys(("open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume", "trade_count")), True),
+    ("levels", "levels", ("trading_day", "name"), {"price": 1e-9, "side": None, "available_from": None}, True),
+    ("zones", "zones", ("trading_day", "zone_id"), {"representative_price": 1e-9, "side": None, "names": None, "n_levels": None}, True),
+    ("touches", "touches", ("trading_day", "zone_id"), {"bar_ts": None, "direction": None, "representative_price": 1e-9, "level_type": None}, True),
+    ("labels", "judged", ("trading_day", "zone_id"), {"label": None, "label_encoded": None, "max_mfe": 1e-9, "max_mae": 1e-9, "drop_reason": None}, True),
+    ("interaction", "judged", ("trading_day", "zone_id"), dict.fromkeys(features.ZERO, 1e-9), False),
+    ("approach", "judged", ("trading_day", "zone_id"), dict.fromkeys(features.NULL, 1e-6), False),
+)
+_JUDGED = f"SELECT t.*, {S.session(S.local('bar_ts'))} AS session, h.* EXCLUDE (trading_day, zone_id), f.* EXCLUDE (trading_day, zone_id) FROM touches t JOIN honest h USING (trading_day, zone_id) JOIN feats f USING (trading_day, zone_id)"
+_SIDES = ", ".join(f"{side}_{name} AS ({S.with_(*parts, then=then)})" for side, parts in (("l", _RUN), ("r", _OTHER)) for name, then in (("bars", "SELECT * FROM bars"), ("levels", "SELECT * FROM levels"), ("zones", "SELECT * FROM zones"), ("touches", "SELECT * FROM touches"), ("judged", _JUDGED)))
+
+
+def _two_runs(s: SparkSession, d: str) -> tuple[diff.Run, diff.Run]:
+    """Both runs; their bars are written once, and all that follows is made from that table."""
+    t, out = tape_events(s, d), []
+    for name, b in zip(("left", "right"), _two_orders(s, d), strict=True):
+        place = sinks.scratch(s, f"bars-{name}")
+        b.write.parquet(place)
+        c = dataset.chain_of_bars(s.read.parquet(place))
+        out.append(diff.Run(c.bars, c.levels, c.zones, dataset.judged_touches(c, t, _quotes(s, d))))
+    return out[0], out[1]
+
+
+def _stage_sql(name: str, table: str, keys: tuple[str, ...], fields: dict[str, float | None], must_match: bool) -> str:
+    differ = " OR ".join(f"a.{f} IS DISTINCT FROM b.{f}" if eps is None else f"((a.{f} IS NULL) <> (b.{f} IS NULL) OR abs(a.{f} - b.{f}) > {eps})" for f, eps in fields.items())
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys)
+    alone = f"(a.{keys[0]} IS NULL OR b.{keys[0]} IS NULL)"
+    bad = f"({alone} OR coalesce({differ}, false))"
+    both = ", ".join(f"coalesce(a.{k}, b.{k})" for k in keys)
+    text = " || '/' || ".join(f"coalesce(a.{k}, b.{k})::VARCHAR" for k in keys)
+    return f"SELECT '{name}' AS stage, '{'must_match' if must_match else 'expected_differ'}' AS scope, count(*) AS total, count(*) FILTER (NOT {bad}) AS matched, count(*) FILTER ({bad}) AS mismatched, count(*) FILTER ({alone}) AS one_sided, min_by({text}, ({both})) FILTER ({bad}) AS first_key, {'count(*) FILTER (' + bad + ') = 0' if must_match else 'true'} AS passed FROM l_{table} a FULL JOIN r_{table} b ON {on}"
+
+
+def _stage_tally(s: SparkSession, d: str) -> DataFrame:
+    a, b = _two_runs(s, d)
+    table = {"bars": (a.bars, b.bars), "levels": (a.levels, b.levels), "zones": (a.zones, b.zones), "touches": (a.touches, b.touches), "judged": (a.touches, b.touches)}
+    return diff.tally([diff.Stage(name, *table[of], keys, fields, must) for name, of, keys, fields, must in _STAGES])
+
+
+query("diff_stage_tally", "WITH " + _SIDES + "\n" + "\nUNION ALL ".join(_stage_sql(*x) for x in _STAGES))(_stage_tally)
+query("diff_first", S.with_(T, B, _BY_PRICE, _BARS2, then=" UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS n, min_by(trading_day, (trading_day, bar_index)) AS trading_day, min_by(bar_index, (trading_day, bar_index)) AS bar_index, min_by(a.{f}, (trading_day, bar_index))::VARCHAR AS \"left\", min_by(b.{f}, (trading_day, bar_index))::VARCHAR AS \"right\" FROM bars a JOIN bars2 b USING (trading_day, bar_index) WHERE a.{f} IS DISTINCT FROM b.{f} HAVING count(*) > 0" for f in _FIELDS)))(
+    lambda s, d: diff.first_differences(*_two_orders(s, d), ["trading_day", "bar_index"], dict.fromkeys(_FIELDS))
+)
+
+
+def _set_sql(name: str, table: str, item: str) -> str:
+    return f"""{name}_i AS (SELECT trading_day, {item} AS item, max(l) AS l, max(r) AS r FROM (SELECT *, 1 AS l, 0 AS r FROM l_{table} UNION ALL BY NAME SELECT *, 0 AS l, 1 AS r FROM r_{table}) GROUP BY 1, 2),
+{name}_s AS (SELECT trading_day, sum(l)::BIGINT AS {name}_left, sum(r)::BIGINT AS {name}_right, sum(l * r)::BIGINT AS {name}_matched, coalesce(string_agg(item, '; ' ORDER BY item) FILTER (l = 1 AND r = 0), '') AS {name}_left_only, coalesce(string_agg(item, '; ' ORDER BY item) FILTER (l = 0 AND r = 1), '') AS {name}_right_only FROM {name}_i GROUP BY 1)"""
+
+
+_BOTH = "a.label IS NOT NULL AND b.label IS NOT NULL"
+_APART = {f: f"{_BOTH} AND ((a.{f} IS NULL) <> (b.{f} IS NULL) OR coalesce(abs(a.{f} - b.{f}) > 1e-6, false))" for f in _FEATURES}
+_LABELS = ("tradeable_reversal", "trap_reversal", "aggressive_blowthrough", "no_resolution")
+_OUTCOME_SQL = f"""o_s AS (
+  SELECT coalesce(a.trading_day, b.trading_day) AS trading_day, count(*) FILTER (a.session = 'ny' OR b.session = 'ny') AS eligible_touches,
+    count(a.label) AS labelled_left, count(b.label) AS labelled_right, count(a.drop_reason) AS dropped_left, count(b.drop_reason) AS dropped_right,
+    count(*) FILTER ((a.label IS NULL) <> (b.label IS NULL)) AS survivors_differ, count(*) FILTER (a.label <> b.label) AS label_flips,
+    {', '.join(f'count(*) FILTER ({on}) AS {f}_differ, coalesce(max(abs(coalesce(a.{f}, 0) - coalesce(b.{f}, 0))) FILTER ({on}), 0)::DOUBLE AS {f}_worst' for f, on in _APART.items())},
+    {', '.join(f"count(*) FILTER (a.label = '{x}') AS n_{x}" for x in _LABELS)}
+  FROM l_judged a FULL JOIN r_judged b ON a.trading_day = b.trading_day AND a.level_type = b.level_type AND a.direction = b.direction AND a.bar_ts = b.bar_ts AND round(a.representative_price, 6) = round(b.representative_price, 6)
+  GROUP BY 1)"""
+_COUNTS = ["bars_left", "bars_right", *(f"{x}_{y}" for x in ("levels", "zones", "touches") for y in ("left", "right", "matched")), "eligible_touches", "labelled_left", "labelled_right", "dropped_left", "dropped_right", "survivors_differ", "label_flips", *(f"{f}_differ" for f in _FEATURES), *(f"n_{x}" for x in _LABELS)]
+_DAY_SQL = f"""WITH {_SIDES},
+{_set_sql("levels", "levels", "name || '|' || format('{:.6f}', price) || '|' || side")},
+{_set_sql("zones", "zones", "format('{:.6f}', representative_price) || '|' || side || '|' || array_to_string(names, ',')")},
+{_set_sql("touches", "touches", "level_type || '|' || direction || '|' || strftime(bar_ts, '%Y-%m-%d %H:%M:%S.%f') || '|' || format('{:.6f}', round(representative_price, 6))")},
+{_OUTCOME_SQL},
+lb AS (SELECT trading_day, count(*) AS bars_left FROM l_bars GROUP BY 1), rb AS (SELECT trading_day, count(*) AS bars_right FROM r_bars GROUP BY 1),
+d AS (SELECT * FROM lb FULL JOIN rb USING (trading_day) LEFT JOIN levels_s USING (trading_day) LEFT JOIN zones_s USING (trading_day) LEFT JOIN touches_s USING (trading_day) LEFT JOIN o_s USING (trading_day)),
+e AS (SELECT trading_day, CASE WHEN bars_left IS NULL OR bars_right IS NULL THEN 'empty bar set' END AS reason, {', '.join(f'coalesce({c}, 0) AS {c}' for c in [*_COUNTS, *(f'{f}_worst' for f in _FEATURES)])}, {', '.join(f"coalesce({x}_{y}_only, '') AS {x}_{y}_only" for x in ('levels', 'zones', 'touches') for y in ('left', 'right'))} FROM d)
+SELECT *, {', '.join(f'{x}_left = {x}_matched AND {x}_right = {x}_matched AS {x}_identical' for x in ('levels', 'zones', 'touches'))}, survivors_differ = 0 AS survivors_identical, label_flips = 0 AS labels_identical, {' + '.join(f'{f}_differ' for f in _FEATURES)} = 0 AS features_identical FROM e"""
+query("diff_day", _DAY_SQL)(lambda s, d: diff.day_differences(*_two_runs(s, d), _FEATURES))
+
+
+def _in_files(s: SparkSession, d: str) -> DataFrame:
+    """The tape with ties, written as files in canonical order; the rank is a row's file and place."""
+    t = tape_ties(s, d)
+    return sinks.read_ordered(s, sinks.write_ordered(t, sinks.scratch(s, "ordered"), ordering.canonical_key()))
+
+
+query("ord_files_rank", S.with_(T, S.TIES, then=f"SELECT ts_event, sequence, side_signed, size, {_RANK} AS rank FROM ties"))(lambda s, d: _in_files(s, d).select("ts_event", "sequence", ticks.side_signed(F.col("price_ticks"), F.col("side")).alias("side_signed"), "size", F.col("rank").cast("long").alias("rank")))
+_DRAINED = "dr AS (SELECT *, date_trunc('hour', ts_event) AS drain, row_number() OVER (PARTITION BY date_trunc('hour', ts_event) ORDER BY sequence) AS k FROM tape)"
+
+
+def _drained(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return market.bounded(tape_events(s, d).withColumn("drain", F.date_trunc("hour", "ts_event").cast("timestamp_ntz")), "drain", "sequence", 5)
+
+
+query("src_queue_kept", S.with_(T, _DRAINED, then="SELECT drain, sequence, price_ticks FROM dr WHERE k <= 5"))(lambda s, d: _drained(s, d)[0].select("drain", "sequence", "price_ticks"))
+query("src_queue_drops", S.with_(T, _DRAINED, then="SELECT 'backpressure_drop' AS code, (count(*) - 5)::VARCHAR || ' messages dropped' AS message, drain, count(*) - 5 AS count FROM dr GROUP BY drain HAVING count(*) > 5"))(lambda s, d: _drained(s, d)[1].select("code", "message", "drain", "count"))
+
 # Several instruments in one tape: each has bars, levels, zones, touches and outcomes of its own. The SQL runs the chain of one for each.
 _BY = ("symbol",)
 

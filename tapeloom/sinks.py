@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -41,6 +41,32 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType) -> DataF
     return spark.read.text(path).select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
+def write_ordered(df: DataFrame, path: str, order: list[Column], files: int = 0) -> str:
+    """df as parquet files of ranges of order, each sorted, with a manifest: a reader that takes files and rows as they come has the order without a sort.
+
+    files: 0 for as many as the session's shuffles have. The manifest (file, n, start, first) tells how many rows each file
+    has, how many come before it, and the key of its first row.
+    """
+    spark = df.sparkSession
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumns(dict(zip(names, order, strict=True)))
+    keyed.repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), *names).sortWithinPartitions(*names).write.parquet(f"{path}/rows")
+    found = spark.read.parquet(f"{path}/rows").select(F.col("_metadata.file_name").alias("file"), F.struct(*names).alias("k"))
+    w = Window.orderBy("first", "last", "file").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a file
+    manifest = found.groupBy("file").agg(F.count("*").alias("n"), F.min("k").alias("first"), F.max("k").alias("last"))
+    manifest.select("file", "n", (F.sum("n").over(w) - F.col("n")).alias("start"), "first").write.parquet(f"{path}/manifest")
+    return path
+
+
+def read_ordered(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of write_ordered with their rank from 1, by file and place in it; nothing is sorted."""
+    rows = spark.read.parquet(f"{path}/rows")
+    own = [c for c in rows.columns if not (c.startswith("_o") and c[2:].isdigit())]
+    placed = rows.select(*own, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    starts = spark.read.parquet(f"{path}/manifest").select(F.col("file").alias("_file"), F.col("start").alias("_start"))
+    return placed.join(starts, "_file").withColumn("rank", F.col("_start") + F.col("_at") + 1).drop("_file", "_at", "_start")
+
+
 def append_batches(path: str):
     """For foreachBatch: each micro-batch becomes a folder of its own, written again if the batch is replayed, so nothing is doubled."""
 

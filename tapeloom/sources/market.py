@@ -12,7 +12,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ticks
@@ -284,6 +284,19 @@ def provider_events(messages: DataFrame, tick_size: float = 0.25) -> tuple[DataF
     return typed_columns(good), notes_of(row.where(~fine).withColumn("code", F.lit("provider_error")), "provider message could not be normalised")
 
 
+def bounded(messages: DataFrame, drain: str, arrival: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """(messages, notes) of a feed whose buffer holds size messages between two drains: the newest beyond that are dropped, with one note a drain that tells how many.
+
+    Only drains that overflow are numbered: the counts of all are combined before the shuffle.
+    """
+    full = messages.groupBy(drain).agg(F.count("*").alias("_n")).where(F.col("_n") > size)
+    over = messages.join(full.select(drain), drain, "left_semi").withColumn("_k", F.row_number().over(Window.partitionBy(drain).orderBy(arrival)))
+    kept = messages.join(full.select(drain), drain, "left_anti").unionByName(over.where(F.col("_k") <= size).drop("_k"))
+    dropped = (F.col("_n") - size).alias("count")
+    told = full.select(F.lit("backpressure_drop").alias("code"), F.concat((F.col("_n") - size).cast("string"), F.lit(" messages dropped")).alias("message"), F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("timestamp_ntz").alias("ts_event"), drain, dropped)
+    return kept, told
+
+
 def typed_columns(events: DataFrame) -> DataFrame:
     return events.select(*[c.split()[0] for c in EVENTS.split(", ")])
 
