@@ -39,15 +39,19 @@ def _level(ticks: Column, name: str, known: Column, tick_size: float) -> Column:
 def levels_at_close(bars: DataFrame, scheme: Scheme, tick_size: float = TICK_SIZE, max_back: int | None = 7, static: tuple[tuple[str, float, str], ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """bars_with_ranges with the levels known at each close as an array in order of price. static: (name, price, side), taken first."""
     prior = lv.prior_day(lv.full_day(bars, by), max_back, by)
+    # A day's prior range is the same for all its bars, so it is joined by day: a row a day.
+    return with_levels(bars.join(prior, [*by, "trading_day"], "left"), scheme, tick_size, static)
+
+
+def with_levels(df: DataFrame, scheme: Scheme, tick_size: float = TICK_SIZE, static: tuple[tuple[str, float, str], ...] = ()) -> DataFrame:
+    """df (trading_day, pdh_ticks, pdl_ticks, asia_high, asia_low, ...) with the levels of each row as an array in order of price."""
     ends = {s.name: s.end for s in scheme.sessions}
     day = F.col("trading_day")
     known = {"pdh": instant_on(day, scheme.boundary, scheme, -1)} | {s: instant_on(day, ends[s], scheme) for s in SESSIONS}
     made = [_level(F.col("pdh_ticks"), "pdh", known["pdh"], tick_size), _level(F.col("pdl_ticks"), "pdl", known["pdh"], tick_size)]
     made += [_level(F.col(f"{s}_{e}"), f"{s}_{e}", known[s], tick_size) for s in SESSIONS for e in ("high", "low")]
     fixed = [F.struct(F.lit(float(price)).alias("price"), F.lit(i - len(static)).alias("ordinal"), F.lit(name).alias("name"), F.lit(side == "HIGH").alias("high"), F.lit(None).cast("timestamp_ntz").alias("known")).cast(_LEVEL) for i, (name, price, side) in enumerate(static)]
-    # A day's prior range is the same for all its bars, so it is joined by day: a row a day.
-    joined = bars.join(prior, [*by, "trading_day"], "left")
-    return joined.withColumn("levels", F.array_sort(F.filter(F.array(*fixed, *made), lambda x: x.isNotNull())))
+    return df.withColumn("levels", F.array_sort(F.filter(F.array(*fixed, *made), lambda x: x.isNotNull())))
 
 
 def _merge(zones: Column, x: Column, proximity: float) -> Column:
@@ -61,10 +65,14 @@ def _merge(zones: Column, x: Column, proximity: float) -> Column:
     return F.when(near, F.concat(F.slice(zones, 1, F.greatest(F.size(zones) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(zones, F.array(alone)))
 
 
+def folded(levels: str, proximity: float) -> Column:
+    """The zones of an array of levels."""
+    return F.aggregate(levels, F.array().cast(f"array<{_ZONE}>"), lambda acc, x: _merge(acc, x, proximity))
+
+
 def zones_at_close(bars: DataFrame, proximity: float = 3.0) -> DataFrame:
     """A row for each bar and zone: representative_price, names, side and available_from by the levels known when the bar closed."""
-    folded = F.aggregate("levels", F.array().cast(f"array<{_ZONE}>"), lambda acc, x: _merge(acc, x, proximity))
-    each = bars.withColumn("_z", F.explode(folded)).drop("levels")
+    each = bars.withColumn("_z", F.explode(folded("levels", proximity))).drop("levels")
     return each.withColumns({
         "representative_price": F.col("_z.total") / F.col("_z.n"), "names": F.col("_z.names"), "side": F.when(F.col("_z.highs") * 2 > F.col("_z.n"), "HIGH").otherwise("LOW"), "available_from": F.col("_z.known"),
     }).drop("_z")

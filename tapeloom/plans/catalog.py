@@ -16,6 +16,7 @@ from .. import sinks
 from ..sources import market
 from ..sources.tape import damaged_copy, tape_book, tape_dirty, tape_dirty_book, tape_events, tape_lineitem, tape_messages, tape_symbols, tape_ties
 from ..streaming import runs
+from ..streaming.engine import read_snapshot
 from . import sql as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,15 +179,14 @@ def _through_sink(s: SparkSession, d: str) -> DataFrame:
 
 query("sink_bars_json", S.with_(T, B, then=f"SELECT bar_id, {', '.join(_SINK)} FROM bars"))(_through_sink)
 
-# Streams, run to their end over the same tape, with a row that ends the last day
+# Streams, run to their end over the same tape; timers close the last days
 _STATIC = (("mid", 17075.0, "LOW"), ("top", 17225.0, "HIGH"))
 _STATIC_SQL = "levels AS (SELECT DISTINCT trading_day, name, price::DOUBLE AS price, side, NULL::TIMESTAMP AS available_from, ordinal::INTEGER AS ordinal FROM bars, (VALUES ('mid', 17075.0, 'LOW', 0), ('top', 17225.0, 'HIGH', 1)) v(name, price, side, ordinal))"
 
 
-def _streamed(s: SparkSession, d: str, **settings) -> DataFrame:
-    t = tape_events(s, d).withColumns({"symbol": F.lit("AA"), "kind": F.lit("trade")}).drop("price")
-    end = t.agg(F.max("ts_event").alias("ts_event")).withColumns({"symbol": F.lit("AA"), "kind": F.lit("end")})
-    return runs.run_to_end(t.unionByName(end, allowMissingColumns=True), **settings)
+def _streamed(s: SparkSession, d: str, tape: DataFrame | None = None, **settings) -> DataFrame:
+    tape = tape_events(s, d).withColumn("symbol", F.lit("AA")) if tape is None else tape
+    return runs.run_to_end(tape.drop("price"), **settings)
 
 
 query("stream_bars", S.with_(T, S.bars(7, "b1"), S.bars(147, "b2"), then=" UNION ALL ".join(f"SELECT timeframe_ticks, trading_day, bar_index, open_ticks, high_ticks, low_ticks, close_ticks, volume, trade_count, close_reason FROM b{i}" for i in (1, 2))))(
@@ -462,5 +462,27 @@ query("sym_levels", S.each_symbol(T, B, L, then="SELECT * FROM levels"))(lambda
 query("sym_zones", S.each_symbol(T, B, L, Z, then=_ZONES))(lambda s, d: _flat(_sym_chain(s, d).zones).select("symbol", "trading_day", "zone_id", "representative_price", "names", "side", "available_from", "n_levels"))
 query("sym_touches", S.each_symbol(*TO_TOUCH, then="SELECT * FROM touches"))(lambda s, d: _sym_chain(s, d).touches)
 query("sym_touch_runtime", S.each_symbol(T, B, L, S.RUNTIME_TOUCHES, then=_RUNTIME))(lambda s, d: _runtime(tape_symbols(s, d), _BY))
+_STREAM_BAR = ("timeframe_ticks", "trading_day", "bar_index", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume", "trade_count", "close_reason")
+query("stream_symbols", S.each_symbol(T, S.bars(7, "b1"), S.bars(147, "b2"), then=" UNION ALL ".join(f"SELECT {', '.join(_STREAM_BAR)} FROM b{i}" for i in (1, 2))))(lambda s, d: _streamed(s, d, tape_symbols(s, d), sizes=(7, 147), batches=4).where("kind = 'bar'").select("symbol", *_STREAM_BAR))
+query("stream_touches_runtime", S.each_symbol(T, B, L, S.RUNTIME_TOUCHES, then="SELECT trading_day, bar_index, bar_ts, representative_price, direction, level_type FROM rt"))(lambda s, d: _streamed(s, d, tape_symbols(s, d), sizes=(7,), batches=4, carry_prior_day=True).where("kind = 'touch'").select("symbol", "trading_day", "bar_index", F.col("ts").alias("bar_ts"), "representative_price", "direction", "level_type"))
+# The state that a stream of trades and quotes leaves behind: the range of the day before, open and closed bars, the last quote.
+_LAST_DAY = "last AS (SELECT max(trading_day) AS trading_day FROM bars)"
+_SNAPSHOT = """SELECT trading_day, (SELECT count(*) FROM num) + (SELECT count(*) FROM quotes) AS events, (SELECT max_by(bid_ticks, (ts_event, sequence)) FROM quotes) AS bid_ticks, (SELECT max_by(ask_ticks, (ts_event, sequence)) FROM quotes) AS ask_ticks,
+  (SELECT max(price) FROM levels l WHERE l.trading_day = last.trading_day AND name = 'pdh') AS pdh, (SELECT max(price) FROM levels l WHERE l.trading_day = last.trading_day AND name = 'pdl') AS pdl,
+  least(500, (SELECT count(*) FROM bars)) AS recent, (SELECT count(*) FROM rt_zones z WHERE z.trading_day = last.trading_day AND bar_index = (SELECT max(bar_index) FROM rt_zones y WHERE y.trading_day = last.trading_day)) AS n_zones,
+  (SELECT count(*) FROM rt_zones z WHERE z.trading_day = last.trading_day AND bar_index = (SELECT max(bar_index) FROM rt_zones y WHERE y.trading_day = last.trading_day) AND EXISTS (SELECT 1 FROM rt WHERE rt.trading_day = z.trading_day AND rt.names = z.names AND rt.side = z.side AND round(rt.representative_price, 6) = round(z.representative_price, 6))) AS n_touched
+FROM last"""
+
+
+def _snapshot(s: SparkSession, d: str) -> DataFrame:
+    place = sinks.scratch(s, "state")
+    tape = tape_symbols(s, d).drop("price").withColumn("kind", F.lit("trade"))
+    quotes = _sym_quotes(s, d).withColumns({"kind": F.lit("quote"), "bid_size": F.lit(1).cast("long"), "ask_size": F.lit(1).cast("long")})
+    runs.run_to_end(tape.unionByName(quotes, allowMissingColumns=True), checkpoint=place, sizes=(7,), batches=3, carry_prior_day=True)
+    level = lambda name: F.array_max(F.transform(F.filter("levels", lambda x: x["name"] == name), lambda x: x["price"]))
+    return read_snapshot(s, place).where("symbol != ''").select("symbol", "trading_day", "events", "quote.bid_ticks", "quote.ask_ticks", level("pdh").alias("pdh"), level("pdl").alias("pdl"), F.size("recent").cast("long").alias("recent"), F.size("zones").cast("long").alias("n_zones"), F.size(F.filter("zones", lambda z: z["touched"])).cast("long").alias("n_touched"))
+
+
+query("stream_snapshot", S.each_symbol(T, B, L, S.RUNTIME_TOUCHES, _LAST_DAY, then=_SNAPSHOT))(_snapshot)
 query("sym_outcomes", S.each_symbol(*TO_TOUCH, S.DECISIONS, then="SELECT * FROM honest"))(lambda s, d: (lambda c: outcomes.decision_outcomes(c.touches, c.bars, tape_symbols(s, d), P, EASTERN, by=_BY))(_sym_chain(s, d)))
 query("sym_dataset", S.each_symbol(*TO_TOUCH, S.DECISIONS, S.FEATURES, then=_ROWS))(lambda s, d: dataset.training_rows(tape_symbols(s, d), _sym_quotes(s, d), N, by=_BY))

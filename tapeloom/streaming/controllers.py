@@ -1,18 +1,16 @@
-"""Life cycles of replayed and live streams, around a StreamingQuery or a driver-side source of events."""
+"""Life cycles of replayed and live streams, each around a StreamingQuery."""
 
 from __future__ import annotations
 
-import contextlib
 import re
-import threading
 import time
-from collections import deque
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.ticks import POSIX_PATH, SECRET, SECRET_WORD, WINDOWS_PATH
@@ -32,305 +30,137 @@ def clean_metadata(metadata: dict[Any, Any] | None) -> dict[str, Any]:
     return {safe(k): clean_text(v) if isinstance(v, str) else v for k, v in (metadata or {}).items()}
 
 
-@dataclass(frozen=True)
-class Status:
-    state: str = "idle"
-    events: int = 0
-    warnings: int = 0
-    last_event: datetime | None = None
-    error: str | None = None
-    message: str = ""
-    started: datetime | None = None
-    ended: datetime | None = None
-
-
 @dataclass
-class Replay:
-    """A bounded stream, run to its end from files: idle, running, paused, completed, failed or stopped.
+class Controlled:
+    """A stream (of tape_stream, say) with its sink and checkpoint; what it has done is told by state, events, warnings, error, started, ended.
 
-    Pausing stops the query; resuming starts it from its checkpoint. With max_events the query stops after
-    the micro-batch in which so many rows were read.
+    on_batch gets each micro-batch that has rows, with its number; a batch without any is no delta. Rows of kind warning are counted.
     """
 
     stream: DataFrame
     checkpoint: str
     on_batch: Callable[[DataFrame, int], None]
     mode: str = "append"
-    max_events: int | None = None
     state: str = "idle"
     error: str | None = None
     events: int = 0
+    warnings: int = 0
+    started: datetime | None = None
+    ended: datetime | None = None
     query: StreamingQuery | None = None
+    _seen: int = field(default=0, repr=False)
 
-    def start(self) -> None:
-        if self.state == "running":
-            raise RuntimeError("the replay is running already")
-        self.query = self.stream.writeStream.outputMode(self.mode).option("checkpointLocation", self.checkpoint).foreachBatch(self.on_batch).trigger(availableNow=True).start()
-        self.state = "running"
+    def _batch(self, batch: DataFrame, number: int) -> None:
+        if "kind" in batch.columns:
+            batch = batch.persist()
+        try:
+            if batch.take(1):
+                if "kind" in batch.columns:
+                    self.warnings += batch.where("kind = 'warning'").count()
+                self.on_batch(batch, number)
+        finally:
+            batch.unpersist()
+
+    def _launch(self, **trigger: Any) -> None:
+        if self.query is not None and self.query.isActive or self.state in ("running", "connecting"):
+            raise RuntimeError("it is running already")
+        self.state, self.error, self.ended = "connecting", None, None
+        self.started = datetime.now(UTC)
+        try:
+            self.query = self.stream.writeStream.outputMode(self.mode).option("checkpointLocation", self.checkpoint).foreachBatch(self._batch).trigger(**trigger).start()
+        except Exception as e:
+            self._fail(e)
+            raise
+        self._seen, self.state = 0, "running"
 
-    resume = start
+    def _fail(self, e: Exception) -> None:
+        self.state, self.error, self.ended = "failed", clean_text(str(e).split("\n")[0]), datetime.now(UTC)
 
     def _count(self) -> int:
-        return self.events + sum(p["numInputRows"] for p in self.query.recentProgress) if self.query else self.events
+        """Rows read, from the query's progress."""
+        read = sum(p["numInputRows"] for p in self.query.recentProgress) if self.query else 0
+        self.events, self._seen = self.events + read - self._seen, read
+        return self.events
 
-    def wait(self, timeout: int | None = None) -> str:
-        """Until the end, the most events, or so many seconds."""
+    def _halt(self, state: str) -> None:
+        if self.query is not None:
+            self.query.stop()
+            self._count()
+        self.state, self.ended = state, datetime.now(UTC)
+
+    def _watch(self, ended: str, timeout: float | None, enough: Callable[[], bool] = lambda: False) -> str:
+        """Until the query ends, so many seconds have gone, or there is enough."""
         until = None if timeout is None else time.monotonic() + timeout
         try:
             while self.state == "running" and (until is None or time.monotonic() < until):
-                if self.query.awaitTermination(1):
-                    self.events = self._count()
-                    self.state = "completed"
-                elif self.max_events is not None and self._count() >= self.max_events:
-                    self.stop()
+                if self.query.awaitTermination(1 if until is None else max(0.05, min(1, until - time.monotonic()))):
+                    self._count()
+                    self.state, self.ended = ended, datetime.now(UTC)
+                elif enough():
+                    self._halt("stopped")
         except Exception as e:
-            self.state, self.error = "failed", clean_text(str(e).split("\n")[0])
+            self._count()
+            self._fail(e)
         return self.state
 
-    def pause(self) -> None:
-        if self.state == "running":
-            self.events = self._count()
-            self.query.stop()
-            self.state = "paused"
 
-    def stop(self) -> None:
-        if self.query is not None and self.query.isActive:
-            self.events = self._count()
-            self.query.stop()
-        if self.state not in ("completed", "failed"):
-            self.state = "stopped"
-
-    def reset(self, checkpoint: str) -> None:
-        """Begin anew: state lives in the checkpoint, so another one is empty; prior days and static levels are settings and stay."""
-        self.stop()
-        self.checkpoint, self.state, self.error, self.query, self.events = checkpoint, "idle", None, None, 0
-
-
-class Runner:
-    """Reads a driver-side source in a thread of its own. items are dicts with kind and ts_event, as the engine takes them.
+@dataclass
+class Replay(Controlled):
+    """A bounded stream, run to its end from files: idle, running, paused, completed, failed or stopped.
 
-    process gives an update; only updates with deltas are kept (the last `keep` of them) and told to on_update.
+    Pausing stops the query; resuming starts it from its checkpoint. With max_events it stops after the micro-batch in
+    which so many rows were read. With a speed, each batch waits for the time between its latest event and that of the batch
+    before, divided by the speed, a quarter of a second at most.
     """
 
-    busy = ("running", "paused", "connecting")
-    end_state = "completed"
-
-    def __init__(self, source: Any, process: Callable[[dict[str, Any]], Any], on_update: Callable[[Any], None] | None = None, keep: int = 1000):
-        self.source, self.process, self.on_update = source, process, on_update
-        self.updates: deque = deque(maxlen=keep)
-        self._status = Status()
-        self._lock = threading.Lock()
-        self._go, self._halt = threading.Event(), threading.Event()
-        self._thread: threading.Thread | None = None
-
-    def status(self) -> Status:
-        return self._status
-
-    def _set(self, **changes: Any) -> None:
-        with self._lock:
-            self._status = replace(self._status, **changes)
+    max_events: int | None = None
+    speed: float = 0.0
+    time_column: str = "ts"
+    longest_wait: float = 0.25
+    _last: datetime | None = field(default=None, repr=False)
 
-    def _begin(self, state: str) -> None:
-        if self._status.state in self.busy or self._thread is not None and self._thread.is_alive():
-            raise RuntimeError("it is running already")
-        self._status = Status(state=state, started=datetime.now(UTC))
-        self.updates.clear()
-        self._halt.clear()
-        self._go.set()
+    def start(self) -> None:
+        self._launch(availableNow=True)
 
-    def _run_in_thread(self) -> None:
-        self._thread = threading.Thread(target=self._run, daemon=True)
-        self._thread.start()
+    resume = start
 
-    def _run(self) -> None:
-        try:
-            end = self._loop()
-            if not self._halt.is_set():
-                self._set(state=end, ended=datetime.now(UTC), message=end)
-        except Exception as e:
-            self._set(state="failed", error=type(e).__name__, message=clean_text(str(e)) or type(e).__name__, ended=datetime.now(UTC))
-
-    def _loop(self) -> str:
-        for item in self.source.events():
-            if self._halt.is_set():
-                break
-            self._take(item)
-        return self.end_state
-
-    def _take(self, item: dict[str, Any]) -> None:
-        update = self.process(item)
-        if item.get("kind") == "warning":
-            self._set(warnings=self._status.warnings + 1)
-        else:
-            self._set(events=self._status.events + 1, last_event=item.get("ts_event") or self._status.last_event)
-        self._tell(update)
-
-    def _tell(self, update: Any) -> None:
-        if update is None or hasattr(update, "has_deltas") and not update.has_deltas():
-            return
-        self.updates.append(update)
-        if self.on_update is not None:
-            self.on_update(update)
+    def _batch(self, batch: DataFrame, number: int) -> None:
+        if self.speed > 0:
+            latest = batch.agg(F.max(self.time_column)).first()[0]
+            if latest is not None and self._last is not None:
+                time.sleep(min(max((latest - self._last).total_seconds(), 0.0) / self.speed, self.longest_wait))
+            self._last = latest or self._last
+        super()._batch(batch, number)
 
     def wait(self, timeout: float | None = None) -> str:
-        if self._thread is not None:
-            self._thread.join(timeout)
-        return self._status.state
-
-
-class EventReplay(Runner):
-    """Replays events at a speed (0: as fast as they come), up to max_events items.
-
-    Between events it waits their distance over the speed, a quarter of a second at most. An event earlier than the
-    last accepted one goes to on_regression, if there is one, instead of being processed; else it is processed.
-    """
-
-    longest_wait = 0.25
-
-    def __init__(self, source: Any, process: Callable[[dict[str, Any]], Any], on_update: Callable[[Any], None] | None = None, on_regression: Callable[[dict[str, Any], datetime], Any] | None = None, keep: int = 1000):
-        super().__init__(source, process, on_update, keep)
-        self.on_regression = on_regression
-        self.speed, self.max_events = 0.0, None
-
-    def start(self, speed: float = 0.0, max_events: int | None = None) -> None:
-        self._begin("running")
-        self.speed, self.max_events = speed, max_events
-        self._run_in_thread()
-
-    def _loop(self) -> str:
-        accepted: datetime | None = None
-        items = iter(self.source.events())
-        done = 0
-        while self.max_events is None or done < self.max_events:
-            item = next(items, None)
-            if item is None:
-                break
-            self._go.wait()
-            ts = item.get("ts_event")
-            if self.speed > 0 and accepted is not None and ts is not None:
-                self._halt.wait(min(max((ts - accepted).total_seconds(), 0.0) / self.speed, self.longest_wait))
-            self._go.wait()
-            if self._halt.is_set():
-                break
-            done += 1
-            if accepted is not None and ts is not None and ts < accepted and self.on_regression is not None:
-                self._set(warnings=self._status.warnings + 1)
-                self._tell(self.on_regression(item, accepted))
-                continue
-            self._take(item)
-            if item.get("kind") != "warning" and ts is not None:
-                accepted = ts
-        return "completed"
+        """Until the end, the most events, or so many seconds."""
+        return self._watch("completed", timeout, lambda: self.max_events is not None and self._count() >= self.max_events)
 
     def pause(self) -> None:
-        if self._status.state == "running":
-            self._set(state="paused")
-            self._go.clear()
-
-    def resume(self) -> None:
-        if self._status.state == "paused":
-            self._set(state="running")
-            self._go.set()
+        if self.state == "running":
+            self._halt("paused")
 
     def stop(self) -> None:
-        self._halt.set()
-        self._go.set()
-        if self._status.state in self.busy:
-            self._set(state="stopped", ended=datetime.now(UTC), message="stopped")
-
-
-class Live(Runner):
-    """A live source with start(), stop() and events(): idle, connecting, running, stopped, disconnected or failed. start returns at once."""
-
-    end_state = "disconnected"
-
-    def start(self) -> None:
-        self._begin("connecting")
-        try:
-            self.source.start()
-        except Exception as e:
-            self._set(state="failed", error=type(e).__name__, message=clean_text(str(e)) or "", ended=datetime.now(UTC))
-            with contextlib.suppress(Exception):
-                self.source.stop()
-            raise
-        self._set(state="running")
-        self._run_in_thread()
+        if self.state not in ("completed", "failed"):
+            self._halt("stopped")
 
-    def stop(self) -> None:
-        self._halt.set()
-        self.source.stop()
-        if self._thread is not None and self._thread is not threading.current_thread():
-            self._thread.join(5)
-        self._set(state="stopped", ended=datetime.now(UTC), message="stopped")
+    def reset(self, checkpoint: str) -> None:
+        """Begin anew: state lives in the checkpoint, so another one is empty; prior days and static levels are settings and stay."""
+        self.stop()
+        self.checkpoint, self.state, self.error, self.query, self.events, self.warnings, self._last = checkpoint, "idle", None, None, 0, 0, None
 
 
 @dataclass
-class BoundedQueue:
-    """Messages of a provider's callback; a full queue drops the newest and counts them."""
-
-    size: int = 10_000
-    items: deque = field(default_factory=deque)
-    dropped: int = 0
-
-    def put(self, message: Any) -> None:
-        if len(self.items) >= self.size:
-            self.dropped += 1
-        else:
-            self.items.append(message)
-
-    def drain(self, normalize: Callable[[Any], Any]) -> tuple[list[Any], list[dict[str, Any]]]:
-        """(events, notes): what was queued, a note for each message that can't be read, and one for all drops."""
-        events, notes = [], []
-        if self.dropped:
-            notes.append({"code": "backpressure_drop", "severity": "warning", "message": f"{self.dropped} messages dropped", "count": self.dropped})
-            self.dropped = 0
-        while self.items:
-            try:
-                events.append(normalize(self.items.popleft()))
-            except (ValueError, TypeError, KeyError) as e:
-                notes.append({"code": "provider_error", "severity": "warning", "message": clean_text(str(e))})
-        return events, notes
-
-
-class QueueSource:
-    """A live source over a bounded queue: callbacks put messages, events() drains them as typed events and warnings."""
-
-    def __init__(self, normalize: Callable[[Any], dict[str, Any]], size: int = 10_000, poll_s: float = 0.02):
-        if size < 1:
-            raise ValueError("the size of a queue must be positive")
-        self.queue, self.normalize, self.poll_s, self.open = BoundedQueue(size), normalize, poll_s, False
-
-    def start(self) -> None:
-        self.open = True
-
-    def stop(self) -> None:
-        self.open = False
+class Live(Controlled):
+    """An unbounded stream: idle, connecting, running, stopped, failed, or disconnected if it ends by itself. start returns at once; if it fails, the error is told and raised."""
 
-    def put(self, message: Any) -> None:
-        """Messages that come before the start or after the stop are ignored."""
-        if self.open:
-            self.queue.put(message)
+    interval: str = "1 second"
 
-    def events(self) -> Iterable[dict[str, Any]]:
-        while self.open or self.queue.items or self.queue.dropped:
-            found, notes = self.queue.drain(self.normalize)
-            yield from ({"kind": "warning", "ts_event": None} | n for n in notes)
-            yield from found
-            if not found and not notes:
-                time.sleep(self.poll_s)
+    def start(self) -> None:
+        self._launch(processingTime=self.interval)
 
+    def wait(self, timeout: float | None = None) -> str:
+        return self._watch("disconnected", timeout)
 
-@dataclass
-class Notes:
-    """The latest data-quality notes; any note makes the feed degraded."""
-
-    keep: int = 100
-    latest: deque = field(default_factory=deque)
-    status: str = "ok"
-
-    def record(self, notes: Iterable[dict[str, Any]]) -> None:
-        for n in notes:
-            self.latest.append(n)
-            self.status = "degraded"
-        while len(self.latest) > self.keep:
-            self.latest.popleft()
+    def stop(self) -> None:
+        self._halt("stopped")

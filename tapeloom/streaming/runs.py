@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import sinks
 from .controllers import Replay
@@ -12,19 +15,35 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_to_end(events: DataFrame, files_per_batch: int = 8, **settings) -> DataFrame:
-    """What tape_stream gives for a table of events, streamed from files. Files of a batch are sorted together; the table is written in order of time."""
+def _in_turn(spark: SparkSession, files: list[str]) -> None:
+    """Give files the times of their order: a file source takes them by these, and the tasks that wrote them ended in any order."""
+    first = int(time.time() * 1000) - 1000 * len(files)
+    for i, file in enumerate(files):
+        path, fs = sinks.hadoop_path(spark, file)
+        fs.setTimes(path, first + 1000 * i, -1)
+
+
+def run_to_end(events: DataFrame, files_per_batch: int = 8, batches: int = 1, checkpoint: str | None = None, **settings) -> DataFrame:
+    """What tape_stream gives for a table of events, streamed from files in order of time, so many files to a micro-batch.
+
+    Jobs run before this returns. A last row, of no symbol, tells that two more days have gone, so timers close
+    every symbol's last day. The stream has a session of its own, as its state store is a setting of the session.
+    """
     spark = events.sparkSession
     place = sinks.scratch(spark, "stream")
-    events.repartitionByRange(files_per_batch, "ts_event").write.parquet(f"{place}/in")
-    before = spark.conf.get(STORE)
-    spark.conf.set(STORE, ROCKSDB)  # map state needs it
-    try:
-        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{place}/in")
-        replay = Replay(tape_stream(stream, **settings), f"{place}/checkpoint", sinks.append_batches(f"{place}/out"))
-        replay.start()
-        if replay.wait() != "completed":
-            raise RuntimeError(f"the stream {replay.state}: {replay.error}")
-    finally:
-        spark.conf.set(STORE, before)
-    return spark.read.parquet(f"{place}/out").drop("batch")
+    events.repartitionByRange(files_per_batch * batches, "ts_event").sortWithinPartitions("ts_event").write.parquet(f"{place}/in/rows")
+    over = spark.read.parquet(f"{place}/in/rows").agg((F.max("ts_event") + F.expr("INTERVAL 2 DAYS")).alias("ts_event")).select(F.lit("").alias("symbol"), F.lit("clock").alias("kind"), F.col("ts_event").cast(events.schema["ts_event"].dataType))
+    over.coalesce(1).write.parquet(f"{place}/in/to-end")
+    _in_turn(spark, [*sorted(spark.read.parquet(f"{place}/in/rows").inputFiles()), *spark.read.parquet(f"{place}/in/to-end").inputFiles()])
+    own = spark.newSession()
+    own.conf.set(STORE, ROCKSDB)  # map and list state need it
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = events.schema if "kind" in events.columns else events.schema.add("kind", "string")
+    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(f"{place}/in")
+    out, fs = sinks.hadoop_path(spark, f"{place}/out")  # a stream may give nothing
+    fs.mkdirs(out)
+    replay = Replay(tape_stream(stream, **settings), checkpoint or f"{place}/checkpoint", sinks.append_batches(f"{place}/out"))
+    replay.start()
+    if replay.wait() != "completed":
+        raise RuntimeError(f"the stream {replay.state}: {replay.error}")
+    return spark.read.schema(replay.stream.schema).parquet(f"{place}/out")

@@ -1,25 +1,44 @@
-"""The streaming engine against the batch operators, and the controllers' life cycles."""
+"""The stream against the batch operators, its state, and the controllers' life cycles."""
 
 import time
 from datetime import date, datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.config import EASTERN, TICK_SIZE
+from tapeloom.config import CENTRAL, EASTERN, TICK_SIZE
+from tapeloom.functions.calendar import with_session
 from tapeloom.operators import bars, touches, zones
 from tapeloom.sources import market
 from tapeloom.sources.tape import tape_book, tape_events, tape_lineitem
-from tapeloom.streaming.controllers import BoundedQueue, EventReplay, Live, Notes, QueueSource, Replay, clean_metadata
-from tapeloom.streaming.engine import TapeEngine, read_snapshot, tape_stream
+from tapeloom.streaming.controllers import Live, Replay, clean_metadata
+from tapeloom.streaming.engine import Clock, Settings, micros, read_snapshot, tape_stream
 
 SF = "/root/testdata/sf0.001"
 STATIC = (("mid", 68300.0 * 0.25, "LOW"), ("top", 68900.0 * 0.25, "HIGH"))
 BAR = ["trading_day", "bar_index", "open_ticks", "high_ticks", "low_ticks", "close_ticks", "volume", "trade_count", "close_reason"]
+TOUCH = ["trading_day", "bar_index", "ts", "representative_price", "direction", "level_type"]
+EVENT = "symbol string, kind string, ts_event timestamp_ntz, sequence long, price_ticks long, size long, side string, bid_ticks long, ask_ticks long, code string, message string"
 
 
-def replayed(spark, events, tmp_path, n_batches=3, **settings):
-    """Rows that the stream gives for events cut into micro-batches by time, with an end row in one more."""
+def replayed(spark, batches, tmp_path, **settings):
+    """(rows, replay) that the stream gives for micro-batches of events."""
+    for i, batch in enumerate(batches):
+        batch.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        time.sleep(0.05)  # files are taken in order of their times
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    out = tmp_path / "out"
+    out.mkdir()
+    replay = Replay(tape_stream(stream, **settings), f"{tmp_path}/cp", lambda df, i: df.write.mode("append").parquet(str(out)))
+    replay.start()
+    assert replay.wait() == "completed", replay.error
+    return spark.read.schema(replay.stream.schema).parquet(str(out)), replay
+
+
+def cut(spark, events, n_batches, end="end"):
+    """events in n_batches by time; then an end row for each symbol, or a clock row of no symbol."""
     edges = [r[0] for r in events.selectExpr(f"explode(percentile_approx(ts_event, array({', '.join(str(k / n_batches) for k in range(1, n_batches))})))").collect()] if n_batches > 1 else []
     full = events if "kind" in events.columns else events.withColumn("kind", F.lit("trade"))
     part = F.lit(0)
@@ -27,251 +46,222 @@ def replayed(spark, events, tmp_path, n_batches=3, **settings):
         part = part + (F.col("ts_event") > F.lit(e)).cast("int")
     full = full.withColumn("_p", part).cache()
     last = full.agg(F.max("ts_event")).first()[0]
-    end = full.select("symbol").distinct().withColumns({"kind": F.lit("end"), "ts_event": F.lit(last).cast("timestamp_ntz"), "_p": F.lit(n_batches)})
-    full = full.unionByName(end, allowMissingColumns=True)
-    for i in range(n_batches + 1):
-        full.where(f"_p = {i}").drop("_p").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
-        time.sleep(0.05)  # files are taken in order of their times
-    schema = full.drop("_p").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    out = f"{tmp_path}/out"
-    replay = Replay(tape_stream(stream, **settings), f"{tmp_path}/cp", lambda df, i: df.write.mode("append").parquet(out))
-    assert replay.state == "idle"
-    replay.start()
-    with pytest.raises(RuntimeError):
-        replay.start()
-    assert replay.wait() == "completed", replay.error
-    assert replay.events == full.count()
-    return spark.read.parquet(out)
+    if end == "end":
+        more = full.select("symbol").distinct().withColumns({"kind": F.lit("end"), "ts_event": F.lit(last).cast("timestamp_ntz")})
+    else:
+        more = spark.createDataFrame([("", "clock", last + timedelta(days=2))], "symbol string, kind string, ts_event timestamp_ntz")
+    return [full.where(f"_p = {i}").drop("_p") for i in range(n_batches)] + [full.drop("_p").limit(0).unionByName(more, allowMissingColumns=True)]
+
+
+def rows_of(spark, *rows):
+    """Events from dicts."""
+    names = [c.split()[0] for c in EVENT.split(", ")]
+    return spark.createDataFrame([tuple({"symbol": "AA", "kind": "trade", "sequence": i, "size": 1, "side": "A", **r}.get(n) for n in names) for i, r in enumerate(rows)], EVENT)
+
+
+def trade(ts, price, **more):
+    return {"ts_event": ts, "price_ticks": price, **more}
 
 
 def as_set(df, *columns):
     return {tuple(r) for r in df.select(*columns).collect()}
 
 
-@pytest.mark.parametrize("source", ["events", "ties"])
-def test_stream_equals_batch(spark, tmp_path, source):
-    """Every bar, the finished last day too, and every touch under static levels."""
+@pytest.mark.parametrize(("source", "end"), [("events", "end"), ("events", "clock"), ("ties", "clock")])
+def test_stream_equals_batch(spark, tmp_path, source, end):
+    """Every bar, those of the last day too, which an end row or a timer closes, and every touch under static levels."""
     if source == "events":
         tape = tape_events(spark, SF)
     else:  # several trades at an instant, equal numbers, buys and sells: only the whole key orders them
         whole = tape_lineitem(spark, SF)
         first = whole.agg(F.min("ts_event")).first()[0] + timedelta(days=300)
         tape = whole.where((F.col("ts_event") >= F.lit(first)) & (F.col("ts_event") < F.lit(first + timedelta(days=40)))).withColumns({"ts_event": F.date_trunc("hour", "ts_event").cast("timestamp_ntz"), "sequence": F.col("sequence") % 2, "side": F.when(F.col("size") % 3 == 0, "B").otherwise("A")})
-    tape = tape.withColumn("symbol", F.lit("AA")).select("symbol", "ts_event", "sequence", "price_ticks", "size", "side")
+    symbol = F.concat(F.lit("S"), (F.hour("ts_event") % 3).cast("string")) if source == "ties" else F.lit("AA")
+    tape = tape.withColumn("symbol", symbol).select("symbol", "ts_event", "sequence", "price_ticks", "size", "side")
     low, high = tape.selectExpr("percentile_approx(price_ticks, 0.3)", "percentile_approx(price_ticks, 0.8)").first()
     static = STATIC if source == "events" else (("mid", low * TICK_SIZE, "LOW"), ("top", high * TICK_SIZE, "HIGH"))
-    got = replayed(spark, tape, tmp_path, sizes=(7, 3), static_levels=static, own_levels=False)
+    batches = cut(spark, tape, 3, end)
+    got, replay = replayed(spark, batches, tmp_path, sizes=(7, 3), static_levels=static, own_levels=False)
+    assert replay.events == sum(b.count() for b in batches)
     for n in (3, 7):
-        assert as_set(got.where(f"kind = 'bar' and timeframe_ticks = {n}"), *BAR) == as_set(bars.tick_bars(tape, n, EASTERN), *BAR)
-    batch = bars.tick_bars(tape, 3, EASTERN)
-    days = batch.select("trading_day").distinct().crossJoin(spark.createDataFrame([(n, p, s, None, i) for i, (n, p, s) in enumerate(static)], "name string, price double, side string, available_from timestamp_ntz, ordinal int"))
-    want = as_set(touches.first_touches(batch, zones.merge_levels(days)), "trading_day", "bar_index", "bar_ts", "representative_price", "direction", "level_type")
-    seen = as_set(got.where("kind = 'touch'"), "trading_day", "bar_index", "ts", "representative_price", "direction", "level_type")
-    assert seen == want and len(want) > 4
+        assert as_set(got.where(f"kind = 'bar' and timeframe_ticks = {n}"), "symbol", *BAR) == as_set(bars.tick_bars(tape, n, EASTERN, by=("symbol",)), "symbol", *BAR)
+    batch = bars.tick_bars(tape, 3, EASTERN, by=("symbol",))
+    fixed = spark.createDataFrame([(n, p, s, None, i) for i, (n, p, s) in enumerate(static)], "name string, price double, side string, available_from timestamp_ntz, ordinal int")
+    days = batch.select("symbol", "trading_day").distinct().join(F.broadcast(fixed), F.lit(True))
+    want = as_set(touches.first_touches(batch, zones.merge_levels(days, by=("symbol",)), by=("symbol",)).withColumnRenamed("bar_ts", "ts"), "symbol", *TOUCH)
+    assert as_set(got.where("kind = 'touch'"), "symbol", *TOUCH) == want and len(want) > 4
 
 
-def test_stream_touches_of_its_own_levels(spark, tmp_path):
-    """With the stream's own levels: the batch operators over the levels that were known when each bar closed."""
+def test_batches_do_not_matter(spark, tmp_path):
+    """The same rows, with the stream's own levels and carried days, in one micro-batch or in seven."""
     tape = tape_events(spark, SF).withColumn("symbol", F.lit("AA")).select("symbol", "ts_event", "sequence", "price_ticks", "size", "side")
-    got = replayed(spark, tape, tmp_path, sizes=(7,), carry_prior_day=True)
-    seen = [tuple(r) for r in got.where("kind = 'touch'").orderBy("ts", "representative_price").select("trading_day", "bar_index", "representative_price", "level_type").collect()]
-    trades = [(r.ts_event, r.price_ticks) for r in tape.orderBy("ts_event", "sequence").collect()]
-    clock = TapeEngine().clock
-    ranges, sessions, want, fired, place = {}, {}, [], set(), {}
-    closing = {(r.trading_day, r.bar_index): r for r in bars.tick_bars(tape, 7, EASTERN).collect()}
-    for ts, price in trades:
-        day, session = clock.place(ts)
-        k = place[day] = place.get(day, -1) + 1
-        for book, key in ((ranges, day), (sessions, (day, session))):
-            was = book.get(key, (price, price))
-            book[key] = max(was[0], price), min(was[1], price)
-        if k % 7 < 6:
-            continue
-        bar, lv = closing[day, k // 7], []
-        prior = next((ranges[day - timedelta(days=b)] for b in range(1, 8) if day - timedelta(days=b) in ranges), None)
-        if prior:
-            known = clock.utc(day, EASTERN.boundary, -1)
-            lv += [("pdh", prior[0], "HIGH", known), ("pdl", prior[1], "LOW", known)]
-        for s in EASTERN.sessions[:2]:
-            if (day, s.name) in sessions:
-                hi, lo = sessions[day, s.name]
-                lv += [(f"{s.name}_high", hi, "HIGH", clock.utc(day, s.end)), (f"{s.name}_low", lo, "LOW", clock.utc(day, s.end))]
-        groups = []
-        for x in sorted(lv, key=lambda x: x[1]):
-            if groups and (x[1] - groups[-1][-1][1]) * TICK_SIZE <= 3.0:
-                groups[-1].append(x)
-            else:
-                groups.append([x])
-        for g in groups:
-            rep = sum(x[1] * TICK_SIZE for x in g) / len(g)
-            side = "HIGH" if 2 * sum(x[2] == "HIGH" for x in g) > len(g) else "LOW"
-            key = (day, tuple(x[0] for x in g), round(rep, 6), side)
-            if key not in fired and bar.close_ts >= max(x[3] for x in g) and bar.low_ticks * TICK_SIZE <= rep <= bar.high_ticks * TICK_SIZE:
-                fired.add(key)
-                want.append((day, k // 7, rep, g[0][0]))
-    complete = [t for t in seen if closing[t[0], t[1]].is_complete]
-    assert sorted(complete) == sorted(want) and len(want) > 20
-
-
-def test_engine_equals_batch_without_spark_state(spark):
-    tape = tape_events(spark, SF).orderBy("ts_event", "sequence").toPandas()
-    e = TapeEngine(sizes=(7, 3))
-    out = [b for ts, p, s in zip(tape.ts_event, tape.price_ticks, tape["size"], strict=True) for b in e.trade(ts.to_pydatetime(), int(p), int(s)).bars] + e.finish_day().bars
-    got = {tuple(b[c] for c in ("timeframe_ticks", *BAR)) for b in out}
-    assert got == as_set(bars.tick_bars(tape_events(spark, SF), (3, 7), EASTERN), "timeframe_ticks", *BAR)
-
-
-def test_quotes_warnings_and_snapshot_of_the_state(spark, tmp_path):
-    """Typed events of a book: quotes only replace the last one, warnings come out, and the checkpoint can be read."""
+    found = []
+    for n in (1, 7):
+        got, _ = replayed(spark, cut(spark, tape, n), tmp_path / str(n), sizes=(5, 2), carry_prior_day=True)
+        found.append((as_set(got.where("kind = 'bar'"), "timeframe_ticks", *BAR), as_set(got.where("kind = 'touch'"), *TOUCH)))
+    assert found[0] == found[1] and len(found[0][1]) > 20
+
+
+@pytest.mark.parametrize("scheme", [EASTERN, CENTRAL])
+def test_clock_equals_the_calendar(spark, scheme):
+    ts = [datetime(2025, 3, 8) + timedelta(minutes=17 * i) for i in range(400)] + [datetime(2025, 11, 1) + timedelta(minutes=11 * i) for i in range(400)]
+    want = [(r.trading_day, r.session) for r in with_session(spark.createDataFrame([(t,) for t in ts], "ts_event timestamp_ntz"), scheme).orderBy("ts_event").collect()]
+    clock = Clock(scheme)
+    day, session = clock.place(np.array([micros(t) for t in ts]))
+    assert [(None if s == -2 else date(1970, 1, 1) + timedelta(days=int(d)), clock.name(s)) for d, s in zip(day, session, strict=True)] == want
+
+
+def test_quotes_warnings_and_snapshot(spark, tmp_path):
+    """Typed events of a book: quotes only replace the last one, warnings come out, and the state tables give a snapshot."""
     events, _ = market.book_events(tape_book(spark, SF).drop("price_ticks"))
     events = events.withColumn("symbol", F.lit("AA")).unionByName(spark.createDataFrame([("AA", "warning", datetime(2024, 1, 3), "x_code", "seen")], "symbol string, kind string, ts_event timestamp_ntz, code string, message string"), allowMissingColumns=True)
-    prior = (("AA", date(2023, 12, 31), 69000, 68000), ("BB", date(2023, 12, 31), 2, 1))
-    got = replayed(spark, events, tmp_path, sizes=(7,), prior_days=prior)
+    got, replay = replayed(spark, cut(spark, events, 3)[:3], tmp_path, sizes=(7, 3), prior_days=(("AA", date(2023, 12, 31), 69000, 68000), ("BB", date(2023, 12, 31), 2, 1)), carry_prior_day=True)
     trades = events.where("kind = 'trade'")
-    assert as_set(got.where("kind = 'bar'"), *BAR) == as_set(bars.tick_bars(trades, 7, EASTERN), *BAR)
-    assert as_set(got.where("kind = 'warning'"), "code", "message") == {("x_code", "seen")}
+    every = bars.tick_bars(trades, 7, EASTERN)
+    last_day = every.agg(F.max("trading_day")).first()[0]
+    open_ = every.where((F.col("trading_day") == F.lit(last_day)) & ~F.col("is_complete")).collect()
+    assert as_set(got.where("kind = 'bar' and timeframe_ticks = 7"), *BAR) == as_set(every.where(F.col("is_complete") | (F.col("trading_day") < F.lit(last_day))), *BAR)
+    assert as_set(got.where("kind = 'warning'"), "code", "message") == {("x_code", "seen")} and replay.warnings == 1
+    (kept,) = read_snapshot(spark, f"{tmp_path}/cp").collect()
     last = events.where("kind = 'quote'").orderBy(F.desc("ts_event"), F.desc("sequence")).first()
-    kept = read_snapshot(spark, f"{tmp_path}/cp", sizes=(7,))["AA"]
-    assert (kept["quote"]["bid_ticks"], kept["quote"]["ask_ticks"], kept["status"]) == (last.bid_ticks, last.ask_ticks, "degraded")
-    assert kept["current"] == {} and kept["recent"] and kept["events"] == events.where("kind != 'warning'").count()
+    assert (kept.symbol, kept.trading_day, kept.status, kept.quote.bid_ticks, kept.quote.ask_ticks) == ("AA", last_day, "degraded", last.bid_ticks, last.ask_ticks)
+    assert kept.events == events.where("kind != 'warning'").count() and [(n.code, n.message) for n in kept.notes] == [("x_code", "seen")]
+    assert [(c.timeframe_ticks, c.trade_count, c.close_ticks, c.bar_index) for c in kept.current if c.timeframe_ticks == 7] == [(7, b.trade_count, b.close_ticks, b.bar_index) for b in open_]
+    closed = every.where("is_complete").orderBy(F.desc("close_ts")).first()
+    assert max(r.close_ts for r in kept.recent if r.timeframe_ticks == 7 and r.close_reason == "complete") == closed.close_ts and len(kept.recent) <= 500
+    prior = every.where(F.col("trading_day") < F.lit(last_day)).groupBy("trading_day").agg(F.max("high_ticks").alias("h"), F.min("low_ticks").alias("lo")).orderBy(F.desc("trading_day")).first()
+    levels = {v.name: v.price for v in kept.levels}
+    assert levels["pdh"] == prior.h * 0.25 and levels["pdl"] == prior.lo * 0.25
+    touched = as_set(got.where(F.col("kind") == "touch").where(F.col("trading_day") == F.lit(last_day)), "representative_price", "level_type")
+    assert kept.zones and all(z.touched == ((z.price, z.names[0]) in touched) for z in kept.zones)
 
 
 def test_late_trades_between_batches(spark, tmp_path):
-    rows = [("AA", "trade", datetime(2025, 6, 2, 14, m), i, 400 + m, 1, "A", p) for i, (m, p) in enumerate([(0, 0), (5, 0), (3, 1), (6, 1)])]
-    tape = spark.createDataFrame(rows, "symbol string, kind string, ts_event timestamp_ntz, sequence long, price_ticks long, size long, side string, _p int")
-    for late, want in (("process", [(400, 405), (403, 406)]), ("drop", [(400, 405), (406, 406)])):
-        for i in range(2):
-            tape.where(f"_p = {i}").drop("_p").coalesce(1).write.parquet(f"{tmp_path}/{late}/{i}")
-            time.sleep(0.05)
-        stream = spark.readStream.schema(tape.drop("_p").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/{late}")
-        found = []
-        replay = Replay(tape_stream(stream, sizes=(1, 2), late=late, own_levels=False), f"{tmp_path}/cp-{late}", lambda df, i: found.extend(df.collect()))  # noqa: B023
-        replay.start()
-        assert replay.wait() == "completed", replay.error
-        assert [r.code for r in found if r.kind == "warning"] == ["timestamp_regression"]
-        closes = [r.close_ticks for r in found if r.kind == "bar" and r.timeframe_ticks == 1]
-        assert closes == ([400, 405, 403, 406] if late == "process" else [400, 405, 406])
+    early = rows_of(spark, *[trade(datetime(2025, 6, 2, 14, m), 400 + m) for m in (0, 5)])
+    late_rows = rows_of(spark, *[trade(datetime(2025, 6, 2, 14, m), 400 + m) for m in (3, 6)])
+    for late, want in (("process", [400, 405, 403, 406]), ("drop", [400, 405, 406])):
+        got, replay = replayed(spark, [early, late_rows], tmp_path / late, sizes=(1, 2), late=late, own_levels=False)
+        assert as_set(got.where("kind = 'warning'"), "code", "message") == {("timestamp_regression", "earlier than 2025-06-02T14:05:00")} and replay.warnings == 1
+        assert [r.close_ticks for r in got.where("kind = 'bar' and timeframe_ticks = 1").orderBy("bar_index").collect()] == want
+        assert read_snapshot(spark, f"{tmp_path}/{late}/cp").first().regressions == 1
+
+
+def test_days_that_come_again_and_resets(spark, tmp_path):
+    """A day that comes again goes on with its numbers and its zones stay touched; a reset forgets the day, but not earlier ranges."""
+    at = lambda d, h, m=0: datetime(2025, 6, d, h, m)
+    batches = [
+        [trade(at(2, 13), 400), trade(at(2, 13, 1), 400)],  # touches the prior day's low, once
+        [trade(at(3, 13), 500)],
+        [trade(at(2, 15), 400)],  # the day before again
+        [{"kind": "quote", "ts_event": at(2, 15, 1), "bid_ticks": 1, "ask_ticks": 2}, {"kind": "reset", "ts_event": at(2, 15, 2)}],
+        [trade(at(2, 16), 400)],  # touches again, with number 0
+    ]
+    got, _ = replayed(spark, [rows_of(spark, *b) for b in batches], tmp_path, sizes=(1,), prior_days=(("AA", date(2025, 6, 1), 800, 400),))
+    found = got.where("kind = 'bar'").select("trading_day", "bar_index", "ts").orderBy("ts").collect()
+    assert [(r.trading_day.day, r.bar_index) for r in found] == [(2, 0), (2, 1), (2, 2), (2, 0), (3, 0)]
+    assert [(r.ts, r.level_type, r.direction) for r in got.where("kind = 'touch'").orderBy("ts").collect()] == [(at(2, 13), "pdl", "LONG"), (at(2, 16), "pdl", "LONG")]
+    kept = read_snapshot(spark, f"{tmp_path}/cp").first()
+    assert kept.quote is None and kept.events == 1 and [z.touched for z in kept.zones if z.names == ["pdl"]] == [True]
+
+
+def test_notes_and_bars_are_bounded(spark, tmp_path):
+    first = datetime(2025, 6, 2, 13)
+    batches = [rows_of(spark, *[trade(first + timedelta(seconds=60 * b + i), 400 + i) for i in range(30)], *[{"kind": "warning", "ts_event": first, "code": f"c{b}", "message": "m"}] * 30) for b in range(3)]
+    replayed(spark, batches, tmp_path, sizes=(1,), recent_bars=40, recent_notes=50)
+    kept = read_snapshot(spark, f"{tmp_path}/cp").first()
+    assert len(kept.recent) == 40 and {r.bar_index for r in kept.recent} == set(range(50, 90))
+    assert len(kept.notes) == 50 and {n.code for n in kept.notes} == {"c1", "c2"} and kept.status == "degraded"
+
+
+def test_a_timer_waits_for_the_day_to_end(spark, tmp_path):
+    """Another symbol's later events close a quiet symbol's day, after the delay, and not before."""
+    day = datetime(2025, 6, 2, 14)
+    quiet, busy = rows_of(spark, trade(day, 400)), lambda h: rows_of(spark, trade(datetime(2025, 6, 2, 22) + timedelta(hours=h), 500, symbol="BB"))
+    early, _ = replayed(spark, [quiet, busy(0.5)], tmp_path / "early", sizes=(3,), delay_min=60)
+    assert early.where("symbol = 'AA'").count() == 0
+    late, _ = replayed(spark, [quiet, busy(1.5)], tmp_path / "late", sizes=(3,), delay_min=60)
+    assert [(r.trade_count, r.close_reason) for r in late.where("symbol = 'AA'").collect()] == [(1, "end_of_day")]
+
+
+def test_settings():
+    with pytest.raises(ValueError):
+        Settings(sizes=())
+    with pytest.raises(ValueError):
+        Settings(sizes=(0, 3))
+    with pytest.raises(ValueError):
+        Settings(late="maybe")
+    assert Settings(sizes=(9, 3, 9)).sizes == (3, 9)
 
 
-def test_engine_levels_days_and_reset():
-    e = TapeEngine(sizes=(1,))
+def test_prior_days_are_checked(spark):
     with pytest.raises(ValueError):
-        e.load_prior_day(date(2025, 6, 1), 1, 2)
-    e.load_prior_day(date(2025, 6, 1), 800, 400)
-    out = e.trade(datetime(2025, 6, 2, 13), 400, 1)
-    assert len(out.bars) == 1 and [(t["level_type"], t["direction"]) for t in out.touches] == [("pdl", "LONG")] and out.has_deltas()
-    assert not e.trade(datetime(2025, 6, 2, 13, 1), 400, 1).touches
-    assert e.trade(datetime(2025, 6, 2, 12), 401, 1).notes[0]["code"] == "timestamp_regression"
-    assert e.state.regressions == 1 and e.current() == {} and e.snapshot()["zones"][0]["touched"]
-    e.process({"kind": "quote", "ts_event": datetime(2025, 6, 2, 13), "bid_ticks": 1, "ask_ticks": 2})
-    e.process({"kind": "reset"})
-    assert e.state.quote is None and e.trade(datetime(2025, 6, 2, 13), 400, 1).touches  # the prior day is still known, the touch is not
-    with pytest.raises(TypeError):
-        e.process({"kind": "other"})
-    # A day that comes again goes on with its numbers, and its zones stay touched.
-    e.trade(datetime(2025, 6, 3, 13), 500, 1)
-    again = e.trade(datetime(2025, 6, 2, 15), 400, 1)
-    assert again.bars[-1]["bar_index"] == 1 and not again.touches
-    far = TapeEngine(sizes=(1,), keep_days=2)
-    far.load_prior_day(date(2025, 6, 1), 800, 400)
-    for day in (2, 3, 4, 5):
-        far.trade(datetime(2025, 6, day, 13), 400, 1)
-    assert far.days.get("2025-06-02")["fired"] == [] and far.days.get("2025-06-02")["next"] == {"1": 1}
-    for _ in range(150):
-        e.note("c", "m")
-    assert len(e.state.notes) == 100 and e.snapshot()["status"] == "degraded"
-
-
-class Source:
-    def __init__(self, items, bad=False, hold=0.0):
-        self.items, self.bad, self.stopped, self.hold = items, bad, False, hold
-
-    def start(self):
-        if self.bad:
-            raise OSError("no /srv/feed/x.sock, token=abc")
-
-    def stop(self):
-        self.stopped = True
-
-    def events(self):
-        for x in self.items:
-            time.sleep(self.hold)
-            yield x
-
-
-def at(m, **more):
-    return {"kind": "trade", "ts_event": datetime(2025, 6, 2, 14, m), "price_ticks": 400, "size": 1} | more
-
-
-def test_event_replay():
-    e = TapeEngine(sizes=(2,))
-    run = EventReplay(Source([at(0), at(1), at(0), at(2), {"kind": "warning", "ts_event": None, "code": "c", "message": "m"}]), e.process)
-    assert run.status().state == "idle"
-    run.start()
-    assert run.wait(5) == "completed"
-    s = run.status()
-    assert (s.events, s.warnings, s.last_event) == (4, 1, datetime(2025, 6, 2, 14, 2)) and s.started <= s.ended
-    assert len(run.updates) == 4  # two bars, the note of the late trade, and the warning; a trade that closes nothing is no delta
-    late = []
-    run = EventReplay(Source([at(0), at(5), at(1), at(3), at(6)]), lambda x: x, on_regression=lambda item, was: late.append((item["ts_event"].minute, was.minute)))
-    run.start(max_events=4)
-    assert run.wait(5) == "completed" and late == [(1, 5), (3, 5)] and (run.status().events, run.status().warnings) == (2, 2)
-    run = EventReplay(Source([at(0), at(1), at(2)]), lambda x: x)
-    t = time.perf_counter()
-    run.start(speed=600)
+        tape_stream(rows_of(spark, trade(datetime(2025, 6, 2), 1)), prior_days=(("AA", date(2025, 6, 1), 1, 2),))
+
+
+def files(spark, tmp_path, n, odd=None):
+    for i in range(n):
+        pd.DataFrame({"kind": [odd if odd and i == n - 1 else "trade"], "ts": [datetime(2025, 6, 2, 14, i)]}).to_parquet(f"{tmp_path}/{i}.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+        time.sleep(0.02)
+    return spark.readStream.schema("kind string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+
+
+def test_replay(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream, seen = files(spark, tmp_path / "in", 6), []
+    replay = Replay(stream, f"{tmp_path}/cp", lambda df, i: seen.append(df.count()), max_events=2)
+    assert replay.state == "idle"
+    replay.start()
     with pytest.raises(RuntimeError):
-        run.start()
-    assert run.wait(5) == "completed" and 0.15 < time.perf_counter() - t < 2
-    run.start(speed=0.001)  # waits are cut
-    time.sleep(0.1)
-    run.pause()
-    assert run.status().state == "paused" and run.wait(0.4) == "paused"
-    run.resume()
-    assert run.wait(5) == "completed" and run.status().events == 3
-    run = EventReplay(Source([at(0)] * 1000, hold=0.01), lambda x: x)
-    run.start()
-    time.sleep(0.1)
-    run.stop()
-    assert run.wait(5) == "stopped" and 0 < run.status().events < 1000
-    run = EventReplay(Source([{"kind": "odd /a/b/c password=x"}]), e.process)
-    run.start()
-    assert run.wait(5) == "failed" and run.status().error == "TypeError" and "/a/b" not in run.status().message
-
-
-def test_live():
+        replay.start()
+    assert replay.wait() in ("stopped", "completed") and replay.events >= 2
+    replay.reset(f"{tmp_path}/cp2")
+    assert replay.state == "idle"
+    replay.max_events = None
+    seen.clear()
+    replay.start()
+    replay.pause()
+    assert replay.state == "paused"
+    replay.resume()
+    assert replay.wait() == "completed" and sum(seen) == 6 and replay.started <= replay.ended
+    paced = Replay(stream, f"{tmp_path}/cp3", lambda df, i: None, speed=240.0)  # a minute between events is a quarter of a second
+    began = time.monotonic()
+    paced.start()
+    assert paced.wait() == "completed" and time.monotonic() - began > 5 * 0.25
+
+
+def test_failures_are_told_without_paths(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = files(spark, tmp_path / "in", 2)
+
+    def broken(df, i):
+        raise OSError("no /srv/feed/x.sock, token=abc")
+
+    replay = Replay(stream, f"{tmp_path}/cp", broken)
+    replay.start()
+    assert replay.wait() == "failed" and "srv" not in replay.error and "abc" not in replay.error
+
+
+def test_live(spark, tmp_path):
+    (tmp_path / "in").mkdir()
     seen = []
-    live = Live(Source([at(0), at(1)], hold=0.05), lambda x: x, seen.append)
+    live = Live(files(spark, tmp_path / "in", 2, odd="warning"), f"{tmp_path}/cp", lambda df, i: seen.append(df.count()), interval="100 milliseconds")
     live.start()
-    assert live.status().state == "running"
+    assert live.state == "running"
     with pytest.raises(RuntimeError):
         live.start()
-    assert live.wait(5) == "disconnected" and len(seen) == 2 and live.status().events == 2
-    bad = Live(Source([], bad=True), lambda x: x)
-    with pytest.raises(OSError):
-        bad.start()
-    s = bad.status()
-    assert s.state == "failed" and "srv" not in s.message and "abc" not in s.message and bad.source.stopped
-    queue = QueueSource(lambda m: at(m["m"]), size=2)
-    queue.put({"m": 9})  # not started: ignored
-    live = Live(queue, lambda x: x)
-    live.start()
-    for k in range(1, 4):
-        queue.put({"m": k})
-    queue.put({})
-    time.sleep(0.3)
+    until = time.monotonic() + 60
+    while sum(seen) < 2 and time.monotonic() < until:
+        live.wait(0.2)
     live.stop()
-    s = live.status()
-    assert s.state == "stopped" and s.events >= 2 and s.ended and s.events + s.warnings >= 3
-
-
-def test_queue_and_notes():
-    q = BoundedQueue(2)
-    for m in ({"x": 1}, {"y": 2}, {"x": 3}):
-        q.put(m)
-    events, notes = q.drain(lambda m: m["x"])
-    assert events == [1] and [(n["code"], n.get("count")) for n in notes] == [("backpressure_drop", 1), ("provider_error", None)]
-    n = Notes(keep=2)
-    n.record([{"code": str(i)} for i in range(5)])
-    assert n.status == "degraded" and [x["code"] for x in n.latest] == ["3", "4"]
+    assert (live.state, sum(seen), live.events, live.warnings) == ("stopped", 2, 2, 1) and live.ended
+    live.start()
+    live.query.stop()
+    assert live.wait(30) == "disconnected"
+    bad = Live(spark.range(1), f"{tmp_path}/cp2", lambda df, i: None)
+    with pytest.raises(Exception):
+        bad.start()
+    assert bad.state == "failed" and bad.error
+
+
+def test_metadata():
     assert clean_metadata({"api_key": 1, "path": "/a/b/c", "n": 2}) == {"<redacted_key>": 1, "path": "<path>", "n": 2}
