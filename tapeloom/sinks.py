@@ -12,23 +12,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _LOCAL_DIRS: list[str] = []
+_RUNS: dict[str, str] = {}  # by base folder: the folder of this run
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that the driver and all executors share: in spark.checkpoint.dir, or the warehouse; a temporary one where a local session sets neither."""
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, whatever its scheme."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of this run that the driver and all executors share; it goes when the driver ends.
+
+    It is below spark.checkpoint.dir. Where that is unset, a local session (tests, one
+    machine) gets a temporary folder; a cluster session gets a folder in the warehouse.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and spark.conf.get("spark.master", "local").split("[")[0] == "local":
         if not _LOCAL_DIRS:
-            _LOCAL_DIRS.append(tempfile.mkdtemp(prefix="tapeloom-runs-"))
+            _LOCAL_DIRS.append(tempfile.mkdtemp(prefix="tapeloom-"))
             atexit.register(lambda: [shutil.rmtree(d, ignore_errors=True) for d in _LOCAL_DIRS])
         base = "file://" + _LOCAL_DIRS[0]
-    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/tapeloom-runs/{label}-{uuid.uuid4().hex}"
+    base = (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if base not in _RUNS:
+        _RUNS[base] = f"{base}/tapeloom/run-{uuid.uuid4().hex}"
+        path, fs = hadoop_path(spark, _RUNS[base])
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return _RUNS[base]
 
 
-def hadoop_path(spark: SparkSession, path: str):
-    """A path and its file system, whatever its scheme."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder of this run."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> str:

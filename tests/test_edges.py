@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom import contract
-from tapeloom.config import CENTRAL, EASTERN, FeatureWindows, LabelPolicy
+from tapeloom.config import CENTRAL, EASTERN, FeatureWindows, LabelPolicy, Scheme, Session
 from tapeloom.functions import ticks
-from tapeloom.functions.calendar import instant_on, with_session
+from tapeloom.functions.calendar import day_bounds, instant_on, with_session
 from tapeloom.operators import bars, diff, features, levels, outcomes, touches, zones
 from tapeloom.sources import market
 
@@ -195,3 +195,19 @@ def test_contract_refuses(valid, change):
     change(raw)
     with pytest.raises(contract.ContractError):
         contract.parse(raw, "e3", "v1")
+
+
+#: Sessions and days of an older scheme, and days that begin at 23:00 in Chicago.
+OLDER = Scheme("America/New_York", time(18), (Session("asia", time(18), time(1)), Session("london", time(1), time(8)), Session("ny", time(9, 30), time(16, 15))))
+LATE = Scheme("America/Chicago", time(23), EASTERN.sessions)
+
+
+def test_other_schemes(spark):
+    want = [(at(22), 3, "asia"), (at(4, 59), 2, "asia"), (at(5), 2, "london"), (at(11, 59), 2, "london"), (at(12), 2, "none"), (at(13, 29), 2, "none"), (at(13, 30), 2, "ny"), (at(20, 14), 2, "ny"), (at(20, 15), 2, "none"), (at(21, 59), 2, "none")]
+    df = spark.createDataFrame([(t,) for t, *_ in want], "ts_event timestamp_ntz")
+    got = {r.ts_event: (r.trading_day.day, r.session) for r in with_session(df, OLDER).collect()}
+    assert got == {t: (d, s) for t, d, s in want}
+    late = {r.ts_event: r.trading_day.day for r in with_session(spark.createDataFrame([(at(3, 59),), (at(4),)], "ts_event timestamp_ntz"), LATE).collect()}
+    assert late == {at(3, 59): 1, at(4): 2}
+    bounds = spark.createDataFrame([(DAY,)], "d date").select(*day_bounds(F.col("d"), LATE)).first()
+    assert tuple(bounds) == (at(4), datetime(2025, 6, 3, 4)) and tuple(spark.createDataFrame([(DAY,)], "d date").select(*day_bounds(F.col("d"), EASTERN)).first()) == (datetime(2025, 6, 1, 22), at(22))
