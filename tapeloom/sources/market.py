@@ -14,6 +14,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import ticks
 
@@ -61,20 +63,20 @@ def _split(judged: DataFrame, message: str, source: str | None) -> tuple[DataFra
     return judged.where("code is null").drop("code", "_source"), notes_of(judged.where("code is not null"), message, source=source and "_source")
 
 
-def normalize_trades(df: DataFrame, tick_size: float = 0.25, source: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(trades, notes). A row must have a time, a price on the grid and a whole positive size."""
+def normalize_trades(df: DataFrame, tick_size: float = 0.25, source: str | None = None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(trades, notes). A row must have a time, a price on the grid and a whole positive size. keep: more columns, such as a symbol."""
     whole = dict(df.dtypes)["size"] in ("bigint", "int", "smallint", "tinyint")
     row = df.select(
         event_time(df).alias("ts_event"), _sequence(df).alias("sequence"), ticks.exact_ticks(F.col("price"), tick_size).alias("price_ticks"),
         (F.col("size").cast("long") if whole else F.lit(None).cast("long")).alias("size"),
         (F.upper("side") if "side" in df.columns else F.lit(None).cast("string")).alias("side"),
-        (F.col(source) if source else F.lit(None).cast("string")).alias("_source"),
+        (F.col(source) if source else F.lit(None).cast("string")).alias("_source"), *keep,
     )
     code = F.when(F.col("ts_event").isNull(), "invalid_timestamp").when(F.col("price_ticks").isNull(), "invalid_price").when(F.coalesce(F.col("size") <= 0, F.lit(True)), "invalid_record")
     return _split(row.withColumn("code", code), "trade record rejected", source)
 
 
-def normalize_quotes(df: DataFrame, tick_size: float = 0.25, source: str | None = None) -> tuple[DataFrame, DataFrame]:
+def normalize_quotes(df: DataFrame, tick_size: float = 0.25, source: str | None = None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(quotes, notes) of the top of book. A row must have a time, and both sides on the grid; sizes default to 0."""
     bid, ask = first_of(df, BID), first_of(df, ASK)
     if bid is None or ask is None:
@@ -82,7 +84,7 @@ def normalize_quotes(df: DataFrame, tick_size: float = 0.25, source: str | None
     size = lambda names: F.coalesce(*[x.try_cast("long") for x in [first_of(df, names)] if x is not None], F.lit(0).cast("long"))
     row = df.select(
         event_time(df).alias("ts_event"), _sequence(df).alias("sequence"), ticks.exact_ticks(bid, tick_size).alias("bid_ticks"), ticks.exact_ticks(ask, tick_size).alias("ask_ticks"),
-        size(BID_SIZE).alias("bid_size"), size(ASK_SIZE).alias("ask_size"), (F.col(source) if source else F.lit(None).cast("string")).alias("_source"),
+        size(BID_SIZE).alias("bid_size"), size(ASK_SIZE).alias("ask_size"), (F.col(source) if source else F.lit(None).cast("string")).alias("_source"), *keep,
     )
     code = F.when(F.col("ts_event").isNull(), "invalid_timestamp").when(F.col("bid_ticks").isNull() | F.col("ask_ticks").isNull(), "invalid_price")
     return _split(row.withColumn("code", code), "quote record rejected", source)
@@ -118,20 +120,20 @@ def day_window(df: DataFrame, symbol: str, start: str, end: str) -> DataFrame:
     return df.where((F.col("symbol") == symbol) & F.upper("action").isin("T", "TRADE") & (F.col("price") > 0) & inside)
 
 
-def typed(events: DataFrame, kind: str) -> DataFrame:
-    """events with all columns of EVENTS, those that a kind lacks null."""
+def typed(events: DataFrame, kind: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """events with keep and all columns of EVENTS, those that a kind lacks null."""
     have = set(events.columns)
-    return events.select(*[F.lit(kind).alias("kind") if n == "kind" else (F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in EVENTS.split(", "))])
+    return events.select(*keep, *[F.lit(kind).alias("kind") if n == "kind" else (F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in EVENTS.split(", "))])
 
 
-def book_events(df: DataFrame, tick_size: float = 0.25, source: str | None = None) -> tuple[DataFrame, DataFrame]:
+def book_events(df: DataFrame, tick_size: float = 0.25, source: str | None = None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(events, notes) of book rows fanned out: a trade for action T, and a quote if both sides are known."""
-    trades, bad_trades = normalize_trades(df.where(F.upper("action").isin("T", "TRADE")), tick_size, source)
+    trades, bad_trades = normalize_trades(df.where(F.upper("action").isin("T", "TRADE")), tick_size, source, keep)
     bid, ask = first_of(df, BID), first_of(df, ASK)
     if bid is None or ask is None:
-        return typed(trades, "trade"), bad_trades
-    quotes, bad_quotes = normalize_quotes(df.where(bid.isNotNull() & ask.isNotNull()), tick_size, source)
-    return typed(trades, "trade").unionByName(typed(quotes, "quote")), bad_trades.unionByName(bad_quotes)
+        return typed(trades, "trade", keep), bad_trades
+    quotes, bad_quotes = normalize_quotes(df.where(bid.isNotNull() & ask.isNotNull()), tick_size, source, keep)
+    return typed(trades, "trade", keep).unionByName(typed(quotes, "quote", keep)), bad_trades.unionByName(bad_quotes)
 
 
 def book_mid(df: DataFrame) -> DataFrame:
@@ -171,7 +173,7 @@ def file_schemas(spark: SparkSession, paths: list[str]) -> list[tuple[str, str |
         for path in (p for part in batches for p in part.column(0).to_pylist()):
             schema = error = None
             try:
-                fs, place = pafs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
+                fs, place = _opened(path)
                 info = fs.get_file_info(place)
                 if info.type == pafs.FileType.Directory:
                     found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(place, recursive=True)) if f.type == pafs.FileType.File and not os.path.basename(f.path).startswith(("_", ".")))
@@ -207,17 +209,75 @@ def lost_rows(scan: DataFrame) -> DataFrame:
     return both.where("n_read < n_rows")
 
 
-def read_events(spark: SparkSession, paths: list[str], schema: str, start=None, end=None, front_month_only: bool = False, tick_size: float = 0.25) -> tuple[DataFrame, DataFrame]:
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path.removeprefix("file:")))
+
+
+def _row_groups(files: DataFrame) -> DataFrame:
+    """(file_path, n) of files (file_path): the number of row groups of each, by its footer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in (p for part in batches for p in part.column(0).to_pylist()):
+            fs, place = _opened(path)
+            with pq.ParquetFile(place, filesystem=fs) as f:
+                yield pa.RecordBatch.from_pydict({"file_path": pa.array([path]), "n": pa.array([f.num_row_groups], pa.int32())})
+
+    return files.mapInArrow(run, "file_path string, n int")
+
+
+def good_row_groups(files: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, failures) of damaged files (file_path), each row group tried by itself on the executors.
+
+    rows: the columns of the DataFrame columns and file_path, of the row groups that can be decoded, checksums compared;
+    failures: (file_path, first, n), the place of each other group: the number of its first row, and its rows.
+    """
+    groups = _row_groups(files).select("file_path", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("g")).repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "file_path", "g")
+    wanted = [c for c in columns.columns if c != "file_path"]
+    target = to_arrow_schema(columns.select(*wanted).schema)
+
+    def read(path: str, g: int) -> tuple[pa.Table | None, int, int]:
+        fs, place = _opened(path)
+        with pq.ParquetFile(place, filesystem=fs, page_checksum_verification=True) as f:
+            first, n = sum(f.metadata.row_group(i).num_rows for i in range(g)), f.metadata.row_group(g).num_rows
+            try:
+                table = f.read_row_group(g, columns=wanted)
+            except (pa.ArrowException, OSError):
+                return None, first, n
+        return pa.table([table.column(c).cast(target.field(c).type) for c in wanted], names=wanted), first, n
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for path, g in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                table, _, _ = read(path, g)
+                if table is not None:
+                    for batch in table.append_column("file_path", pa.array([path] * table.num_rows, pa.string())).to_batches(max_chunksize=65_536):
+                        yield batch
+
+    def failures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for path, g in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                table, first, n = read(path, g)
+                if table is None:
+                    yield pa.RecordBatch.from_pydict({"file_path": pa.array([path]), "first": pa.array([first], pa.int64()), "n": pa.array([n], pa.int64())})
+
+    schema = StructType([*columns.select(*wanted).schema.fields, StructField("file_path", StringType())])
+    return groups.mapInArrow(rows, schema), groups.mapInArrow(failures, "file_path string, first long, n long")
+
+
+def read_events(spark: SparkSession, paths: list[str], schema: str, start=None, end=None, front_month_only: bool = False, tick_size: float = 0.25, keep: tuple[str, ...] = (), recover: bool = False) -> tuple[DataFrame, DataFrame]:
     """(events, notes) of parquet files of one feed schema, [start, end) by event time, front month by file.
 
     All footers are read first, by one job. Files whose known columns have the same types become one scan, so the plan
     has a scan for each schema (two for a book, whose rows are fanned out), however many files there are. A file that can't
     be opened or lacks a column is noted as an error and left out. Where a page can't be decoded (checksums are
     compared, if the file has them), the rows of its split before it stay, the other files and splits are read, and an
-    error tells how many rows of the file are missing.
+    error tells how many rows of the file are missing. With recover, all pages are decoded once before (a job), and of the files that
+    fail every row group that can be decoded is read, also behind a damaged one, with an error for each of the others
+    that tells its place. keep: more columns of the events, such as a symbol.
     """
     note = lambda rows: spark.createDataFrame([(code, message, "error", None, None, source and source.rstrip("/").rpartition("/")[2]) for code, message, source in rows], NOTES + ", path string").withColumn("source", ticks.safe_source(F.col("path"))).drop("path")
-    none = spark.createDataFrame([], EVENTS)
+    kept = [f"{c} string" for c in keep]
+    none = spark.createDataFrame([], ", ".join([*kept, EVENTS]))
     kind = feed_kind(schema)
     if kind is None:
         return none, note([("unsupported_schema", "schema is not supported", None)])
@@ -234,21 +294,29 @@ def read_events(spark: SparkSession, paths: list[str], schema: str, start=None,
     reader = spark.read.option("ignoreCorruptFiles", "true").option("parquet.page.verify-checksum.enabled", "true")
     for group in groups.values():
         df = reader.parquet(*group)
-        df = df.select(*[c for c in _known_names() if c in df.columns], "_metadata.file_path", "_metadata.file_name")
+        df = df.select(*[c for c in dict.fromkeys((*_known_names(), *keep)) if c in df.columns], "_metadata.file_path", "_metadata.file_name")
         lost = lost_rows(df.drop("file_name"))
+        said = lambda message: [F.lit("invalid_record").alias("code"), message.alias("message"), F.lit("error").alias("severity"), ticks.safe_source(F.element_at(F.split("file_path", "/"), -1)).alias("source"), F.lit(None).cast("timestamp_ntz").alias("ts_event")]
+        damaged = [r["file_path"] for r in lost.select("file_path").collect()] if recover else []
+        if damaged:  # as many as there are damaged files
+            whole = df.where(~F.col("file_path").isin(damaged))
+            found, failed = good_row_groups(spark.createDataFrame([(p,) for p in damaged], "file_path string").repartition(len(damaged)), df.drop("file_name"))
+            df = whole.unionByName(found.withColumn("file_name", F.element_at(F.split("file_path", "/"), -1)))
+            notes = notes.unionByName(failed.select(*said(F.concat(F.lit("rows "), F.col("first").cast("string"), F.lit(" to "), (F.col("first") + F.col("n") - 1).cast("string"), F.lit(" could not be decoded")))))
         message = F.concat((F.col("n_rows") - F.col("n_read")).cast("string"), F.lit(" of "), F.col("n_rows").cast("string"), F.lit(" rows could not be decoded"))
-        notes = notes.unionByName(lost.select(F.lit("invalid_record").alias("code"), message.alias("message"), F.lit("error").alias("severity"), ticks.safe_source(F.element_at(F.split("file_path", "/"), -1)).alias("source"), F.lit(None).cast("timestamp_ntz").alias("ts_event")))
+        if not recover:
+            notes = notes.unionByName(lost.select(*said(message)))
         df = outright(df)
         if front_month_only and "instrument_id" in df.columns:
             df = only_front_month(df, ("file_path",))
         if kind == "trade":
-            good, rejected = normalize_trades(df, tick_size, "file_name")
-            good = typed(good, "trade")
+            good, rejected = normalize_trades(df, tick_size, "file_name", keep)
+            good = typed(good, "trade", keep)
         elif kind == "book":
-            good, rejected = book_events(df, tick_size, "file_name")
+            good, rejected = book_events(df, tick_size, "file_name", keep)
         else:
-            good, rejected = normalize_quotes(df, tick_size, "file_name")
-            good = typed(good, "quote")
+            good, rejected = normalize_quotes(df, tick_size, "file_name", keep)
+            good = typed(good, "quote", keep)
         parts.append(good)
         notes = notes.unionByName(rejected)
     events = reduce(DataFrame.unionByName, parts) if parts else none

@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +70,26 @@ def test_paths_that_cannot_be_opened(spark, tmp_path):
 def test_no_files(spark, paths):
     events, notes = market.read_events(spark, paths, "trades")
     assert events.count() == 0 and notes.count() == len(paths)
+
+
+def test_row_groups_behind_a_damaged_one(spark, tmp_path):
+    """With recover, only the damaged row groups are missing, and each is noted with its place."""
+    trades = tape_events(spark, "/root/testdata/sf0.01").drop("price_ticks").withColumn("symbol", F.lit("AA"))
+    table = pa.Table.from_pandas(trades.orderBy("sequence").toPandas())
+    pq.write_table(table, f"{tmp_path}/odd.parquet", row_group_size=1000, coerce_timestamps="us", use_dictionary=False, write_page_checksum=True)
+    pq.write_table(table.slice(0, 100), f"{tmp_path}/sound.parquet", coerce_timestamps="us")
+    meta = pq.read_metadata(f"{tmp_path}/odd.parquet")
+    block = bytearray((tmp_path / "odd.parquet").read_bytes())
+    for g in (2, 7):
+        column = meta.row_group(g).column(meta.schema.names.index("price"))
+        at = (column.dictionary_page_offset or column.data_page_offset) + column.total_compressed_size // 2
+        block[at : at + 40] = b"\xff" * 40
+    (tmp_path / "odd.parquet").write_bytes(block)
+    events, notes = market.read_events(spark, [f"{tmp_path}/odd.parquet", f"{tmp_path}/sound.parquet"], "trades", keep=("symbol",), recover=True)
+    want = sorted([i for i in range(table.num_rows) if i // 1000 not in (2, 7)] + list(range(100)))
+    number = {s: i for i, s in enumerate(table.column("sequence").to_pylist())}
+    got = events.select("symbol", "sequence").collect()
+    assert sorted(number[r.sequence] for r in got) == want and {r.symbol for r in got} == {"AA"}
+    assert {(r.code, r.source, r.message) for r in notes.collect()} == {("invalid_record", "odd.parquet", f"rows {g}000 to {g}999 could not be decoded") for g in (2, 7)}
+    plain, told = market.read_events(spark, [f"{tmp_path}/odd.parquet"], "trades")
+    assert told.count() == 1 and plain.count() < table.num_rows - 2000
