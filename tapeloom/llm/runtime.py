@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,40 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DIRS: list[str] = []
-_RUNS: dict[str, str] = {}  # by base folder: the folder of this run
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of this run that the driver and all executors share; it goes when the driver ends.
-
-    It is below spark.checkpoint.dir. Where that is unset, a local session (tests, one
-    machine) gets a temporary folder; a cluster session gets a folder in the warehouse.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.conf.get("spark.master", "local").split("[")[0] == "local":
-        if not _LOCAL_DIRS:
-            _LOCAL_DIRS.append(tempfile.mkdtemp(prefix="tapeloom-"))
-            atexit.register(lambda: [shutil.rmtree(d, ignore_errors=True) for d in _LOCAL_DIRS])
-        base = "file://" + _LOCAL_DIRS[0]
-    base = (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    if base not in _RUNS:
-        _RUNS[base] = f"{base}/tapeloom/run-{uuid.uuid4().hex}"
-        path, fs = _hadoop(spark, _RUNS[base])
-        fs.mkdirs(path)
-        fs.deleteOnExit(path)
-    return _RUNS[base]
-
-
-def _hadoop(spark: SparkSession, path: str):
-    """A path and its file system, whatever its scheme."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+from ..sinks import hadoop_path, shared_dir
 
 
 def put_file(spark: SparkSession, name: str, block: bytes) -> str:
     """Write bytes to a file in the shared folder; its path."""
-    path, fs = _hadoop(spark, f"{shared_dir(spark)}/{name}")
+    path, fs = hadoop_path(spark, f"{shared_dir(spark)}/{name}")
     out = fs.create(path)
     for at in range(0, len(block), 1 << 20):
         out.write(bytearray(block[at : at + (1 << 20)]))
@@ -80,7 +49,7 @@ def unstage(spark: SparkSession, df: DataFrame) -> None:
     """Delete a staged table that nothing will read again."""
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/tapeloom/run-" in folder:
-            path, fs = _hadoop(spark, folder)
+            path, fs = hadoop_path(spark, folder)
             fs.delete(path, True)
 
 
