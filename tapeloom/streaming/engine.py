@@ -53,7 +53,7 @@ STATE = {
     "recent": BAR,
     "notes": "ts long, code string, message string",
 }
-_TAPE = [c.split()[0] for c in STATE["tape"].split(", ")]
+_TAPE, _DAY = ([c.split()[0] for c in STATE[name].split(", ")] for name in ("tape", "days"))
 
 
 def micros(ts: datetime) -> int:
@@ -163,6 +163,7 @@ class TapeProcessor(StatefulProcessor):
             if high < low:
                 raise ValueError("the high of a day is below its low")
         self.prior_days, self.clock, self.delay_min = prior_days, Clock(self.cfg.scheme), delay_min
+        self._known: tuple[int | None, dict[str, int]] = (None, {})
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -173,6 +174,8 @@ class TapeProcessor(StatefulProcessor):
     # What a symbol has: read once for a batch, and written once after it.
 
     def _begin(self, symbol: str) -> None:
+        self._days: dict[int, dict[str, Any]] = {}  # records that were read or changed in this batch
+        self._changed: set[int] = set()
         if self.tape.exists():
             self.st = dict(zip(_TAPE, self.tape.get(), strict=True))
             self.st["fired"] = list(self.st["fired"] or ())
@@ -191,6 +194,8 @@ class TapeProcessor(StatefulProcessor):
     def _end(self) -> None:
         self.st["fired"] = sorted(self.fired)
         self.tape.update(tuple(self.st[c] for c in _TAPE))
+        for day in sorted(self._changed):
+            self.days.updateValue((day,), tuple(self._days[day][c] for c in _DAY))
         for n, bar in self.bars.items():
             self.open.updateValue((n,), tuple(vars(bar).values()))
         for state, new, most in ((self.recent, self.new_bars, self.cfg.recent_bars), (self.notes, self.new_notes, self.cfg.recent_notes)):
@@ -199,11 +204,13 @@ class TapeProcessor(StatefulProcessor):
                 state.put([tuple(x) for x in (*old, *new)][-most:] if most else [])
 
     def _record(self, day: int) -> dict[str, Any]:
-        names = [c.split()[0] for c in STATE["days"].split(", ")]
-        return dict(zip(names, self.days.getValue((day,)), strict=True)) if self.days.containsKey((day,)) else dict.fromkeys(names)
+        if day not in self._days:
+            self._days[day] = dict(zip(_DAY, self.days.getValue((day,)), strict=True)) if self.days.containsKey((day,)) else dict.fromkeys(_DAY)
+        return self._days[day]
 
     def _file(self, day: int, **changes: Any) -> None:
-        self.days.updateValue((day,), tuple((self._record(day) | changes).values()))
+        self._days[day] = self._record(day) | changes
+        self._changed.add(day)
 
     # Events
 
@@ -368,12 +375,10 @@ class TapeProcessor(StatefulProcessor):
     def _zones(self, ranges: dict[str, int | None]) -> list[tuple[float, tuple[str, ...], str, int | None]]:
         levels: list[tuple[float, str, str, int | None]] = [(p, n, s, None) for n, p, s in self.cfg.static_levels]
         if self.cfg.own_levels:
-            ends = {s.name: s.end for s in self.cfg.scheme.sessions}
             ticks = ranges | {"pdh": self.st["pdh"], "pdl": self.st["pdl"]}
             for name in LEVEL_ORDER:
                 if ticks.get(name) is not None:
-                    known = self.clock.utc(self.st["day"], self.cfg.scheme.boundary, -1) if name.startswith("pd") else self.clock.utc(self.st["day"], ends[name.split("_")[0]])
-                    levels.append((ticks[name] * self.cfg.tick_size, name, LEVEL_SIDE[name], known))
+                    levels.append((ticks[name] * self.cfg.tick_size, name, LEVEL_SIDE[name], self._known_from()[name]))
         groups: list[list] = []
         for level in sorted(levels, key=lambda x: x[0]):
             if groups and level[0] - groups[-1][-1][0] <= self.cfg.proximity:
@@ -382,6 +387,14 @@ class TapeProcessor(StatefulProcessor):
                 groups.append([level])
         return [(sum(x[0] for x in g) / len(g), tuple(x[1] for x in g), "HIGH" if 2 * sum(x[2] == "HIGH" for x in g) > len(g) else "LOW", max((x[3] for x in g if x[3] is not None), default=None)) for g in groups]
 
+    def _known_from(self) -> dict[str, int]:
+        """From when each level of the current day is known."""
+        day = self.st["day"]
+        if self._known[0] != day:
+            ends = {s.name: s.end for s in self.cfg.scheme.sessions}
+            self._known = day, {n: self.clock.utc(day, self.cfg.scheme.boundary, -1) if n.startswith("pd") else self.clock.utc(day, ends[n.split("_")[0]]) for n in LEVEL_ORDER}
+        return self._known[1]
+
     # Days
 
     def _day_end(self, day: int) -> int:
@@ -430,7 +443,7 @@ class TapeProcessor(StatefulProcessor):
 def in_order(events: pd.DataFrame) -> pd.DataFrame:
     """Events of one symbol in canonical order; at an instant and number what ends or resets comes last."""
     quote = events["kind"].eq("quote")
-    buys = events["side"].fillna("").str.upper().eq("B")
+    buys = events["side"].isin(["B", "b"])
     signed = events["price_ticks"].where(buys, -events["price_ticks"]).where(~quote, 0).fillna(0)
     key = pd.DataFrame({"ts": events["ts_event"], "last": events["kind"].isin(["end", "reset"]), "sequence": events["sequence"].fillna(0), "signed": signed, "size": events["size"].where(~quote, 0).fillna(0)})
     return events.loc[key.sort_values(["ts", "last", "sequence", "signed", "size"], kind="stable").index]

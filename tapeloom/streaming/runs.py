@@ -31,15 +31,14 @@ def run_to_end(events: DataFrame, files_per_batch: int = 8, batches: int = 1, ch
     """
     spark = events.sparkSession
     place = sinks.scratch(spark, "stream")
-    events.repartitionByRange(files_per_batch * batches, "ts_event").sortWithinPartitions("ts_event").write.parquet(f"{place}/in/rows")
-    over = spark.read.parquet(f"{place}/in/rows").agg((F.max("ts_event") + F.expr("INTERVAL 2 DAYS")).alias("ts_event")).select(F.lit("").alias("symbol"), F.lit("clock").alias("kind"), F.col("ts_event").cast(events.schema["ts_event"].dataType))
-    over.coalesce(1).write.parquet(f"{place}/in/to-end")
-    _in_turn(spark, [*sorted(spark.read.parquet(f"{place}/in/rows").inputFiles()), *spark.read.parquet(f"{place}/in/to-end").inputFiles()])
+    rows = events if "kind" in events.columns else events.withColumn("kind", F.lit("trade"))
+    over = rows.agg((F.max("ts_event") + F.expr("INTERVAL 2 DAYS")).alias("ts_event")).withColumns({"symbol": F.lit(""), "kind": F.lit("clock")})
+    rows.unionByName(over, allowMissingColumns=True).repartitionByRange(files_per_batch * batches, "ts_event").write.parquet(f"{place}/in")
+    _in_turn(spark, sorted(spark.read.parquet(f"{place}/in").inputFiles()))
     own = spark.newSession()
     own.conf.set(STORE, ROCKSDB)  # map and list state need it
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = events.schema if "kind" in events.columns else events.schema.add("kind", "string")
-    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(f"{place}/in")
+    stream = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{place}/in")
     out, fs = sinks.hadoop_path(spark, f"{place}/out")  # a stream may give nothing
     fs.mkdirs(out)
     replay = Replay(tape_stream(stream, **settings), checkpoint or f"{place}/checkpoint", sinks.append_batches(f"{place}/out"))
