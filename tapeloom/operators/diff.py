@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LABELS, UNRESOLVED
+from ..sinks import scratch
 from .ordering import rank_in_order
 
 
@@ -158,13 +159,17 @@ def day_differences(a: Run, b: Run, features: tuple[str, ...], eps: float = 1e-6
 def value_counts(df: DataFrame, value: str, blocks: int = 256) -> DataFrame:
     """(v, n, start, total): each different value with its count, how many rows are below it, and all rows. Nulls and NaN are left out.
 
-    Values are dealt into blocks by approximate quantiles, a bounded list; within a block counts add up in a window, and the
-    blocks' counts give each its offset. No task has more than a block's different values, however often one occurs.
+    The counts of different values are written once. They are dealt into blocks by approximate quantiles, a bounded list;
+    within a block counts add up in a window, and the blocks' counts give each its offset. No task has more than a
+    block's different values, however often one occurs.
     """
-    rows = df.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    counted = df.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count("*").alias("n"))
+    place = scratch(df.sparkSession, "counts")
+    counted.write.parquet(place)
+    rows = df.sparkSession.read.schema(counted.schema).parquet(place)
     edges = sorted(set(rows.approxQuantile("v", [k / blocks for k in range(1, blocks)], 1 / (4 * blocks))))
     block = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("v"))) if edges else F.lit(0)
-    counts = rows.groupBy("v").agg(F.count("*").alias("n")).withColumn("block", block)
+    counts = rows.withColumn("block", block)
     every = Window.orderBy("block")
     of_block = counts.groupBy("block").agg(F.sum("n").alias("_n"))
     offsets = of_block.select("block", (F.sum("_n").over(every.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_offset"), F.sum("_n").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
