@@ -14,8 +14,8 @@ Models are counted from a bounded sample of the documents with a known language
 language, source and id are never inputs of a prediction.
 
 Defined cases: a null text and a text without a letter are `und` with score 0; a text whose letters
-give no word gets the give no word gets the most frequent language; a word of more than a chunk is cut; null languages are not learned from; without any
-every text is `und`; null ids are kept, never learned from and not held out; ties go to the
+give no word gets the most frequent language; a word of more than a chunk is cut; null languages are not
+learned from; without any every text is `und`; null ids are kept, never learned from and not held out; ties go to the
 language first in order; an empty table gives an empty result.
 """
 

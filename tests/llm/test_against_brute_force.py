@@ -240,6 +240,22 @@ def test_vector_recall(spark):
     assert (got.kept == (got.index == got.component_id)).all() and (got.component_id[-50:].to_numpy() < 50).all()
 
 
+def test_links_of_the_embeddings(spark):
+    """All pairs of the table, in double precision: no link below the bound, at least 0.95 of those above it, and components by what was found."""
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas().sort_values("vec_id")
+    x = np.array(table.embedding.tolist(), np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    got = QUERIES["op1_itq_near_vectors"](spark, sf).toPandas().set_index("vec_id").loc[table.vec_id]
+    assert (got.n_links.to_numpy() <= link.sum(1)).all() and got.n_links.sum() >= 0.95 * link.sum()
+    assert ((got.component_id == got.index) == got.kept).all() and (got.component_id <= got.index).all()
+    place = {v: i for i, v in enumerate(table.vec_id)}
+    reach = np.linalg.matrix_power((link + np.eye(len(x))).astype(bool).astype(int), 8) > 0
+    assert all(reach[place[v], place[c]] for v, c in got.component_id.items())
+
+
 # Operators 3 and 7
 def test_quality_held_out(spark, documents):
     got = QUERIES["op3_quality_rff"](spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
