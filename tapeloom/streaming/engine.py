@@ -222,6 +222,7 @@ class TapeProcessor(StatefulProcessor):
         if set(kind) == {"clock"}:
             return
         self._begin(key[0])
+        batch, kind = self._sound(batch, kind)
         ts = batch["ts_event"].to_numpy("datetime64[us]").astype(np.int64)
         cuts = np.flatnonzero(np.isin(kind, CONTROL))
         start = 0
@@ -237,6 +238,17 @@ class TapeProcessor(StatefulProcessor):
         if (out := self.found.frame(key[0])) is not None:
             yield out
 
+    def _sound(self, batch: pd.DataFrame, kind: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+        """Without trades and quotes that lack a time, a price or a size, each of which is noted."""
+        timeless = batch["ts_event"].isna().to_numpy() & np.isin(kind, ("trade", "quote"))
+        lacks = lambda *names: batch[list(names)].isna().any(axis=1).to_numpy()
+        empty = (kind == "trade") & lacks("price_ticks", "size") | (kind == "quote") & lacks("bid_ticks", "ask_ticks")
+        for i in np.flatnonzero(timeless | empty):
+            ts = batch["ts_event"].iloc[i]
+            self._note("invalid_timestamp" if timeless[i] else "invalid_record", f"{kind[i]} record rejected", None if timeless[i] else micros(ts.to_pydatetime()))
+        keep = ~(timeless | empty)
+        return (batch, kind) if keep.all() else (batch[keep], kind[keep])
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         """The day of the timer has ended, unless another one is current by now."""
         self._begin(key[0])

@@ -13,6 +13,7 @@ from tapeloom.functions.calendar import with_session
 from tapeloom.operators import bars, touches, zones
 from tapeloom.sources import market
 from tapeloom.sources.tape import tape_book, tape_events, tape_lineitem
+from tapeloom.streaming import runs
 from tapeloom.streaming.controllers import Live, Replay, clean_metadata
 from tapeloom.streaming.engine import Clock, Settings, micros, read_snapshot, tape_stream
 
@@ -164,6 +165,18 @@ def test_days_that_come_again_and_resets(spark, tmp_path):
     assert kept.quote is None and kept.events == 1 and [z.touched for z in kept.zones if z.names == ["pdl"]] == [True]
 
 
+def test_rows_that_lack_something(spark, tmp_path):
+    """Trades and quotes without a time, a price or a size are noted; an empty stream gives nothing."""
+    day = datetime(2025, 6, 2, 14)
+    bad = [trade(None, 400), trade(day, None), trade(day, 400, size=None), {"kind": "quote", "ts_event": day, "bid_ticks": 1}, {"kind": "quote", "ts_event": None, "bid_ticks": 1, "ask_ticks": 2}]
+    got, _ = replayed(spark, [rows_of(spark, *bad, trade(day, 401), trade(day, 402))], tmp_path, sizes=(2,))
+    assert sorted((r.code, r.message, r.ts) for r in got.where("kind = 'warning' and ts is not null").collect()) == [("invalid_record", "quote record rejected", day), ("invalid_record", "trade record rejected", day), ("invalid_record", "trade record rejected", day)]
+    assert sorted(r.message for r in got.where("kind = 'warning' and ts is null and code = 'invalid_timestamp'").collect()) == ["quote record rejected", "trade record rejected"]
+    assert [(r.open_ticks, r.close_ticks) for r in got.where("kind = 'bar'").collect()] == [(401, 402)] and read_snapshot(spark, f"{tmp_path}/cp").first().events == 2
+    empty = runs.run_to_end(tape_events(spark, SF).drop("price").withColumn("symbol", F.lit("AA")).limit(0))
+    assert empty.count() == 0 and "close_ticks" in empty.columns
+
+
 def test_notes_and_bars_are_bounded(spark, tmp_path):
     first = datetime(2025, 6, 2, 13)
     batches = [rows_of(spark, *[trade(first + timedelta(seconds=60 * b + i), 400 + i) for i in range(30)], *[{"kind": "warning", "ts_event": first, "code": f"c{b}", "message": "m"}] * 30) for b in range(3)]
