@@ -251,12 +251,12 @@ def _may_link(cfg: DartConfig) -> Column:
     return by_set | counted
 
 
-def link(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig, more: DataFrame) -> DataFrame:
-    """(node, component) by the links among representatives that met in a band, and by the pairs of more."""
-    spark = docs.sparkSession
+def link(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: DartConfig, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component) by the links among representatives that met in a band, and by the pairs of more; and those links, (a, b) with a < b."""
     members = stage(buckets(reps), "band", narrow=True)
     first = stage(members.select(F.col("least").alias("a"), F.col("doc").alias("b")).where("a < b").distinct(), "pairs", narrow=True)
-    found = stage(components(verify(first, docs, id_col, text_col, cfg).union(more)), "components", narrow=True)
+    links = stage(verify(first, docs, id_col, text_col, cfg), "links", narrow=True)
+    found = stage(components(links.union(more)), "components", narrow=True)
     about = reps.select("doc", "n", "u", "once", "often")
     left = members.where("m > 2 and doc != least").select("key", "doc")
     width = cfg.pivots
@@ -265,7 +265,7 @@ def link(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: Dart
         mixed = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo != hi").select("key", "m")
         rest = stage(now.join(mixed, "key"), "unlinked", narrow=True)
         if not rest.take(1):
-            return found
+            return found, links
         known = rest.join(about, "doc")
         side = lambda df, name: df.select("key", F.struct("doc", "n", "u", "once", "often", "c").alias(name))
         small, large = known.where(F.col("m") <= cfg.whole), rest.where(F.col("m") > cfg.whole)
@@ -279,10 +279,12 @@ def link(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: Dart
         near = near.where(F.col("p.c") != F.col("q.c")).where(_may_link(cfg))
         pairs = stage(near.select(F.least("p.doc", "q.doc").alias("a"), F.greatest("p.doc", "q.doc").alias("b")).distinct(), "pairs", narrow=True)
         if pairs.take(1):
-            joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(verify(pairs, docs, id_col, text_col, cfg))
+            new = stage(verify(pairs, docs, id_col, text_col, cfg), "links", narrow=True)
+            links = links.union(new)
+            joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)
             found = stage(components(joined), "components", narrow=True)
         if not is_large:
-            return found
+            return found, links
         left = large.join(pivots, ["key", "doc"], "left_anti").select("key", "doc")
         width *= cfg.growth
 
@@ -316,11 +318,14 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, cfg: D
     return both.mapInArrow(by_slices(run, 256), f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: DartConfig = DartConfig()) -> DataFrame:
-    """(id, exact_id, class_id, kept) for every row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: DartConfig = DartConfig(), links: bool = False) -> DataFrame:
+    """(id, exact_id, class_id, kept) for every row of docs, and linked_to if links are asked for.
 
     exact_id: least id with the same words in the same order; class_id: least id reachable by links
     of at least cfg.similarity; kept: whether it is the one of its class that stays (of repeated rows, all).
+    linked_to: for the one of each exact_id, in order, the smaller exact_ids whose texts were compared with its own and are near;
+    for copies, and where there are none, an empty list. These pairs and exact_id connect every class. Pairs of texts
+    that are of one class by other links already are not compared, so the list is no count of all near texts.
     """
     signed = stage(sign(docs, id_col, text_col, cfg), "signed")
     wordy = signed.where("doc is not null and n > 0")
@@ -329,11 +334,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = stage(wordy.join(least, ["d0", "d1", "n"], "left").withColumn("exact", F.coalesce("exact", "doc")).select("doc", "exact", "n", "u", *[F.when(F.col("doc") == F.col("exact"), F.col(c)).alias(c) for c in ("band", "once", "often")]), "exact", narrow=True)
     # An id that is repeated with other words links the classes of both texts.
     repeated = known.groupBy("doc").agg(F.min("exact").alias("a"), F.max("exact").alias("b")).where("a != b").select("a", "b")
-    found = link(known.where("doc = exact").select("doc", "n", "u", "band", "once", "often"), docs, id_col, text_col, cfg, repeated)
+    found, near = link(known.where("doc = exact").select("doc", "n", "u", "band", "once", "often"), docs, id_col, text_col, cfg, repeated)
     classes = known.groupBy("doc").agg(F.min("exact").alias("exact")).join(found.withColumnRenamed("node", "exact"), "exact", "left").select("doc", "exact", F.coalesce("component", "exact").alias("class"))
+    out = [F.col("doc").alias(id_col), F.coalesce("exact", "doc").alias("exact_id"), F.coalesce("class", "doc").alias("class_id")]
+    if links:
+        kind = f"array<{docs.schema[id_col].dataType.simpleString()}>"
+        classes = classes.join(near.groupBy("b").agg(F.sort_array(F.collect_set("a")).alias("smaller")), F.col("doc") == F.col("b"), "left")
+        out.append(F.coalesce(F.when(F.col("doc") == F.col("exact"), F.col("smaller")), F.array().cast(kind)).alias("linked_to"))
     return (
         signed.select("doc")
         .join(classes, "doc", "left")
-        .select(F.col("doc").alias(id_col), F.coalesce("exact", "doc").alias("exact_id"), F.coalesce("class", "doc").alias("class_id"))
+        .select(*out)
         .withColumn("kept", F.coalesce(F.col("class_id") == F.col(id_col), F.lit(True)))
     )

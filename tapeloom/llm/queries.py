@@ -46,7 +46,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"), links=True)
 
 
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 import hashlib
 import math
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -117,14 +119,41 @@ def test_near_duplicates_query(spark, documents):
             x = parent[x]
         return x
 
+    ids = documents.doc_id.tolist()
+    pairs = set()
     for i in range(len(sets)):
         for j in range(i):
             both = len(sets[i] & sets[j])
             if both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
                 parent[max(root(i), root(j))] = min(root(i), root(j))
-    ids = documents.doc_id.tolist()
+                pairs.add((ids[i], ids[j]))
     assert ids == sorted(ids)
     assert [got.loc[i].class_id for i in ids] == [ids[root(k)] for k in range(len(ids))]
+    # The links told are all near, lead to smaller ids only, and connect each class with the copies.
+    text = dict(zip(ids, documents.text, strict=True))
+    edges = {(int(i), int(j)) for i in ids for j in got.loc[i].linked_to}
+    different = {(i, j) for i, j in pairs if got.loc[i].exact_id == i and got.loc[j].exact_id == j}
+    assert edges <= different and all(_near(text[i], text[j]) for i, j in edges)
+    texts = got.groupby("class_id").exact_id.nunique()
+    only = {(i, j) for i, j in different if texts[got.loc[i].class_id] == 2}  # of a class of two texts the link can't be left out
+    assert only and only == {(i, j) for i, j in edges if texts[got.loc[i].class_id] == 2}
+    up = {i: i for i in ids}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in [*edges, *((i, int(got.loc[i].exact_id)) for i in ids)]:
+        up[max(top(i), top(j))] = min(top(i), top(j))
+    assert [top(i) for i in ids] == got.loc[ids].class_id.tolist()
+
+
+def _near(a, b):
+    """By the counts of five-word shingles, or of the different ones."""
+    x, y = (Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in (re.findall(r"\w+", t.lower()) for t in (a, b)))
+    once = len(x.keys() & y.keys()) / len(x.keys() | y.keys())
+    return once >= 0.8 or once >= 0.6 and (x & y).total() >= 0.8 * (x | y).total()
 
 
 def test_near_duplicates_by_distinct_shingles(spark):
@@ -575,6 +604,47 @@ def test_edited_copies_of_a_hot_item(spark, size):
     assert found == want and len(want) >= size // 3 + (size + 2) // 3
 
 
+def test_seed_joins_stay_small(spark):
+    """1,000 items and 2,000 texts of one vocabulary by the law of Zipf and Mandelbrot: rows joined by seeds, and by single pairs of words."""
+    rng = np.random.default_rng(4)
+    share = 1 / (np.arange(20_000) + 2.7)
+    share /= share.sum()
+    draw = lambda n: [f"v{x}" for x in rng.choice(20_000, n, p=share)]
+    items, texts = [draw(n) for n in rng.integers(14, 50, 1000)], [draw(200) for _ in range(2000)]
+    for k in range(100):
+        texts[k][50 : 50 + len(items[k])] = items[k]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert {(k, k) for k in range(100)} <= found and all(_align(items[i], texts[d]) >= 0.5 for d, i in found - {(k, k) for k in range(100)})
+    places = Counter(p for t in texts for p in zip(t, t[1:]))
+    by_pairs = sum(places[p] for item in items for p in set(zip(item, item[1:])))
+    by_seeds = _joined(spark, docs, bench)
+    print(by_pairs, by_seeds)
+    assert by_seeds * 4 < by_pairs
+
+
+def _joined(spark, docs, bench):
+    """Rows that come from the join of places and seeds."""
+    rows = []
+    real = decontam.windows
+    decontam.windows = lambda hits: (rows.append(hits.count()), real(hits))[1]
+    try:
+        decontam.contaminated(docs, bench).count()
+    finally:
+        decontam.windows = real
+    return sum(rows)
+
+
+def test_text_of_one_word(spark):
+    """Half a million equal words beside an item of 40: as many joined rows as places, blocks of bounded size."""
+    bench = spark.createDataFrame([(1, "same " * 40)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "same " * 500_000), (2, "same " * 10)], "doc_id long, text string")
+    start = time.monotonic()
+    assert [(r.doc_id, r.score) for r in decontam.contaminated(docs, bench).collect()] == [(1, 1.0)]
+    assert time.monotonic() - start < 60 and _joined(spark, docs, bench) <= 500_010
+
+
 # Operators 2 and 10
 def test_standard_readers_can_read(spark, tmp_path):
     """A reader that knows of WARC only its lengths and the mail form of its headers resolves every revisit."""
