@@ -54,7 +54,8 @@ class Tally:
 
     def _merge(self) -> None:
         keys, at = np.unique(np.concatenate(self.keys) if self.keys else np.empty(0, np.uint64), return_inverse=True)
-        self.sums = [np.bincount(at, np.concatenate(self.sums) if self.sums else np.empty(0), len(keys))]
+        # bincount of nothing gives whole numbers, whatever its weights; every batch of a task must have the same types
+        self.sums = [np.bincount(at, np.concatenate(self.sums) if self.sums else np.empty(0), len(keys)).astype(np.float64, copy=False)]
         self.keys, self.size = [keys], len(keys)
 
     @property

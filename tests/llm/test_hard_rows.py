@@ -2,11 +2,13 @@
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tapeloom.llm import bpe, chat, dartminhash, decontam, itq, langid, pii, quality, urlfilter, warc
+from tapeloom.llm.probe import Tally
 from tapeloom.llm.queries import TOKENIZER, URL_RULES
 
 LONG = "alpha beta gamma delta " * 120_000
@@ -171,3 +173,12 @@ def test_record_keys_do_not_hang_on_partitions(spark, tmp_path):
     found = warc.read_records(spark, f"{tmp_path}/warc").where("kind in ('response', 'revisit')").collect()
     known = {r.record_id for r in found if r.kind == "response"}
     assert len(found) == 300 and all(r.refers_to in known for r in found if r.kind == "revisit") and len(known) < 300
+
+
+def test_a_tally_that_was_just_emptied_keeps_its_types():
+    """A task tells its sums in parts; where the last part is empty it has the types of the others, or Arrow refuses it."""
+    tally = Tally(most=1)
+    tally.add(np.arange(5, dtype=np.uint64), np.full(5, 0.5))
+    assert tally.full
+    first, last = tally.take(), tally.take()
+    assert [x.dtype for x in first] == [x.dtype for x in last] == [np.uint64, np.float64] and (len(first[0]), len(last[0])) == (5, 0)
