@@ -51,12 +51,13 @@ class Controlled:
     _seen: int = field(default=0, repr=False)
 
     def _batch(self, batch: DataFrame, number: int) -> None:
-        if "kind" in batch.columns:
+        told = "kind" in batch.columns
+        if told:
             batch = batch.persist()
         try:
-            if batch.take(1):
-                if "kind" in batch.columns:
-                    self.warnings += batch.where("kind = 'warning'").count()
+            rows, warnings = batch.agg(F.count("*"), F.count_if(F.col("kind") == "warning") if told else F.lit(0)).first()
+            if rows:
+                self.warnings += warnings
                 self.on_batch(batch, number)
         finally:
             batch.unpersist()

@@ -13,7 +13,8 @@ of the events, so no row is ever late for it.
 State of a symbol, in columns: the current day with the ranges of its sessions; open bars by size; the last quote; the last
 bars and notes up to a limit; and by day a small record (next bar numbers, touched zones, range), of which the touched
 zones go after `keep_days`. All rows that a symbol has in a micro-batch are handled in one task, so the source should bound a
-batch (maxFilesPerTrigger or maxBytesPerTrigger).
+batch (maxFilesPerTrigger or maxBytesPerTrigger). They reach it as blocks: Spark hands rows to a state processor one at a time, as
+objects, so the tasks that read the source pack a symbol's rows into a few binary values, each an Arrow table.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from zoneinfo import ZoneInfo
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -39,6 +42,8 @@ KIND = {n: {"long": "Int64", "int": "Int32", "double": "float64", "timestamp_ntz
 EVENTS = "symbol string, kind string, ts_event timestamp_ntz, sequence long, price_ticks long, size long, side string, bid_ticks long, ask_ticks long, bid_size long, ask_size long, code string, message string"
 KINDS = ("trade", "quote", "warning", "end", "reset", "clock")
 CONTROL = ("warning", "end", "reset")
+#: Rows that a task packs at a time.
+BLOCK_ROWS = 65_536
 #: How far the watermark's column is ahead of the events.
 AHEAD_DAYS = 36_500
 EPOCH = datetime(1970, 1, 1)
@@ -147,9 +152,11 @@ class Found:
         if not self.frames:
             return None
         rows = pd.concat(self.frames, ignore_index=True)
-        day = rows["trading_day"] if "trading_day" in rows else pd.Series([None] * len(rows))
-        rows["trading_day"] = [None if pd.isna(d) else EPOCH.date() + timedelta(days=int(d)) for d in day]
-        rows["ts"] = [None if pd.isna(t) else moment(t) for t in rows["ts"]]
+        if "trading_day" in rows:
+            dates = {d: EPOCH.date() + timedelta(days=int(d)) for d in rows["trading_day"].dropna().unique()}
+            rows["trading_day"] = pd.Series([dates.get(d) for d in rows["trading_day"]], dtype=object)
+        gone = rows["ts"].isna().to_numpy()
+        rows["ts"] = np.where(gone, np.datetime64("NaT", "us"), rows["ts"].where(~gone, 0).to_numpy().astype(np.int64).astype("datetime64[us]"))
         rows["symbol"] = symbol
         return pd.DataFrame({c: rows[c].astype(k) if c in rows else pd.Series([None] * len(rows), dtype=k) for c, k in KIND.items()})
 
@@ -215,7 +222,7 @@ class TapeProcessor(StatefulProcessor):
     # Events
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = in_order(pd.concat(list(rows), ignore_index=True))
+        batch = in_order(unpacked(block for part in rows for block in part["block"]))
         kind = batch["kind"].to_numpy(object)
         if unknown := set(kind) - set(KINDS):
             raise TypeError(f"unsupported kind of event: {sorted(unknown)[0]}")
@@ -242,7 +249,9 @@ class TapeProcessor(StatefulProcessor):
         """Without trades and quotes that lack a time, a price or a size, each of which is noted."""
         timeless = batch["ts_event"].isna().to_numpy() & np.isin(kind, ("trade", "quote"))
         lacks = lambda *names: batch[list(names)].isna().any(axis=1).to_numpy()
-        empty = (kind == "trade") & lacks("price_ticks", "size") | (kind == "quote") & lacks("bid_ticks", "ask_ticks")
+        empty = (kind == "trade") & lacks("price_ticks", "size")
+        if (quote := kind == "quote").any():
+            empty |= quote & lacks("bid_ticks", "ask_ticks")
         for i in np.flatnonzero(timeless | empty):
             ts = batch["ts_event"].iloc[i]
             self._note("invalid_timestamp" if timeless[i] else "invalid_record", f"{kind[i]} record rejected", None if timeless[i] else micros(ts.to_pydatetime()))
@@ -454,11 +463,67 @@ class TapeProcessor(StatefulProcessor):
 
 def in_order(events: pd.DataFrame) -> pd.DataFrame:
     """Events of one symbol in canonical order; at an instant and number what ends or resets comes last."""
-    quote = events["kind"].eq("quote")
-    buys = events["side"].isin(["B", "b"])
-    signed = events["price_ticks"].where(buys, -events["price_ticks"]).where(~quote, 0).fillna(0)
-    key = pd.DataFrame({"ts": events["ts_event"], "last": events["kind"].isin(["end", "reset"]), "sequence": events["sequence"].fillna(0), "signed": signed, "size": events["size"].where(~quote, 0).fillna(0)})
-    return events.loc[key.sort_values(["ts", "last", "sequence", "signed", "size"], kind="stable").index]
+    trade = events["kind"].ne("quote").to_numpy()
+    number = lambda c: events[c].fillna(0).to_numpy().astype(np.int64) if events[c].notna().any() else np.zeros(len(events), np.int64)
+    price, size = number("price_ticks"), number("size")
+    signed = np.where(events["side"].isin(["B", "b"]).to_numpy(), price, -price)
+    ts = events["ts_event"].to_numpy("datetime64[us]").astype(np.int64)
+    ts = np.where(events["ts_event"].isna().to_numpy(), np.iinfo(np.int64).max, ts)
+    return events.iloc[np.lexsort((size * trade, signed * trade, number("sequence"), events["kind"].isin(["end", "reset"]).to_numpy(), ts))]
+
+
+def canonical(events: DataFrame) -> list[Column]:
+    """The same order as columns of a table of events, so that it can be cut at any place, between rows of an instant too."""
+    have = set(events.columns)
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long") if c in have else F.lit(0).cast("long")
+    kind = F.coalesce(F.col("kind"), F.lit("trade")) if "kind" in have else F.lit("trade")
+    buys = F.coalesce(F.col("side").isin("B", "b"), F.lit(False)) if "side" in have else F.lit(False)
+    of_trade = lambda c: F.when(kind == "quote", F.lit(0).cast("long")).otherwise(c)
+    return [F.col("ts_event"), kind.isin("end", "reset"), number("sequence"), of_trade(F.when(buys, number("price_ticks")).otherwise(-number("price_ticks"))), of_trade(number("size"))]
+
+
+_COLUMNS = [c.split()[0] for c in EVENTS.split(", ")]
+PACKED = "symbol string, ts_event timestamp_ntz, block binary"
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: a row for each symbol and BLOCK_ROWS rows read, with its latest time and its rows as an Arrow stream."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= BLOCK_ROWS:
+            yield _blocks(held)
+            held = []
+    if held:
+        yield _blocks(held)
+
+
+def _blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(held).combine_chunks()
+    names = pa.concat_arrays(table.column("symbol").chunks).dictionary_encode("encode")
+    code = names.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(code[order], prepend=-1)), len(code))
+    table, symbols, latest, blocks = table.take(pa.array(order)), [], [], []
+    for lo, hi in zip(edges, edges[1:]):
+        part = table.slice(lo, hi - lo)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.drop_columns(["symbol"]).schema) as out:
+            out.write_table(part.drop_columns(["symbol"]))
+        symbols.append(part.column("symbol")[0].as_py())
+        latest.append(pa.compute.max(part.column("ts_event")).as_py())
+        blocks.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(symbols, pa.string()), pa.array(latest, pa.timestamp("us")), pa.array(blocks, pa.binary())], names=["symbol", "ts_event", "block"])
+
+
+def unpacked(blocks: Iterator[bytes]) -> pd.DataFrame:
+    """The events of packed blocks; a column that the stream does not have is null."""
+    table = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blocks])
+    events = table.to_pandas()
+    for name in _COLUMNS[1:]:
+        if name not in events:
+            events[name] = None
+    return events
 
 
 def tape_stream(events: DataFrame, delay_min: int = 60, **settings: Any) -> DataFrame:
@@ -469,9 +534,10 @@ def tape_stream(events: DataFrame, delay_min: int = 60, **settings: Any) -> Data
     symbol, its open bars are closed.
     """
     have = set(events.columns)
-    columns = [F.coalesce(F.col("kind"), F.lit("trade")).alias("kind") if n == "kind" and n in have else F.lit("trade").alias("kind") if n == "kind" else (F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in EVENTS.split(", "))]
+    columns = [F.coalesce(F.col("kind"), F.lit("trade")).alias("kind") if n == "kind" and n in have else F.lit("trade").alias("kind") if n == "kind" else F.col(n).cast(t).alias(n) for n, t in (c.split() for c in EVENTS.split(", ")) if n in have or n == "kind"]
     ahead = F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(EPOCH).cast("timestamp_ntz"), F.col("ts_event"))) + F.expr(f"INTERVAL {AHEAD_DAYS} DAYS")
-    clocked = events.select(*columns).withColumn("_clock", ahead).withWatermark("_clock", f"{AHEAD_DAYS * 1440 + delay_min} minutes")
+    blocks = events.select(*columns).mapInArrow(packed, PACKED)
+    clocked = blocks.select("symbol", "block", ahead.alias("_clock")).withWatermark("_clock", f"{AHEAD_DAYS * 1440 + delay_min} minutes")
     return clocked.groupBy("symbol").transformWithStateInPandas(TapeProcessor(delay_min=delay_min, **settings), OUTPUT, "Append", "EventTime")
 
 

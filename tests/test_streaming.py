@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from tapeloom.sources import market
 from tapeloom.sources.tape import tape_book, tape_events, tape_lineitem
 from tapeloom.streaming import runs
 from tapeloom.streaming.controllers import Live, Replay, clean_metadata
-from tapeloom.streaming.engine import Clock, Settings, micros, read_snapshot, tape_stream
+from tapeloom.streaming.engine import Clock, Settings, in_order, micros, packed, read_snapshot, tape_stream, unpacked
 
 SF = "/root/testdata/sf0.001"
 STATIC = (("mid", 68300.0 * 0.25, "LOW"), ("top", 68900.0 * 0.25, "HIGH"))
@@ -137,6 +138,36 @@ def test_quotes_warnings_and_snapshot(spark, tmp_path):
     assert kept.zones and all(z.touched == ((z.price, z.names[0]) in touched) for z in kept.zones)
 
 
+def test_longer_tables_are_more_batches(spark, monkeypatch):
+    """Rows of a micro-batch are bounded, also where one instant has more rows than that; the bars are those of the whole table."""
+    tape = tape_events(spark, SF).withColumns({"symbol": F.lit("AA"), "ts_event": F.date_trunc("month", "ts_event").cast("timestamp_ntz"), "sequence": F.col("sequence") % 50}).drop("price")
+    want = as_set(bars.tick_bars(tape, 7, EASTERN), *BAR)
+    found = []
+    for most in (10_000_000, tape.count() // 5):
+        monkeypatch.setattr(runs, "BATCH_ROWS", most)
+        got = runs.run_to_end(tape, sizes=(7,), own_levels=False)
+        assert as_set(got.where("kind = 'bar'"), *BAR) == want and got.where("kind = 'warning'").count() == 0
+        found.append(len({f.split("batch=")[1].split("/")[0] for f in got.inputFiles()}))
+    assert found[0] <= 2 and found[1] >= 5
+
+
+def test_rows_reach_the_processor_as_blocks():
+    """A row for each symbol of what a task reads, whatever the number of its events, with nulls as they were."""
+    n = 3000
+    rows = pa.table({
+        "symbol": pa.array([[None, "A", "B"][i % 3] for i in range(n)], pa.string()), "kind": ["trade"] * n,
+        "ts_event": pa.array([None if i % 3 == 0 else i for i in range(n)], pa.timestamp("us")), "sequence": pa.array([None if i == 7 else 2**60 - i for i in range(n)], pa.int64()),
+    })
+    (out,) = packed(iter(rows.to_batches(max_chunksize=100)))
+    assert sorted(out.column("symbol").to_pylist(), key=str) == ["A", "B", None]
+    for symbol, last, block in zip(*(c.to_pylist() for c in out.columns), strict=True):
+        events = unpacked([block])
+        k = [None, "A", "B"].index(symbol)
+        assert len(events) == n // 3 and (last is None) == (symbol is None) and events["price_ticks"].isna().all()
+        assert events["sequence"].isna().sum() == (symbol == "A") and (symbol == "A" or events["sequence"].tolist() == [2**60 - i for i in range(k, n, 3)])
+        assert len(in_order(events)) == len(events)
+
+
 def test_late_trades_between_batches(spark, tmp_path):
     early = rows_of(spark, *[trade(datetime(2025, 6, 2, 14, m), 400 + m) for m in (0, 5)])
     late_rows = rows_of(spark, *[trade(datetime(2025, 6, 2, 14, m), 400 + m) for m in (3, 6)])
