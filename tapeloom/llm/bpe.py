@@ -7,6 +7,10 @@ number of smaller words it skips, so a path numbers its word and the outputs sta
 folder, which Spark hands to each executor once; its workers memory-map that copy, so they share its pages, and look up
 all new words of a batch at once. Words that are not in it are merged exactly, by rank.
 
+No word holds white space, so texts are cut at ASCII white space first, by Arrow, and each different piece of a group of
+texts is looked up once, and new ones are cut into words, all by one pattern match. A worker keeps the ids of the words that it used most, in
+bounded memory, from task to task; ids and decoded texts of all places of a group are gathered at once.
+
 The lexicon only saves time: every word it lacks is merged, so results never depend on it. Each
 task counts its texts with bounded memory (rarest words are let go when its table is full), and
 the lexicon is bounded in words and bytes, so the broadcast has a fixed size.
@@ -28,14 +32,14 @@ import json
 import mmap
 import re
 import uuid
-from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +48,8 @@ from tokenizers.normalizers import NFC
 
 from .runtime import by_slices, put_file, spread, stage, unstage
 
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+# Words, and the breaks between pieces of text.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+|\n")
 # Code points that are letters or numbers since later Unicode versions than the tokenizer's; to it they are neither.
 _LATER = (
     "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 "
@@ -60,8 +65,10 @@ _LATER_CLASS = "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) fo
 _NEWER = re.compile("[" + _LATER_CLASS + "".join(map(chr, _SMALL)) + "]")
 #: Below it every text is in its composed form.
 _COMPOSABLE = re.compile("[\u0300-\U0010ffff]")
-_SPLIT_NEWER = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER_CLASS}]]+|[\p{{N}}--[{_LATER_CLASS}]]|[[^\p{{White_Space}}\p{{L}}\p{{N}}]||[{_LATER_CLASS}]]+")
-_SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+_SPLIT_NEWER = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_LATER_CLASS}]]+|[\p{{N}}--[{_LATER_CLASS}]]|[[^\p{{White_Space}}\p{{L}}\p{{N}}]||[{_LATER_CLASS}]]+|\n")
+# The same below U+0300, where no later version of Unicode changes anything.
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ˁˆ-ˑˠ-ˤˬˮ"
+_SPLIT_LOW = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0{_LETTERS}0-9²³¹¼-¾]+|\n")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -147,17 +154,56 @@ class Vocabulary:
 _NEVER = 1 << 40
 
 
-def split_words(text: str) -> list[str]:
-    """The words of a piece of text without added tokens, normalised."""
+#: A longer word is not kept by a worker.
+KEPT_CHARS = 64
+#: Characters of the texts that are encoded together, and of those whose words are counted together.
+GROUP_CHARS, COUNTED_CHARS = 1 << 21, 1 << 23
+
+
+def normal(text: str) -> str:
+    """A piece of a text without added tokens, normalised."""
     if text.isascii():
-        return _SPLIT_ASCII.findall(text.lower())
-    split = _SPLIT
+        return text.lower()
     if _COMPOSABLE.search(text):
         text = NFC().normalize_str(text)  # the library's own, as its character data is not Python's
         if _NEWER.search(text):
-            text, split = text.translate(_SMALL), _SPLIT_NEWER
+            text = text.translate(_SMALL)
     # Lower case by character: no special form of sigma at the end of a word.
-    return split.findall(text.replace("Σ", "σ").lower())
+    return text.replace("Σ", "σ").lower()
+
+
+def cut(pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of normalised pieces without line feeds, those of pieces below U+0300 first; the order of the pieces in it; and how many words each has."""
+    raw = np.frombuffer("\n".join(pieces).encode(), np.uint8)
+    far = np.zeros(len(pieces), bool)
+    far[np.searchsorted(np.flatnonzero(raw == 10), np.flatnonzero(raw >= 0xCC))] = True  # the first byte of U+0300 and beyond
+    found: list[str] = []
+    for some in (np.flatnonzero(~far), np.flatnonzero(far)):
+        text = "".join([pieces[i] + "\n" for i in some.tolist()])
+        split = _SPLIT_LOW if not _COMPOSABLE.search(text) else _SPLIT_NEWER if _NEWER.search(text) else _SPLIT
+        found += split.findall(text)
+    breaks = np.array([i for i, word in enumerate(found) if word == "\n"], np.int64)
+    return [word for word in found if word != "\n"], np.argsort(far, kind="stable"), np.diff(breaks, prepend=-1) - 1
+
+
+def groups(texts: Iterable[str], chars: int = GROUP_CHARS) -> Iterator[list[str]]:
+    """The texts in runs of at most so many characters; a longer text is alone."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > chars:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
+def pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different pieces between ASCII white space, which of them each place holds, and the places before each text and after the last."""
+    found = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    coded = found.flatten().dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), found.offsets.to_numpy()
 
 
 class Lexicon:
@@ -303,7 +349,7 @@ class BpeConfig:
     word_bytes: int = 64  # of a word in the lexicon, at most
     counted: int = 150_000  # distinct words that a task counts at a time
     told: int = 65_536  # words that a task tells
-    cached: int = 320_000  # words whose ids a task keeps
+    cached: int = 320_000  # words whose ids a worker keeps
 
 
 def count_words(docs: DataFrame, text_col: str, cfg: BpeConfig) -> DataFrame:
@@ -311,11 +357,16 @@ def count_words(docs: DataFrame, text_col: str, cfg: BpeConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(split_words(text.as_py() or ""))
-                if len(seen) > cfg.counted:
-                    seen = Counter(dict(seen.most_common(cfg.counted // 2)))
+        texts = (normal(t) for batch in batches for t in batch.column(0).drop_null().to_pylist())
+        for group in groups(texts, COUNTED_CHARS):
+            different, at, _ = pieces(group)
+            words, order, each = cut(different)
+            for word, n in zip(words, np.repeat(np.bincount(at, minlength=len(different))[order], each).tolist(), strict=True):
+                if len(word) <= cfg.word_bytes:
+                    seen[word] = seen.get(word, 0) + n
+            if len(seen) > cfg.counted:
+                least = np.partition(np.fromiter(seen.values(), np.int64), -(cfg.counted // 2))[-(cfg.counted // 2)]
+                seen = Counter({w: n for w, n in seen.items() if n > least})
         top = [(w, n) for w, n in seen.most_common(cfg.told) if len(w.encode("utf-8", "replace")) <= cfg.word_bytes]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
@@ -338,56 +389,126 @@ def compile_lexicon(docs: DataFrame, text_col: str, vocabulary: Vocabulary, cfg:
     return Lexicon.compile({b: vocabulary.merge(b) for b in (w.encode("utf-8") for w in top)})
 
 
+def _taken(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of values, run r from ends[r] to ends[r + 1], one after the other for each of rows; and where each begins, and the last ends."""
+    starts = ends[rows]
+    lengths = ends[rows + 1] - starts
+    at = np.concatenate(([0], np.cumsum(lengths)))
+    index = np.repeat(starts - at[:-1], lengths)
+    index += np.arange(len(index))
+    return values[index], at
+
+
+def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Successive batches whose texts, in the second column, are one group together."""
+    run, size = [], 0
+    for batch in batches:
+        more = batch.column(1).nbytes
+        if run and size + more > GROUP_CHARS:
+            yield pa.concat_batches(run)
+            run, size = [], 0
+        run.append(batch)
+        size += more
+    if run:
+        yield pa.concat_batches(run)
+
+
 class Encoder:
-    """Encodes texts through a lexicon, merging the words that it lacks. Keeps a bounded cache of words."""
+    """Encodes texts through a lexicon, merging the words that it lacks. Keeps the ids of a bounded number of words, those most used."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, cached: int):
         self.vocabulary, self.lexicon, self.cached = vocabulary, lexicon, cached
-        self.known: dict[str, tuple[bytes, str]] = {}  # of a word: ids as bytes, and what they decode to
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.spelt = pa.array([t.encode() + b" " for t in vocabulary.tokens], pa.large_binary())
         self.special = re.compile("(" + "|".join(re.escape(a) for a in sorted(vocabulary.added, key=len, reverse=True)) + ")") if vocabulary.added else None
-
-    def _learn(self, words: set[str]) -> dict[str, tuple[bytes, str]]:
-        """What these words become. Of words not used since the cache was last full half go, so frequent ones stay."""
-        again = {w: self.older[w] for w in words if w in self.older}
-        fresh = [w for w in words if w not in again]
-        raw = [w.encode("utf-8", "replace") for w in fresh]
-        new = {}
-        for word, b, number in zip(fresh, raw, self.lexicon.numbers(raw).tolist(), strict=True):
-            if word in self.vocabulary.added:  # no word can equal one
-                ids = [self.vocabulary.added[word]]
-            else:
-                ids = self.lexicon.output(number).tolist() if number >= 0 else self.vocabulary.merge(b)
-            new[word] = array("I", ids).tobytes(), self.vocabulary.decode(ids)
-        new |= again
-        if len(self.known) + len(new) > self.cached // 2:
-            self.older, self.known = self.known, {}
-        self.known |= new
-        return new
-
-    def pieces(self, text: str) -> list[str]:
-        """Words and added tokens; an added token comes as itself, and no word can equal one."""
+        # An added token is a piece with a capital, which normalised text lacks.
+        self.fixed = {f"A{i}": at for at, i in enumerate(vocabulary.added.values())}
+        self.known = dict(self.fixed)  # row of a word, in order
+        self.ids = np.array([*vocabulary.added.values()], np.uint32)  # of all rows
+        self.ends = np.arange(len(self.known) + 1)
+        self.used = np.zeros(len(self.known), np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        """Add rows for words that have none."""
+        raw = [w.encode() for w in words]
+        numbers = self.lexicon.numbers(raw)
+        lacking = np.flatnonzero(numbers < 0)
+        merged = [self.vocabulary.merge(raw[i]) for i in lacking.tolist()]
+        # Runs of ids: those of the lexicon, then the merged ones.
+        runs = np.concatenate((self.lexicon.ids, np.fromiter(chain.from_iterable(merged), np.uint32)))
+        ends = np.concatenate((self.lexicon.offsets.astype(np.int64), len(self.lexicon.ids) + np.cumsum([len(m) for m in merged], dtype=np.int64)))
+        numbers[lacking] = self.lexicon.words + np.arange(len(lacking))
+        ids, at = _taken(runs, ends, numbers)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.ends = np.concatenate((self.ends, len(self.ids) + at[1:]))
+        self.ids = np.concatenate((self.ids, ids))
+        self.used = np.concatenate((self.used, np.zeros(len(words), np.int64)))
+
+    def _forget(self, long: list[str]) -> None:
+        """Drop these words, whose rows are the last, and the less used half of the others if there are too many; what was used long ago counts less and less."""
+        for word in long:
+            del self.known[word]
+        n = len(self.known)
+        self.ends, self.used = self.ends[: n + 1], self.used[:n]
+        self.ids = self.ids[: self.ends[-1]]
+        if n > self.cached:
+            first = len(self.fixed)
+            most = first + np.sort(np.argsort(-self.used[first:], kind="stable")[: self.cached // 2])
+            rows = np.concatenate((np.arange(first), most))
+            names = list(self.known)
+            self.known = {names[i]: row for row, i in enumerate(rows.tolist())}
+            self.ids, self.ends = _taken(self.ids, self.ends, rows)
+            self.used = self.used[rows] // 2
+
+    def _prepared(self, text: str) -> str:
         if self.special is None or "<|" not in text:
-            return split_words(text)
-        out = []
-        for i, part in enumerate(self.special.split(text)):
-            out += [part] if i % 2 else split_words(part)
-        return out
+            return normal(text)
+        return " ".join([f"A{self.vocabulary.added[part]}" if i % 2 else normal(part) for i, part in enumerate(self.special.split(text))])
+
+    def gathered(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, memoryview, np.ndarray]:
+        """Ids of a group of texts and where each text begins and the last ends; the decoded tokens in UTF-8, each before a space, likewise."""
+        different, at, places = pieces([self._prepared(t) for t in texts])
+        rows = np.fromiter(map(self.known.get, different, repeat(-1)), np.int64, len(different))
+        new = np.flatnonzero(rows < 0)
+        inside, order, each = cut([different[i] for i in new.tolist()])
+        words = [w for w in dict.fromkeys(inside) if w not in self.known]
+        long = [w for w in words if len(w) > KEPT_CHARS]
+        self._learn([w for w in words if len(w) <= KEPT_CHARS] + long)
+        # A new piece has a row of its own in this group, with the ids of all its words.
+        new = new[order]
+        inner = np.fromiter(map(self.known.__getitem__, inside), np.int64, len(inside))
+        ids, begins = _taken(self.ids, self.ends, inner)
+        uses = np.bincount(at, minlength=len(rows))
+        known = rows >= 0
+        self.used[rows[known]] += uses[known]
+        np.add.at(self.used, inner, np.repeat(uses[new], each))
+        rows[new] = len(self.known) + np.arange(len(new))
+        stops = len(self.ids) + begins[np.cumsum(each)]
+        ids, begins = _taken(np.concatenate((self.ids, ids)), np.concatenate((self.ends, stops)), rows[at])
+        self._forget(long)
+        begins = begins[places]
+        if not len(ids):
+            return ids, begins, memoryview(b""), begins
+        _, ends, spelt = self.spelt.take(pa.array(ids)).buffers()
+        return ids, begins, memoryview(spelt), np.frombuffer(ends, np.int64, len(ids) + 1)[begins]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """The ids of each text as little-endian unsigned 32-bit integers, and what they decode to."""
-        for at in range(0, len(texts), 32):
-            group = [self.pieces(t) for t in texts[at : at + 32]]
-            flat = list(chain.from_iterable(group))
-            found = list(map(self.known.get, flat))
-            if None in found:
-                new = self._learn({w for w, f in zip(flat, found, strict=True) if f is None})
-                found = [new[w] if f is None else f for w, f in zip(flat, found, strict=True)]
-            end = 0
-            for words in group:
-                start, end = end, end + len(words)
-                own = found[start:end]
-                yield b"".join([i for i, _ in own]), " ".join([d for _, d in own])
+        for group in groups(texts):
+            ids, begins, spelt, spelt_begins = self.gathered(group)
+            for (a, b), (c, d) in zip(pairwise(begins.tolist()), pairwise(spelt_begins.tolist()), strict=True):
+                yield ids[a:b].tobytes(), str(spelt[c : max(c, d - 1)], "utf-8")
+
+
+#: The encoder that this worker used last, by the name of its lexicon.
+_LAST: dict[str, Encoder] = {}
+
+
+def kept_encoder(name: str, vocabulary: Vocabulary, cached: int) -> Encoder:
+    """The encoder of a published lexicon; a worker that goes on to another task of the same run keeps it."""
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Encoder(vocabulary, mapped(SparkFiles.get(name)), cached)
+    return _LAST[name]
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", cfg: BpeConfig = BpeConfig(), digests: bool = False) -> DataFrame:
@@ -399,13 +520,19 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, mapped(SparkFiles.get(name)), cfg.cached)
-        for part in batches:
-            found = list(encoder.encode(["" if t is None else t for t in part.column(1).to_pylist()]))
+        encoder = kept_encoder(name, shared.value, cfg.cached)
+        for part in joined(batches):
+            texts = ["" if t is None else t for t in part.column(1).to_pylist()]
             if digests:
-                sha = lambda parts: pa.array([hashlib.sha256(p).hexdigest() for p in parts], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i, _ in found], pa.int64()), sha(i for i, _ in found), sha(d.encode() for _, d in found)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows = []
+                for group in groups(texts):
+                    ids, begins, spelt, spelt_begins = encoder.gathered(group)
+                    for (a, b), (c, d) in zip(pairwise(begins.tolist()), pairwise(spelt_begins.tolist()), strict=True):
+                        rows.append((b - a, hashlib.sha256(ids[a:b]).hexdigest(), hashlib.sha256(spelt[c : max(c, d - 1)]).hexdigest()))
+                sizes, of_ids, of_texts = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
+                found = list(encoder.encode(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in found], pa.list_(pa.int32())), pa.array([d for _, d in found], pa.string())], names=["id", "ids", "decoded"])
 
     out = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else f"id {kind}, ids array<int>, decoded string"

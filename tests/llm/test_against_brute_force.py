@@ -69,6 +69,29 @@ def test_special_texts(official, encoder):
         same(official, encoder, text)
 
 
+def test_new_words_alone_cost_merging(tmp_path, monkeypatch):
+    merged = Counter()
+    merge = bpe.Vocabulary.merge
+    monkeypatch.setattr(bpe.Vocabulary, "merge", lambda v, word: merged.update([word]) or merge(v, word))
+    few = bpe.Encoder(bpe.Vocabulary.read(TOKENIZER), lexicon({b"the": [1]}, tmp_path), 1000)
+    words = [f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnopqrs" for c in "tuvwxyzäöé"]
+    texts = [" ".join(words[i::90]) + "." for i in range(90)]
+    first = list(few.encode(texts))
+    assert [list(few.encode([t]))[0] for t in texts[::-1]] == first[::-1] and list(few.encode(texts)) == first
+    assert set(merged.values()) == {1} and len(merged) == 901
+
+
+def test_forgetful_encoder(official, tmp_path):
+    v = bpe.Vocabulary.read(TOKENIZER)
+    tiny = bpe.Encoder(v, lexicon({w: v.merge(w) for w in (b"rain", b"train")}, tmp_path), 6)
+    texts = ["", " ", "A0 A1 a0<|endoftext|>A1 <|ENDOFTEXT|>", "rain\x1ctrain\u00a0rain\x85it's", "long" * 30 + " " + "雨が降る" * 40 + "。雨", "the rain’s “train” ½ x² ÷ \u02c2ˮ", "\n\n a\tb ", "ʼn ǅ ﬁ e\u0301"]
+    for _ in range(3):
+        for t in texts:
+            same(official, tiny, t)
+        assert [d for _, d in tiny.encode(texts)] == [official.decode(official.encode(t, add_special_tokens=False).ids, skip_special_tokens=False) for t in texts]
+    assert len(tiny.known) <= 6 and max(map(len, tiny.known)) <= bpe.KEPT_CHARS and len(tiny.used) == len(tiny.known) == len(tiny.ends) - 1
+
+
 def test_lexicon_is_minimal_and_numbered(tmp_path):
     words = sorted({bytes(w) for w in np.random.default_rng(1).integers(97, 100, (400, 5), np.uint8)} | {b"a", b"ab", b"abc"})
     lex = lexicon({w: [i, i + 1] for i, w in enumerate(words)}, tmp_path)
