@@ -47,7 +47,7 @@ def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and what they decode to, as digests."""
-    return bpe.encode_documents(docs, TOKENIZER, digests=True, cfg=bpe.BpeConfig(cached=80_000))  # beside what earlier stages leave in the executors
+    return bpe.encode_documents(docs, TOKENIZER, digests=True, cfg=bpe.BpeConfig(cached=80_000, grouped=1 << 18, kept=False))  # beside what earlier stages leave in the executors
 
 
 STAGES = [

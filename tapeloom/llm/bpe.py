@@ -9,7 +9,7 @@ all new words of a batch at once. Words that are not in it are merged exactly, b
 
 No word holds white space, so texts are cut at ASCII white space first, by Arrow, and each different piece of a group of
 texts is looked up once, and new ones are cut into words, all by one pattern match. A worker keeps the ids of the words that it used most, in
-bounded memory, from task to task; ids and decoded texts of all places of a group are gathered at once.
+bounded memory, from task to task unless told not to; ids and decoded texts of all places of a group are gathered at once.
 
 The lexicon only saves time: every word it lacks is merged, so results never depend on it. Each
 task counts its texts with bounded memory (rarest words are let go when its table is full), and
@@ -156,8 +156,6 @@ _NEVER = 1 << 40
 
 #: A longer word is not kept by a worker.
 KEPT_CHARS = 64
-#: Characters of the texts that are encoded together, and of those whose words are counted together.
-GROUP_CHARS, COUNTED_CHARS = 1 << 21, 1 << 23
 
 
 def normal(text: str) -> str:
@@ -186,7 +184,7 @@ def cut(pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return [word for word in found if word != "\n"], np.argsort(far, kind="stable"), np.diff(breaks, prepend=-1) - 1
 
 
-def groups(texts: Iterable[str], chars: int = GROUP_CHARS) -> Iterator[list[str]]:
+def groups(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
     """The texts in runs of at most so many characters; a longer text is alone."""
     run, size = [], 0
     for text in texts:
@@ -350,6 +348,8 @@ class BpeConfig:
     counted: int = 150_000  # distinct words that a task counts at a time
     told: int = 65_536  # words that a task tells
     cached: int = 320_000  # words whose ids a worker keeps
+    grouped: int = 1 << 21  # characters of texts that are encoded together; words of four times as many are counted together
+    kept: bool = True  # whether a worker keeps those words from task to task, in memory that later work lacks
 
 
 def count_words(docs: DataFrame, text_col: str, cfg: BpeConfig) -> DataFrame:
@@ -358,7 +358,7 @@ def count_words(docs: DataFrame, text_col: str, cfg: BpeConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         texts = (normal(t) for batch in batches for t in batch.column(0).drop_null().to_pylist())
-        for group in groups(texts, COUNTED_CHARS):
+        for group in groups(texts, 4 * cfg.grouped):
             different, at, _ = pieces(group)
             words, order, each = cut(different)
             for word, n in zip(words, np.repeat(np.bincount(at, minlength=len(different))[order], each).tolist(), strict=True):
@@ -399,12 +399,12 @@ def _taken(values: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.n
     return values[index], at
 
 
-def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Successive batches whose texts, in the second column, are one group together."""
+def joined(batches: Iterable[pa.RecordBatch], size_limit: int) -> Iterator[pa.RecordBatch]:
+    """Successive batches whose texts, in the second column, have at most so many bytes together; a larger batch is alone."""
     run, size = [], 0
     for batch in batches:
         more = batch.column(1).nbytes
-        if run and size + more > GROUP_CHARS:
+        if run and size + more > size_limit:
             yield pa.concat_batches(run)
             run, size = [], 0
         run.append(batch)
@@ -416,8 +416,8 @@ def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Encoder:
     """Encodes texts through a lexicon, merging the words that it lacks. Keeps the ids of a bounded number of words, those most used."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, cached: int):
-        self.vocabulary, self.lexicon, self.cached = vocabulary, lexicon, cached
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, cached: int, grouped: int = BpeConfig.grouped):
+        self.vocabulary, self.lexicon, self.cached, self.grouped = vocabulary, lexicon, cached, grouped
         self.spelt = pa.array([t.encode() + b" " for t in vocabulary.tokens], pa.large_binary())
         self.special = re.compile("(" + "|".join(re.escape(a) for a in sorted(vocabulary.added, key=len, reverse=True)) + ")") if vocabulary.added else None
         # An added token is a piece with a capital, which normalised text lacks.
@@ -493,7 +493,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """The ids of each text as little-endian unsigned 32-bit integers, and what they decode to."""
-        for group in groups(texts):
+        for group in groups(texts, self.grouped):
             ids, begins, spelt, spelt_begins = self.gathered(group)
             for (a, b), (c, d) in zip(pairwise(begins.tolist()), pairwise(spelt_begins.tolist()), strict=True):
                 yield ids[a:b].tobytes(), str(spelt[c : max(c, d - 1)], "utf-8")
@@ -503,12 +503,15 @@ class Encoder:
 _LAST: dict[str, Encoder] = {}
 
 
-def kept_encoder(name: str, vocabulary: Vocabulary, cached: int) -> Encoder:
+def kept_encoder(name: str, vocabulary: Vocabulary, cfg: BpeConfig) -> Encoder:
     """The encoder of a published lexicon; a worker that goes on to another task of the same run keeps it."""
-    if name not in _LAST:
-        _LAST.clear()
-        _LAST[name] = Encoder(vocabulary, mapped(SparkFiles.get(name)), cached)
-    return _LAST[name]
+    if name in _LAST:
+        return _LAST[name]
+    _LAST.clear()
+    encoder = Encoder(vocabulary, mapped(SparkFiles.get(name)), cfg.cached, cfg.grouped)
+    if cfg.kept:
+        _LAST[name] = encoder
+    return encoder
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", cfg: BpeConfig = BpeConfig(), digests: bool = False) -> DataFrame:
@@ -520,12 +523,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept_encoder(name, shared.value, cfg.cached)
-        for part in joined(batches):
+        encoder = kept_encoder(name, shared.value, cfg)
+        for part in joined(batches, cfg.grouped):
             texts = ["" if t is None else t for t in part.column(1).to_pylist()]
             if digests:
                 rows = []
-                for group in groups(texts):
+                for group in groups(texts, cfg.grouped):
                     ids, begins, spelt, spelt_begins = encoder.gathered(group)
                     for (a, b), (c, d) in zip(pairwise(begins.tolist()), pairwise(spelt_begins.tolist()), strict=True):
                         rows.append((b - a, hashlib.sha256(ids[a:b]).hexdigest(), hashlib.sha256(spelt[c : max(c, d - 1)]).hexdigest()))
